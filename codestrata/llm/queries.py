@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import exact_dedup, fingerprints, licenses, mixing, packing, secrets
-from codestrata.llm.common import documents
+from codestrata.llm import exact_dedup, fingerprints, language_id, licenses, lm_scoring, mixing, packing, secrets, toxicity
+from codestrata.llm.common import documents, remainder
 
 
 def tokenizer_path() -> str:
@@ -20,6 +20,19 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), "n_matches")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.filter(remainder("doc_id", 5) != 0))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs.filter(remainder("doc_id", 3) != 1))
+    return language_id.predict(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -36,9 +49,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = lm_scoring.score(docs, docs.filter(remainder("doc_id", 5) != 1))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_licenses, op5_mixing, op6_fingerprints, op7_secrets, op8_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_licenses, op3_toxicity, op4_language_id, op5_mixing, op6_fingerprints, op7_secrets, op8_exact_dedup, op9_lm_scoring, op10_packing)}
 SQL = {"op8_exact_dedup": exact_dedup.SQL}
