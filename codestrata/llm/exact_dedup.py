@@ -39,8 +39,8 @@ def exact_groups(docs: DataFrame, salts: int = 16) -> DataFrame:
 
 def keep_exact(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    kept = exact_groups(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("k")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["k"]), "left_semi")
 
 
 SQL = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import exact_dedup, fingerprints, language_id, licenses, lm_scoring, mixing, packing, secrets, toxicity
+from codestrata.llm import exact_dedup, fingerprints, language_id, licenses, lm_scoring, mixing, near_dedup, packing, secrets, toxicity
 from codestrata.llm.common import documents, remainder
 
 
@@ -15,6 +15,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(documents(spark, sf_dir))
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), "n_matches")
@@ -59,5 +63,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_licenses, op3_toxicity, op4_language_id, op5_mixing, op6_fingerprints, op7_secrets, op8_exact_dedup, op9_lm_scoring, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_licenses, op3_toxicity, op4_language_id, op5_mixing, op6_fingerprints, op7_secrets, op8_exact_dedup, op9_lm_scoring, op10_packing)}
 SQL = {"op8_exact_dedup": exact_dedup.SQL}
