@@ -1,4 +1,547 @@
 """Queries over the given tables, one or more for each operator, with the SQL that checks them."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codestrata.functions import scalars
+from codestrata.operators import aggs, code, edits, filters, graph, joins, merge, windows
+from codestrata.plans import views as V
+from codestrata.sources import corpus, facts
+from codestrata.streaming import findings as live
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+FIND = f"WITH f AS ({V.FINDINGS}) "
+HALF = lambda num, den, p: f"CASE WHEN ({den}) > 0 THEN ((2 * ({num}) * {10**p} + ({den})) // (2 * ({den}))) / {10**p}.0 ELSE 0.0 END"
+
+
+def _f(spark, d):
+    return V.view(spark, d, V.FINDINGS)
+
+
+# --- filters -------------------------------------------------------------------------------------------------------
+@query(FIND + "SELECT path, seq FROM f WHERE lower(trim(severity)) = 'error'")
+def f1_by_severity(spark, d):
+    return filters.by_severity(_f(spark, d), " ERROR ").select("path", "seq")
+
+
+@query(FIND + "SELECT path, seq, code FROM f WHERE code IS NULL OR code NOT IN ('c1','c3')")
+def f2_suppress(spark, d):
+    return filters.suppress(_f(spark, d), ["c1", "c3"]).select("path", "seq", "code")
+
+
+@query(r"""WITH l AS (SELECT doc_id AS path, unnest(string_split_regex(text, '\r\n|\r|\n')) AS text, generate_subscripts(string_split_regex(text, '\r\n|\r|\n'), 1) - 1 AS line FROM documents),
+f AS (SELECT doc_id AS path, i AS start_line FROM documents, range(0, 4) t(i))
+SELECT path, start_line FROM f WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.path = f.path AND l.line = f.start_line AND regexp_matches(l.text, 'token = '))""")
+def f3_inline_suppress(spark, d):
+    found = V.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.explode(F.expr("sequence(0L, 3L)")).alias("start_line"))
+    return filters.inline_suppress(found, _doc_lines(spark, d), "token = ")
+
+
+def _doc_lines(spark, d):
+    return V.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
+
+
+@query(FIND + "SELECT path, seq FROM f WHERE NOT (contains(message, 'click') OR contains(message, 'err'))")
+def f4_drop_messages(spark, d):
+    return filters.drop_messages(_f(spark, d), ["click", "err"]).select("path", "seq")
+
+
+@query("SELECT p_partkey AS sym, p_name AS name FROM part WHERE lower(trim(p_type)) IN (SELECT lower(min(p_type)) FROM part) AND regexp_matches(p_name, '[a-m]')")
+def f5_filter_symbols(spark, d):
+    part = V.table(spark, d, "part")
+    kind = part.agg(F.min("p_type").alias("k")).first()["k"]
+    return filters.filter_symbols(part.select(F.col("p_partkey").alias("sym"), F.col("p_name").alias("name"), F.col("p_type").alias("kind")), [kind or ""], "[a-m]").drop("kind")
+
+
+@query("SELECT p_partkey AS sym, p_name AS name FROM part WHERE NOT (regexp_matches(p_name, '1$') OR regexp_matches(p_name, '[58]$'))")
+def f6_exclude_names(spark, d):
+    return filters.exclude_names(V.table(spark, d, "part").select(F.col("p_partkey").alias("sym"), F.col("p_name").alias("name")), ["1$", "[58]$"])
+
+
+PATHS = "SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN 'src/test_' || p_size || '.py' WHEN 1 THEN 'src/a_test.py' WHEN 2 THEN 'x/conftest.py' WHEN 3 THEN 'Tests/a.py' WHEN 4 THEN 'src/contest.py' ELSE 'src/.venv/a.py' END AS path FROM part"
+
+
+@query(f"""WITH p AS ({PATHS}), q AS (SELECT *, string_split(path, '/')[-1] AS b FROM p)
+SELECT k, (starts_with(b, 'test_') AND ends_with(b, '.py')) OR ends_with(b, '_test.py') OR b = 'conftest.py' AS a, contains(lower(b), 'test') OR contains(lower(path), 'tests') AS b FROM q""")
+def f7_test_files(spark, d):
+    return V.view(spark, d, PATHS).select("k", scalars.is_test_file(F.col("path")).alias("a"), scalars.is_test_ref(F.col("path")).alias("b"))
+
+
+@query(FIND + "SELECT path, min(seq) AS seq, count(*) > 0 AS kept FROM f GROUP BY path, start_line, start_col, end_line, end_col, severity, message")
+def f8_dedupe_findings(spark, d):
+    return filters.dedupe_findings(_f(spark, d)).select("path", "seq", F.lit(True).alias("kept"))
+
+
+@query("SELECT p_partkey AS k FROM part WHERE p_partkey <= 100 AND p_partkey + p_size >= 100")
+def f9_at_position(spark, d):
+    r = V.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").alias("start_line"), F.lit(0).alias("start_col"), (F.col("p_partkey") + F.col("p_size")).alias("end_line"), F.lit(5).alias("end_col"))
+    return filters.at_position(r, 100, 0).select("k")
+
+
+# --- order, limits, sources ----------------------------------------------------------------------------------------
+@query(FIND + "SELECT path, start_line, seq FROM f")
+def l1_order_locations(spark, d):
+    return filters.order_locations(_f(spark, d), "seq").select("path", "start_line", "seq")
+
+
+@query(FIND + "SELECT path, seq, (SELECT count(*) FROM f) > 100 AS truncated FROM f ORDER BY path, seq LIMIT 100")
+def l2_top(spark, d):
+    return filters.top(_f(spark, d).select("path", "seq"), ["path", "seq"], 100)
+
+
+@query(FIND + "SELECT path, seq, (SELECT count(*) FROM f) AS total_count, (SELECT count(*) FROM f) > 150 AS truncated FROM f ORDER BY path, seq LIMIT 100 OFFSET 50")
+def l3_page(spark, d):
+    return filters.page(_f(spark, d).select("path", "seq"), ["path", "seq"], 50, 100)
+
+
+@query(f"WITH p AS ({PATHS}) SELECT k, path FROM p WHERE NOT contains(path, '.venv')")
+def s1_source_files(spark, d):
+    return corpus.source_files(V.view(spark, d, PATHS)).select("k", "path")
+
+
+ROOTS = r"SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) AS root FROM pages UNION SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+/[^/?#]+)', 1) AS root FROM pages WHERE page_id % 2 = 0"
+
+
+def _roots(spark, d):
+    pages = V.table(spark, d, "pages")
+    host = pages.select(F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("root"))
+    return host.union(pages.filter("page_id % 2 = 0").select(F.regexp_extract("url", "^(https?://[^/]+/[^/?#]+)", 1))).distinct()
+
+
+@query(f"WITH r AS ({ROOTS}), u AS (SELECT DISTINCT url AS path FROM pages) SELECT path, (SELECT max_by(root, length(root)) FROM r WHERE u.path = root OR starts_with(u.path, root || '/')) AS root FROM u")
+def s4_assign_root(spark, d):
+    return merge.assign_root(V.table(spark, d, "pages").select(F.col("url").alias("path")).distinct(), _roots(spark, d))
+
+
+@query(f"WITH p AS ({PATHS}) SELECT k, path FROM p WHERE path = 'src' OR starts_with(path, 'src/')")
+def s5_within_root(spark, d):
+    return merge.within_root(V.view(spark, d, PATHS), "src/")
+
+
+def _new(spark, d):
+    docs = V.table(spark, d, "documents").select("doc_id", "text")
+    changed = docs.filter("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return changed.union(docs.filter("doc_id % 11 = 0").withColumn("doc_id", F.col("doc_id") + 1000000))
+
+
+@query(f"WITH n AS ({V.NEW}) SELECT coalesce(d.doc_id, n.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN d.text = n.text THEN 'unchanged' ELSE 'changed' END AS status FROM documents d FULL JOIN n ON d.doc_id = n.doc_id")
+def s6_snapshot_diff(spark, d):
+    return merge.snapshot_diff(V.table(spark, d, "documents"), _new(spark, d), "doc_id", "text")
+
+
+@query("SELECT doc_id, text FROM documents WHERE doc_id % 10 = 3")
+def s7_write_files(spark, d):
+    return corpus.write_files(V.table(spark, d, "documents").filter("doc_id % 10 = 3").select("doc_id", "text"), "", 1)
+
+
+# --- merges --------------------------------------------------------------------------------------------------------
+A, B = "SELECT p_brand AS q, p_partkey AS k FROM part WHERE p_size < 20 AND p_brand <> 'Brand#11'", "SELECT p_brand AS q, p_partkey AS k FROM part WHERE p_size >= 15 AND p_size < 25"
+
+
+@query(f"""WITH a AS ({A}), b AS ({B}), u AS (SELECT q, k, 1 AS p FROM a UNION ALL SELECT q, k, 0 FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.q = b.q AND a.k = b.k))
+SELECT q, k, CASE WHEN max(p) OVER (PARTITION BY q) = 0 THEN 'secondary' WHEN min(p) OVER (PARTITION BY q) = 0 THEN 'combined' ELSE 'primary' END AS source FROM u""")
+def u1_merge_prioritized(spark, d):
+    return merge.merge_prioritized(V.view(spark, d, A), V.view(spark, d, B), ["q", "k"], "q")
+
+
+@query(f"WITH a AS ({A}), b AS ({B}) SELECT q, k FROM a UNION SELECT q, k FROM b WHERE q NOT IN (SELECT q FROM a)")
+def u2_fallback_union(spark, d):
+    return merge.fallback_union(V.view(spark, d, A), V.view(spark, d, B), "q")
+
+
+@query(rf"""WITH n AS ({V.NEW}), x AS (SELECT doc_id, unnest(string_split_regex(text, '\r\n|\r|\n')) AS t, 1 AS s FROM n UNION ALL SELECT doc_id, unnest(string_split_regex(text, '\r\n|\r|\n')), -1 FROM documents),
+g AS (SELECT doc_id, t, sum(s) AS s FROM x GROUP BY doc_id, t) SELECT doc_id, CAST(sum(greatest(s, 0)) AS BIGINT) AS added, CAST(sum(greatest(-s, 0)) AS BIGINT) AS removed FROM g GROUP BY doc_id""")
+def u3_line_delta(spark, d):
+    return merge.line_delta(V.table(spark, d, "documents"), _new(spark, d), "doc_id", "text")
+
+
+# --- joins ---------------------------------------------------------------------------------------------------------
+@query(r"""SELECT doc_id AS path, i AS start_line, string_split_regex(text, '\r\n|\r|\n')[i + 1] AS context FROM documents, range(0, 3) t(i)""")
+def j1_add_context(spark, d):
+    locs = V.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.explode(F.expr("sequence(0L, 2L)")).alias("start_line"))
+    return joins.add_context(locs, _doc_lines(spark, d))
+
+
+@query(f"WITH i AS ({V.INTERVALS}), p AS ({V.POINTS}), m AS (SELECT p.path, pid, nid, row_number() OVER (PARTITION BY p.path, pid ORDER BY end_line - start_line, nid) AS n FROM p JOIN i ON p.path = i.path AND start_line <= line AND line <= end_line) SELECT p.path, p.pid, nid FROM p LEFT JOIN m ON p.path = m.path AND p.pid = m.pid AND n = 1")
+def j2_enclosing_scope(spark, d):
+    return joins.enclosing_scope(V.view(spark, d, V.POINTS), V.view(spark, d, V.INTERVALS))
+
+
+@query(f"WITH i AS ({V.INTERVALS}), p AS ({V.POINTS}) SELECT p.path, pid, string_agg(CAST(nid AS VARCHAR), ',' ORDER BY end_line - start_line, nid) AS nids FROM p JOIN i ON p.path = i.path AND start_line <= line AND line <= end_line GROUP BY p.path, pid")
+def j3_selection_ranges(spark, d):
+    out = joins.selection_ranges(V.view(spark, d, V.POINTS), V.view(spark, d, V.INTERVALS))
+    return out.withColumn("nids", F.array_join(F.transform("nids", lambda x: x.cast("string")), ","))
+
+
+NEST = f"""WITH i AS ({V.INTERVALS}), m AS (SELECT a.path, a.nid, b.nid AS parent_id, row_number() OVER (PARTITION BY a.path, a.nid ORDER BY (b.end_line - b.start_line) %s, b.nid %s) AS n FROM i a JOIN i b ON a.path = b.path AND a.nid <> b.nid
+AND b.start_line <= a.start_line AND a.end_line <= b.end_line AND (b.end_line - b.start_line > a.end_line - a.start_line OR b.nid < a.nid)) SELECT i.path, i.nid, parent_id FROM i LEFT JOIN m ON i.path = m.path AND i.nid = m.nid AND n = 1"""
+
+
+@query(NEST % ("", ""))
+def j4_nest_outline_direct(spark, d):
+    return joins.nest_outline(V.view(spark, d, V.INTERVALS), "direct")
+
+
+@query(NEST % ("DESC", "DESC"))
+def j4_nest_outline_outermost(spark, d):
+    return joins.nest_outline(V.view(spark, d, V.INTERVALS), "outermost")
+
+
+@query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'never', 0")
+def j12_zero_filled_kinds(spark, d):
+    ev = V.table(spark, d, "events").select(F.col("event_type").alias("kind"))
+    return joins.with_zero_kinds(ev, [*sorted(r["kind"] for r in ev.distinct().limit(100).collect()), "never"])
+
+
+@query("SELECT o_orderkey AS file FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def j14_unused(spark, d):
+    imports = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("file"), F.lit("x").alias("name"))
+    return joins.unused(imports, V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.lit("x").alias("name")), "file", "name").select("file")
+
+
+@query(f"""WITH r AS ({V.REFS}), c AS (SELECT sym, sum(external) AS e, sum(1 - external) AS o FROM r GROUP BY sym), p AS ({V.DEFS}),
+a AS (SELECT p.sym, name, 'unreferenced' AS reason FROM p LEFT JOIN c ON p.sym = c.sym WHERE NOT in_test AND NOT decorated AND coalesce(e, 0) = 0 AND coalesce(o, 0) <= 1)
+SELECT sym, name, reason, 'high' AS confidence FROM a UNION ALL SELECT sym, name, 'reported', 'medium' FROM p WHERE NOT in_test AND sym % 13 = 0 AND sym NOT IN (SELECT sym FROM a)""")
+def j16_dead_code(spark, d):
+    defs = V.view(spark, d, V.DEFS)
+    return joins.dead_code(defs, V.view(spark, d, V.REFS), defs.filter("sym % 13 = 0").select("sym"))
+
+
+@query("SELECT DISTINCT p_name AS name, p_brand AS module, 'from ' || p_brand || ' import ' || p_name AS statement FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_size = 7)")
+def j17_suggest_imports(spark, d):
+    part = V.table(spark, d, "part")
+    return joins.suggest_imports(part.filter("p_size = 7").select(F.col("p_name").alias("name")), part.select(F.col("p_name").alias("name"), F.col("p_brand").alias("module")))
+
+
+@query("""WITH q AS (SELECT DISTINCT p_name AS q FROM part WHERE p_partkey = 1 UNION SELECT '9'), e AS (SELECT q, p_partkey AS sym, p_name AS name, 'exact' AS "match" FROM part JOIN q ON p_name = q)
+SELECT * FROM e UNION ALL SELECT q, p_partkey, p_name, 'part' FROM part JOIN q ON contains(lower(p_name), lower(q)) WHERE q NOT IN (SELECT q FROM e)""")
+def j18_search_symbols(spark, d):
+    part = V.table(spark, d, "part")
+    q = part.filter("p_partkey = 1").select(F.col("p_name").alias("q")).union(spark.createDataFrame([("9",)], "q string")).distinct()
+    return joins.search_symbols(part.select(F.col("p_partkey").alias("sym"), F.col("p_name").alias("name")), q)
+
+
+# --- aggregations --------------------------------------------------------------------------------------------------
+@query(FIND + """, g AS (SELECT path, lower(trim(severity)) AS s FROM f) SELECT path, count(*) FILTER (s = 'error') AS error, count(*) FILTER (s = 'warning') AS warning,
+count(*) FILTER (s NOT IN ('error','warning','hint')) AS information, count(*) FILTER (s = 'hint') AS hint, count(*) AS total FROM g GROUP BY path""")
+def a1_findings_summary(spark, d):
+    return aggs.findings_summary(_f(spark, d))
+
+
+@query(f"WITH g AS (SELECT l_orderkey, count(*) AS c FROM lineitem GROUP BY l_orderkey) SELECT count(*) AS n, {HALF('sum(c)', 'count(*)', 2)} AS average, max(c) AS greatest FROM g")
+def a3_metrics_summary(spark, d):
+    return aggs.metrics_summary(V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("c")), "c")
+
+
+@query(f"SELECT count(*) AS total, count(l.doc_id) AS covered, {HALF('100 * count(l.doc_id)', 'count(*)', 1)} AS pct FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
+def a4_coverage(spark, d):
+    marked = V.table(spark, d, "labels").select("doc_id").distinct().withColumn("m", F.lit(True))
+    return aggs.coverage_summary(V.table(spark, d, "documents").select("doc_id").join(marked, "doc_id", "left").withColumn("m", F.coalesce("m", F.lit(False))), "m")
+
+
+@query("SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY md5(text) HAVING count(*) >= 2")
+def a5_duplicates(spark, d):
+    return aggs.duplicates(V.table(spark, d, "documents"), "text", "doc_id")
+
+
+@query("WITH l AS (SELECT doc_id AS path, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS text, generate_subscripts(string_split_regex(text, '\\r\\n|\\r|\\n'), 1) - 1 AS line FROM documents), r AS (SELECT * FROM (VALUES "
+       + ", ".join(f"('{i}', '{s}', '{p}')" for i, s, p in V.RULES) + ") t(rule_id, severity, pattern)) SELECT path, line, rule_id, severity, trim(text) AS snippet FROM l JOIN r ON regexp_matches(text, pattern)")
+def a6_rule_scan(spark, d):
+    return aggs.rule_scan(_doc_lines(spark, d), list(V.RULES))
+
+
+@query(f"WITH r AS ({V.REFS}), c AS (SELECT sym, count(DISTINCT ref_file) AS n FROM r GROUP BY sym) SELECT p_partkey AS sym, coalesce(n, 0) AS test_files, n IS NOT NULL AS covered FROM part LEFT JOIN c ON p_partkey = sym")
+def a7_test_coverage(spark, d):
+    return aggs.test_coverage(V.table(spark, d, "part").select(F.col("p_partkey").alias("sym")), V.view(spark, d, V.REFS))
+
+
+CONFORM = f"WITH m AS ({V.METHODS}), g AS (SELECT method, count(DISTINCT cls) AS c, count(DISTINCT params) AS p FROM m GROUP BY method) "
+
+
+@query(CONFORM + "SELECT method, c AS classes, c = 3 AS common, c = 3 AND p > 1 AS mismatched FROM g")
+def a9_interface_conformance(spark, d):
+    return aggs.interface_conformance(V.view(spark, d, V.METHODS), 3)
+
+
+@query(CONFORM + "SELECT 'class P(Protocol):' || chr(10) || coalesce(string_agg('    def ' || x.method || '(' || x.params || '): ...', chr(10) ORDER BY '    def ' || x.method || '(' || x.params || '): ...'), '    pass') AS text FROM g JOIN (SELECT * FROM m WHERE cls = 0) x ON g.method = x.method WHERE c = 3")
+def a10_protocol_text(spark, d):
+    return aggs.protocol_text(V.view(spark, d, V.METHODS).withColumn("method", F.col("method").cast("string")), 3, 0, "P")
+
+
+# --- graphs --------------------------------------------------------------------------------------------------------
+def _edges(spark, d):
+    return V.view(spark, d, V.EDGES)
+
+
+E_ = f"e AS ({V.EDGES})"
+CLOSE = f"WITH RECURSIVE {E_}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) "
+
+
+@query(CLOSE + ", s AS (SELECT a.src AS node, a.dst AS other FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src) SELECT node, least(min(other), node) AS component FROM s GROUP BY node")
+def g3_sccs(spark, d):
+    return graph.sccs(_edges(spark, d))
+
+
+@query(f"""WITH RECURSIVE {E_}, p AS (SELECT [src, dst] AS c FROM e WHERE dst > src UNION ALL SELECT list_append(c, e.dst) FROM p JOIN e ON c[-1] = e.src WHERE e.dst > c[1] AND NOT list_contains(c, e.dst) AND len(c) < 4)
+SELECT array_to_string(c, ',') AS cycle FROM p JOIN e ON c[-1] = e.src AND e.dst = c[1] UNION ALL SELECT CAST(src AS VARCHAR) FROM e WHERE src = dst""")
+def g3_cycles(spark, d):
+    return graph.cycles(_edges(spark, d), 4).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"))
+
+
+@query(f"""WITH {E_}, a AS (SELECT dst AS v, count(DISTINCT src) AS ca FROM e WHERE src <> dst GROUP BY dst), b AS (SELECT src AS v, count(DISTINCT dst) AS ce FROM e WHERE src <> dst GROUP BY src),
+n AS (SELECT n_nationkey AS v, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce FROM nation LEFT JOIN a ON n_nationkey = a.v LEFT JOIN b ON n_nationkey = b.v) SELECT v, ca, ce, {HALF('ce', 'ca + ce', 3)} AS instability FROM n""")
+def g4_coupling(spark, d):
+    return graph.coupling(_edges(spark, d), V.table(spark, d, "nation").select(F.col("n_nationkey").alias("v")))
+
+
+@query(f"WITH {E_} SELECT src, dst, a.n_regionkey AS src_layer, b.n_regionkey AS dst_layer FROM e JOIN nation a ON src = a.n_nationkey JOIN nation b ON dst = b.n_nationkey WHERE a.n_regionkey > b.n_regionkey")
+def g5_layer_violations(spark, d):
+    return graph.layer_violations(_edges(spark, d), V.table(spark, d, "nation").select(F.col("n_nationkey").alias("v"), F.col("n_regionkey").alias("layer")))
+
+
+@query(f"""WITH RECURSIVE {E_}, w AS (SELECT n_nationkey AS root, n_nationkey AS node, 0 AS depth FROM nation UNION SELECT root, e.dst, depth + 1 FROM w JOIN e ON node = e.src WHERE depth < 3)
+SELECT root, node, CAST(min(depth) AS INT) AS depth, false AS truncated FROM w WHERE node <> root GROUP BY root, node""")
+def g6_traverse(spark, d):
+    return graph.traverse(_edges(spark, d), V.table(spark, d, "nation").select(F.col("n_nationkey").alias("root")), "callees", 3)
+
+
+# --- windows -------------------------------------------------------------------------------------------------------
+@query(f"WITH r AS ({V.RUNS}), g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) - row_number() OVER (PARTITION BY user_id, is_import ORDER BY seq) AS g FROM r) SELECT user_id, min(seq) AS first, max(seq) AS last, count(*) AS n FROM g WHERE is_import = 1 GROUP BY user_id, g HAVING count(*) >= 2")
+def w1_runs(spark, d):
+    return windows.runs(V.view(spark, d, V.RUNS), ["user_id"], "seq", "is_import")
+
+
+@query(f"""WITH t AS ({V.TOKENS}), a AS (SELECT *, sum(d_line) OVER (PARTITION BY user_id ORDER BY seq) AS line FROM t), b AS (SELECT *, sum(d_col) OVER (PARTITION BY user_id, line ORDER BY seq) AS col FROM a)
+SELECT user_id, seq, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS col, CAST(col + greatest(len, 0) AS BIGINT) AS end_col, coalesce({windows.TOKEN_TYPES!r}[type_idx + 1], 'unknown') AS type,
+array_to_string(list_filter({windows.MODIFIERS!r}, lambda x, i: bits & (1 << (i - 1)) <> 0), ',') AS modifiers FROM b""")
+def w2_delta_decode(spark, d):
+    return windows.delta_decode(V.view(spark, d, V.TOKENS), "user_id")
+
+
+# --- edits ---------------------------------------------------------------------------------------------------------
+LINES = r"string_split_regex(text, '\r\n|\r|\n')"
+
+
+@query(f"SELECT doc_id, 1 AS line, 0 AS col, CAST(CASE WHEN len({LINES}) > 1 THEN length({LINES}[1]) + 1 END AS INT) AS \"offset\" FROM documents WHERE NOT contains(text, chr(13))")
+def e1_to_offset(spark, d):
+    docs = V.table(spark, d, "documents").filter("not contains(text, '\r')")
+    out = edits.to_offset(docs.select("doc_id", F.lit(1).alias("line"), F.lit(0).alias("col")), docs.select("doc_id", "text"), "doc_id", "text")
+    many = F.size(F.split("text", "\n", -1)) > 1
+    return out.join(docs.select("doc_id", many.alias("m")), "doc_id").select("doc_id", "line", "col", F.when(F.col("m"), F.col("offset")).alias("offset"))
+
+
+@query(f"SELECT doc_id, CAST(len({LINES}) - 1 AS INT) AS end_line, CAST(length({LINES}[-1]) AS INT) AS end_col FROM documents")
+def e1_end_position(spark, d):
+    return edits.end_position(V.table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN text ELSE 'X' || substr(text, 2) END AS text, false AS rejected FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE length(text) > 1")
+def e2_apply_edits(spark, d):
+    docs = V.table(spark, d, "documents").filter("length(text) > 1")
+    return edits.apply_edits(docs.select("doc_id", "text"), V.view(spark, d, V.EDITS), "doc_id", "text")
+
+
+@query("SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS path, CAST(event_id % 9 AS INT) AS start_line, 0 AS start_col, CAST(event_id % 9 AS INT) AS end_line, 1 AS end_col, event_type AS new_text FROM events")
+def e3_normalize_edits(spark, d):
+    edit = F.struct(F.concat(F.lit("u"), "user_id").alias("path"), (F.col("event_id") % 9).cast("int").alias("start_line"), F.lit(0).alias("start_col"), (F.col("event_id") % 9).cast("int").alias("end_line"), F.lit(1).alias("end_col"), F.col("event_type").alias("new_text"))
+    by_path = F.create_map(F.concat(F.lit("u"), "user_id"), F.array(edit))
+    return edits.normalize_edits(V.table(spark, d, "events").select(F.when(F.col("event_id") % 2 == 0, F.to_json(F.array(edit))).otherwise(F.to_json(by_path)).alias("payload")))
+
+
+@query("SELECT 'u' || CAST(user_id AS VARCHAR) AS path, event_id AS start_line, 4 AS start_col, event_id AS end_line, 4 AS end_col, CASE WHEN event_id % 2 = 0 THEN ' ' ELSE '' END || event_type || CASE WHEN event_id % 3 = 0 THEN ' ' ELSE '' END AS new_text FROM events WHERE event_id % 4 <> 0")
+def e4_hints_to_edits(spark, d):
+    return edits.hints_to_edits(V.table(spark, d, "events").selectExpr("'u' || user_id AS path", "event_id AS line", "4 AS col", "event_type AS label", "event_id % 2 = 0 AS pad_left", "event_id % 3 = 0 AS pad_right", "CASE WHEN event_id % 4 = 0 THEN 'parameter' ELSE 'type' END AS kind"))
+
+
+@query("WITH t AS (SELECT p_name || CASE WHEN p_partkey % 3 = 0 THEN 'A' ELSE 'a' END AS path FROM part) SELECT path, target, n > 1 AS collision FROM (SELECT path, lower(path) AS target, count(*) OVER (PARTITION BY lower(path)) AS n FROM t) WHERE path <> target")
+def e8_module_rename_plan(spark, d):
+    return edits.module_rename_plan(V.table(spark, d, "part").selectExpr("p_name || CASE WHEN p_partkey % 3 = 0 THEN 'A' ELSE 'a' END AS path"))
+
+
+@query(f"WITH l AS ({V.LOG}) SELECT path, max(seq) AS seq, max_by(content, seq) AS content FROM l WHERE batch % 2 = 0 AND seq NOT IN (SELECT seq FROM l WHERE batch % 2 = 0 ORDER BY seq DESC LIMIT 20) GROUP BY path")
+def e9_change_log(spark, d):
+    log = V.view(spark, d, V.LOG)
+    return edits.as_of(edits.committed(log, log.select("batch").distinct().filter("batch % 2 = 0")), "path", 20)
+
+
+# --- streams -------------------------------------------------------------------------------------------------------
+@query("""WITH m AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS path, event_id AS version, event_type, event_id % 4 AS k FROM events WHERE event_id % 5 <> 0)
+SELECT path, max(version) AS version, CASE WHEN max_by(k, version) = 0 THEN '' ELSE max_by(event_type, version) END AS messages FROM m GROUP BY path""")
+def x1_latest_findings(spark, d):
+    one = F.array(F.struct(F.lit(1).alias("line"), F.lit("error").alias("severity"), F.col("event_type").alias("message")))
+    payload = F.when(F.col("event_id") % 5 == 0, "broken").when(F.col("event_id") % 4 == 0, "[]").otherwise(F.to_json(one))
+    messages = V.table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("path"), F.col("event_id").alias("version"), payload.alias("payload"))
+    return live.latest_findings(messages).select("path", "version", F.array_join(F.transform("findings", lambda x: x["message"]), ",").alias("messages"))
+
+
+# --- code facts over modules rendered from part and supplier --------------------------------------------------------
+def _facts(spark, d):
+    return facts.extract_facts(V.rendered(spark, d))
+
+
+def _class_facts(spark, d):
+    return facts.extract_facts(V.rendered_classes(spark, d))
+
+
+K = "WITH p AS (SELECT p_partkey AS k, p_size % 4 AS d, p_partkey // 3 AS j, (SELECT count(*) FROM part) AS n FROM part) "
+C = "WITH s AS (SELECT s_suppkey AS k, s_suppkey // 2 AS b, (s_suppkey + 1) % (SELECT count(*) FROM supplier) AS x FROM supplier) "
+M = "'pkg/m_' || k || '.py'"
+
+
+@query("SELECT tag, n FROM (SELECT 'def' AS tag, count(*) AS n FROM part UNION ALL SELECT 'param', 2 * count(*) FROM part)")
+def s2_extract_facts(spark, d):
+    return _facts(spark, d).filter("tag in ('def', 'param')").groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'pkg/m_' || p_partkey || '.py' AS path, 0 AS line FROM part WHERE p_partkey % 9 = 0")
+def s3_syntax_errors(spark, d):
+    broken = V.rendered(spark, d).withColumn("content", F.when(F.regexp_extract("path", "([0-9]+)", 1).cast("long") % 9 == 0, "def (").otherwise(F.col("content")))
+    return facts.syntax_errors(facts.extract_facts(broken)).select("path", "line")
+
+
+@query(K + f"SELECT {M} AS path, 'f_' || k AS name, CAST(1 + d AS BIGINT) AS cyclomatic, CAST(d * (d + 1) // 2 AS BIGINT) AS cognitive, CAST(d AS BIGINT) AS nesting, CAST(2 + d + (d > 0)::INT + (k % 6 = 0)::INT AS BIGINT) AS loc, CAST(2 AS BIGINT) AS n_params FROM p")
+def a2_function_metrics(spark, d):
+    return aggs.function_metrics(facts.of(_facts(spark, d), "node")).select("path", "name", "cyclomatic", "cognitive", "nesting", "loc", "n_params")
+
+
+@query(K + f"SELECT {M} AS path, k % 3 = 0 AS returns, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS annotated, 2 AS params FROM p")
+def a4_type_coverage(spark, d):
+    f = _facts(spark, d)
+    params = facts.of(f, "param").groupBy("path").agg(F.count_if("annotated").alias("annotated"), F.count("*").alias("params"))
+    return facts.of(f, "def").filter("kind = 'function'").select("path", F.col("annotated").alias("returns")).join(params, "path")
+
+
+@query(K + "SELECT count(*) AS n FROM p WHERE 2 + d + (d > 0)::INT + (k % 6 = 0)::INT >= 3 GROUP BY d, k % 6 = 0 HAVING count(*) >= 2")
+def a5_duplicate_functions(spark, d):
+    # the callee's name is blanked like every other, so a body's shape depends on its nesting and its eval alone
+    fns = facts.of(_facts(spark, d), "def").filter("kind = 'function'").withColumn("n_lines", F.col("end_line") - F.col("line") + 1)
+    return aggs.duplicates(fns, "text", "path", 3, "n_lines").select("n")
+
+
+@query(K + f"SELECT {M} AS path, 'eval' AS call FROM p WHERE k % 6 = 0")
+def a6_call_rules(spark, d):
+    return code.call_rules(_facts(spark, d), ["eval", "exec", "compile", "__import__"]).select("path", "call")
+
+
+@query(C + "SELECT 'pkg2/c_' || k || '.py' AS path, 'C_' || k AS name FROM s UNION ALL SELECT 'pkg2/c_' || k || '.py', 'make_' || k FROM s WHERE k % 4 <> 0")
+def a8_public_api(spark, d):
+    return code.public_names(_class_facts(spark, d)).select("path", "name")
+
+
+@query(C + "SELECT 'pkg2/c_' || k || '.py' AS path FROM s WHERE k % 10 = 0")
+def f10_structural_search(spark, d):
+    return code.structural_search(_class_facts(spark, d), "star_import").select("path")
+
+
+@query(K + "SELECT 'pkg.m_' || k AS src, 'os' AS dst, false AS resolved FROM p UNION ALL SELECT 'pkg.m_' || k, 'json', false FROM p WHERE k % 4 = 0 UNION ALL SELECT 'pkg.m_' || k, 'pkg.m_' || j, true FROM p WHERE k > 0 UNION ALL SELECT 'pkg.m_' || k, 'pkg.m_' || (k + 1), true FROM p WHERE k % 5 = 0 AND k + 1 < n")
+def g1_g2_dependency_graph(spark, d):
+    return code.dependency_graph(_facts(spark, d)).select("src", "dst", "resolved")
+
+
+@query(K + f"SELECT {M} AS path, 'json' AS name FROM p WHERE k % 4 = 0 UNION ALL SELECT {M}, 'f_' || (k + 1) FROM p WHERE k % 5 = 0 AND k + 1 < n AND k + 1 <> j")
+def j14_unused_imports(spark, d):
+    return code.unused_imports(_facts(spark, d)).select("path", "name")
+
+
+@query(K + f"SELECT {M} AS path, 'g' AS name FROM p WHERE k % 8 = 0")
+def j15_unresolved_names(spark, d):
+    more = V.rendered(spark, d).withColumn("content", F.concat("content", F.when(F.regexp_extract("path", "([0-9]+)", 1).cast("long") % 8 == 0, "print(g)\n").otherwise("")))
+    return code.unresolved_names(facts.extract_facts(more)).select("path", "name")
+
+
+@query(K + f"SELECT {M} AS path, 'f_' || j AS name, 'pkg/m_' || j || '.py' AS def_path FROM p")
+def j7_goto_definition(spark, d):
+    return code.goto_definition(_facts(spark, d)).select("path", "name", "def_path")
+
+
+@query(K + "SELECT 'pkg/m_' || j || '.py' AS def_path, 'f_' || j AS name, count(*) AS uses, count(*) AS files FROM p GROUP BY j")
+def j8_find_references(spark, d):
+    return code.find_references(_facts(spark, d)).select("def_path", "name", "uses", "files")
+
+
+@query(C + "SELECT 'pkg2/c_' || k || '.py' AS path, 'obj' AS name, 1 AS reads, 1 AS writes FROM s")
+def j9_highlights(spark, d):
+    return code.highlights(_class_facts(spark, d), F.lit("obj")).select("path", "name", "reads", "writes")
+
+
+@query(C + "SELECT 'C_' || k AS owner, unnest(['m0', 'm1', 'p_' || (k % 5)]) AS name FROM s UNION ALL SELECT 'make_' || k, 'obj' FROM s")
+def j5_sub_definitions(spark, d):
+    return code.sub_definitions(_class_facts(spark, d)).select("owner", "name")
+
+
+@query(C + "SELECT 'pkg2/c_' || k || '.py' AS path, unnest(['_hidden', 'C_' || k, 'm0', 'm1', 'p_' || (k % 5), 'make_' || k, 'obj']) AS name FROM s UNION ALL SELECT 'pkg2/c_' || k || '.py', '__all__' FROM s WHERE k % 4 = 0")
+def j6_all_names(spark, d):
+    return code.all_names(_class_facts(spark, d)).select("path", "name")
+
+
+UP = C + ", k AS (SELECT k FROM s) "
+
+
+@query(C.replace("WITH", "WITH RECURSIVE") + ", r AS (SELECT k AS cls, b AS base FROM s WHERE k > 0 UNION SELECT cls, b FROM r JOIN s ON base = k WHERE k > 0) SELECT 'C_' || base AS base, 'C_' || cls AS cls FROM r")
+def j10_find_implementations(spark, d):
+    f = _class_facts(spark, d)
+    closure = graph.reach(code.class_edges(f).select("src", "dst")).withColumn("repo", F.lit("r0"))
+    return code.find_implementations(f, closure, "m0").select("base", "cls")
+
+
+@query(C + "SELECT 'pkg2/c_' || k || '.py' AS path, 'v' AS name, 'C_' || k AS cls FROM s")
+def j11_type_definition(spark, d):
+    return code.type_definition(_class_facts(spark, d)).select("path", "name", "cls")
+
+
+@query(C + "SELECT 'C_' || k AS name, 2 AS annotation, (SELECT count(*) FROM s c WHERE c.k >= 1 AND c.b = s.k) AS subclass, 1 AS instantiation, (SELECT count(*) FROM s c WHERE c.k >= 1 AND c.b = s.k) AS other FROM s")
+def j12_type_users(spark, d):
+    return code.type_users(_class_facts(spark, d)).select("name", "annotation", "subclass", "instantiation", "other")
+
+
+@query(C + "SELECT 'C_' || k AS cls, 'v;size=' || k AS args FROM s")
+def j13_constructor_sites(spark, d):
+    return code.constructor_sites(_class_facts(spark, d)).select("cls", F.array_join("args", ";").alias("args"))
+
+
+@query(C.replace("WITH", "WITH RECURSIVE") + ", r AS (SELECT k AS root, k AS node, 0 AS depth FROM s UNION ALL SELECT root, b, depth + 1 FROM r JOIN s ON node = k WHERE k > 0 AND depth < 3) SELECT 'C_' || root AS root, 'C_' || node AS node, depth FROM r WHERE depth > 0 AND root <> node")
+def g7_type_hierarchy(spark, d):
+    f = _class_facts(spark, d)
+    roots = facts.of(f, "def").filter("kind = 'class'").select(F.col("name").alias("root")).distinct()
+    return graph.type_hierarchy(code.class_edges(f).select("src", "dst"), roots).select("root", "node", "depth")
+
+
+@query(K + f"SELECT {M} AS path FROM p WHERE k = 2 UNION ALL SELECT {M} FROM p WHERE k > 0 AND j = 2 UNION ALL SELECT {M} FROM p WHERE k % 5 = 0 AND k + 1 = 2")
+def e5_rename_files(spark, d):
+    renames = spark.createDataFrame([("r0", "pkg.m_2", "f_2", "g_2")], "repo string, module string, old string, new string")
+    return code.rename_edits(_facts(spark, d), renames).select("path").distinct()
+
+
+@query(C + "SELECT 'pkg2/c_' || k || '.py' AS path, 'pkg2.c_' || x AS target, 'make_' || x AS names FROM s WHERE k % 10 = 0")
+def e6_expand_star(spark, d):
+    return code.expand_star(_class_facts(spark, d)).select("path", "target", "names")
+
+
+@query(C + "SELECT 'pkg2/c_' || k || '.py' AS path, 'pkg2.c_' || x AS target FROM s WHERE k % 10 = 0")
+def e7_absolutize(spark, d):
+    return code.absolutize(facts.of(_class_facts(spark, d), "import")).filter("level > 0").select("path", "target")
+
+
+@query(C + "SELECT 'pkg2/c_' || k || '.py' AS path, 5 AS n FROM s")
+def w1_folding_ranges(spark, d):
+    return code.folding_ranges(_class_facts(spark, d)).groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("SELECT repo, count(*) AS n FROM part, (SELECT unnest(['r0', 'r1']) AS repo) GROUP BY repo")
+def u4_several_repos(spark, d):
+    f = facts.extract_facts(V.rendered(spark, d, ("r0", "r1")))
+    return code.goto_definition(f).groupBy("repo").agg(F.count("*").alias("n"))
