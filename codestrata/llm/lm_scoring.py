@@ -96,9 +96,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for t in pdf["text"]:
                 c.update(WORDS.findall(lower_ascii(t or "")))
             if len(c) > 300_000:
-                yield pd.DataFrame({"word": list(c), "n": list(c.values())})
+                yield pd.DataFrame({"word": pd.Series(list(c), dtype=object), "n": list(c.values())})
                 c = Counter()
-        yield pd.DataFrame({"word": list(c), "n": list(c.values())})
+        yield pd.DataFrame({"word": pd.Series(list(c), dtype=object), "n": pd.Series(list(c.values()), dtype="int64")})
 
     return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
