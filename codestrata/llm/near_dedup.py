@@ -123,13 +123,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, crowd: int = 32) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (it is its own).
 
     1. Equal shingle sets (128-bit hash of the set and its size) are one class, shown by its smallest doc_id.
     2. Tensored banding: classes with no left key in common with another drop out; the rest take all pairs of a shared
        left key and a right key as table keys.
-    3. A class of whose shingles fewer than 75 % occur in another class of those left cannot have a link and drops out.
+    3. In tables' groups of more than `crowd` classes, a class of whose shingles fewer than 75 % occur in any other class
+       of such groups cannot have a link there and leaves them.
     4. In every table the smallest id is tried with all others by their full sets; components of the links found.
     5. Where a table still has several components, every pair of classes in different ones is tried, the largest
        component's members only against the others; so no pair that meets in a table is left out, and no group of
@@ -147,16 +148,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
     twice = lefts.groupBy("lk").agg(F.count("*").alias("c")).filter("c > 1").select("lk")
     met = lefts.join(twice, "lk").join(shown.select("rep", "n", "right"), "rep")
     keyed = met.select("rep", "n", "lk", F.explode("right").alias("rk")).select("rep", "n", F.xxhash64("lk", "rk").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     rows = checkpoint(keyed.join(buckets, "key"))
     wanted = rows.select(F.col("rep").alias("doc")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc", "left_semi")
-    sets = checkpoint(_sets(texts))
-    each = sets.dropDuplicates(["doc"]).select("doc", F.explode("s").alias("x"))
-    shared = each.join(each.groupBy("x").agg(F.count("*").alias("c")).filter("c > 1").select("x"), "x").groupBy("doc").agg(F.count("*").alias("c"))
-    able = shared.join(rows.select(F.col("rep").alias("doc"), "n").distinct(), "doc").filter("100 * c >= 75 * n").select("doc")
-    sets = checkpoint(sets.dropDuplicates(["doc"]).join(able, "doc", "left_semi"))
-    rows = checkpoint(rows.join(able, rows["rep"] == able["doc"], "left_semi").select("key", "rep", "n"))
+    sets = checkpoint(_sets(texts).dropDuplicates(["doc"]))
+    large = rows.filter(F.col("c") > crowd)
+    if not large.isEmpty():
+        inside = large.select(F.col("rep").alias("doc"), "n").distinct()
+        each = sets.join(inside, "doc", "left_semi").select("doc", F.explode("s").alias("x"))
+        shared = each.join(each.groupBy("x").agg(F.count("*").alias("c")).filter("c > 1").select("x"), "x").groupBy("doc").agg(F.count("*").alias("c"))
+        able = shared.join(inside, "doc").filter("100 * c >= 75 * n").select(F.col("doc").alias("rep"))
+        rows = checkpoint(rows.filter(F.col("c") <= crowd).unionByName(large.join(able, "rep", "left_semi").select(*rows.columns)).select("key", "rep", "n"))
     hubs = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hn"), F.count("*").alias("c")).filter("c > 1")
     fits = lambda x, y: (100 * F.least(x, y) >= 75 * F.greatest(x, y))
     star = rows.join(hubs, "key").filter((F.col("rep") != F.col("hub")) & fits(F.col("n"), F.col("hn"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
