@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codestrata.llm.common import WORD, ship
 
+WORDS = re.compile(WORD)
 #: Sources a mix may name: their weights are a setting, held by the driver.
 MAX_SOURCES = 100_000
 RESULT = "doc_id long, size long, source_size long, target double, taken long"
@@ -46,13 +49,13 @@ def _permute(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _located(docs: DataFrame, extra: list[str], per_bucket: int = 20_000) -> tuple[DataFrame, list]:
+def _located(docs: DataFrame, per_bucket: int = 20_000) -> tuple[DataFrame, list]:
     """Each row with the place of its first word in its source (start), and the sources: name, size, rows.
 
     The prefix sum is in two steps, buckets and rows of a bucket, so that no task holds a source.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("doc_id").alias("h"), *extra)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("doc_id").alias("h"), F.xxhash64(*docs.columns).alias("row_hash"))
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -62,7 +65,7 @@ def _located(docs: DataFrame, extra: list[str], per_bucket: int = 20_000) -> tup
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(before), F.lit(0)))
-    own = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", *extra)
+    own = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "row_hash")
     rows = rows.withColumns({"rank": F.row_number().over(own), "start": F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
     rows = rows.withColumn("source_key", F.coalesce("source", F.lit(""))).withColumn("source_null", F.col("source").isNull())
     sums = sums.select(F.coalesce("source", F.lit("")).alias("source_key"), F.col("source").isNull().alias("source_null"), "bucket", "base")
@@ -70,7 +73,7 @@ def _located(docs: DataFrame, extra: list[str], per_bucket: int = 20_000) -> tup
     return rows, sources
 
 
-def mixed_blocks(docs: DataFrame, weights: list[float] | None = None, block: int = 64, shard: int = 4096, seed: int = 17, most: float = 3.0, extra: list[str] | None = None) -> tuple[DataFrame, list]:
+def mixed_blocks(docs: DataFrame, weights: list[float] | None = None, block: int = 64, shard: int = 4096, seed: int = 17, most: float = 3.0) -> tuple[DataFrame, list]:
     """Pieces of documents with the times that the mix takes their block, and the sources.
 
     A source's words, documents in hashed order, are packed into blocks of `block` words (the last may be shorter).
@@ -78,8 +81,8 @@ def mixed_blocks(docs: DataFrame, weights: list[float] | None = None, block: int
     and the rest of the shard is drawn from a multinomial over the fractional parts. A source's slots, numbered
     through the shards, go through a permutation of its block indices that changes at every pass.
     """
-    spark, extra = docs.sparkSession, extra or []
-    rows, sources = _located(docs, extra)
+    spark = docs.sparkSession
+    rows, sources = _located(docs)
     weights = weights or [1.0 + i % 3 for i in range(len(sources))]
     goal = targets([s[1] for s in sources], weights, most)
     blocks = np.array([-(-s[1] // block) for s in sources], dtype=np.int64)
@@ -141,18 +144,26 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents with the columns of docs: a document taken whole comes as it is, once a pass; what a last
     pass takes of it comes as one more row with those words, joined by a space."""
     columns = docs.columns
-    other = [c for c in columns if c not in ("doc_id", "source")]
-    pieces, _ = mixed_blocks(docs, extra=other, **options)
-    piece = F.when(F.col("block").isNotNull(), F.struct("lo", "hi", "times"))
-    keys = ["s", "bucket", "rank", "doc_id", "source", *other]
-    whole = pieces.groupBy(*keys).agg(F.sort_array(F.collect_list(piece)).alias("p"))
-    words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), F.lit(1))
-    last = F.coalesce(F.array_max(F.transform("p", lambda x: x["times"])), F.lit(0))
-    whole = whole.withColumn("pass", F.explode(F.when(last > 0, F.sequence(F.lit(1), last.cast("int"))).otherwise(F.array().cast("array<int>"))))
-    taken = F.filter("p", lambda x: x["times"] >= F.col("pass"))
-    cut = F.array_join(F.flatten(F.transform(taken, lambda x: F.slice(words, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")))), " ")
-    text = F.when(F.size(taken) == F.size("p"), F.col("text")).otherwise(cut)
-    out = whole.withColumn("text", text)
+    pieces, _ = mixed_blocks(docs, **options)
+    # the plan of each row, without its text; rows alike in every column are told apart by a number
+    same = ["id", "row_hash"]
+    plan = pieces.filter("block is not null").groupBy("s", "bucket", "rank", F.col("doc_id").alias("id"), "row_hash").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias("p"))
+    plan = plan.withColumn("no", F.row_number().over(Window.partitionBy(*same).orderBy("rank")))
+    rows = docs.withColumns({"id": F.col("doc_id").cast("long"), "row_hash": F.xxhash64(*columns)})
+    rows = rows.withColumn("row_no", F.row_number().over(Window.partitionBy(*same).orderBy("row_hash")))
+    whole = rows.withColumnsRenamed({"id": "own_id", "row_hash": "own_hash"}).join(plan, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("row_hash")) & (F.col("row_no") == F.col("no")))
+
+    @F.pandas_udf("array<string>")
+    def passes(text: pd.Series, lo: pd.Series, hi: pd.Series, times: pd.Series) -> pd.Series:
+        # a null stands for the whole text
+        out = []
+        for t, a, b, n in zip(text, lo, hi, times):
+            words = None if min(n) == max(n) else WORDS.findall(t)
+            out.append([None if min(n) >= k else " ".join(" ".join(words[x:y]) for x, y, m in zip(a, b, n) if m >= k) for k in range(1, max(n) + 1)])
+        return pd.Series(out, dtype=object)
+
+    cut = F.explode(passes("text", *[F.transform("p", lambda x, c=c: x[c]) for c in ("lo", "hi", "times")]))
+    out = whole.withColumn("cut", cut).withColumn("text", F.coalesce("cut", "text"))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*columns)
