@@ -162,7 +162,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
             out.append([None if min(n) >= k else " ".join(" ".join(words[x:y]) for x, y, m in zip(a, b, n) if m >= k) for k in range(1, max(n) + 1)])
         return pd.Series(out, dtype=object)
 
-    cut = F.explode(passes("text", *[F.transform("p", lambda x, c=c: x[c]) for c in ("lo", "hi", "times")]))
+    cut = F.explode(passes("text", F.col("p.lo"), F.col("p.hi"), F.col("p.times")))
     out = whole.withColumn("cut", cut).withColumn("text", F.coalesce("cut", "text"))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
