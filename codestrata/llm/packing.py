@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
+import sys
+import types
 import zlib
 from bisect import bisect_right
 
@@ -15,31 +18,48 @@ from pyspark.sql import functions as F
 from codestrata.llm.common import checkpoint, ship
 
 SPLIT = re.compile(r"[\x20\x09-\x0D]+")
+CASED = re.compile(r"([A-Za-z]+)([.,]?)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, h long"
-CACHED = 200_000
+#: Words whose ids a Python worker remembers from task to task.
+CACHED = 600_000
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end: int = 1, room: int = 4096) -> DataFrame:
     """A row per piece of at most `room` ids. White space never joins two tokens in this vocabulary, so each distinct
-    run of other code points is encoded once per task (up to CACHED at a time) and whole texts are put together."""
+    run of other code points is encoded once and whole texts are put together. A run of ASCII letters has the ids of its
+    lower case, and a full stop or comma behind it is a token of its own."""
 
     def cut(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        encoder, seen = Tokenizer.from_file(tokenizer), {"": b""}
-        encoder.encode_special_tokens = True
+        kept = sys.modules.setdefault("_codestrata_tokens", types.ModuleType("_codestrata_tokens")).__dict__
+        if kept.get("path") != tokenizer:
+            encoder = Tokenizer.from_file(tokenizer)
+            encoder.encode_special_tokens = True
+            kept.update(path=tokenizer, encoder=encoder, seen={"": b""})
+        encoder, seen = kept["encoder"], kept["seen"]
         tail = np.uint32(end).tobytes()
+
+        def learn(words):
+            plain = {w: m.groups() for w in words if (m := CASED.fullmatch(w))}
+            base = dict.fromkeys([x for w in words for x in ((plain[w][0].lower(), plain[w][1]) if w in plain else (w,)) if x not in seen])
+            for w, e in zip(base, encoder.encode_batch_fast(list(base), add_special_tokens=False)):
+                seen[w] = np.array(e.ids, dtype="<u4").tobytes()
+            for w, (x, mark) in plain.items():
+                seen[w] = seen[x.lower()] + seen[mark]
+
         for batch in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "h")}
-            words = [SPLIT.split(t or "") for t in batch.column("text").to_pylist()]
-            for doc, h, own in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), words):
-                new = [w for w in dict.fromkeys(own) if w not in seen]
+            for doc, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text"))):
+                own = SPLIT.split(text or "")
+                new = [w for w in set(own) if w not in seen]
                 if new:
                     if len(seen) > CACHED:
-                        seen = {"": b""}
-                        new = [w for w in dict.fromkeys(own) if w]
-                    for w, e in zip(new, encoder.encode_batch_fast(new, add_special_tokens=False)):
-                        seen[w] = np.array(e.ids, dtype="<u4").tobytes()
+                        seen.clear()
+                        seen[""] = b""
+                        new = list(set(own))
+                    learn(new)
                 ids = b"".join([seen[w] for w in own]) + tail
                 for k, at in enumerate(range(0, len(ids), 4 * room)):
                     part = ids[at : at + 4 * room]
