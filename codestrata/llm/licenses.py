@@ -41,8 +41,8 @@ RULES = (
     ("CC-BY-NC-4.0", ("ccbync-short",)),
     ("CC-BY-4.0", ("ccby-short",)),
 )
-#: Sentences end at line ends and at . ; : ! ? before white space.
-ENDS = r"\n|\r|[.;:!?]+(?=\s)"
+#: Sentences end at line ends and at . ! ? before white space.
+ENDS = r"\n|\r|[.!?]+(?=\s)"
 HINT = r"(?i)licen[sc]e|permission|redistribut|copyright|free software|any later version"
 _NAMES = tuple(SENTENCES)
 
