@@ -1,0 +1,272 @@
+"""The training-data operators against plain Python on small and odd tables."""
+
+import collections
+import hashlib
+import itertools
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from codestrata.llm import exact_dedup, fingerprints, language_id, licenses, lm_scoring, mixing, near_dedup, packing, queries, secrets, toxicity
+
+DATA = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, component_id long, h long"
+LONG = " ".join(f"word{i % 977} tail{i}" for i in range(9000))
+BASE = " ".join(f"w{i}" for i in range(60))
+ODD = [
+    (1, BASE), (2, BASE), (3, BASE.replace("w30", "other")), (4, BASE.upper() + "\n"), (5, None), (6, ""), (7, " \t\n"), (8, "one two"), (9, "two one"), (10, LONG),
+    (11, LONG + " end"), (12, "Released under the MIT License."), (12, "Released under the MIT License."), (None, BASE), (None, None), (13, 'token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"'), (14, "İstanbul ς Σ été 5%é"),
+]
+
+
+def odd(spark, rows=ODD):
+    """Rows with nulls, repeats and empties, and extra columns whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, None if k % 4 == 0 else "en", None if k % 5 == 0 else f"s{k % 3}", len(t or ""), "x", 7, 3) for k, (i, t) in enumerate(rows)], SCHEMA)
+
+
+def real(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+def tables(spark):
+    return [odd(spark), odd(spark, []), real(spark)]
+
+
+def pairs(docs):
+    return [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+
+
+def shingle_set(text):
+    w = WORD.findall(text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_groups(spark):
+    for docs in tables(spark):
+        sets = {i: shingle_set(t) for i, t in pairs(docs) if i is not None}
+        root = {i: i for i in sets}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in itertools.combinations(sorted(sets), 2):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+        got = near_dedup.near_groups(docs, crowd=2).collect()
+        assert len(got) == docs.count()
+        for r in got:
+            if r["doc_id"] is not None:
+                assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]), r["doc_id"] == find(r["doc_id"]))
+
+
+def test_exact_groups(spark):
+    for docs in tables(spark):
+        groups = collections.defaultdict(list)
+        for i, t in pairs(docs):
+            groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i is None, i))
+        want = collections.Counter()
+        for norm, rows in groups.items():
+            keep = min(rows, key=lambda r: (r[0], r[1], r[2] or 0))[2]
+            want.update((i, keep, len(rows), i == keep, hashlib.sha256(norm.encode()).hexdigest()) for _, _, i in rows)
+        assert collections.Counter(map(tuple, exact_dedup.exact_groups(docs).collect())) == want
+
+
+def test_licenses(spark):
+    text = "A. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation. Either version 3 of the License, or (at your option) any later version.\nReleased under the MIT License."
+    docs = odd(spark, [(1, text), (2, "Licensed under CC BY-NC 4.0.\n" * 3), (3, None), (4, "licence plate")])
+    got = {r["doc_id"]: (r["licenses"], r["n_matches"]) for r in licenses.scan(docs).collect()}
+    assert got == {1: (["GPL-3.0-or-later", "MIT"], 2), 2: (["CC-BY-NC-4.0"], 3), 3: ([], 0), 4: ([], 0)}
+    short = {"Licensed under CC BY-NC 4.0": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3": "GPL-3.0-only", "Licensed under the Apache License, Version 2.0": "Apache-2.0", "Released under the MIT License": "MIT"}
+    want = {i: sorted({v for k, v in short.items() if k in t}) for i, t in pairs(real(spark))}
+    assert {r["doc_id"]: r["licenses"] for r in licenses.scan(real(spark)).collect()} == want
+
+
+def test_secrets_base_and_entropy(spark):
+    for docs in tables(spark):
+        found = secrets.digest(secrets.find_secrets(docs))
+        assert sorted(found.columns) == ["base_sha256", "doc_id", "n_access", "n_assign", "n_hex", "spans"]
+        want = collections.Counter()
+        for i, t in pairs(docs):
+            spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 6]
+            spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+            text = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+            dense = [dense_part(m) for m in re.finditer(secrets.RUN, t) if not re.search(secrets.ALLOW, m[0])]
+            all_ = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans + [x for x in dense if x]))
+            want[(i, hashlib.sha256(text.encode()).hexdigest(), all_)] += 1
+        assert collections.Counter((r["doc_id"], r["base_sha256"], r["spans"]) for r in found.collect()) == want
+
+
+def dense_part(m):
+    s, w = m[0], secrets.WINDOW
+    least = secrets.LEAST["hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s) else "mixed"]
+    good = [i for i in range(len(s) - w + 1) if -sum(n / w * math.log2(n / w) for n in collections.Counter(s[i : i + w]).values()) >= least - 1e-6]
+    return (m.start() + good[0], 3, m.start() + good[-1] + w) if good else None
+
+
+def test_toxicity_learns_and_takes_odd_rows(spark):
+    rows = [(i, ("you are such a l0ser and an idi0t " if i % 3 == 0 else "the quiet garden was full of light ") * (1 + i % 4) + f"note{i}") for i in range(400)]
+    docs = odd(spark, rows)
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")).union(spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int"))
+    model = toxicity.fit(docs, labels.filter("doc_id % 5 <> 0"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    held = [i for i in got if i % 5 == 0]
+    assert sum((got[i] >= 0.5) == (i % 3 == 0) for i in held) >= 0.95 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score(odd(spark), model).collect())
+    assert toxicity.score(odd(spark, []), model).count() == 0
+    none = toxicity.fit(docs, labels.limit(0))
+    assert {r["score"] for r in toxicity.score(odd(spark), none).collect()} == {0.0}
+
+
+def test_isotonic_is_monotone():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=500)
+    at, y = toxicity.isotonic(x, (rng.random(500) < 1 / (1 + np.exp(-x))).astype(float))
+    assert (np.diff(at) > 0).all() and (np.diff(y) >= -0.02).all()
+
+
+def test_language_held_out(spark):
+    docs = real(spark)
+    got = queries.op4_language_id(spark, DATA).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.95 * len(got)
+    model = language_id.fit(docs)
+    out = {(r["doc_id"]): (r["lang_pred"], r["score"]) for r in language_id.predict(odd(spark), model).collect()}
+    assert out[5] == out[6] == out[7] == ("und", 0.0)
+    assert {r["lang_pred"] for r in language_id.predict(docs, language_id.fit(docs.limit(0))).collect()} == {"und"}
+
+
+def test_mixing(spark):
+    for docs in tables(spark):
+        rows = mixing.mix(docs, block=8, shard=1024).collect()
+        assert len(rows) == docs.count()
+        size = {i: len(WORD.findall(t)) for i, t in pairs(docs)}
+        by = collections.defaultdict(lambda: [0, 0, 0.0])
+        for r in rows:
+            assert 0 <= r["taken"] <= 3 * r["size"]
+            b = by[(r["target"], r["source_size"])]
+            b[0], b[1], b[2] = b[0] + r["taken"], b[1] + r["size"], r["target"]
+        assert all(abs(t - goal) <= 24 + 0.02 * goal for t, _, goal in by.values() if goal)
+        assert sum(r["size"] for r in rows) >= sum(size.values()) - max([0, *size.values()]) * 2
+        assert sorted(map(str, mixing.mix(docs, block=8, shard=1024).collect())) == sorted(map(str, rows))
+
+
+def test_mixed_documents_have_the_words_taken(spark):
+    docs = odd(spark)
+    taken = sum(r["taken"] for r in mixing.mix(docs, block=8).collect())
+    out = mixing.mix_documents(docs, block=8)
+    assert out.columns == docs.columns
+    assert sum(len(WORD.findall(r["text"] or "")) for r in out.collect()) == taken
+
+
+def test_targets():
+    assert mixing.targets([100, 100, 100], [1, 2, 3]) == [50, 100, 150]
+    assert mixing.targets([1, 100], [100, 1]) == [3, 98]
+    assert mixing.targets([0, 5], [1, 1]) == [0, 5] and mixing.targets([], []) == []
+
+
+def test_fingerprints(spark):
+    for docs in tables(spark):
+        rows = sorted(pairs(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        got = fingerprints.fingerprint_pairs(docs, per_bucket=5).collect()
+        assert len(got) == len(rows)
+        want = collections.Counter()
+        for k, (i, t) in enumerate(rows):
+            n, h = rows[(k + 1) % len(rows)][1], len(t) // 2
+            want[(i, len(t), hashlib.sha256((t[: len(t) - h] + n[:h]).encode()).hexdigest())] += 1
+        assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+        assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+
+
+def test_sketch_is_the_fixed_fraction():
+    a = np.arange(5000, dtype=np.uint32)
+    whole, part = fingerprints.sketch(a), fingerprints.sketch(a[:1000])
+    assert abs(len(whole) - 5000 / 8) < 120 and set(part) <= set(whole)
+    assert abs(fingerprints.likeness(part, whole) - 1) < 1e-9 and len(fingerprints.sketch(a[:0])) == 0
+
+
+def test_lm_scores(spark):
+    for docs in tables(spark):
+        texts = pairs(docs)
+        lower = lambda t: t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        train = [t for i, t in texts if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
+        c = collections.Counter(w for t in train for w in [*WORD.findall(lower(t)), "\n"])
+        n, v = sum(c.values()), len(c)
+        rows = docs.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 != 1)
+        got = lm_scoring.score(docs, rows, vocabulary=64, common=200).collect()
+        want = sorted((i is None, i or 0, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*WORD.findall(lower(t)), "\n"]), sum(c[w] > 0 for w in [*WORD.findall(lower(t)), "\n"])) for i, t in texts)
+        have = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["base_score"], r["n_known"]) for r in got)
+        assert len(have) == len(want)
+        for a, b in zip(want, have):
+            assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 * max(1, abs(a[2])) and a[3] == b[3]
+        assert all(r["score"] <= 0 and r["train_tokens"] == n for r in got)
+
+
+def test_lm_is_normalised():
+    p = {k: np.random.default_rng(3).normal(size=(20, 4)).astype(np.float32) for k in "abq"} | {"bias": np.zeros(20, np.float32)}
+    a, b, z = lm_scoring.log_tables(p)
+    assert np.allclose(np.exp(a[3] + b[5] - z[3, 5]).sum(), 1, atol=1e-5)
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    for docs in tables(spark):
+        got = packing.pack(docs, queries.tokenizer_path(), room=256).collect()
+        want = collections.Counter()
+        for i, text in pairs(docs):
+            ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
+            want.update((i, k, a, len(ids[a : a + 256]), zlib.crc32(ids[a : a + 256].tobytes())) for k, a in enumerate(range(0, len(ids), 256)))
+        assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+        seq = collections.defaultdict(list)
+        for r in got:
+            seq[r["sequence_id"]].append((r["offset"], r["length"]))
+        for parts in seq.values():
+            at = 0
+            for o, n in sorted(parts):
+                assert o == at
+                at += n
+            assert at <= 256
+        assert len(seq) <= -(-sum(r["length"] for r in got) // 256) * 1.05 + 1
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_bin_completion(seed):
+    rng = np.random.default_rng(seed)
+    counts = collections.Counter(int(x) for x in rng.integers(5, 60, 60))
+    plan = packing.complete_bins(dict(counts), 100)
+    used = collections.Counter()
+    for times, items in plan:
+        assert sum(items) <= 100 and times > 0
+        for a in items:
+            used[a] += times
+    assert used == counts
+    assert sum(n for n, _ in plan) <= sum(n for n, _ in packing.best_fit(dict(counts), 100))
+    assert packing.complete_bins({}, 100) == []
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as cp
+
+    docs, kept = real(spark), []
+    for k, (name, stage) in enumerate(cp.STAGES):
+        out = stage(spark, docs, DATA)
+        if k < len(cp.STAGES) - 1:
+            assert out.columns == docs.columns
+            from codestrata.llm.common import checkpoint
+
+            docs = checkpoint(out)
+            kept.append((name, docs.count()))
+        else:
+            assert out.count() >= docs.count()
+    sizes = dict(kept)
+    assert sizes["exact_dedup"] >= sizes["near_dedup"] > 0
+    assert cp.run(spark, DATA).count() > 0
