@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -61,3 +63,6 @@ def write_files(files: DataFrame, path: str, version: int, apply: bool = False)
     if apply:
         files.write.mode("errorifexists").parquet(f"{path}/v={version:08d}")
     return files
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
