@@ -27,7 +27,7 @@ def _contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return padded[1:-1], padded[:-2]
 
 
-def train_part(streams, v: int, dim: int, noise: np.ndarray, seed: int, rate: float = 0.3, drawn: int = 64, size: int = 8192) -> tuple[dict, int]:
+def train_part(streams, v: int, dim: int, noise: np.ndarray, seed: int, rate: float = 0.3, drawn: int = 32, size: int = 8192) -> tuple[dict, int]:
     """One pass of noise-contrastive estimation over the id arrays in streams; every batch shares its noise words.
 
     The prediction of a context is a[w1] + b[w2]; its score for w is prediction . q[w] + bias[w]. The model separates
@@ -42,7 +42,7 @@ def train_part(streams, v: int, dim: int, noise: np.ndarray, seed: int, rate: fl
     seen = 0
 
     def add(name, at, g):
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at.astype(np.int16) if v < 2**15 else at, kind="stable")  # 16 bits: a radix sort
         first = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
         total, rows = np.add.reduceat(g[order], first, axis=0), at[order][first]
         grad2[name][rows] += total * total
@@ -103,14 +103,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, train: DataFrame, vocabulary: int = 1024, common: int = 20_000, dim: int = 24) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, vocabulary: int = 1024, common: int = 20_000, dim: int = 16) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every whole text of docs, learning from train.
 
     Tokens are lower-case (A-Z) words and one end a text. Counts cover all of train, and so does training: every task
     makes one pass over its texts, and the tasks' parameters are averaged by tokens. The model knows the `vocabulary`
-    most frequent tokens; the probability of others is the model's for any other word, shared by smoothed counts.
-    Counts of the `common` most frequent words go to all tasks; rarer words meet theirs in a join, where none of them
-    can be more frequent than 1 / common of all tokens.
+    most frequent of them; the probability of others is the model's for any other word, shared by smoothed counts.
+    Counts of words that make up 1 / common of all tokens or more, at most `common` words, go to all tasks; rarer words
+    meet theirs in a join.
 
     Null text counts as empty: its one token is the end. Without training text N and V are 0 and a text's base score
     is the sum of log10(1). Repeated and null ids give a row each; other columns are ignored; an empty table gives no rows.
@@ -120,8 +120,8 @@ def score(docs: DataFrame, train: DataFrame, vocabulary: int = 1024, common: int
     texts = train.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(sums["n"]) + texts, int(sums["v"]) + (texts > 0)
-    # a bounded set: the most frequent words
-    top = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(common).collect()]
+    # words that are 1 / common of all tokens or more: there can be no more than `common` of them
+    top = sorted(((r["word"], r["n"]) for r in counts.filter(F.col("n") * common >= total).collect()), key=lambda x: (-x[1], x[0]))
     known = dict(top)
     model = [w for w, _ in top[: vocabulary - 2]]
     index = {w: i + 2 for i, w in enumerate(model)}
