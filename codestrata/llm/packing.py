@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from codestrata.llm.common import checkpoint, ship
 
-SPLIT = re.compile(r"[\x20\x09-\x0D]+")
-CASED = re.compile(r"([A-Za-z]+)([.,]?)")
+#: Latin-1 letters, then ASCII marks other than the apostrophe, which can join a word's letters.
+CASED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, h long"
 #: Words whose ids a Python worker remembers from task to task.
 CACHED = 600_000
@@ -26,8 +26,8 @@ CACHED = 600_000
 
 def token_pieces(docs: DataFrame, tokenizer: str, end: int = 1, room: int = 4096) -> DataFrame:
     """A row per piece of at most `room` ids. White space never joins two tokens in this vocabulary, so each distinct
-    run of other code points is encoded once and whole texts are put together. A run of ASCII letters has the ids of its
-    lower case, and a full stop or comma behind it is a token of its own."""
+    run of other code points is encoded once and whole texts are put together. A run of Latin letters has the ids of its
+    lower case, is one word to the tokenizer (so many runs are encoded in one call) and parts from the marks behind it."""
 
     def cut(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,37 +37,49 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int = 1, room: int = 4096
         if kept.get("path") != tokenizer:
             encoder = Tokenizer.from_file(tokenizer)
             encoder.encode_special_tokens = True
-            kept.update(path=tokenizer, encoder=encoder, seen={"": b""})
-        encoder, seen = kept["encoder"], kept["seen"]
+            kept.update(path=tokenizer, encoder=encoder, seen={b"": b""}, stems={})
+        encoder, seen, stems = kept["encoder"], kept["seen"], kept["stems"]
         tail = np.uint32(end).tobytes()
 
         def learn(words):
-            plain = {w: m.groups() for w in words if (m := CASED.fullmatch(w))}
-            base = dict.fromkeys([x for w in words for x in ((plain[w][0].lower(), plain[w][1]) if w in plain else (w,)) if x not in seen])
-            for w, e in zip(base, encoder.encode_batch_fast(list(base), add_special_tokens=False)):
-                seen[w] = np.array(e.ids, dtype="<u4").tobytes()
-            for w, (x, mark) in plain.items():
-                seen[w] = seen[x.lower()] + seen[mark]
+            halves = [(w, m[1].lower(), m[2].encode()) for w in words if (m := CASED.fullmatch(w.decode("utf-8")))]
+            runs = list(dict.fromkeys([r for _, r, _ in halves if r not in stems]))
+            for k in range(0, len(runs), 2000):
+                part = runs[k : k + 2000]
+                e = encoder.encode(" ".join(part), add_special_tokens=False)
+                raw = np.array(e.ids, dtype="<u4").tobytes()
+                cuts = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))).tolist()
+                for r, i, j in zip(part, cuts, cuts[1:]):
+                    stems[r] = raw[i:j]
+            whole = {w for w, _, _ in halves}
+            base = [x for x in {*(m for _, _, m in halves), *(w for w in words if w not in whole)} if x not in seen]
+            for x, e in zip(base, encoder.encode_batch_fast([x.decode("utf-8") for x in base], add_special_tokens=False)):
+                seen[x] = np.array(e.ids, dtype="<u4").tobytes()
+            for w, run, marks in halves:
+                seen[w] = stems[run] + seen[marks]
 
         for batch in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "h")}
             for doc, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text"))):
-                own = SPLIT.split(text or "")
-                new = [w for w in set(own) if w not in seen]
-                if new:
+                # bytes.split() splits at the six white-space characters and at nothing else
+                own = (text or b"").split()
+                try:
+                    ids = b"".join(map(seen.__getitem__, own)) + tail
+                except KeyError:
                     if len(seen) > CACHED:
                         seen.clear()
-                        seen[""] = b""
-                        new = list(set(own))
-                    learn(new)
-                ids = b"".join([seen[w] for w in own]) + tail
+                        seen[b""] = b""
+                    if len(stems) > CACHED:
+                        stems.clear()
+                    learn([w for w in dict.fromkeys(own) if w not in seen])
+                    ids = b"".join(map(seen.__getitem__, own)) + tail
                 for k, at in enumerate(range(0, len(ids), 4 * room)):
                     part = ids[at : at + 4 * room]
                     for name, v in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), h)):
                         out[name].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("h", pa.int64())]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("doc_id").alias("h")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id").alias("h")).mapInArrow(cut, PIECES)
 
 
 def best_fit(counts: dict[int, int], room: int) -> list[tuple[int, tuple[int, ...]]]:
