@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,8 @@ WORDS = re.compile(WORD)
 #: Two documents meet if some left and some right collection agree: at similarity 0.75 that misses
 #: 2 * (1 - 0.75 ** 3) ** 16 or 3 pairs in 10,000, at 0.85 fewer than one in 10 million.
 R, K = 16, 3
+#: Bits of a set's parity bitmap.
+BITS = 1024
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, left array<long>, right array<long>"
 
 
@@ -78,15 +82,27 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SIGNATURE)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bitmap of a set, as longs: each bit is the parity of the hashes that fall on it.
+
+    Where two bitmaps differ, the sets differ in a hash at least; so they differ in at least as many hashes as bits.
+    """
+    odd = (np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _sets(docs: DataFrame) -> DataFrame:
+    """doc, its set of shingles and the set's bitmap."""
+
     def run(batches):
         memo: dict = {}
         for pdf in batches:
             if len(memo) > 300_000:
                 memo.clear()
-            yield pd.DataFrame({"doc": pdf["doc"], "s": [shingles(t, memo=memo).astype(np.int64) for t in pdf["text"]]})
+            s = [shingles(t, memo=memo) for t in pdf["text"]]
+            yield pd.DataFrame({"doc": pdf["doc"], "s": [x.astype(np.int64) for x in s], "bits": [parity(x) for x in s]})
 
-    return docs.mapInPandas(run, "doc long, s array<long>")
+    return docs.mapInPandas(run, "doc long, s array<long>, bits array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -135,7 +151,8 @@ def near_groups(docs: DataFrame, crowd: int = 32, stars: int = 3) -> DataFrame:
        the components of the links are found, up to `stars` times.
     5. Where a table still has several components, every pair of classes in different ones is tried, the largest
        component's members only against the others; so no pair that meets in a table is left out, and no group of
-       copies is expanded into all its pairs. The components of all links are the result.
+       copies is expanded into all its pairs. Linked sets differ in a seventh of their summed sizes at most; pairs whose
+       bitmaps show more than that are left out by the join itself. The components of all links are the result.
 
     Null text or text without words has an empty set and is linked with nothing. Rows that repeat an id are given each
     and linked as one document; rows with a null id are their own. Other columns are ignored; an empty table gives no rows.
@@ -178,11 +195,14 @@ def near_groups(docs: DataFrame, crowd: int = 32, stars: int = 3) -> DataFrame:
         placed = checkpoint(rows.join(first, rows["rep"] == first["node"], "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
     parts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    placed = checkpoint(placed.join(mixed.select("key", "main"), "key"))
-    minor = placed.filter("comp <> main").select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-    other = placed.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), "main")
+    placed = placed.join(mixed.select("key", "main"), "key")
+    placed = checkpoint(placed.join(sets.select(F.col("doc").alias("rep"), "bits"), "rep"))
+    minor = placed.filter("comp <> main").select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("bits").alias("ax"))
+    other = placed.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("bits").alias("bx"), "main")
     once = (F.col("bc") == F.col("main")) | (F.col("a") < F.col("b"))
-    left = minor.join(other, "key").filter((F.col("ac") != F.col("bc")) & once & fits(F.col("an"), F.col("bn"))).select("a", "b").distinct()
+    apart = reduce(add, (F.bit_count(F.col("ax")[k].bitwiseXOR(F.col("bx")[k])) for k in range(BITS // 64)))
+    close = 7 * apart <= F.col("an") + F.col("bn")
+    left = minor.join(other, "key").filter((F.col("ac") != F.col("bc")) & once & fits(F.col("an"), F.col("bn")) & close).select("a", "b").distinct()
     more = checkpoint(_verified(left, sets))
     comps = first
     if not more.isEmpty():

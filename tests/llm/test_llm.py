@@ -270,3 +270,14 @@ def test_pipeline(spark):
     sizes = dict(kept)
     assert sizes["exact_dedup"] >= sizes["near_dedup"] > 0
     assert cp.run(spark, DATA).count() > 0
+
+
+def test_bitmaps_never_show_more_than_sets_differ():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 146, 5000):
+        pool = np.unique(rng.integers(0, 2**63, 2 * n, dtype=np.uint64))
+        for share in (0, 0.5, 0.9, 1):
+            a = np.unique(rng.choice(pool, n))
+            b = np.unique(np.r_[a[: int(share * len(a))], rng.choice(pool, n - int(share * n))])
+            shown = sum(int(x).bit_count() for x in (near_dedup.parity(a) ^ near_dedup.parity(b)).view(np.uint64))
+            assert len(near_dedup.parity(a)) == near_dedup.BITS // 64 and shown <= len(np.setxor1d(a, b))
