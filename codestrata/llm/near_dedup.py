@@ -139,7 +139,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_groups(docs: DataFrame, crowd: int = 32, stars: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, crowd: int = 32) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (it is its own).
 
     1. Equal shingle sets (128-bit hash of the set and its size) are one class, shown by its smallest doc_id.
@@ -147,8 +147,8 @@ def near_groups(docs: DataFrame, crowd: int = 32, stars: int = 3) -> DataFrame:
        left key and a right key as table keys.
     3. In tables' groups of more than `crowd` classes, a class of whose shingles fewer than 75 % occur in any other class
        of such groups cannot have a link there and leaves them.
-    4. In every table one class, the smallest id and then others by hash, is tried with all others by their full sets, and
-       the components of the links are found, up to `stars` times.
+    4. In every table the class of the smallest id is tried with all others by their full sets, and the components of the
+       links are found.
     5. Where a table still has several components, every pair of classes in different ones is tried, the largest
        component's members only against the others; so no pair that meets in a table is left out, and no group of
        copies is expanded into all its pairs. Linked sets differ in a seventh of their summed sizes at most; pairs whose
@@ -182,17 +182,10 @@ def near_groups(docs: DataFrame, crowd: int = 32, stars: int = 3) -> DataFrame:
     groups = rows.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).filter("c > 1")
     rows = checkpoint(rows.join(groups.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
     fits = lambda x, y: (100 * F.least(x, y) >= 75 * F.greatest(x, y))
-    links, first, placed = None, None, rows.withColumn("comp", F.col("rep"))
-    for turn in range(stars):
-        order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-        hubs = placed.groupBy("key").agg(F.min_by(F.struct("rep", "n", "comp"), order).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        star = placed.join(hubs.select("key", "hub"), "key").filter((F.col("comp") != F.col("hub.comp")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-        found = checkpoint(_verified(star, sets))
-        if turn and found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-        first = components(links)
-        placed = checkpoint(rows.join(first, rows["rep"] == first["node"], "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
+    hubs = rows.groupBy("key").agg(F.min_by(F.struct("rep", "n"), "rep").alias("hub"))
+    star = rows.join(hubs, "key").filter((F.col("rep") != F.col("hub.rep")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    first = components(checkpoint(_verified(star, sets)))
+    placed = checkpoint(rows.join(first, rows["rep"] == first["node"], "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
     parts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
     placed = placed.join(mixed.select("key", "main"), "key")
