@@ -14,7 +14,8 @@ from codestrata.llm.common import WORD, checkpoint, lower_ascii, ship
 
 WORDS = re.compile(WORD)
 OTHER, END = 0, 1
-PARAMS = ("a", "b", "q", "bias")
+#: Without a set vocabulary the model knows its LEAST most frequent words and all that occur sqrt(tokens) / DEPTH times.
+LEAST, DEPTH = 1024, 32
 
 
 def _ids(text: str, index: dict[str, int]) -> np.ndarray:
@@ -27,22 +28,44 @@ def _contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return padded[1:-1], padded[:-2]
 
 
-def train_part(streams, v: int, dim: int, noise: np.ndarray, seed: int, rate: float = 0.3, drawn: int = 32, size: int = 8192) -> tuple[dict, int]:
+def classes(noise: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Classes of words of like frequency, some sqrt(v) of them and none over 2 sqrt(v) + 1 words: class of each, members, place in the class."""
+    v = len(noise)
+    order = np.argsort(-noise, kind="stable")
+    share = (np.sqrt(noise[order]) / np.sqrt(noise).sum() + 1 / v) / 2
+    k = np.unique(np.floor(np.ceil(np.sqrt(v)) * (np.cumsum(share) - share / 2)), return_inverse=True)[1]
+    members = np.split(order, np.flatnonzero(np.diff(k)) + 1)
+    own, place = np.empty(v, np.int32), np.empty(v, np.int32)
+    for c, m in enumerate(members):
+        own[m], place[m] = c, np.arange(len(m))
+    return own, members, place
+
+
+def start_part(noise: np.ndarray, dim: int) -> dict:
+    """Parameters before training, the same in every task: a, b (words as context), q (words; their bias is the last column), c (classes, likewise)."""
+    start = np.random.default_rng(11)
+    own, members, _ = classes(noise)
+    p = {k: start.normal(0, 0.1, (len(noise), dim)).astype(np.float32) for k in ("a", "b")}
+    for k, share in (("q", noise), ("c", np.bincount(own, noise))):
+        p[k] = np.column_stack([start.normal(0, 0.1, (len(share), dim)), np.log(share)]).astype(np.float32)
+    return p
+
+
+def train_part(streams, noise: np.ndarray, dim: int, seed: int, rate: float = 0.3, drawn: int = 64, size: int = 8192) -> tuple[dict, int]:
     """One pass of noise-contrastive estimation over the id arrays in streams; every batch shares its noise words.
 
-    The prediction of a context is a[w1] + b[w2]; its score for w is prediction . q[w] + bias[w]. The model separates
-    the word that came from `drawn` words of the noise distribution.
+    The prediction of a context is a[w1] + b[w2]; its score for w is prediction . q[w] + bias[w], for a class likewise.
+    The model separates the word, and its class, from `drawn` words or classes of the noise distribution.
     """
     rng = np.random.default_rng(seed)
-    start = np.random.default_rng(11)
-    p = {k: start.normal(0, 0.1, (v, dim)).astype(np.float32) for k in ("a", "b", "q")}
-    p["bias"] = np.log(noise).astype(np.float32)
-    log_noise = np.log(drawn * noise)
+    own = classes(noise)[0]
+    p = start_part(noise, dim)
+    heads = [(k, np.log(drawn * x).astype(np.float32), np.cumsum(x)) for k, x in (("q", noise), ("c", np.bincount(own, noise)))]
     grad2 = {k: np.full(x.shape, 1e-2, np.float32) for k, x in p.items()}
     seen = 0
 
     def add(name, at, g):
-        order = np.argsort(at.astype(np.int16) if v < 2**15 else at, kind="stable")  # 16 bits: a radix sort
+        order = np.argsort(at.astype(np.uint16) if len(p[name]) <= 2**16 else at, kind="stable")  # 16 bits: a radix sort
         first = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
         total, rows = np.add.reduceat(g[order], first, axis=0), at[order][first]
         grad2[name][rows] += total * total
@@ -50,17 +73,19 @@ def train_part(streams, v: int, dim: int, noise: np.ndarray, seed: int, rate: fl
 
     def batch(ids, w1, w2):
         n = len(ids)
-        hat = p["a"][w1] + p["b"][w2]
-        false = rng.choice(v, drawn, p=noise)
-        true_s = np.einsum("ij,ij->i", hat, p["q"][ids]) + p["bias"][ids] - log_noise[ids]
-        false_s = hat @ p["q"][false].T + p["bias"][false] - log_noise[false]
-        t = (1 / (1 + np.exp(np.clip(true_s, -30, 30)))).astype(np.float32) / n
-        f = (-1 / (1 + np.exp(-np.clip(false_s, -30, 30)))).astype(np.float32) / n
-        g_hat = t[:, None] * p["q"][ids] + f @ p["q"][false]
-        add("q", np.r_[ids, false], np.concatenate([t[:, None] * hat, f.T @ hat]))
-        add("bias", np.r_[ids, false], np.concatenate([t, f.sum(0)]))
-        add("a", w1, g_hat)
-        add("b", w2, g_hat)
+        hat = np.column_stack([p["a"][w1] + p["b"][w2], np.ones(n, np.float32)])
+        g_hat = 0
+        for (name, log_noise, upto), true in zip(heads, (ids, own[ids])):
+            false = np.minimum(np.searchsorted(upto, rng.random(drawn)), len(upto) - 1).astype(np.int32)
+            true_q, false_q = p[name][true], p[name][false]
+            true_s = np.einsum("ij,ij->i", hat, true_q) - log_noise[true]
+            false_s = hat @ false_q.T - log_noise[false]
+            t = (1 / (1 + np.exp(np.clip(true_s, -30, 30)))).astype(np.float32) / np.float32(n)
+            f = (-1 / (1 + np.exp(-np.clip(false_s, -30, 30)))).astype(np.float32) / np.float32(n)
+            g_hat = g_hat + t[:, None] * true_q + f @ false_q
+            add(name, np.r_[true, false], np.concatenate([t[:, None] * hat, f.T @ hat]))
+        add("a", w1, g_hat[:, :-1])
+        add("b", w2, g_hat[:, :-1])
 
     held: list = []
     count = 0
@@ -76,8 +101,33 @@ def train_part(streams, v: int, dim: int, noise: np.ndarray, seed: int, rate: fl
     return p, seen
 
 
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    top = s.max(1)
+    return np.log(np.exp(s - top[:, None]).sum(1)) + top
+
+
+def log_chances(p: dict, kinds: tuple, ids: np.ndarray, w1: np.ndarray, w2: np.ndarray, size: int = 16384) -> np.ndarray:
+    """Natural logs of P(class | context) P(word | class, context), each with its exact normaliser: some sqrt(v) scores a token, not v."""
+    own, members, place = kinds
+    out = np.empty(len(ids), np.float32)
+    for i in range(0, len(ids), size):
+        w = ids[i : i + size]
+        hat = np.column_stack([p["a"][w1[i : i + size]] + p["b"][w2[i : i + size]], np.ones(len(w), np.float32)])
+        k = own[w]
+        s = hat @ p["c"].T
+        log = s[np.arange(len(w)), k] - _log_sum(s)
+        order = np.argsort(k, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(k[order])) + 1):
+            m = members[k[rows[0]]]
+            if len(m) > 1:
+                s = hat[rows] @ p["q"][m].T
+                log[rows] += s[np.arange(len(rows)), place[w[rows]]] - _log_sum(s)
+        out[i : i + size] = log
+    return out
+
+
 def log_tables(p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Score tables of the two context words and the log of each context's normaliser, by matrix products over batches of contexts."""
+    """Score tables of the two context words and the log of each context's normaliser over all words at once (small vocabularies)."""
     v = len(p["bias"])
     ta, tb = p["a"] @ p["q"].T + p["bias"], p["b"] @ p["q"].T
     top_a, top_b = ta.max(1), tb.max(1)
@@ -103,14 +153,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, train: DataFrame, vocabulary: int = 1024, common: int = 20_000, dim: int = 16) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, vocabulary: int | None = None, common: int = 20_000, dim: int = 24) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every whole text of docs, learning from train.
 
     Tokens are lower-case (A-Z) words and one end a text. Counts cover all of train, and so does training: every task
     makes one pass over its texts, and the tasks' parameters are averaged by tokens. The model knows the `vocabulary`
-    most frequent of them; the probability of others is the model's for any other word, shared by smoothed counts.
-    Counts of words that make up 1 / common of all tokens or more, at most `common` words, go to all tasks; rarer words
-    meet theirs in a join.
+    most frequent of them, or by default the 1,024 most frequent and all that occur at least sqrt(tokens) / 32 times (no
+    more than 32 sqrt(tokens) words, so they grow with train); the probability of others is the model's for any other
+    word, shared by smoothed counts. Counts of the model's words and of those that make up 1 / common of all tokens or
+    more go to all tasks; rarer words meet theirs in a join.
 
     Null text counts as empty: its one token is the end. Without training text N and V are 0 and a text's base score
     is the sum of log10(1). Repeated and null ids give a row each; other columns are ignored; an empty table gives no rows.
@@ -120,48 +171,60 @@ def score(docs: DataFrame, train: DataFrame, vocabulary: int = 1024, common: int
     texts = train.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(sums["n"]) + texts, int(sums["v"]) + (texts > 0)
-    # words that are 1 / common of all tokens or more: there can be no more than `common` of them
-    top = sorted(((r["word"], r["n"]) for r in counts.filter(F.col("n") * common >= total).collect()), key=lambda x: (-x[1], x[0]))
+    least = max(total, 1) ** 0.5 / DEPTH
+    often = F.col("n") * common >= total  # no more than `common` words
+    top = sorted(((r["word"], r["n"]) for r in counts.filter(often if vocabulary else often | (F.col("n") >= least)).toLocalIterator()), key=lambda x: (-x[1], x[0]))
     known = dict(top)
-    model = [w for w, _ in top[: vocabulary - 2]]
+    model = [w for i, (w, n) in enumerate(top) if (i < vocabulary - 2 if vocabulary else i < LEAST - 2 or n >= least)]
     index = {w: i + 2 for i, w in enumerate(model)}
     v = len(model) + 2
     rest = total - texts - sum(known[w] for w in model)
     noise = np.array([max(rest, 0) + 1, texts + 1, *(known[w] + 1 for w in model)], float)
     noise = noise / noise.sum()
+    shared_words = spark.sparkContext.broadcast((index, noise))
 
     def learn(batches):
-        p, seen = train_part((_ids(t or "", index) for pdf in batches for t in pdf["text"]), v, dim, noise, 5)
-        if seen:
-            for name in PARAMS:
-                flat = p[name].reshape(v, -1)
-                yield pd.DataFrame({"name": name, "row": np.arange(v), "w": float(seen), "x": list((flat * np.float32(seen)).astype(float))})
-
-    parts = train.select("text").mapInPandas(learn, "name string, row int, w double, x array<double>")
-    # averages of fixed size, however many tasks trained
-    elements = parts.select("name", "row", "w", F.posexplode("x").alias("k", "x")).groupBy("name", "row", "k").agg((F.sum("x") / F.sum("w")).alias("x")).toPandas()
-    p = {k: np.zeros((v, 1 if k == "bias" else dim), np.float32) for k in PARAMS}
-    p["bias"][:] = np.log(noise)[:, None]
-    for name, part in elements.groupby("name"):
-        p[name][part["row"].to_numpy(), part["k"].to_numpy()] = part["x"].to_numpy()
-    p["bias"] = p["bias"][:, 0]
-    ta, tb, z = log_tables(p)
-    shared = spark.sparkContext.broadcast((ta.astype(np.float32), tb.astype(np.float32), z.astype(np.float32)))
+        index, noise = shared_words.value
+        p, seen = train_part((_ids(t or "", index) for pdf in batches for t in pdf["text"]), noise, dim, 5)
+        first = start_part(noise, dim)
+        for name in p if seen else ():
+            moved = (p[name] - first[name]) * np.float32(seen)
+            rows = np.flatnonzero(moved.any(1))
+            for at in range(0, len(rows), 10_000):
+                part = rows[at : at + 10_000]
+                yield pd.DataFrame({"name": name, "row": part, "x": list(moved[part])})
+
+    # averages by tokens, of fixed size however many tasks trained; what a task did not move is not sent
+    parts = train.select("text").mapInPandas(learn, "name string, row int, x array<float>")
+    sums = parts.groupBy("name", "row").agg(F.array(*(F.sum(F.get("x", F.lit(i))) for i in range(dim + 1))).alias("x"))
+    p = start_part(noise, dim)
+    for name, part in sums.toPandas().groupby("name"):
+        p[name][part["row"].to_numpy()] += (np.array(part["x"].tolist(), float)[:, : p[name].shape[1]] / total).astype(np.float32)
     log_all = float(np.log10(total + 0.5 * (distinct + 1)))
     log_rest = float(np.log10(max(rest, 0) + 0.5 * (distinct - v + 3)))if distinct > v else float(np.log10(max(rest, 0) + 1.0))
     logs = {w: float(np.log10(n + 0.5)) for w, n in known.items()}
+    shared = spark.sparkContext.broadcast((p, classes(noise), logs))
     log_end, ln10 = float(np.log10(texts + 0.5)), float(np.log(10))
 
     def run(batches):
-        a, b, norm = shared.value
+        (index, _), (p, kinds, logs) = shared_words.value, shared.value
         for pdf in batches:
             out = {k: [] for k in ("doc_id", "h", "n_tokens", "n_known", "base", "score", "rare", "times")}
+            held: list = []
+            count = 0
+
+            def weigh():
+                if held:
+                    starts = np.cumsum([0, *(len(x[0]) for x in held[:-1])])
+                    log = log_chances(p, kinds, *(np.concatenate(x) for x in zip(*held)))
+                    done = len(out["score"]) - len(held)
+                    for i, lm in enumerate(np.add.reduceat(log.astype(float), starts)):
+                        out["score"][done + i] += float(lm) / ln10
+
             for doc, h, t in zip(pdf["doc_id"], pdf["h"], pdf["text"]):
                 words = WORDS.findall(lower_ascii(t or ""))
                 ids = np.array([index.get(w, OTHER) for w in words] + [END], np.int32)
-                w1, w2 = _contexts(ids)
-                lm = float((a[w1, ids] + b[w2, ids] - norm[w1, w2]).sum(dtype=float)) / ln10
-                base, n_known, rare = log_end - log_all, int(texts > 0), Counter()
+                base, lm, n_known, rare = log_end - log_all, 0.0, int(texts > 0), Counter()
                 for w, n in Counter(words).items():
                     if w in logs:
                         base += n * (logs[w] - log_all)
@@ -174,6 +237,12 @@ def score(docs: DataFrame, train: DataFrame, vocabulary: int = 1024, common: int
                         lm -= n * log_rest
                 for k, x in zip(out, (doc, h, len(ids), n_known, base, lm, list(rare), list(rare.values()))):
                     out[k].append(x)
+                held.append((ids, *_contexts(ids)))
+                count += len(ids)
+                if count >= 16384:
+                    weigh()
+                    held, count = [], 0
+            weigh()
             yield pd.DataFrame(out)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("h"), "text")

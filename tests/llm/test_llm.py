@@ -215,6 +215,27 @@ def test_lm_is_normalised():
     assert np.allclose(np.exp(a[3] + b[5] - z[3, 5]).sum(), 1, atol=1e-5)
 
 
+def test_lm_knows_more_words_as_the_corpus_grows(spark):
+    """All of 3,000 words, of one count each, are the model's: their chances depend on their contexts."""
+    text = " ".join(f"w{i}" for i in range(3000))
+    train = odd(spark, [(i, text) for i in range(4)])
+    docs = odd(spark, [(i, f"w{i} w{i + 1}") for i in range(2900, 2910)])
+    got = lm_scoring.score(docs, train).collect()
+    assert len({round(r["base_score"], 6) for r in got}) == 1 and len({round(r["score"], 6) for r in got}) == len(got)
+
+
+def test_lm_chances_of_all_words_sum_to_one():
+    noise = np.r_[0.3, 0.1, np.full(598, 0.001), np.full(20, 0.0001)]
+    noise /= noise.sum()
+    p, seen = lm_scoring.train_part([np.random.default_rng(k).choice(620, 500, p=noise).astype(np.int32) for k in range(40)], noise, 24, 5)
+    ids = np.arange(620, dtype=np.int32)
+    kinds = lm_scoring.classes(noise)
+    assert seen == 20_000 and sorted(np.concatenate(kinds[1])) == list(ids) and max(map(len, kinds[1])) <= 2 * 620**0.5 + 1
+    for w1, w2 in ((1, 1), (7, 300), (619, 0)):
+        log = lm_scoring.log_chances(p, kinds, ids, np.full(620, w1), np.full(620, w2), size=256)
+        assert abs(np.exp(log).sum() - 1) < 1e-4
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
