@@ -10,10 +10,10 @@ SENTENCES = {
     "apache-short": "licensed under the apache license version 2 0",
     "apache-you-may-not": "you may not use this file except in compliance with the license",
     "apache-obtain": "you may obtain a copy of the license at",
-    "apache-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+    "apache-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "mit-short": "released under the mit license",
     "mit-licensed": "licensed under the mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "gpl3-short": "this work is licensed under the gnu general public license version 3",
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
@@ -41,32 +41,38 @@ RULES = (
     ("CC-BY-NC-4.0", ("ccbync-short",)),
     ("CC-BY-4.0", ("ccby-short",)),
 )
-#: Sentences end at line ends and at . ! ? before white space.
-ENDS = r"\n|\r|[.!?]+(?=\s)"
+#: A line break with the next line's indent, comment mark and list number; two in a row are a blank line.
+BREAK = r"(?:\r\n|\r|\n)[ \t]*+(?:[#*/;%>!-]++[ \t]*+)?+(?:\(?[0-9]{1,2}[.)][ \t]++)?+"
+#: Sentences end at blank lines and at . ! ? before white space or the end.
+ENDS = r"\n\n+|[.!?]+(?=\s|$)"
 HINT = r"(?i)licen[sc]e|permission|redistribut|copyright|free software|any later version"
 _NAMES = tuple(SENTENCES)
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+#: The table's sentences as whole words, the longest first; not denied, nor widened to later versions.
+FOUND = r"(?<![a-z0-9])(?<!\bnot )(?<!\bnever )(" + "|".join(sorted(SENTENCES.values(), key=len, reverse=True)) + r")(?![a-z0-9])(?! or (?:at your option )?(?:any )?later)"
 
 
-def _identifier(sentence: Column) -> Column:
-    """The sentence's place in SENTENCES, or null."""
-    return F.array_position(F.array(*map(F.lit, SENTENCES.values())), sentence)
+def normalised(text: Column) -> Column:
+    """Words of a-z and 0-9 with a space between two and a | between sentences."""
+    lines = F.regexp_replace(F.translate(F.lower(text), "|", " "), BREAK, "\n")
+    words = F.regexp_replace(F.regexp_replace(lines, ENDS, "|"), "[^a-z0-9|]+", " ")
+    # licences put their own holder's name here
+    return F.regexp_replace(words, "neither the name of (?:[a-z0-9]+[ |]+){1,12}nor the names of", "neither the name of the copyright holder nor the names of")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids (recognised sentences in order), licenses (distinct, sorted), n_matches.
 
-    A rule matches where its identifiers follow one another in the sequence of recognised sentences; other sentences
+    Lines are joined, so notices may be wrapped and inside comments; a sentence of the table counts wherever it stands as
+    whole words inside one sentence of the text. A rule matches where its identifiers follow one another in the sequence of recognised sentences; other sentences
     between them do not count. A sentence is used once: rules are tried in order and what one matched is taken out.
     Null or empty text gives empty arrays and 0; rows are independent; other columns are ignored. One projection: no
     shuffle, no Python.
     """
     text = F.coalesce("text", F.lit(""))
-    parts = F.filter(F.split(text, ENDS), lambda s: F.regexp_like(s, F.lit(HINT)) | F.regexp_like(s, F.lit("(?i)you may|unless required|neither the name")))
-    ids = F.filter(F.transform(parts, lambda s: _identifier(normalised(s))), lambda i: i > 0)
+    table = F.array(*map(F.lit, SENTENCES.values()))
+    ids = F.transform(F.regexp_extract_all(normalised(text), F.lit(FOUND), F.lit(1)), lambda s: F.array_position(table, s))
     rows = docs.select("doc_id", F.when(F.regexp_like(text, F.lit(HINT)), ids).otherwise(F.array().cast("array<bigint>")).alias("ids"))
     # identifiers as text, |3|4|, so that a rule is a substring; a matched rule becomes a # that no later one crosses
     rows = rows.withColumn("left", F.concat(F.lit("|"), F.array_join(F.transform("ids", lambda i: F.concat(i.cast("string"), F.lit("|"))), "|"), F.lit("|")))

@@ -90,6 +90,65 @@ def test_licenses(spark):
     assert {r["doc_id"]: r["licenses"] for r in licenses.scan(real(spark)).collect()} == want
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NO_ENDORSE = """3. Neither the name of Some Company, Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+
+
+def test_licenses_wrapped_and_in_comments(spark):
+    plain = [(MIT, ["MIT"]), (APACHE, ["Apache-2.0"]), (BSD, ["BSD-2-Clause"]), (BSD + NO_ENDORSE, ["BSD-3-Clause"]), (GPL, ["GPL-3.0-or-later"])]
+    plain += [(GPL.replace("version 3", "version 2"), ["GPL-2.0-or-later"]), ("Code is released under the MIT License.", ["MIT"])]
+    plain += [("This is not\nlicensed under the MIT license.", []), ("It is licensed\n\nunder the MIT license.", []), (MIT.replace("without restriction", "without sale"), [])]
+    plain += [("This work is licensed under the GNU General Public License, version 3 or any later version.", []), ("Unreleased under the MIT License", [])]
+    marked = [("/*\n" + "".join(f"{mark}{line}\n" for line in text.split("\n")) + end, want) for text, want in plain for mark, end in (("# ", "#"), (" * ", " */"), ("// ", "code()"))]
+    rows = [*plain, *((t.replace("\n", "\r\n"), w) for t, w in plain), *marked]
+    got = {r["doc_id"]: r for r in licenses.scan(odd(spark, [(i, t) for i, (t, _) in enumerate(rows)])).collect()}
+    for i, (text, want) in enumerate(rows):
+        assert (got[i]["licenses"], got[i]["n_matches"]) == (want, len(want)), text
+    assert got[1]["sentence_ids"] == ["apache-short", "apache-you-may-not", "apache-obtain", "apache-as-is"]
+
+
 def test_secrets_base_and_entropy(spark):
     for docs in tables(spark):
         found = secrets.digest(secrets.find_secrets(docs))
