@@ -36,7 +36,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int = 1, room: int = 4096
         kept = sys.modules.setdefault("_codestrata_tokens", types.ModuleType("_codestrata_tokens")).__dict__
         if kept.get("path") != tokenizer:
             encoder = Tokenizer.from_file(tokenizer)
-            encoder.encode_special_tokens = True
             kept.update(path=tokenizer, encoder=encoder, seen={b"": b""}, stems={})
         encoder, seen, stems = kept["encoder"], kept["seen"], kept["stems"]
         tail = np.uint32(end).tobytes()

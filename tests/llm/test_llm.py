@@ -318,6 +318,21 @@ def test_packing(spark):
         assert len(seq) <= -(-sum(r["length"] for r in got) // 256) * 1.05 + 1
 
 
+def test_packing_encodes_markers_by_default(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
+    forms = ("{}", "a {} b", "one{}two", "one {}two", "one{} two", "{}{}", "a.{}!B", "x\n{}\ty", "Été{}é", "<{}>", "<|{}|>")
+    texts = [f.format(*[m] * 2) for m in ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext |>", "endoftext|>") for f in forms]
+    docs = odd(spark, list(enumerate(texts)))
+    want = {}
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        want[i] = (len(ids), zlib.crc32(ids.tobytes()))
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(docs, queries.tokenizer_path()).collect()} == want
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_bin_completion(seed):
     rng = np.random.default_rng(seed)
