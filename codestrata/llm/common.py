@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 
@@ -31,15 +32,27 @@ def remainder(column: str, mod: int) -> Column:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the files, so a lost executor costs no more than its tasks."""
+    """Write df to the shared checkpoint folder and go on from the files, so a lost executor costs no more than its tasks.
+
+    Only a local session may come without spark.checkpoint.dir: there driver and executors are one process.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "codestrata-checkpoints"))
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Hand texts to Python in batches of at most `size` bytes, unless the session has a setting of its own (the default is 64 MB)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, size)
+
+
 def lower_ascii(text: str) -> str:
     return text.translate(_FOLD)
 

@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import WORD, checkpoint, lower_ascii, ship
+from codestrata.llm.common import checkpoint, ship, small_batches
 
-WORDS = re.compile(WORD)
 OTHER, END = 0, 1
 #: Without a set vocabulary the model knows its LEAST most frequent words and all that occur sqrt(tokens) / DEPTH times.
 LEAST, DEPTH = 1024, 32
-
-
-def _ids(text: str, index: dict[str, int]) -> np.ndarray:
-    return np.array([index.get(w, OTHER) for w in WORDS.findall(lower_ascii(text))] + [END], np.int32)
+#: A block of documents ends once it has that many words or that many different ones.
+BLOCK_WORDS, BLOCK_DISTINCT = 2_000_000, 250_000
+BLOCK = "block long, doc_id array<long>, learn array<boolean>, size array<int>, ids binary, words array<binary>, times array<int>"
 
 
 def _contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two ids before each; a text starts after two ends."""
-    padded = np.concatenate([[END, END], ids])
-    return padded[1:-1], padded[:-2]
+    """The two ids before each, of texts one behind the other that close with END; a text starts after two ends."""
+    padded = np.concatenate([[END, END], ids]).astype(ids.dtype)
+    before = padded[:-2]
+    before[1:][ids[:-1] == END] = END
+    return padded[1:-1].copy(), before
 
 
 def classes(noise: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -52,7 +53,7 @@ def start_part(noise: np.ndarray, dim: int) -> dict:
 
 
 def train_part(streams, noise: np.ndarray, dim: int, seed: int, rate: float = 0.3, drawn: int = 64, size: int = 8192) -> tuple[dict, int]:
-    """One pass of noise-contrastive estimation over the id arrays in streams; every batch shares its noise words.
+    """One pass of noise-contrastive estimation over arrays of ids (texts that close with END); every batch shares its noise words.
 
     The prediction of a context is a[w1] + b[w2]; its score for w is prediction . q[w] + bias[w], for a class likewise.
     The model separates the word, and its class, from `drawn` words or classes of the noise distribution.
@@ -66,63 +67,85 @@ def train_part(streams, noise: np.ndarray, dim: int, seed: int, rate: float = 0.
 
     def add(name, at, g):
         order = np.argsort(at.astype(np.uint16) if len(p[name]) <= 2**16 else at, kind="stable")  # 16 bits: a radix sort
-        first = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
-        total, rows = np.add.reduceat(g[order], first, axis=0), at[order][first]
-        grad2[name][rows] += total * total
-        p[name][rows] += rate * total / np.sqrt(grad2[name][rows])
+        at = at.take(order)
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        total, rows = np.add.reduceat(g.take(order, axis=0), first, axis=0), at.take(first)
+        pace = grad2[name].take(rows, axis=0)
+        pace += total * total
+        grad2[name][rows] = pace
+        np.sqrt(pace, out=pace)
+        total *= np.float32(rate)
+        total /= pace
+        p[name][rows] += total
+
+    def pull(s, sign):
+        """Gradients of log sigmoid(s) (sign 1) or log sigmoid(-s) (sign -1), over the batch's size; s is overwritten."""
+        np.clip(s, -30, 30, out=s)
+        s *= np.float32(sign)
+        np.exp(s, out=s)
+        s += np.float32(1)
+        return s
 
     def batch(ids, w1, w2):
-        n = len(ids)
-        hat = np.column_stack([p["a"][w1] + p["b"][w2], np.ones(n, np.float32)])
-        g_hat = 0
-        for (name, log_noise, upto), true in zip(heads, (ids, own[ids])):
+        n = np.float32(len(ids))
+        hat = np.ones((len(ids), dim + 1), np.float32)
+        np.add(p["a"].take(w1, axis=0), p["b"].take(w2, axis=0), out=hat[:, :-1])
+        g_hat = np.zeros_like(hat)
+        for (name, log_noise, upto), true in zip(heads, (ids, own.take(ids))):
             false = np.minimum(np.searchsorted(upto, rng.random(drawn)), len(upto) - 1).astype(np.int32)
-            true_q, false_q = p[name][true], p[name][false]
-            true_s = np.einsum("ij,ij->i", hat, true_q) - log_noise[true]
-            false_s = hat @ false_q.T - log_noise[false]
-            t = (1 / (1 + np.exp(np.clip(true_s, -30, 30)))).astype(np.float32) / np.float32(n)
-            f = (-1 / (1 + np.exp(-np.clip(false_s, -30, 30)))).astype(np.float32) / np.float32(n)
-            g_hat = g_hat + t[:, None] * true_q + f @ false_q
-            add(name, np.r_[true, false], np.concatenate([t[:, None] * hat, f.T @ hat]))
-        add("a", w1, g_hat[:, :-1])
-        add("b", w2, g_hat[:, :-1])
-
-    held: list = []
-    count = 0
+            true_q, false_q = p[name].take(true, axis=0), p[name].take(false, axis=0)
+            t = np.float32(1) / n / pull(np.einsum("ij,ij->i", hat, true_q) - log_noise.take(true), 1)
+            f = pull(hat @ false_q.T - log_noise.take(false), -1)
+            np.divide(np.float32(-1) / n, f, out=f)
+            true_q *= t[:, None]
+            g_hat += true_q
+            g_hat += f @ false_q
+            add(name, np.concatenate([true, false]), np.concatenate([t[:, None] * hat, f.T @ hat]))
+        g_hat = np.ascontiguousarray(g_hat[:, :-1])
+        add("a", w1, g_hat)
+        add("b", w2, g_hat)
+
     for ids in streams:
-        held.append((ids, *_contexts(ids)))
-        count += len(ids)
-        if count >= size:
-            batch(*(np.concatenate(x) for x in zip(*held)))
-            seen, held, count = seen + count, [], 0
-    if count:
-        batch(*(np.concatenate(x) for x in zip(*held)))
-        seen += count
+        w1, w2 = _contexts(ids)
+        for i in range(0, len(ids), size):
+            batch(ids[i : i + size], w1[i : i + size], w2[i : i + size])
+        seen += len(ids)
     return p, seen
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
-    top = s.max(1)
-    return np.log(np.exp(s - top[:, None]).sum(1)) + top
+    """Logs of the sums of exponentials of each row; s is overwritten."""
+    top = 0 if s.max() < 60 and s.min() > -60 else s.max(1)
+    if not np.isscalar(top):
+        s -= top[:, None]
+    np.exp(s, out=s)
+    return np.log(s @ np.ones(s.shape[1], np.float32)) + top
+
 
+def log_chances(p: dict, kinds: tuple, ids: np.ndarray, w1: np.ndarray, w2: np.ndarray, size: int = 8192) -> np.ndarray:
+    """Natural logs of P(class | context) P(word | class, context), each with its exact normaliser: some sqrt(v) scores a token, not v.
 
-def log_chances(p: dict, kinds: tuple, ids: np.ndarray, w1: np.ndarray, w2: np.ndarray, size: int = 16384) -> np.ndarray:
-    """Natural logs of P(class | context) P(word | class, context), each with its exact normaliser: some sqrt(v) scores a token, not v."""
+    Tokens go by the class of their word, so that a class's parameters are fetched once.
+    """
     own, members, place = kinds
-    out = np.empty(len(ids), np.float32)
-    for i in range(0, len(ids), size):
-        w = ids[i : i + size]
-        hat = np.column_stack([p["a"][w1[i : i + size]] + p["b"][w2[i : i + size]], np.ones(len(w), np.float32)])
-        k = own[w]
-        s = hat @ p["c"].T
-        log = s[np.arange(len(w)), k] - _log_sum(s)
-        order = np.argsort(k, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(k[order])) + 1):
-            m = members[k[rows[0]]]
-            if len(m) > 1:
-                s = hat[rows] @ p["q"][m].T
-                log[rows] += s[np.arange(len(rows)), place[w[rows]]] - _log_sum(s)
-        out[i : i + size] = log
+    out, k = np.empty(len(ids), np.float32), own.take(ids)
+    order = np.argsort(k.astype(np.uint16) if len(members) <= 2**16 else k, kind="stable")  # 16 bits: a radix sort
+    classes_q = np.ascontiguousarray(p["c"].T)
+    for same in np.split(order, np.flatnonzero(np.diff(k.take(order))) + 1):
+        m = members[k[same[0]]] if len(same) else ()
+        words_q = np.ascontiguousarray(p["q"].take(m, axis=0).T) if len(m) > 1 else None
+        for i in range(0, len(same), size):
+            rows = same[i : i + size]
+            hat = np.ones((len(rows), p["q"].shape[1]), np.float32)
+            np.add(p["a"].take(w1.take(rows), axis=0), p["b"].take(w2.take(rows), axis=0), out=hat[:, :-1])
+            s = hat @ classes_q
+            log = s[:, k[same[0]]].copy()
+            log -= _log_sum(s)
+            if words_q is not None:
+                s = hat @ words_q
+                log += s[np.arange(len(rows)), place.take(ids.take(rows))]
+                log -= _log_sum(s)
+            out[rows] = log
     return out
 
 
@@ -137,43 +160,97 @@ def log_tables(p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ta, tb, z + top_a[:, None] + top_b
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """Words of all texts with their counts (the end token is not among them), added up in each task first."""
-
-    def count(batches):
-        c: Counter = Counter()
-        for pdf in batches:
-            for t in pdf["text"]:
-                c.update(WORDS.findall(lower_ascii(t or "")))
-            if len(c) > 300_000:
-                yield pd.DataFrame({"word": pd.Series(list(c), dtype=object), "n": list(c.values())})
-                c = Counter()
-        yield pd.DataFrame({"word": pd.Series(list(c), dtype=object), "n": pd.Series(list(c.values()), dtype="int64")})
-
-    return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def blocks(docs: DataFrame, learn: Column) -> DataFrame:
+    """Documents by the block, each block with its own dictionary: the only pass over the texts.
 
+    A task's rows are put together in order until a block has BLOCK_WORDS words or BLOCK_DISTINCT different ones (a longer
+    text is a block by itself). ids: the texts' words as places in `words`, 32-bit, compressed; size: words of each text;
+    times: how often texts to learn from have each word.
+    """
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("size", pa.list_(pa.int32())), ("ids", pa.binary()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
 
-def score(docs: DataFrame, train: DataFrame, vocabulary: int | None = None, common: int = 20_000, dim: int = 24) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every whole text of docs, learning from train.
-
-    Tokens are lower-case (A-Z) words and one end a text. Counts cover all of train, and so does training: every task
-    makes one pass over its texts, and the tasks' parameters are averaged by tokens. The model knows the `vocabulary`
-    most frequent of them, or by default the 1,024 most frequent and all that occur at least sqrt(tokens) / 32 times (no
-    more than 32 sqrt(tokens) words, so they grow with train); the probability of others is the model's for any other
-    word, shared by smoothed counts. Counts of the model's words and of those that make up 1 / common of all tokens or
-    more go to all tasks; rarer words meet theirs in a join.
-
-    Null text counts as empty: its one token is the end. Without training text N and V are 0 and a text's base score
+    def run(batches):
+        first = TaskContext.get().partitionId() << 32
+        numbers = count(first)
+
+        def row():
+            ids, size, on = np.concatenate(held), np.array([len(x) for x in held], np.int32), np.array(learns, bool)
+            times = np.bincount(ids[np.repeat(on, size)], minlength=len(known)).astype(np.int32)
+            columns = ([next(numbers)], [doc_ids], [on], [size], [_squeeze(ids)], [list(known)], [times])
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
+
+        held, doc_ids, learns, total, known = [], [], [], 0, _dictionary()
+        for batch in batches:
+            for doc, on, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "learn", "text"))):
+                # bytes.split() splits at the six white-space characters and bytes.lower() changes A-Z, and nothing else
+                words = (text or b"").lower().split()
+                held.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+                doc_ids.append(doc)
+                learns.append(on)
+                total += len(words)
+                if total >= BLOCK_WORDS or len(known) >= BLOCK_DISTINCT:
+                    yield row()
+                    held, doc_ids, learns, total, known = [], [], [], 0, _dictionary()
+        if held:
+            yield row()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, BLOCK)
+
+
+def _dictionary() -> defaultdict:
+    d: defaultdict = defaultdict()
+    d.default_factory = d.__len__  # a new word's place is the number of words before it
+    return d
+
+
+def _squeeze(ids: np.ndarray) -> bytes:
+    return len(ids).to_bytes(8, "little") + pa.compress(ids.astype("<i4").tobytes(), "zstd", asbytes=True)
+
+
+def _spread(raw: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw[8:], 4 * int.from_bytes(raw[:8], "little"), "zstd", asbytes=True), "<i4")
+
+
+def _with_ends(ids: np.ndarray, size: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids with `end` behind each text, and where each text starts."""
+    stop = np.cumsum(size.astype(np.int64) + 1)
+    out = np.full(len(ids) + len(size), end, np.int32)
+    inside = np.ones(len(out), bool)
+    inside[stop - 1] = False
+    out[inside] = ids
+    return out, stop - size - 1
+
+
+def score(docs: DataFrame, learn: Column, vocabulary: int | None = None, common: int = 20_000, dim: int = 24) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every whole text of docs, learning from rows where learn is true.
+
+    Tokens are lower-case (A-Z) words and one end a text. Texts are read and split once, into blocks of word places with a
+    dictionary each; counting, training and scoring work on those. Counts cover all rows to learn from, and so does
+    training: every task makes one pass over its blocks, and the tasks' parameters are averaged by tokens (so scores, unlike
+    base scores, depend a little on how rows are dealt to tasks). The model knows the `vocabulary` most frequent words, or
+    by default the 1,024 most frequent and all that occur at least sqrt(tokens) / 32 times (no more than 32 sqrt(tokens)
+    words, so they grow with the rows); the probability of others is the model's for any other word, shared by smoothed
+    counts. Words of the model and those that make up 1 / common of all tokens go to all tasks with their counts; the
+    blocks' other words meet their counts in a window over their occurrences in dictionaries.
+
+    Null text counts as empty: its one token is the end. Without text to learn from, N and V are 0 and a text's base score
     is the sum of log10(1). Repeated and null ids give a row each; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    counts = checkpoint(word_counts(train))
-    texts = train.count()
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, distinct = int(sums["n"]) + texts, int(sums["v"]) + (texts > 0)
+    small_batches(spark)
+    held = checkpoint(blocks(docs, learn))
+    sums = held.agg(F.sum(F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"), F.sum(F.size(F.filter("learn", lambda x: x))).alias("texts")).first()
+    texts = int(sums["texts"] or 0)
+    total = int(sums["n"] or 0) + texts
     least = max(total, 1) ** 0.5 / DEPTH
+    said = held.select("block", F.posexplode(F.arrays_zip("words", "times")).alias("i", "x")).select("block", "i", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    counts = said.filter("times > 0").groupBy("word").agg(F.sum("times").alias("n"))
     often = F.col("n") * common >= total  # no more than `common` words
-    top = sorted(((r["word"], r["n"]) for r in counts.filter(often if vocabulary else often | (F.col("n") >= least)).toLocalIterator()), key=lambda x: (-x[1], x[0]))
+    often = often if vocabulary else often | (F.col("n") >= least)
+    found = counts.agg(F.count("*").alias("v"), F.collect_list(F.when(often, F.struct("word", "n"))).alias("top")).first()
+    distinct = found["v"] + (texts > 0)
+    top = sorted(((bytes(r["word"]), r["n"]) for r in found["top"]), key=lambda x: (-x[1], x[0]))
     known = dict(top)
     model = [w for i, (w, n) in enumerate(top) if (i < vocabulary - 2 if vocabulary else i < LEAST - 2 or n >= least)]
     index = {w: i + 2 for i, w in enumerate(model)}
@@ -181,79 +258,83 @@ def score(docs: DataFrame, train: DataFrame, vocabulary: int | None = None, comm
     rest = total - texts - sum(known[w] for w in model)
     noise = np.array([max(rest, 0) + 1, texts + 1, *(known[w] + 1 for w in model)], float)
     noise = noise / noise.sum()
-    shared_words = spark.sparkContext.broadcast((index, noise))
+    shared_words = spark.sparkContext.broadcast((index, known, noise))
+
+    def coded(row, index):
+        """The block's words as the model's ids (the end is the last) and its texts' ids with their ends."""
+        ids, size = _spread(row["ids"]), np.asarray(row["size"], np.int32)
+        return np.array([index.get(w, OTHER) for w in row["words"]] + [END], np.int32), ids, size
+
+    def train(batches):
+        index, _, noise = shared_words.value
+
+        def streams():
+            for row in _rows(batches):
+                to_model, ids, size = coded(row, index)
+                on = np.asarray(row["learn"], bool)
+                if on.any():
+                    yield to_model.take(_with_ends(ids[np.repeat(on, size)], size[on], len(to_model) - 1)[0])
 
-    def learn(batches):
-        index, noise = shared_words.value
-        p, seen = train_part((_ids(t or "", index) for pdf in batches for t in pdf["text"]), noise, dim, 5)
+        p, seen = train_part(streams(), noise, dim, 5)
         first = start_part(noise, dim)
         for name in p if seen else ():
             moved = (p[name] - first[name]) * np.float32(seen)
-            rows = np.flatnonzero(moved.any(1))
+            rows = np.flatnonzero(moved.any(1)).astype(np.int32)
             for at in range(0, len(rows), 10_000):
                 part = rows[at : at + 10_000]
-                yield pd.DataFrame({"name": name, "row": part, "x": list(moved[part])})
+                flat = moved.take(part, axis=0)
+                x = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * flat.shape[1], flat.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part), x], names=["name", "row", "x"])
 
     # averages by tokens, of fixed size however many tasks trained; what a task did not move is not sent
-    parts = train.select("text").mapInPandas(learn, "name string, row int, x array<float>")
+    parts = held.select("learn", "size", "ids", "words").mapInArrow(train, "name string, row int, x array<float>")
     sums = parts.groupBy("name", "row").agg(F.array(*(F.sum(F.get("x", F.lit(i))) for i in range(dim + 1))).alias("x"))
     p = start_part(noise, dim)
     for name, part in sums.toPandas().groupby("name"):
         p[name][part["row"].to_numpy()] += (np.array(part["x"].tolist(), float)[:, : p[name].shape[1]] / total).astype(np.float32)
     log_all = float(np.log10(total + 0.5 * (distinct + 1)))
-    log_rest = float(np.log10(max(rest, 0) + 0.5 * (distinct - v + 3)))if distinct > v else float(np.log10(max(rest, 0) + 1.0))
-    logs = {w: float(np.log10(n + 0.5)) for w, n in known.items()}
-    shared = spark.sparkContext.broadcast((p, classes(noise), logs))
-    log_end, ln10 = float(np.log10(texts + 0.5)), float(np.log(10))
+    log_rest = float(np.log10(max(rest, 0) + 0.5 * (distinct - v + 3))) if distinct > v else float(np.log10(max(rest, 0) + 1.0))
+    shared = spark.sparkContext.broadcast((p, classes(noise)))
+    ln10 = float(np.log(10))
 
     def run(batches):
-        (index, _), (p, kinds, logs) = shared_words.value, shared.value
-        for pdf in batches:
-            out = {k: [] for k in ("doc_id", "h", "n_tokens", "n_known", "base", "score", "rare", "times")}
-            held: list = []
-            count = 0
-
-            def weigh():
-                if held:
-                    starts = np.cumsum([0, *(len(x[0]) for x in held[:-1])])
-                    log = log_chances(p, kinds, *(np.concatenate(x) for x in zip(*held)))
-                    done = len(out["score"]) - len(held)
-                    for i, lm in enumerate(np.add.reduceat(log.astype(float), starts)):
-                        out["score"][done + i] += float(lm) / ln10
-
-            for doc, h, t in zip(pdf["doc_id"], pdf["h"], pdf["text"]):
-                words = WORDS.findall(lower_ascii(t or ""))
-                ids = np.array([index.get(w, OTHER) for w in words] + [END], np.int32)
-                base, lm, n_known, rare = log_end - log_all, 0.0, int(texts > 0), Counter()
-                for w, n in Counter(words).items():
-                    if w in logs:
-                        base += n * (logs[w] - log_all)
-                        n_known += n
-                        if w not in index:
-                            lm += n * (logs[w] - log_rest)
-                    else:
-                        rare[w] = n
-                        base -= n * log_all
-                        lm -= n * log_rest
-                for k, x in zip(out, (doc, h, len(ids), n_known, base, lm, list(rare), list(rare.values()))):
-                    out[k].append(x)
-                held.append((ids, *_contexts(ids)))
-                count += len(ids)
-                if count >= 16384:
-                    weigh()
-                    held, count = [], 0
-            weigh()
-            yield pd.DataFrame(out)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("h"), "text")
-    rows = checkpoint(rows.mapInPandas(run, "doc_id long, h long, n_tokens long, n_known long, base double, score double, rare array<string>, times array<int>"))
-    pairs = rows.select("h", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("h", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    met = pairs.join(counts, "word", "left")
-    log = F.log10(F.coalesce("n", F.lit(0)) + 0.5) * F.col("times")
-    rare = met.groupBy("h").agg(F.sum(log).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))
-    both = rows.drop("rare", "times").join(rare, "h", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return both.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+        (index, known, _), (p, kinds) = shared_words.value, shared.value
+        for row in _rows(batches):
+            to_model, ids, size = coded(row, index)
+            n = np.array([known.get(w, 0) for w in row["words"]] + [texts], np.int64)
+            if row["at"] is not None:
+                n[np.asarray(row["at"])] = np.asarray(row["n"])
+            log_n = np.log10(n + 0.5)
+            at, starts = _with_ends(ids, size, len(n) - 1)
+            m = to_model.take(at)
+            chances = log_chances(p, kinds, m, *_contexts(m)).astype(float) / ln10
+            share = np.where(to_model == OTHER, log_n - log_rest, 0.0)
+            total_of = lambda x: np.add.reduceat(x, starts)
+            out = {"doc_id": row["doc_id"], "n_tokens": size.astype(np.int64) + 1, "n_known": total_of((n > 0).astype(np.int64).take(at)), "train_tokens": np.full(len(size), total), "base_score": total_of((log_n - log_all).take(at)), "score": total_of(chances + share.take(at))}
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), (*[pa.int64()] * 4, *[pa.float64()] * 2))], names=list(out))
+
+    # broadcast: the words that all tasks have anyway
+    rare = said.join(F.broadcast(spark.createDataFrame([(w,) for w in known], "word binary")), "word", "left_anti")
+    # a word outside `known` occurs in fewer than sqrt(tokens) / 32 (or tokens / common) blocks
+    rare = rare.withColumn("n", F.sum("times").over(Window.partitionBy("word"))).filter("n > 0")
+    rare = rare.groupBy("block").agg(F.collect_list(F.struct("i", "n")).alias("x")).select("block", F.col("x.i").alias("at"), F.col("x.n").alias("n"))
+    both = held.select("block", "doc_id", "size", "ids", "words").join(rare, "block", "left")
+    return both.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _rows(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: _value(column[i]) for name, column in zip(batch.schema.names, batch.columns)}
+
+
+def _value(x):
+    """A field of a block; arrays of numbers come as numpy arrays, words as a list of bytes."""
+    if not x.is_valid:
+        return None
+    if not pa.types.is_list(x.type):
+        return x.as_py()
+    return x.values.to_numpy(zero_copy_only=False) if not pa.types.is_binary(x.type.value_type) and not x.values.null_count else x.as_py()
 
 
 ship(__name__)

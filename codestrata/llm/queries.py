@@ -55,7 +55,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    scored = lm_scoring.score(docs, docs.filter(remainder("doc_id", 5) != 1))
+    scored = lm_scoring.score(docs, remainder("doc_id", 5) != 1)
     return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
