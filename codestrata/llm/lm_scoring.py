@@ -17,7 +17,9 @@ OTHER, END = 0, 1
 #: Without a set vocabulary the model knows its LEAST most frequent words and all that occur sqrt(tokens) / DEPTH times.
 LEAST, DEPTH = 1024, 32
 #: A block of documents ends once it has that many words or that many different ones.
-BLOCK_WORDS, BLOCK_DISTINCT = 2_000_000, 250_000
+BLOCK_WORDS, BLOCK_DISTINCT = 5_000_000, 500_000
+#: Words to a training task, which starts from the common parameters and makes one pass.
+TRAINER_WORDS = 16_000_000
 BLOCK = "block long, doc_id array<long>, learn array<boolean>, size array<int>, ids binary, words array<binary>, times array<int>"
 
 
@@ -258,21 +260,17 @@ def score(docs: DataFrame, learn: Column, vocabulary: int | None = None, common:
     rest = total - texts - sum(known[w] for w in model)
     noise = np.array([max(rest, 0) + 1, texts + 1, *(known[w] + 1 for w in model)], float)
     noise = noise / noise.sum()
-    shared_words = spark.sparkContext.broadcast((index, known, noise))
-
-    def coded(row, index):
-        """The block's words as the model's ids (the end is the last) and its texts' ids with their ends."""
-        ids, size = _spread(row["ids"]), np.asarray(row["size"], np.int32)
-        return np.array([index.get(w, OTHER) for w in row["words"]] + [END], np.int32), ids, size
+    shared_words = spark.sparkContext.broadcast((index, noise))
 
     def train(batches):
-        index, _, noise = shared_words.value
+        index, noise = shared_words.value
 
         def streams():
             for row in _rows(batches):
-                to_model, ids, size = coded(row, index)
                 on = np.asarray(row["learn"], bool)
                 if on.any():
+                    to_model = np.array([index.get(w, OTHER) for w in row["words"]] + [END], np.int32)
+                    ids, size = _spread(row["ids"]), np.asarray(row["size"], np.int32)
                     yield to_model.take(_with_ends(ids[np.repeat(on, size)], size[on], len(to_model) - 1)[0])
 
         p, seen = train_part(streams(), noise, dim, 5)
@@ -287,7 +285,8 @@ def score(docs: DataFrame, learn: Column, vocabulary: int | None = None, common:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part), x], names=["name", "row", "x"])
 
     # averages by tokens, of fixed size however many tasks trained; what a task did not move is not sent
-    parts = held.select("learn", "size", "ids", "words").mapInArrow(train, "name string, row int, x array<float>")
+    trainers = held.select("learn", "size", "ids", "words").coalesce(max(1, -(-total // TRAINER_WORDS)))
+    parts = trainers.mapInArrow(train, "name string, row int, x array<float>")
     sums = parts.groupBy("name", "row").agg(F.array(*(F.sum(F.get("x", F.lit(i))) for i in range(dim + 1))).alias("x"))
     p = start_part(noise, dim)
     for name, part in sums.toPandas().groupby("name"):
@@ -298,12 +297,15 @@ def score(docs: DataFrame, learn: Column, vocabulary: int | None = None, common:
     ln10 = float(np.log(10))
 
     def run(batches):
-        (index, known, _), (p, kinds) = shared_words.value, shared.value
+        p, kinds = shared.value
         for row in _rows(batches):
-            to_model, ids, size = coded(row, index)
-            n = np.array([known.get(w, 0) for w in row["words"]] + [texts], np.int64)
+            ids, size = _spread(row["ids"]), np.asarray(row["size"], np.int32)
+            last = int(ids.max(initial=-1)) + 1
+            n, to_model = np.zeros(last + 1, np.int64), np.full(last + 1, OTHER, np.int32)
+            n[last], to_model[last] = texts, END
             if row["at"] is not None:
-                n[np.asarray(row["at"])] = np.asarray(row["n"])
+                at = np.asarray(row["at"])
+                n[at], to_model[at] = np.asarray(row["n"]), np.asarray(row["m"])
             log_n = np.log10(n + 0.5)
             at, starts = _with_ends(ids, size, len(n) - 1)
             m = to_model.take(at)
@@ -313,12 +315,13 @@ def score(docs: DataFrame, learn: Column, vocabulary: int | None = None, common:
             out = {"doc_id": row["doc_id"], "n_tokens": size.astype(np.int64) + 1, "n_known": total_of((n > 0).astype(np.int64).take(at)), "train_tokens": np.full(len(size), total), "base_score": total_of((log_n - log_all).take(at)), "score": total_of(chances + share.take(at))}
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), (*[pa.int64()] * 4, *[pa.float64()] * 2))], names=list(out))
 
-    # broadcast: the words that all tasks have anyway
-    rare = said.join(F.broadcast(spark.createDataFrame([(w,) for w in known], "word binary")), "word", "left_anti")
-    # a word outside `known` occurs in fewer than sqrt(tokens) / 32 (or tokens / common) blocks
-    rare = rare.withColumn("n", F.sum("times").over(Window.partitionBy("word"))).filter("n > 0")
-    rare = rare.groupBy("block").agg(F.collect_list(F.struct("i", "n")).alias("x")).select("block", F.col("x.i").alias("at"), F.col("x.n").alias("n"))
-    both = held.select("block", "doc_id", "size", "ids", "words").join(rare, "block", "left")
+    # broadcast: the model's words and the common ones
+    told = F.broadcast(spark.createDataFrame([(w, n, index.get(w, OTHER)) for w, n in top], "word binary, n long, m int"))
+    # a word outside of them occurs in fewer than sqrt(tokens) / 32 (or tokens / common) dictionaries
+    rare = said.join(told, "word", "left_anti").withColumn("n", F.sum("times").over(Window.partitionBy("word"))).filter("n > 0").withColumn("m", F.lit(OTHER))
+    both = rare.select("block", "i", "n", "m").union(said.join(told, "word").select("block", "i", "n", "m"))
+    words = both.groupBy("block").agg(F.collect_list(F.struct("i", "n", "m")).alias("x")).select("block", F.col("x.i").alias("at"), F.col("x.n").alias("n"), F.col("x.m").alias("m"))
+    both = held.select("block", "doc_id", "size", "ids").join(words, "block", "left")
     return both.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
