@@ -17,7 +17,9 @@ OTHER, END = 0, 1
 #: Without a set vocabulary the model knows its LEAST most frequent words and all that occur sqrt(tokens) / DEPTH times.
 LEAST, DEPTH = 1024, 32
 #: A block of documents ends once it has that many words or that many different ones.
-BLOCK_WORDS, BLOCK_DISTINCT = 5_000_000, 500_000
+BLOCK_WORDS, BLOCK_DISTINCT = 4_000_000, 400_000
+#: Tasks go through a block by runs of texts of some so many words.
+RUN_WORDS = 500_000
 #: Words to a training task, which starts from the common parameters and makes one pass.
 TRAINER_WORDS = 16_000_000
 BLOCK = "block long, doc_id array<long>, learn array<boolean>, size array<int>, ids binary, words array<binary>, times array<int>"
@@ -214,14 +216,19 @@ def _spread(raw: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], 4 * int.from_bytes(raw[:8], "little"), "zstd", asbytes=True), "<i4")
 
 
-def _with_ends(ids: np.ndarray, size: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids with `end` behind each text, and where each text starts."""
-    stop = np.cumsum(size.astype(np.int64) + 1)
-    out = np.full(len(ids) + len(size), end, np.int32)
-    inside = np.ones(len(out), bool)
-    inside[stop - 1] = False
-    out[inside] = ids
-    return out, stop - size - 1
+def _runs(ids: np.ndarray, size: np.ndarray, end: int):
+    """Runs of a block's texts: the first text and the one after the last, their ids with `end` behind each text, and where each text starts."""
+    upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + RUN_WORDS, side="right")) - 1)
+        stop = np.cumsum(size[a:b].astype(np.int64) + 1)
+        out = np.full(int(stop[-1]), end, np.int32)
+        inside = np.ones(len(out), bool)
+        inside[stop - 1] = False
+        out[inside] = ids[upto[a] : upto[b]]
+        yield a, b, out, stop - size[a:b] - 1
+        a = b
 
 
 def score(docs: DataFrame, learn: Column, vocabulary: int | None = None, common: int = 20_000, dim: int = 24) -> DataFrame:
@@ -271,7 +278,8 @@ def score(docs: DataFrame, learn: Column, vocabulary: int | None = None, common:
                 if on.any():
                     to_model = np.array([index.get(w, OTHER) for w in row["words"]] + [END], np.int32)
                     ids, size = _spread(row["ids"]), np.asarray(row["size"], np.int32)
-                    yield to_model.take(_with_ends(ids[np.repeat(on, size)], size[on], len(to_model) - 1)[0])
+                    for _, _, run, _ in _runs(ids[np.repeat(on, size)], size[on], len(to_model) - 1):
+                        yield to_model.take(run)
 
         p, seen = train_part(streams(), noise, dim, 5)
         first = start_part(noise, dim)
@@ -307,13 +315,16 @@ def score(docs: DataFrame, learn: Column, vocabulary: int | None = None, common:
                 at = np.asarray(row["at"])
                 n[at], to_model[at] = np.asarray(row["n"]), np.asarray(row["m"])
             log_n = np.log10(n + 0.5)
-            at, starts = _with_ends(ids, size, len(n) - 1)
-            m = to_model.take(at)
-            chances = log_chances(p, kinds, m, *_contexts(m)).astype(float) / ln10
             share = np.where(to_model == OTHER, log_n - log_rest, 0.0)
-            total_of = lambda x: np.add.reduceat(x, starts)
-            out = {"doc_id": row["doc_id"], "n_tokens": size.astype(np.int64) + 1, "n_known": total_of((n > 0).astype(np.int64).take(at)), "train_tokens": np.full(len(size), total), "base_score": total_of((log_n - log_all).take(at)), "score": total_of(chances + share.take(at))}
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), (*[pa.int64()] * 4, *[pa.float64()] * 2))], names=list(out))
+            base, known = log_n - log_all, (n > 0).astype(np.int64)
+            doc_ids = row["doc_id"]
+            for a, b, run_, starts in _runs(ids, size, last):
+                m = to_model.take(run_)
+                chances = log_chances(p, kinds, m, *_contexts(m)).astype(float) / ln10
+                chances += share.take(run_)
+                n_known, base_score, lm = (np.add.reduceat(x, starts) for x in (known.take(run_), base.take(run_), chances))
+                out = {"doc_id": doc_ids[a:b], "n_tokens": size[a:b].astype(np.int64) + 1, "n_known": n_known, "train_tokens": np.full(b - a, total), "base_score": base_score, "score": lm}
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), (*[pa.int64()] * 4, *[pa.float64()] * 2))], names=list(out))
 
     # broadcast: the model's words and the common ones
     told = F.broadcast(spark.createDataFrame([(w, n, index.get(w, OTHER)) for w, n in top], "word binary, n long, m int"))
