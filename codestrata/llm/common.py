@@ -8,7 +8,7 @@ import sys
 import tempfile
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of code points outside these six white-space characters.
@@ -53,6 +53,26 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(key, size)
 
 
+def buckets_of(rows: int, least: int = 500) -> int:
+    """Buckets for so many rows of one key: some square root of the rows to each, so neither buckets nor their number grow large."""
+    return max(1, int(rows / max(least, rows**0.5)))
+
+
+def row_key() -> dict[str, Column]:
+    """Names a row by its doc_id and text: two 64-bit hashes of both and the text's length (null text counts as empty)."""
+    text, own = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
+    return {"row_a": F.xxhash64(own, text), "row_b": F.xxhash64(text, F.lit(1), own), "row_chars": F.length(text)}
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose row_key() is among kept's, with all their columns; of rows alike in id and text one."""
+    key = [f"_{k}" for k in row_key()]
+    rows = docs.withColumns(dict(zip(key, row_key().values())))
+    found = rows.join(kept.select(*[F.col(k).alias(f"_{k}") for k in row_key()]).distinct(), key, "left_semi")
+    # the join has dealt and sorted the rows by these columns
+    return found.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*key))).filter("_n = 1").select(*docs.columns)
+
+
 def lower_ascii(text: str) -> str:
     return text.translate(_FOLD)
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import WORD, checkpoint, lower_ascii, ship
+from codestrata.llm.common import WORD, checkpoint, keep_rows, lower_ascii, row_key, ship, small_batches
 
 WORDS = re.compile(WORD)
 #: r left and r right collections of K hashes each make r * r tables of 2 K hashes from 2 r K hash functions.
@@ -20,7 +20,7 @@ WORDS = re.compile(WORD)
 R, K = 16, 3
 #: Bits of a set's parity bitmap.
 BITS = 1024
-SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, left array<long>, right array<long>"
+SIGNATURE = "doc_id long, row_a long, row_b long, row_chars int, n_shingles long, set_a long, set_b long, left array<long>, right array<long>"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -48,6 +48,13 @@ def shingles(text: str | None, width: int = 5, memo: dict | None = None) -> np.n
     return np.unique(h)
 
 
+def _set_hash(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    if not len(s):
+        return 0, 0
+    return int(np.bitwise_xor.reduce(_mix(s)).astype(np.int64)), int(_mix(s + np.uint64(77)).sum(dtype=np.uint64).astype(np.int64))
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
     """Set size, a 128-bit hash of the whole set, and the collections' keys of each document."""
 
@@ -56,13 +63,12 @@ def _signatures(docs: DataFrame) -> DataFrame:
         seeds = rng.integers(1, 2**63, 2 * R * K, dtype=np.uint64) | np.uint64(1)
         memo: dict = {}
         for pdf in batches:
-            out = {k: [] for k in ("doc_id", "n_shingles", "set_a", "set_b", "left", "right")}
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                if len(memo) > 300_000:
+            out = {k: [] for k in ("n_shingles", "set_a", "set_b", "left", "right")}
+            for text in pdf["text"]:
+                if len(memo) > 60_000:
                     memo.clear()
                 s = shingles(text, memo=memo)
                 keys = [[], []]
-                a = b = 0
                 if len(s):
                     least = np.full(len(seeds), np.uint64(2**64 - 1))
                     for at in range(0, len(s), 4096):
@@ -73,13 +79,13 @@ def _signatures(docs: DataFrame) -> DataFrame:
                     for k in range(K):
                         h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + v[:, :, k])
                     keys = [_mix(x + np.arange(R, dtype=np.uint64)).astype(np.int64).tolist() for x in h]
-                    a = int(np.bitwise_xor.reduce(_mix(s)).astype(np.int64))
-                    b = int(_mix(s + np.uint64(77)).sum(dtype=np.uint64).astype(np.int64))
-                for name, x in zip(out, (doc, len(s), a, b, *keys)):
+                for name, x in zip(out, (len(s), *_set_hash(s), *keys)):
                     out[name].append(x)
-            yield pd.DataFrame(out)
+            yield pd.DataFrame({**{c: pdf[c] for c in pdf.columns if c != "text"}, **out})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SIGNATURE)
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in row_key().items()], "text")
+    return rows.mapInPandas(run, SIGNATURE)
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -91,18 +97,24 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """doc, its set of shingles and the set's bitmap."""
+def _sets(texts: DataFrame) -> DataFrame:
+    """doc (a class), its set of shingles and the set's bitmap. texts: doc, set_a, set_b, text; a text of another set (of a
+    row that repeats an id) is left out."""
 
     def run(batches):
         memo: dict = {}
         for pdf in batches:
-            if len(memo) > 300_000:
-                memo.clear()
-            s = [shingles(t, memo=memo) for t in pdf["text"]]
-            yield pd.DataFrame({"doc": pdf["doc"], "s": [x.astype(np.int64) for x in s], "bits": [parity(x) for x in s]})
+            out = {"doc": [], "s": [], "bits": []}
+            for doc, a, b, text in zip(pdf["doc"], pdf["set_a"], pdf["set_b"], pdf["text"]):
+                if len(memo) > 60_000:
+                    memo.clear()
+                s = shingles(text, memo=memo)
+                if _set_hash(s) == (a, b):
+                    for name, x in zip(out, (doc, s.astype(np.int64), parity(s))):
+                        out[name].append(x)
+            yield pd.DataFrame(out)
 
-    return docs.mapInPandas(run, "doc long, s array<long>, bits array<long>")
+    return texts.mapInPandas(run, "doc long, s array<long>, bits array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -142,35 +154,42 @@ def components(links: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, crowd: int = 32) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (it is its own).
 
-    1. Equal shingle sets (128-bit hash of the set and its size) are one class, shown by its smallest doc_id.
+    1. Equal shingle sets (128-bit hash of the set and its size) are one class, with a number of its own.
     2. Tensored banding: classes with no left key in common with another drop out; the rest take all pairs of a shared
        left key and a right key as table keys.
     3. In tables' groups of more than `crowd` classes, a class of whose shingles fewer than 75 % occur in any other class
        of such groups cannot have a link there and leaves them.
-    4. In every table the class of the smallest id is tried with all others by their full sets, and the components of the
-       links are found.
+    4. In every table the class of the smallest number is tried with all others by their full sets, and the components of
+       the links are found.
     5. Where a table still has several components, every pair of classes in different ones is tried, the largest
        component's members only against the others; so no pair that meets in a table is left out, and no group of
        copies is expanded into all its pairs. Linked sets differ in a seventh of their summed sizes at most; pairs whose
        bitmaps show more than that are left out by the join itself. The components of all links are the result.
 
-    Null text or text without words has an empty set and is linked with nothing. Rows that repeat an id are given each
-    and linked as one document; rows with a null id are their own. Other columns are ignored; an empty table gives no rows.
+    Null text or text without words has an empty set and is linked with nothing. Rows that repeat an id are judged each by
+    its own text; rows with a null id are their own. Other columns are ignored; an empty table gives no rows.
     """
+    out = _grouped(docs, crowd)
+    return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _grouped(docs: DataFrame, crowd: int) -> DataFrame:
+    """Every row's row_key(), doc_id, n_shingles, comp (a number of its component, null if it is linked with nothing) and component_id."""
     sig = checkpoint(_signatures(docs))
     key = ["n_shingles", "set_a", "set_b"]
     real = sig.filter("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    shown = checkpoint(real.join(classes, key).filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "left", "right").dropDuplicates(["rep"]))
+    firsts = real.groupBy(*key).agg(F.min("doc_id").alias("first"))
+    shown = real.join(firsts, key).filter("doc_id = first").select(*key, "first", F.col("n_shingles").alias("n"), "left", "right")
+    shown = checkpoint(shown.dropDuplicates(key).withColumn("rep", F.monotonically_increasing_id()))
     lefts = shown.select("rep", F.explode("left").alias("lk"))
     twice = lefts.groupBy("lk").agg(F.count("*").alias("c")).filter("c > 1").select("lk")
     met = lefts.join(twice, "lk").join(shown.select("rep", "n", "right"), "rep")
     keyed = met.select("rep", "n", "lk", F.explode("right").alias("rk")).select("rep", "n", F.xxhash64("lk", "rk").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     rows = checkpoint(keyed.join(buckets, "key"))
-    wanted = rows.select(F.col("rep").alias("doc")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc", "left_semi")
-    sets = checkpoint(_sets(texts).dropDuplicates(["doc"]))
+    wanted = shown.join(rows.select("rep").distinct(), "rep", "left_semi").select("first", F.col("rep").alias("doc"), "set_a", "set_b")
+    texts = docs.select(F.col("doc_id").cast("long").alias("first"), "text").join(wanted, "first")
+    sets = checkpoint(_sets(texts.select("doc", "set_a", "set_b", "text")).dropDuplicates(["doc"]))
     large = rows.filter(F.col("c") > crowd)
     if not large.isEmpty():
         inside = large.select(F.col("rep").alias("doc"), "n").distinct()
@@ -205,16 +224,20 @@ def near_groups(docs: DataFrame, crowd: int = 32) -> DataFrame:
         joined = components(high).select(F.col("node").alias("old"), F.col("comp").alias("new"))
         alone = joined.join(first, joined["old"] == first["node"], "left_anti").select(F.col("old").alias("node"), F.col("old").alias("comp"))
         comps = first.union(alone).join(joined, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp"))
-    classes = classes.join(comps, classes["rep"] == comps["node"], "left").select(*key, F.coalesce("comp", "rep").alias("comp"))
-    out = sig.select("doc_id", *key).join(classes, key, "left")
-    comp = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def keep_near(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each group, with all their columns."""
-    kept = near_groups(docs).filter("kept").select(F.col("doc_id").alias("k")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["k"]), "left_semi")
+    classes = shown.select("rep", "first", *key).join(comps, shown["rep"] == comps["node"], "left").withColumn("comp", F.coalesce("comp", "rep"))
+    least = classes.groupBy("comp").agg(F.min("first").alias("component_id"))
+    found = sig.select("doc_id", *row_key(), *key).join(classes.join(least, "comp").select(*key, "comp", "component_id"), key, "left")
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    own = {"comp": F.when(~alone, F.col("comp")), "component_id": F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))}
+    return found.withColumns(own)
+
+
+def keep_near(docs: DataFrame, crowd: int = 32) -> DataFrame:
+    """One row of each component with all its columns: a row of the smallest doc_id (of several, one of them), whatever ids
+    rows repeat. Rows without words or id are linked with nothing and stay, but for repeats in id and text."""
+    found = _grouped(docs, crowd)
+    first = found.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", *row_key())).alias("w")).select(*[F.col(f"w.{k}").alias(k) for k in row_key()])
+    return keep_rows(docs, first.union(found.filter("comp is null").select(*row_key())))
 
 
 ship(__name__)
