@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import checkpoint, ship
+from codestrata.llm.common import buckets_of, checkpoint, ship, small_batches
 
 #: Latin-1 letters, then ASCII marks other than the apostrophe, which can join a word's letters.
 CASED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, h long"
-#: Words whose ids a Python worker remembers from task to task.
-CACHED = 600_000
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Words whose ids a task remembers (some 25 MB); the tokenizer alone stays in the worker from task to task.
+CACHED = 100_000
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end: int = 1, room: int = 4096) -> DataFrame:
@@ -35,9 +35,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int = 1, room: int = 4096
 
         kept = sys.modules.setdefault("_codestrata_tokens", types.ModuleType("_codestrata_tokens")).__dict__
         if kept.get("path") != tokenizer:
-            encoder = Tokenizer.from_file(tokenizer)
-            kept.update(path=tokenizer, encoder=encoder, seen={b"": b""}, stems={})
-        encoder, seen, stems = kept["encoder"], kept["seen"], kept["stems"]
+            kept.update(path=tokenizer, encoder=Tokenizer.from_file(tokenizer))
+        encoder, seen, stems = kept["encoder"], {b"": b""}, {}
         tail = np.uint32(end).tobytes()
 
         def learn(words):
@@ -58,8 +57,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int = 1, room: int = 4096
                 seen[w] = stems[run] + seen[marks]
 
         for batch in batches:
-            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "h")}
-            for doc, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text"))):
+            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
+            for doc, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text"))):
                 # bytes.split() splits at the six white-space characters and at nothing else
                 own = (text or b"").split()
                 try:
@@ -74,11 +73,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int = 1, room: int = 4096
                     ids = b"".join(map(seen.__getitem__, own)) + tail
                 for k, at in enumerate(range(0, len(ids), 4 * room)):
                     part = ids[at : at + 4 * room]
-                    for name, v in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), h)):
+                    for name, v in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
                         out[name].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("h", pa.int64())]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id").alias("h")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, PIECES)
 
 
 def best_fit(counts: dict[int, int], room: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -182,7 +181,9 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, room: int = 4096) -> Dat
     an empty table gives no rows. The driver sees the histogram of lengths, at most `room` rows, and sends tasks the
     patterns, some rows a length. Pieces of one length are numbered in two steps (buckets, then rows of a bucket).
     """
-    pieces = checkpoint(token_pieces(docs, tokenizer, end, room))
+    small_batches(docs.sparkSession)
+    # numbers make even equal rows differ; the checkpoint fixes them
+    pieces = checkpoint(token_pieces(docs, tokenizer, end, room).withColumn("no", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     lanes: dict[int, list[tuple[int, int, int]]] = {}
     reached: dict[int, int] = {}
@@ -195,11 +196,12 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, room: int = 4096) -> Dat
             at += a
         sequence += times
     lanes_np = {a: tuple(np.array(x, dtype=np.int64) for x in zip(*v)) for a, v in lanes.items()}
-    buckets = max(1, -(-max(histogram.values(), default=1) // 20_000)) * 4
-    rows = pieces.withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    # a length's pieces are dealt to buckets, some square root of their number to one
+    buckets = F.create_map(*[F.lit(x) for a, n in histogram.items() for x in (a, buckets_of(n))]) if histogram else F.lit(None).cast("map<bigint,int>")
+    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("no"), buckets[F.col("length")]).cast("int"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("length", "bucket").agg(F.count("*").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(before), F.lit(0))).drop("all")
-    own = Window.partitionBy("length", "bucket").orderBy("h", "doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "bucket").orderBy("no")
     rows = rows.withColumn("rank", F.row_number().over(own) - 1).join(sums, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base"))
 
     def seat(batches):
@@ -212,7 +214,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, room: int = 4096) -> Dat
                 place[rows_], at[rows_] = seq[i] + rank - first[i], off[i]
             yield pd.DataFrame({**{c: pdf[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}, "sequence_id": place, "offset": at})
 
-    return rows.drop("h", "bucket", "base").mapInPandas(seat, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return rows.drop("no", "bucket", "base").mapInPandas(seat, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 ship(__name__)
