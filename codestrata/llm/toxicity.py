@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import ship
+from codestrata.llm.common import checkpoint, ship, small_batches
 
 #: Words that are insults whatever the labels say.
 INSULTS = frozenset("idiot idiots stupid moron morons loser losers scum trash worthless pathetic disgusting clown clowns dumb imbecile jerk filth vermin garbage".split())
@@ -111,7 +111,7 @@ def margins(x: np.ndarray, trees: tuple) -> np.ndarray:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: block means, each at the block's mean score, for interpolation."""
+    """Pool adjacent violators: block means, kept a little off 0 and 1, each at the block's mean score, for interpolation."""
     order = np.argsort(score, kind="stable")
     blocks: list[list[float]] = []
     for s, v in zip(score[order], y[order].astype(float)):
@@ -119,22 +119,23 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
-    return np.array([b[2] / b[1] for b in blocks]), np.array([(b[0] + 0.02) / (b[1] + 0.04) for b in blocks])
+    return np.array([b[2] / b[1] for b in blocks]), np.clip([b[0] / b[1] for b in blocks], 0.002, 0.998)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, folds: int = 4) -> dict:
-    """Learn the lexicon, the trees and the calibration from at most `sample` labelled rows (a bounded sample, by hash of the id).
+    """Learn the lexicon, the trees and the calibration from at most `sample` labelled documents (a bounded sample: the least hashes of ids).
 
     Lexicon features of a fitted row come from the other folds' lexicon, so that a row's own words don't vouch for it.
     Labels that repeat an id count once, as their greatest; null labels and ids are left out. Without both labels
     present every score is the sample's share of toxic rows (0 without any).
     """
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y")).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
-    total = known.count()
-    chosen = known.filter(F.col("h") < int((1 << 30) * min(1.0, sample / max(total, 1)))).limit(sample)
-    # broadcast: at most `sample` rows of two numbers
+    small_batches(docs.sparkSession)
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
+    chosen = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).orderBy("h", "doc_id").limit(sample)
+    # broadcast: at most `sample` rows of three numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.select("text", "y", (F.col("h") % folds).cast("int").alias("fold"))
+    # of rows that repeat an id the least text counts; stored, so that all that is learned comes from the same rows
+    rows = checkpoint(rows.groupBy("doc_id", "y", "h").agg(F.min("text").alias("text")).select("text", "y", (F.col("h") % folds).cast("int").alias("fold")))
 
     def count(batches):
         for pdf in batches:
@@ -175,21 +176,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, folds: int = 4
     return {"lexicon": lexicon(), "trees": boost(x, y), "calibration": isotonic(out, y)}
 
 
+def scorer(model: dict):
+    """The score (0 to 1) of a column of whole texts; null counts as empty and gets the empty text's score."""
+
+    @F.pandas_udf("double")
+    def run(text: pd.Series) -> pd.Series:
+        if "constant" in model:
+            return pd.Series(model["constant"], index=text.index, dtype=float)
+        x = np.array([features(t or "", model["lexicon"]) for t in text], float).reshape(-1, FEATURES)
+        return pd.Series(np.clip(np.interp(margins(x, model["trees"]), *model["calibration"]), 0, 1))
+
+    return run
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id and score (0 to 1) of every whole text; null text counts as empty and gets the empty text's score.
+    """doc_id and score of every whole text.
 
-    Rows are independent: repeated ids give repeated rows, other columns are ignored, an empty table gives no rows.
+    Rows are independent: repeated and null ids give rows of their own, other columns are ignored, an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), scorer(model)("text").alias("score"))
 
-    def run(batches):
-        for pdf in batches:
-            if "constant" in model:
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model["constant"]})
-                continue
-            x = np.array([features(t or "", model["lexicon"]) for t in pdf["text"]], float).reshape(-1, FEATURES)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.clip(np.interp(margins(x, model["trees"]), *model["calibration"]), 0, 1)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double")
+def keep_clean(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
+    """The rows of docs with all their columns, but for those of a score of `least` or more. Each row is judged by its own
+    text, whatever its id; there is no join."""
+    small_batches(docs.sparkSession)
+    return docs.filter(scorer(model)("text") < least)
 
 
 ship(__name__)
