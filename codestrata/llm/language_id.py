@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import ship
+from codestrata.llm.common import ship, small_batches
 
 BUCKETS = 1 << 15
 
@@ -68,8 +68,10 @@ def ftrl(rows: list, y: np.ndarray, classes: int, epochs: int = 3, alpha: float
 
 
 def fit(docs: DataFrame, sample: int = 3000) -> dict:
-    """Learn from rows with a language: document frequencies over all of them, weights from at most `sample` (by hash of
-    the id, a bounded sample), a fifth of which sets the temperature. Without rows nothing is learned and all is `und`."""
+    """Learn from rows with a language: document frequencies over all of them, weights from at most `sample` (the least
+    hashes of id and text, a bounded sample; rows equal in id, text and language count once), a fifth of which sets the
+    temperature. Without rows nothing is learned and all is `und`."""
+    small_batches(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def frequencies(batches):
@@ -89,8 +91,9 @@ def fit(docs: DataFrame, sample: int = 3000) -> dict:
     found = table[table["g"] >= 0]
     df[found["g"].to_numpy()] = found["n"].to_numpy()
     idf = np.log((1 + total) / (1 + df)) + 1
-    h = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
-    chosen = known.withColumn("h", h).filter(F.col("h") < int((1 << 30) * min(1.0, sample / total))).select("h", "text", "lang").limit(sample)
+    hashed = known.select(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)).alias("h"), F.xxhash64("text").alias("t"), "text", "lang")
+    last = hashed.select("h", "t").distinct().orderBy("h", "t").limit(sample).agg(F.max(F.struct("h", "t")).alias("m")).first()["m"]
+    chosen = hashed.filter((F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (F.col("t") <= last["t"])).dropDuplicates(["h", "t", "lang"])
 
     def extract(batches):
         for pdf in batches:
