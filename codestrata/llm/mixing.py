@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import WORD, ship
+from codestrata.llm.common import WORD, buckets_of, checkpoint, ship, small_batches
 
 WORDS = re.compile(WORD)
-#: Sources a mix may name: their weights are a setting, held by the driver.
-MAX_SOURCES = 100_000
+#: The table of sources is broadcast up to so many rows; beyond that it is joined.
+FEW_SOURCES = 100_000
 RESULT = "doc_id long, size long, source_size long, target double, taken long"
 
 
@@ -49,64 +49,102 @@ def _permute(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _located(docs: DataFrame, per_bucket: int = 20_000) -> tuple[DataFrame, list]:
+def shard_counts(goal: np.ndarray, shards: int, low: int, high: int, seed: int):
+    """(shard, first, n) of the shards low to high - 1: each source's slots in the shard, and those in shards before it.
+
+    The sources' slots (goal) are dealt to the shards by halving: a range of shards has a share of the slots, and its left
+    half gets multinomial counts, with the range's slots as weights. What goes beyond a source's slots is drawn again from
+    the others, so all shards together hold each source's slots exactly. A range's draw has a seed of its own, so every task
+    finds the same counts for the shards that it needs, without those of other ranges.
+    """
+    total = int(goal.sum())
+    upto = lambda k: k * total // shards
+    stack = [(0, shards, goal, np.zeros(len(goal), np.int64))]
+    while stack:
+        a, b, have, first = stack.pop()
+        if b <= low or a >= high:
+            continue
+        if b - a == 1:
+            yield a, first, have
+            continue
+        mid = (a + b) // 2
+        rng = np.random.default_rng([seed, a, b])
+        left, missing = np.zeros(len(goal), np.int64), upto(mid) - upto(a)
+        while missing > 0:
+            room = have - left
+            left = np.minimum(left + rng.multinomial(missing, room / room.sum()), have)
+            missing = upto(mid) - upto(a) - int(left.sum())
+        stack += [(mid, b, have - left, first + left), (a, mid, left, first)]
+
+
+def _located(docs: DataFrame) -> tuple[DataFrame, list]:
     """Each row with the place of its first word in its source (start), and the sources: name, size, rows.
 
-    The prefix sum is in two steps, buckets and rows of a bucket, so that no task holds a source.
+    Rows equal in every column are counted together first; the prefix sum is in two steps, buckets and the different rows of
+    a bucket, so that no task holds a source or the copies of a row.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("doc_id").alias("h"), F.xxhash64(*docs.columns).alias("row_hash"))
-    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), *[c.alias(k) for k, c in _row_hashes(docs).items()])
+    # the only pass over the texts
+    each = checkpoint(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")).withColumn("h", F.xxhash64("doc_id", "row_hash")))
+    found = each.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size"), F.sum("copies").alias("rows")).collect()
     # Python orders strings by code point
     sources = sorted(((r["source"], r["size"], r["rows"]) for r in found), key=lambda r: (r[0] is None, r[0] or ""))
-    buckets = max(1, -(-max([r[2] for r in sources], default=1) // per_bucket)) * 4
-    rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(before), F.lit(0)))
-    own = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "row_hash")
-    rows = rows.withColumns({"rank": F.row_number().over(own), "start": F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
-    rows = rows.withColumn("source_key", F.coalesce("source", F.lit(""))).withColumn("source_null", F.col("source").isNull())
-    sums = sums.select(F.coalesce("source", F.lit("")).alias("source_key"), F.col("source").isNull().alias("source_null"), "bucket", "base")
-    rows = rows.join(sums, ["source_key", "source_null", "bucket"]).withColumn("start", F.col("start") + F.col("base"))
-    return rows, sources
+    known = _known(docs.sparkSession, [(s[0] or "", s[0] is None, buckets_of(s[2])) for s in sources], "source_key string, source_null boolean, buckets int")
+    each = each.withColumn("source_key", F.coalesce("source", F.lit(""))).withColumn("source_null", F.col("source").isNull())
+    where = ["source_key", "source_null", "bucket"]
+    each = each.join(known, where[:2]).withColumn("bucket", F.pmod("h", F.col("buckets")).cast("int"))
+    before = Window.partitionBy(*where[:2]).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = each.groupBy(*where).agg(F.sum(F.col("size") * F.col("copies")).alias("all")).withColumn("base", F.coalesce(F.sum("all").over(before), F.lit(0))).drop("all")
+    own = Window.partitionBy(*where).orderBy("h", "row_hash", "row_mark")
+    words = F.col("size") * F.col("copies")
+    each = each.withColumns({"rank": F.row_number().over(own), "start": F.sum(words).over(own.rowsBetween(Window.unboundedPreceding, 0)) - words})
+    each = each.join(sums, where).withColumn("start", F.col("start") + F.col("base"))
+    copies = each.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
+    return copies.withColumn("start", F.col("start") + F.col("copy") * F.col("size")), sources
+
+
+def _row_hashes(docs: DataFrame) -> dict:
+    """Two 64-bit hashes of all columns."""
+    return {"row_hash": F.xxhash64(*docs.columns), "row_mark": F.xxhash64(F.lit(1), *docs.columns)}
+
+
+def _known(spark, table: list, schema: str) -> DataFrame:
+    """The sources as a table; broadcast if there are few."""
+    known = spark.createDataFrame(table, schema)
+    return F.broadcast(known) if len(table) <= FEW_SOURCES else known
 
 
 def mixed_blocks(docs: DataFrame, weights: list[float] | None = None, block: int = 64, shard: int = 4096, seed: int = 17, most: float = 3.0) -> tuple[DataFrame, list]:
     """Pieces of documents with the times that the mix takes their block, and the sources.
 
     A source's words, documents in hashed order, are packed into blocks of `block` words (the last may be shorter).
-    The output has shards of `shard` block slots; in each shard every source gets the whole part of its expected slots
-    and the rest of the shard is drawn from a multinomial over the fractional parts. A source's slots, numbered
-    through the shards, go through a permutation of its block indices that changes at every pass.
+    The output has shards of `shard` block slots. Targets become whole slots of each source, and each shard's counts are
+    multinomial draws that add up to those (shard_counts). A source's slots, numbered through the shards, go through a
+    permutation of its block indices that changes at every pass. The driver holds a row a source.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows, sources = _located(docs)
     weights = weights or [1.0 + i % 3 for i in range(len(sources))]
     goal = targets([s[1] for s in sources], weights, most)
     blocks = np.array([-(-s[1] // block) for s in sources], dtype=np.int64)
     want = np.array([g / s[1] * n if s[1] else 0.0 for g, s, n in zip(goal, sources, blocks)])
-    total, most_slots = float(want.sum()), np.floor(blocks * most).astype(np.int64)
-    n_shards = max(1, -(-int(np.ceil(total)) // shard))
+    # whole slots, rounded along the running sum so that they add up, and never more than `most` passes
+    slots_of = np.minimum(np.diff(np.floor(np.cumsum(want) + 0.5), prepend=0), np.floor(blocks * most)).astype(np.int64)
+    n_shards = max(1, -(-int(slots_of.sum()) // shard))
     table = [(s[0] or "", s[0] is None, i, int(s[1]), float(g), int(n)) for i, (s, g, n) in enumerate(zip(sources, goal, blocks))]
-    known = spark.createDataFrame(table, "source_key string, source_null boolean, s int, source_size long, target double, blocks long")
+    known = _known(spark, table, "source_key string, source_null boolean, s int, source_size long, target double, blocks long")
 
     def draw(batches):
         for pdf in batches:
-            for k in pdf["id"]:
-                e = want / n_shards
-                base = np.floor(e).astype(np.int64)
-                part = e - base
-                left = int(round((k + 1) * total / n_shards)) - int(round(k * total / n_shards)) - int(base.sum())
-                if part.sum() > 0 and left > 0:
-                    base = base + np.random.default_rng([seed, int(k)]).multinomial(left, part / part.sum())
-                yield pd.DataFrame({"shard": k, "s": np.arange(len(base), dtype=np.int32), "n": base})
-
-    counts = spark.range(0, n_shards, 1, max(1, min(n_shards // 64, 4096))).mapInPandas(draw, "shard long, s int, n long")
-    run = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.filter("n > 0").withColumn("first", F.sum("n").over(run) - F.col("n"))
-    # the first shards' runs of slots are cut, so that a task expands no more than 1024 slots a row
+            if len(pdf):
+                for _, first, n in shard_counts(slots_of, n_shards, int(pdf["id"].min()), int(pdf["id"].max()) + 1, seed):
+                    s = np.flatnonzero(n)
+                    yield pd.DataFrame({"s": s.astype(np.int32), "first": first[s], "n": n[s]})
+
+    # a range of shards to each task, in order; a task expands no more than 1024 slots a row
+    counts = spark.range(0, n_shards, 1, max(1, min(n_shards // 64, 4096))).mapInPandas(draw, "s int, first long, n long")
     slots = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 1024).cast("int"))))
     slots = slots.select("s", (F.col("first") + F.col("part") * 1024).alias("first"), F.least(F.lit(1024), F.col("n") - F.col("part") * 1024).alias("n"))
 
@@ -115,14 +153,11 @@ def mixed_blocks(docs: DataFrame, weights: list[float] | None = None, block: int
             n = pdf["n"].to_numpy()
             s = np.repeat(pdf["s"].to_numpy(), n)
             k = np.repeat(pdf["first"].to_numpy(), n) + np.concatenate([np.arange(x) for x in n] or [np.arange(0)])
-            inside = k < most_slots[s]
-            s, k = s[inside], k[inside]
             key = (np.uint64(seed) * np.uint64(1_000_003) + s.astype(np.uint64)) * np.uint64(65_537) + (k // blocks[s]).astype(np.uint64)
             yield pd.DataFrame({"s": s, "block": _permute(k % blocks[s], blocks[s], key), "pass": (k // blocks[s]).astype(np.int32)})
 
     taken = slots.mapInPandas(place, "s int, block long, pass int").groupBy("s", "block").agg(F.count("*").alias("times"))
-    # broadcast: at most MAX_SOURCES short rows
-    rows = rows.join(F.broadcast(known), ["source_key", "source_null"])
+    rows = rows.join(known, ["source_key", "source_null"])
     span = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
     pieces = rows.withColumn("block", F.explode_outer(span))
     pieces = pieces.withColumns({"lo": F.greatest("start", F.col("block") * block) - F.col("start"), "hi": F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("start")})
@@ -136,7 +171,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     taken on their own; an empty table gives no rows. Reruns agree: order and draws come from hashes of ids and seeds.
     """
     pieces, _ = mixed_blocks(docs, **options)
-    out = pieces.groupBy("s", "bucket", "rank", "doc_id", "size", "source_size", "target").agg(F.sum(F.coalesce(F.col("hi") - F.col("lo"), F.lit(0)) * F.col("times")).alias("taken"))
+    out = pieces.groupBy("s", "bucket", "rank", "copy", "doc_id", "size", "source_size", "target").agg(F.sum(F.coalesce(F.col("hi") - F.col("lo"), F.lit(0)) * F.col("times")).alias("taken"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -146,12 +181,13 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     columns = docs.columns
     pieces, _ = mixed_blocks(docs, **options)
     # the plan of each row, without its text; rows alike in every column are told apart by a number
-    same = ["id", "row_hash"]
-    plan = pieces.filter("block is not null").groupBy("s", "bucket", "rank", F.col("doc_id").alias("id"), "row_hash").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias("p"))
-    plan = plan.withColumn("no", F.row_number().over(Window.partitionBy(*same).orderBy("rank")))
-    rows = docs.withColumns({"id": F.col("doc_id").cast("long"), "row_hash": F.xxhash64(*columns)})
-    rows = rows.withColumn("row_no", F.row_number().over(Window.partitionBy(*same).orderBy("row_hash")))
-    whole = rows.withColumnsRenamed({"id": "own_id", "row_hash": "own_hash"}).join(plan, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("row_hash")) & (F.col("row_no") == F.col("no")))
+    same = list(_row_hashes(docs))
+    plan = pieces.filter("block is not null").groupBy("s", "bucket", "rank", "copy", *same).agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias("p"))
+    plan = plan.withColumn("no", F.row_number().over(Window.partitionBy(*same).orderBy("copy"))).select(*[F.col(c).alias(f"_{c}") for c in (*same, "no")], F.col("p").alias("_p"))
+    rows = docs.withColumns({f"_{k}": c for k, c in _row_hashes(docs).items()})
+    key = [f"_{c}" for c in same]
+    rows = rows.withColumn("_no", F.row_number().over(Window.partitionBy(*key).orderBy(*key)))
+    whole = rows.join(plan, [*key, "_no"])
 
     @F.pandas_udf("array<string>")
     def passes(text: pd.Series, lo: pd.Series, hi: pd.Series, times: pd.Series) -> pd.Series:
@@ -162,8 +198,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
             out.append([None if min(n) >= k else " ".join(" ".join(words[x:y]) for x, y, m in zip(a, b, n) if m >= k) for k in range(1, max(n) + 1)])
         return pd.Series(out, dtype=object)
 
-    cut = F.explode(passes("text", F.col("p.lo"), F.col("p.hi"), F.col("p.times")))
-    out = whole.withColumn("cut", cut).withColumn("text", F.coalesce("cut", "text"))
+    cut = F.explode(passes("text", F.col("_p.lo"), F.col("_p.hi"), F.col("_p.times")))
+    out = whole.withColumn("_cut", cut).withColumn("text", F.coalesce("_cut", "text"))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*columns)
