@@ -23,47 +23,76 @@ KINDS = ("assign", "access", "hex", "entropy")
 NONE = "cast(array() as array<struct<start:int,end:int,kind:int,value:string>>)"
 
 
-def _found(pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """The matches as structs (start, end, kind, value): code points of what lies between matches and of the matches are summed up."""
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once: inside a lambda an expression is computed anew at every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _found(pattern: str, kind: int, group: int = 0, least: int = 0, slab: int = 64) -> Column:
+    """The matches as structs (start, end, kind, value): code points of what lies between matches and of the matches are summed up.
+
+    Sums run inside slabs of `slab` matches and over slabs, so that arrays that grow stay short in texts of many matches.
+    """
     text, p = F.col("text"), F.lit(pattern)
     whole, value, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group)), F.split(text, pattern, -1)
-    parts = F.arrays_zip(whole.alias("w"), value.alias("v"), F.slice(gaps, 1, F.size(whole)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(NONE).alias("out"))
+    sizes = F.transform(F.arrays_zip(whole.alias("w"), value.alias("v"), gaps.alias("g")), lambda x: F.struct(F.length(x["w"]).alias("w"), F.length(x["g"]).alias("g"), x["v"].alias("v")))
+
+    def spans(parts):
+        n = F.size(parts) - 1  # the last gap has no match behind it
+        slabs = F.transform(F.sequence(F.lit(0), F.greatest((n - 1) / slab, F.lit(0)).cast("int")), lambda i: F.slice(parts, i * slab + 1, F.least(F.lit(slab), n - i * slab)))
+        long = F.transform(slabs, lambda q: F.aggregate(q, F.lit(0), lambda a, x: a + x["w"] + x["g"]))
+        firsts = F.aggregate(long, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+        def step(acc, x):
+            begin = acc["at"] + x["g"]
+            end = begin + x["w"]
+            span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value"))
+            return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["g"])
-        end = begin + F.length(x["w"])
-        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        each = F.zip_with(slabs, firsts, lambda q, at: F.aggregate(q, F.struct(at.alias("at"), F.expr(NONE).alias("out")), step, lambda acc: acc["out"]))
+        return F.flatten(each)
 
-    return F.when(F.regexp_like(text, p), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.expr(NONE))
+    return F.when(F.regexp_like(text, p), _bound(sizes, lambda parts: F.when(F.size(parts) > 1, spans(parts)).otherwise(F.expr(NONE)))).otherwise(F.expr(NONE))
 
 
 def _dense(span: Column) -> Column:
     """The part of a candidate that windows of enough entropy cover, or null.
 
     One pass keeps the count of each character in the window and the sum of c * log2(c), in millionths, which the
-    character that comes and the one that goes change by a table's difference.
+    character that comes and the one that goes change by a table's difference; its time grows with the candidate's length.
     """
     table = F.array(*[F.lit(round(c * math.log2(c) * 1e6) if c else 0).cast("long") for c in range(WINDOW + 2)])
-    codes = F.transform(F.sequence(F.lit(1), F.length(span["value"])), lambda i: F.instr(F.lit(ALPHABET), F.substr(span["value"], i, F.lit(1))) - 1)
     most = {k: round((math.log2(WINDOW) - v) * WINDOW * 1e6) for k, v in LEAST.items()}
     limit = F.when(F.regexp_like(span["value"], F.lit("^([0-9a-f]+|[0-9A-F]+)$")), F.lit(most["hex"])).otherwise(F.lit(most["mixed"]))
     begin = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0).cast("long").alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
 
-    def step(acc, x):
-        i, come, go = x["i"], x["come"], x["go"]
-        was = F.get(acc["n"], come)
-        added = F.transform(acc["n"], lambda c, k: c + F.when(k == come, 1).otherwise(0))
-        s = acc["s"] + F.get(table, was + 1) - F.get(table, was)
-        old = F.get(added, go)
-        n = F.when(i >= WINDOW, F.transform(added, lambda c, k: c - F.when(k == go, 1).otherwise(0))).otherwise(added)
-        s = F.when(i >= WINDOW, s + F.get(table, old - 1) - F.get(table, old)).otherwise(s)
-        hit = (i >= WINDOW - 1) & (s <= limit)
-        return F.struct(n.alias("n"), s.alias("s"), F.coalesce(acc["first"], F.when(hit, i - WINDOW + 1)).alias("first"), F.when(hit, i + 1).otherwise(acc["last"]).alias("last"))
-
-    steps = F.transform(codes, lambda c, i: F.struct(i.alias("i"), c.alias("come"), F.coalesce(F.get(codes, i - WINDOW), F.lit(0)).alias("go")))
-    return F.aggregate(steps, begin, step, lambda acc: F.when(acc["first"].isNotNull(), F.struct((span["start"] + acc["first"]).cast("int").alias("start"), (span["start"] + acc["last"]).cast("int").alias("end"), span["kind"].alias("kind"), span["value"].alias("value"))))
+    def changed(n, k, by):
+        """n with by added to its element k."""
+        return F.concat(F.slice(n, F.lit(1), k), F.array(F.get(n, k) + by), F.slice(n, k + 2, F.lit(len(ALPHABET))))
+
+    def step(limit):
+        def one(acc, x):
+            i, come, go = x["i"], x["come"], x["go"]
+            was = F.get(acc["n"], come)
+            s = acc["s"] + F.get(table, was + 1) - F.get(table, was)
+            # what comes is counted before what goes, also where both are one character
+            old = F.get(acc["n"], go) + F.when(come == go, 1).otherwise(0)
+            full = i >= WINDOW
+            n = changed(acc["n"], come, 1)
+            n = F.when(full, changed(n, go, -1)).otherwise(n)
+            s = F.when(full, s + F.get(table, old - 1) - F.get(table, old)).otherwise(s)
+            hit = (i >= WINDOW - 1) & (s <= limit)
+            return F.struct(n.alias("n"), s.alias("s"), F.coalesce(acc["first"], F.when(hit, i - WINDOW + 1)).alias("first"), F.when(hit, i + 1).otherwise(acc["last"]).alias("last"))
+
+        return one
+
+    def window(x):
+        codes = x["codes"]
+        steps = F.transform(codes, lambda c, i: F.struct(i.alias("i"), c.alias("come"), F.coalesce(F.get(codes, i - WINDOW), F.lit(0)).alias("go")))
+        return F.aggregate(steps, begin, step(x["limit"]), lambda acc: F.when(acc["first"].isNotNull(), F.struct((span["start"] + acc["first"]).cast("int").alias("start"), (span["start"] + acc["last"]).cast("int").alias("end"), span["kind"].alias("kind"), span["value"].alias("value"))))
+
+    codes = F.transform(F.regexp_extract_all(span["value"], F.lit("(.)"), F.lit(1)), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return _bound(F.struct(codes.alias("codes"), limit.alias("limit")), window)
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
