@@ -11,29 +11,29 @@ from codestrata.llm.queries import tokenizer_path
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model of toxicity does not reject (score under 0.5)."""
+    """Rows that the model of toxicity does not reject (score under 0.5), each judged by its own text; null ids and repeats
+    are kept or go like others, and an empty table stays empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(remainder("doc_id", 5) != 0)
-    bad = toxicity.score(docs, toxicity.fit(docs, labels)).filter("score >= 0.5").select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["bad"], "left_anti")
+    return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts."""
+    """One row of each group of equal texts; null and empty texts are one group."""
     return exact_dedup.keep_exact(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One row of each near-duplicate group; rows without words or id stay."""
     return near_dedup.keep_near(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of what is left, as documents."""
+    """The mix of what is left, as documents: a row a pass of what the mix takes; rows without words are never taken."""
     return mixing.mix_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents' pieces in sequences."""
+    """The mixed documents' pieces in sequences; every row gives at least one piece, for null or empty text the end id."""
     return packing.pack(docs, tokenizer_path())
 
 
