@@ -8,6 +8,8 @@ import sys
 import types
 import zlib
 from bisect import bisect_right
+from collections import Counter
+from math import inf
 
 import numpy as np
 import pandas as pd
@@ -109,19 +111,23 @@ def best_fit(counts: dict[int, int], room: int) -> list[tuple[int, tuple[int, ..
     return out + [x for xs in open_.values() for x in xs]
 
 
-def _fillings(lengths: list[int], counts: dict[int, int], left: int, limit: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Undominated ways to fill `left`, least waste first: items go in by falling length, and a filling that still has
-    room for some unused length is dominated by the one that adds it. A filling with no waste ends the search."""
-    found, stack, steps = [], [(left, len(lengths), (), 0)], 0
+def _fillings(lengths: list[int], counts: dict[int, int], left: int, limit: float, width: float) -> list[tuple[int, tuple[int, ...]]]:
+    """Undominated ways to fill `left`, least waste first: items go in by falling length, and a filling that still has room
+    for some unused length is dominated by the one that adds it. A filling with no waste ends the search, and so do
+    `limit` steps; at each step the `width` longest lengths that fit are tried."""
+    found, stack, steps = [], [(left, len(lengths), ())], 0
     while stack and steps < limit:
-        room, top, items, _ = stack.pop()
+        room, top, items = stack.pop()
         steps += 1
-        i = bisect_right(lengths, room, 0, top) - 1
+        fits = bisect_right(lengths, room) - 1
+        if any(counts[lengths[k]] > items.count(lengths[k]) for k in range(top, fits + 1)):
+            continue
+        i = min(fits, top - 1)
         tried = []
-        while i >= 0 and len(tried) < 3:
+        while i >= 0 and len(tried) < width:
             a = lengths[i]
             if counts[a] > items.count(a):
-                tried.append((room - a, i + 1, items + (a,), 0))
+                tried.append((room - a, i + 1, items + (a,)))
             i -= 1
         if not tried:
             found.append((room, items))
@@ -131,50 +137,53 @@ def _fillings(lengths: list[int], counts: dict[int, int], left: int, limit: int)
     return sorted(found, key=lambda f: (f[0], len(f[1])))
 
 
-def complete_bins(histogram: dict[int, int], room: int, branches: int = 3, nodes: int = 60, steps: int = 400) -> list[tuple[int, tuple[int, ...]]]:
+#: Bounds of the search: fillings tried at a branching, turns that branch, ends of branches, steps and lengths of a filling.
+LIMITS = {"branches": 3, "turns": 6, "nodes": 60, "steps": 400, "width": 3}
+
+
+def complete_bins(histogram: dict[int, int], room: int, limits: dict | None = LIMITS) -> list[tuple[int, tuple[int, ...]]]:
     """Patterns (times, lengths) that hold every length of the histogram as often as it says.
 
-    Branch and bound: the largest length left is completed by one of its undominated fillings, repeated while all its
-    lengths last; a branch whose waste passes that of the incumbent is cut; best-fit decreasing gives the first
-    incumbent. The search ends at the lower bound (the sum of lengths over room, rounded up) or after `nodes` leaves,
-    and works on lengths (at most `room` of them), whatever the number of documents.
+    Branch and bound: the largest length left is completed by one of its undominated fillings; a branch whose waste leaves
+    no way to need fewer sequences than the incumbent is cut; best-fit decreasing gives the first incumbent. The search ends
+    at the lower bound (the sum of lengths over room, rounded up). It works on lengths (at most `room` of them), whatever
+    the number of documents.
+
+    limits bounds the search and repeats a filling while all its lengths last; the result is then no worse than best-fit
+    decreasing. Without limits every undominated filling is tried for one sequence at a time: the optimum, in exponential time.
     """
     incumbent = best_fit(histogram, room)
     total = sum(a * n for a, n in histogram.items())
     best, bound = sum(t for t, _ in incumbent), -(-total // room)
-    leaves, stack = 0, [[]]
-    while stack and best > bound and leaves < nodes:
-        chosen = stack.pop()
-        counts, waste, bins, plan = dict(histogram), 0, 0, []
-        lengths, turn = sorted(counts), 0
-        while lengths:
-            a = lengths[-1]
-            counts[a] -= 1
-            ways = _fillings(lengths, counts, room - a, steps)[:branches]
-            counts[a] += 1
-            if turn < len(chosen):
-                pick = chosen[turn]
-            else:
-                pick = 0
-                if turn < 6:
-                    stack.extend(chosen + [0] * (turn - len(chosen)) + [k] for k in range(len(ways) - 1, 0, -1))
-            left, items = ways[min(pick, len(ways) - 1)]
+    most = limits or dict.fromkeys(LIMITS, inf)
+    ends, stack = 0, [({a: n for a, n in histogram.items() if n}, [], 0, 0)]
+    while stack and best > bound and ends < most["nodes"]:
+        counts, plan, bins, waste = stack.pop()
+        if not counts or waste > (best - 1) * room - total:
+            ends += 1
+            if not counts and bins < best:
+                best, incumbent = bins, plan
+            continue
+        lengths = sorted(counts)
+        a = lengths[-1]
+        counts[a] -= 1
+        ways = _fillings(lengths, counts, room - a, most["steps"], most["width"])
+        counts[a] += 1
+        ways = ways[: int(min(most["branches"], len(ways)))] if len(plan) < most["turns"] else ways[:1]
+        for left, items in reversed(ways):
             items = (a, *items)
-            times = min(counts[x] // items.count(x) for x in set(items))
-            plan.append((times, items))
-            bins, waste, turn = bins + times, waste + times * left, turn + 1
-            for x in set(items):
-                counts[x] -= times * items.count(x)
-            lengths = [x for x in lengths if counts[x]]
-            if waste > best * room - total:
-                break
-        leaves += 1
-        if not lengths and bins < best:
-            best, incumbent = bins, plan
+            used = Counter(items)
+            times = min(counts[x] // n for x, n in used.items()) if limits else 1
+            rest = dict(counts)
+            for x, n in used.items():
+                rest[x] -= times * n
+                if not rest[x]:
+                    del rest[x]
+            stack.append((rest, [*plan, (times, items)], bins + times, waste + times * left))
     return incumbent
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = 1, room: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int = 1, room: int = 4096, limits: dict | None = LIMITS) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Only documents of more than `room` ids are cut. Null or empty text is the end id alone; equal rows are packed each;
@@ -188,7 +197,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, room: int = 4096) -> Dat
     lanes: dict[int, list[tuple[int, int, int]]] = {}
     reached: dict[int, int] = {}
     sequence = 0
-    for times, items in complete_bins(histogram, room):
+    for times, items in complete_bins(histogram, room, limits):
         at = 0
         for a in items:
             lanes.setdefault(a, []).append((reached.get(a, 0), sequence, at))
@@ -196,9 +205,9 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, room: int = 4096) -> Dat
             at += a
         sequence += times
     lanes_np = {a: tuple(np.array(x, dtype=np.int64) for x in zip(*v)) for a, v in lanes.items()}
-    # a length's pieces are dealt to buckets, some square root of their number to one
-    buckets = F.create_map(*[F.lit(x) for a, n in histogram.items() for x in (a, buckets_of(n))]) if histogram else F.lit(None).cast("map<bigint,int>")
-    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("no"), buckets[F.col("length")]).cast("int"))
+    # a length's pieces are dealt to buckets, some square root of their number to one; broadcast: at most `room` rows
+    deal = F.broadcast(docs.sparkSession.createDataFrame([(a, buckets_of(n)) for a, n in histogram.items()], "length long, buckets int"))
+    rows = pieces.join(deal, "length").withColumn("bucket", F.pmod(F.xxhash64("no"), "buckets").cast("int"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("length", "bucket").agg(F.count("*").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(before), F.lit(0))).drop("all")
     own = Window.partitionBy("length", "bucket").orderBy("no")
@@ -214,7 +223,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, room: int = 4096) -> Dat
                 place[rows_], at[rows_] = seq[i] + rank - first[i], off[i]
             yield pd.DataFrame({**{c: pdf[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}, "sequence_id": place, "offset": at})
 
-    return rows.drop("no", "bucket", "base").mapInPandas(seat, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return rows.drop("no", "bucket", "buckets", "base").mapInPandas(seat, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 ship(__name__)
