@@ -1,6 +1,7 @@
 """The training-data operators against plain Python on small and odd tables."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -343,6 +344,44 @@ def test_fingerprints(spark):
         assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
 
 
+def grams(text):
+    return {text[i : i + 12] for i in range(max(1, len(text) - 11))} if text else set()
+
+
+def test_sketches_merge_and_tell_containment(spark):
+    """Sketches keep the same hashes of a run wherever it stands, merge to the sketch of both, and estimate containment."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    big = " ".join(word() for _ in range(6000))
+    part, other = big[10_000:16_000], " ".join(word() for _ in range(700))
+    docs = odd(spark, [(1, big), (2, part), (3, other), (4, part + other), (5, None), (6, "short")])
+    got = {r["doc_id"]: r["sketch"] for r in fingerprints.sketches(docs).collect()}
+    for i, t in ((1, big), (2, part), (3, other)):
+        n = len(grams(t)) / 8
+        assert abs(len(got[i]) - n) < 5 * n**0.5 and len(set(got[i])) == len(got[i])
+    assert set(got[2]) <= set(got[1]) and not got[5]
+    groups = fingerprints.sketches(docs).withColumn("g", F.when(F.col("doc_id").isin(2, 3), "a").when(F.col("doc_id") == 5, "none"))
+    merged = {r["g"]: set(r["sketch"]) for r in fingerprints.merge_sketches(groups.filter("g is not null"), "g").collect()}
+    assert merged["a"] == set(got[2]) | set(got[3]) and merged["none"] == set() and len(set(got[4]) - merged["a"]) < 12
+    pair = fingerprints.sketches(docs).filter("doc_id = 1").crossJoin(fingerprints.sketches(docs).select(F.col("doc_id").alias("d"), F.col("sketch").alias("s")))
+    share = {r["d"]: r["c"] for r in pair.select("d", fingerprints.containment(F.col("s"), F.col("sketch")).alias("c")).collect()}
+    assert share[2] == 1 and share[3] < 0.05 and share[5] is None and abs(share[4] - len(grams(part + other) & grams(big)) / len(grams(part + other))) < 0.06
+
+
+def test_likeness_near_the_true_one(spark):
+    docs = real(spark)
+    rows = sorted(pairs(docs))
+    got = {r["doc_id"]: (r["near_edited"], r["near_next"], r["n_chars"]) for r in fingerprints.fingerprint_pairs(docs, per_range=40).collect()}
+    off = []
+    for k, (i, t) in enumerate(rows):
+        n, h = rows[(k + 1) % len(rows)][1], len(t) // 2
+        for other, est in ((t[: len(t) - h] + n[:h], got[i][0]), (n, got[i][1])):
+            a, b = grams(t), grams(other)
+            if min(len(a), len(b)) >= 400:
+                off.append(est - len(a & b) / min(len(a), len(b)))
+    assert len(off) > 100 and abs(np.mean(off)) < 0.02 and np.quantile(np.abs(off), 0.95) < 0.15
+
+
 def test_sketch_is_the_fixed_fraction():
     a = np.arange(5000, dtype=np.uint32)
     whole, part = fingerprints.sketch(a), fingerprints.sketch(a[:1000])
@@ -446,6 +485,39 @@ def test_bin_completion(seed):
     assert packing.complete_bins({}, 100) == []
 
 
+def fewest_bins(items, room):
+    """The least number of bins by trying all: bins are opened one by one for the largest item left."""
+    items = tuple(sorted(items, reverse=True))
+
+    @functools.cache
+    def best(left):
+        if not left:
+            return 0
+        out = len(left)
+        for k in range(len(left)):
+            for more in set(itertools.combinations(left[1:], k)):
+                if left[0] + sum(more) <= room:
+                    rest = list(left[1:])
+                    for x in more:
+                        rest.remove(x)
+                    out = min(out, 1 + best(tuple(rest)))
+        return out
+
+    return best(items)
+
+
+def test_bin_completion_finds_the_optimum_that_best_fit_misses():
+    found = lambda plan: sum(n for n, _ in plan)
+    lost = ([11, 11, 7, 6, 6, 5, 4, 4, 3, 3], 20), ([17, 17, 16, 15, 14, 12, 11, 9, 9, 9, 5, 5, 5, 3], 30)
+    for items, room in lost:
+        counts = dict(collections.Counter(items))
+        assert found(packing.complete_bins(counts, room)) == found(packing.complete_bins(counts, room, None)) == found(packing.best_fit(counts, room)) - 1
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        items = [int(x) for x in rng.integers(2, 12, 9)]
+        assert found(packing.complete_bins(dict(collections.Counter(items)), 20, None)) == fewest_bins(items, 20)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
