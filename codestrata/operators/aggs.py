@@ -50,10 +50,12 @@ def coverage_summary(items: DataFrame, flag: str, empty: float = 100.0) -> DataF
 
 
 def duplicates(items: DataFrame, norm: str, item: str, min_lines: int = 3, lines: str | None = None) -> DataFrame:
-    """Groups of two or more items with the same normalised text."""
+    """Groups of two or more items with the same normalised text: h, n, first and each of their items, a row an occurrence."""
     if lines:
         items = items.filter(F.col(lines) >= min_lines)
-    return items.groupBy(F.md5(norm).alias("h")).agg(F.count("*").alias("n"), F.min(item).alias("first")).filter("n >= 2")
+    rows = items.select(F.md5(norm).alias("h"), F.col(item).alias("item"))
+    groups = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("item").alias("first")).filter("n >= 2")
+    return rows.join(groups, "h").select("h", "n", "first", "item")
 
 
 def rule_scan(lines: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -64,27 +66,43 @@ def rule_scan(lines: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 
 
 def test_coverage(defs: DataFrame, refs: DataFrame) -> DataFrame:
-    """Each definition (sym) with the number of distinct test files (ref_file) that refer to it."""
-    n = refs.groupBy("sym").agg(F.count_distinct("ref_file").alias("n"))
-    return defs.select("sym").join(n, "sym", "left").select("sym", F.coalesce("n", F.lit(0)).alias("test_files"), F.col("n").isNotNull().alias("covered"))
-
-
-def public_api(defs: DataFrame, exports: DataFrame) -> DataFrame:
-    """Top-level names: those exported where the file has an export list, else those without a leading underscore."""
-    listed = exports.select("repo", "path").distinct().withColumn("_has", F.lit(True))
-    named = exports.select("repo", "path", "name").distinct().withColumn("_in", F.lit(True))
-    rows = defs.filter("is_top").select("repo", "path", "name", "kind").distinct().join(listed, ["repo", "path"], "left").join(named, ["repo", "path", "name"], "left")
-    return rows.filter("coalesce(_in, false) or (_has is null and not startswith(name, '_'))").select("repo", "path", "name", "kind")
-
-
-def interface_conformance(methods: DataFrame, classes: int) -> DataFrame:
-    """Each method of a set of classes: in how many of them, common to all, with differing parameters. methods: cls, method, params."""
-    n = methods.groupBy("method").agg(F.count_distinct("cls").alias("n"), F.count_distinct("params").alias("p"))
-    return n.select("method", F.col("n").alias("classes"), (F.col("n") == classes).alias("common"), ((F.col("n") == classes) & (F.col("p") > 1)).alias("mismatched"))
-
-
-def protocol_text(methods: DataFrame, classes: int, first, name: str) -> DataFrame:
-    """A stub line for each common method by the first class; private ones but __init__ are left out."""
-    common = interface_conformance(methods, classes).filter("common and (not startswith(method, '_') or method = '__init__')").select("method")
-    lines = methods.filter(F.col("cls") == first).join(common, "method").agg(F.sort_array(F.collect_list(F.format_string("    def %s(%s): ...", "method", "params"))).alias("l"))
-    return lines.select(F.concat(F.lit(f"class {name}(Protocol):\n"), F.when(F.size("l") > 0, F.array_join("l", "\n")).otherwise("    pass")).alias("text"))
+    """Each definition (sym) with the distinct test files (ref_file) that refer to it: their number, their sorted list and whether there are any."""
+    n = refs.groupBy("sym").agg(F.sort_array(F.collect_set("ref_file")).alias("files"))
+    return defs.select("sym").join(n, "sym", "left").select("sym", F.coalesce(F.size("files"), F.lit(0)).alias("test_files"), "files", F.col("files").isNotNull().alias("covered"))
+
+
+def missing_annotations(facts: DataFrame) -> DataFrame:
+    """Functions that lack an annotation: repo, path, name, line, no_return, and the counted parameters without one, in order."""
+    functions = facts.filter("tag = 'def' and kind = 'function'").select("repo", "path", "nid", "name", "line", (~F.col("annotated")).alias("no_return"))
+    bare = facts.filter("tag = 'param' and role = '' and not annotated").groupBy("repo", "path", F.col("scope").alias("nid")).agg(F.sort_array(F.collect_list(F.struct("name_line", "name_col", "name"))).alias("p"))
+    rows = functions.join(bare, ["repo", "path", "nid"], "left").filter("no_return or p is not null")
+    return rows.select("repo", "path", "name", "line", "no_return", F.array_join(F.transform(F.coalesce("p", F.expr("array()")), lambda x: x["name"]), ",").alias("params"))
+
+
+def annotation_summary(facts: DataFrame) -> DataFrame:
+    """One row: functions and counted parameters, how many are annotated, and the share of both together in percent (100 without any)."""
+    functions, params = F.expr("tag = 'def' and kind = 'function'"), F.expr("tag = 'param' and role = ''")
+    n = facts.agg(F.count_if(functions).alias("functions"), F.count_if(functions & F.col("annotated")).alias("returns"), F.count_if(params).alias("params"), F.count_if(params & F.col("annotated")).alias("annotated"))
+    return n.withColumns({"part": F.col("returns") + F.col("annotated"), "whole": F.col("functions") + F.col("params")}).withColumn("pct", percentage("part", "whole", 100.0)).drop("part", "whole")
+
+
+def interface_conformance(methods: DataFrame, classes: list[str]) -> DataFrame:
+    """Each method of the named classes: in how many of them it is, whether in all (common), whether its parameters then differ
+    (mismatched), and for others the sorted classes that have it (only_in). methods: cls, method, params."""
+    own = methods.filter(F.col("cls").isin(*classes)).select("cls", "method", "params")
+    n = own.groupBy("method").agg(F.count_distinct("cls").alias("classes"), F.count_distinct("params").alias("p"), F.sort_array(F.collect_set("cls")).alias("has"))
+    common = F.col("classes") == len(set(classes))
+    return n.select("method", "classes", common.alias("common"), (common & (F.col("p") > 1)).alias("mismatched"), F.when(~common, F.array_join("has", ",")).alias("only_in"))
+
+
+def protocol_text(methods: DataFrame, classes: list[str], name: str = "GeneratedProtocol") -> DataFrame:
+    """The text of a protocol class: a line for each method that all named classes have, by the first of them, with its return
+    annotation; private ones but __init__ are left out, and without common methods there is a pass. methods: cls, method, params, returns."""
+    common = interface_conformance(methods, classes).filter("common").select("method")
+    shown = methods.filter(F.col("cls") == classes[0]).join(common, "method").groupBy("method").agg(F.min(F.struct("params", "returns")).alias("s"))
+    params = F.concat(F.lit("self"), F.when(F.col("s.params") != "", F.concat(F.lit(", "), "s.params")).otherwise(""))
+    line = F.concat(F.lit("    def "), "method", F.lit("("), params, F.lit(")"), F.coalesce(F.concat(F.lit(" -> "), "s.returns"), F.lit("")), F.lit(": ..."))
+    public = ~F.col("method").startswith("_") | (F.col("method") == "__init__")
+    lines = shown.agg(F.sort_array(F.collect_list(F.when(public, F.struct("method", line.alias("l"))))).alias("l"), F.count("*").alias("n"))
+    body = F.concat_ws("\n", F.lit(f"class {name}(Protocol):"), F.when(F.col("n") == 0, F.array(F.lit("    pass"))).otherwise(F.transform("l", lambda x: x["l"])))
+    return lines.select(F.concat(body, F.lit("\n")).alias("text"))

@@ -3,36 +3,47 @@
 from __future__ import annotations
 
 import builtins
+import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codestrata.functions.scalars import is_identifier
+from codestrata.operators import windows
+from codestrata.operators.filters import check_limit
 from codestrata.sources.facts import of
 
 FILE = ["repo", "path"]
 
 
+#: Shorthands without an argument and the node kinds that they find.
+PLAIN = {"assert": "Assert", "global": "Global", "raise": "Raise", "yield": "Yield", "except": "ExceptHandler"}
+
+
 def structural_search(facts: DataFrame, pattern: str | Column) -> DataFrame:
-    """Nodes or calls that match a shorthand or a predicate on nodes, in order of place."""
-    nodes, calls = of(facts, "node"), of(facts, "call")
-    where = ["repo", "path", "line", "col"]
+    """Nodes or calls that match a shorthand (in any case of letters) or a predicate on nodes, in order of place.
+
+    call:f finds calls by a plain name, attr_call:x.f calls of any object's f, except:E handlers of the plain name E,
+    decorator:d plain decorators; star_import, except, assert, global, raise and yield stand alone.
+    """
+    where = [*FILE, "line", "col"]
     if isinstance(pattern, Column):
-        return nodes.filter(pattern).select(*where).orderBy(*where)
-    head, _, arg = pattern.partition(":")
-    plain = {"assert": "Assert", "global": "Global", "raise": "Raise", "yield": "Yield"}
-    if head == "call":
-        found = calls.filter(F.col("name") == arg)
-    elif head == "attr_call":
-        owner, _, attr = arg.rpartition(".")
-        found = calls.filter((F.col("attr") == attr) & (F.lit(not owner) | (F.col("text") == owner)))
-    elif head == "star_import":
+        return of(facts, "node").filter(pattern).select(*where).orderBy(*where)
+    head, _, arg = pattern.strip().partition(":")
+    head = head.lower()
+    named = bool(re.fullmatch(r"\w+\.\w+" if head == "attr_call" else r"\w+", arg))
+    if head == "call" and named:
+        found = of(facts, "call").filter(F.col("name") == arg)
+    elif head == "attr_call" and named:
+        found = of(facts, "call").filter(F.col("attr") == arg.partition(".")[2])
+    elif head == "except" and named:
+        found = of(facts, "node").filter((F.col("kind") == "ExceptHandler") & (F.col("attr") == arg))
+    elif head == "decorator" and named:
+        found = of(facts, "node").filter((F.col("kind") == "Name") & (F.col("name") == arg) & (F.col("role") == "decorator"))
+    elif head == "star_import" and not arg:
         found = of(facts, "import").filter("name = '*'")
-    elif head == "except":
-        found = nodes.filter("kind = 'ExceptHandler'")
-    elif head == "decorator":
-        found = nodes.filter((F.col("kind").isin("Name", "Attribute")) & (F.col("name") == arg) & (F.col("role") == "decorator"))
-    elif head in plain:
-        found = nodes.filter(F.col("kind") == plain[head])
+    elif head in PLAIN and not arg:
+        found = of(facts, "node").filter(F.col("kind") == PLAIN[head])
     else:
         raise ValueError(f"unknown pattern {pattern!r}")
     return found.select(*where).orderBy(*where)
@@ -55,9 +66,9 @@ def absolutize(imports: DataFrame) -> DataFrame:
 
 
 def dependency_graph(facts: DataFrame) -> DataFrame:
-    """repo, src (module), dst: the imported module's own name if a file has it, else as written; resolved says which."""
+    """repo, src (module), dst: the imported module's own name if a file has it, else as written; resolved says which. Facts needed: file, import."""
     imports = absolutize(of(facts, "import"))
-    modules = of(facts, "node").select("repo", F.col("module").alias("m")).distinct()
+    modules = vertices(facts).withColumnRenamed("v", "m")
     # `from p import m` may name a module
     wide = imports.withColumn("deep", F.when(F.col("kind") == "from", F.concat_ws(".", "target", "name")))
     wide = wide.join(modules.select("repo", F.col("m").alias("deep"), F.lit(True).alias("_d")), ["repo", "deep"], "left")
@@ -65,6 +76,11 @@ def dependency_graph(facts: DataFrame) -> DataFrame:
     return wide.select("repo", F.col("module").alias("src"), F.when(F.col("_d"), F.col("deep")).otherwise(F.col("target")).alias("dst"), (F.coalesce("_d", F.lit(False)) | F.coalesce("_t", F.lit(False))).alias("resolved"))
 
 
+def vertices(facts: DataFrame) -> DataFrame:
+    """The modules of the corpus: repo, v."""
+    return of(facts, "file").select("repo", F.col("module").alias("v")).distinct()
+
+
 def unused_imports(facts: DataFrame) -> DataFrame:
     imports = of(facts, "import").filter("text <> '__future__' and coalesce(name, '') <> '*'")
     last = imports.groupBy(*FILE, F.col("asname").alias("name")).agg(F.max_by("text", "nid").alias("source"), F.max_by("line", "nid").alias("line"))
@@ -72,32 +88,98 @@ def unused_imports(facts: DataFrame) -> DataFrame:
     return last.join(used, [*FILE, "name"], "left_anti").join(of(facts, "export").select(*FILE, "name").distinct(), [*FILE, "name"], "left_anti")
 
 
-def unresolved_names(facts: DataFrame) -> DataFrame:
-    """Names read that the file defines, binds, imports or takes as a parameter nowhere, and that are no builtins."""
-    bound = of(facts, "def").select(*FILE, "name").union(of(facts, "param").select(*FILE, "name")).union(of(facts, "use").filter("kind = 'write'").select(*FILE, "name")).union(of(facts, "import").select(*FILE, F.col("asname").alias("name"))).distinct()
-    return of(facts, "use").filter("kind = 'read'").filter(~F.col("name").isin(*dir(builtins))).join(bound, [*FILE, "name"], "left_anti").select(*FILE, "name", "line", "col")
+def bindings(facts: DataFrame) -> DataFrame:
+    """The first place where each scope binds a name: repo, path, scope, name, place (line, col, kind) and what an import names.
+
+    Definitions, parameters, assignments (also by for, with, except) and imports bind; kinds: def, param, write, import.
+    """
+    none = F.lit(None).cast("string")
+    place = lambda kind: F.struct(F.col("name_line").alias("line"), F.col("name_col").alias("col"), F.lit(kind).alias("kind"))
+    defs = of(facts, "def").filter("kind <> 'variable'").select(*FILE, "scope", "name", place("def").alias("place"), none.alias("target"), none.alias("orig"))
+    params = of(facts, "param").select(*FILE, "scope", "name", place("param").alias("place"), none.alias("target"), none.alias("orig"))
+    writes = of(facts, "use").filter("kind = 'write'").select(*FILE, "scope", "name", F.struct("line", "col", F.lit("write").alias("kind")).alias("place"), none.alias("target"), none.alias("orig"))
+    imports = absolutize(of(facts, "import")).filter("coalesce(name, '') <> '*'").select(*FILE, "scope", F.col("asname").alias("name"), place("import").alias("place"), "target", F.coalesce("name", F.lit("")).alias("orig"))
+    every = defs.unionByName(params).unionByName(writes).unionByName(imports)
+    best = every.groupBy(*FILE, "scope", "name").agg(F.min_by(F.struct("place", "target", "orig"), "place").alias("b"))
+    return best.select(*FILE, "scope", "name", "b.place", "b.target", "b.orig")
+
+
+def _tops(facts: DataFrame) -> DataFrame:
+    """Top-level definitions and variables by module: repo, target, orig, far (path, line, col)."""
+    far = F.struct("path", F.col("name_line").alias("line"), F.col("name_col").alias("col"))
+    return of(facts, "def").filter("is_top").groupBy("repo", F.col("module").alias("target"), F.col("name").alias("orig")).agg(F.min(far).alias("far"))
+
+
+USE = [*FILE, "name", "line", "col"]
+
+
+def resolve_names(facts: DataFrame) -> DataFrame:
+    """Every name read with its definition: repo, path, name, line, col, def_path, def_line, def_col, kind (def, param, write or
+    import); the nearest scope that binds the name decides, and an import leads to the module's own definition if the
+    corpus has it. Names that no scope binds have nulls.
+
+    Reads of attributes (m.f) are in it where m is an imported module of the corpus and f is defined at its top.
+    Facts needed: def, param, use, import, attr.
+    """
+    bound, tops = bindings(facts), _tops(facts)
+    uses = of(facts, "use").filter("kind = 'read'").select(*USE, "scopes")
+    near = uses.select(*USE, F.posexplode("scopes").alias("depth", "scope")).join(bound, [*FILE, "name", "scope"])
+    best = near.groupBy(*USE).agg(F.min_by(F.struct("place", "target", "orig"), "depth").alias("b"))
+    found = uses.select(*USE).join(best, USE, "left").select(*USE, "b.place", "b.target", "b.orig")
+    local = found.join(tops, ["repo", "target", "orig"], "left")
+    to = {"def_path": F.when(F.col("place").isNotNull(), F.coalesce("far.path", "path")), "def_line": F.coalesce("far.line", "place.line"), "def_col": F.coalesce("far.col", "place.col"), "kind": F.when(F.col("far").isNotNull(), "def").otherwise(F.col("place.kind"))}
+    local = local.select(*USE, *[c.alias(k) for k, c in to.items()])
+    reads = of(facts, "attr").select(*FILE, "name", F.col("name_line").alias("line"), F.col("name_col").alias("col"), "text", F.split("text", r"\.")[0].alias("head"), "scopes")
+    owners = bound.filter("place.kind = 'import'").withColumnRenamed("name", "head").select(*FILE, "scope", "head", "target", "orig")
+    met = reads.select(*USE, "text", "head", F.posexplode("scopes").alias("depth", "scope")).join(owners, [*FILE, "head", "scope"])
+    met = met.groupBy(*USE, "text", "head").agg(F.min_by(F.struct("target", "orig"), "depth").alias("b"))
+    # import p.m binds p and is read as p.m.f; import p.m as x and from p import m are read as x.f and m.f
+    module = F.when(F.col("text") != F.col("head"), F.col("text")).when(F.col("b.orig") != "", F.concat_ws(".", "b.target", "b.orig")).otherwise(F.col("b.target"))
+    members = met.select(*USE, module.alias("target"), F.col("name").alias("orig")).join(tops, ["repo", "target", "orig"])
+    members = members.select(*USE, F.col("far.path").alias("def_path"), F.col("far.line").alias("def_line"), F.col("far.col").alias("def_col"), F.lit("def").alias("kind"))
+    return local.unionByName(members)
 
 
-def goto_definition(facts: DataFrame) -> DataFrame:
-    """For each name read: its definition at the top of the file or of the module it is imported from (rank 1 or 2)."""
-    uses = of(facts, "use").filter("kind = 'read'").select(*FILE, "name", "line", "col")
-    tops = of(facts, "def").filter("is_top").select("repo", F.col("path").alias("def_path"), "module", "name", F.col("line").alias("def_line"))
-    local = uses.join(tops.select("repo", F.col("def_path").alias("path"), "name", F.col("def_path"), "def_line"), [*FILE, "name"]).withColumn("rank", F.lit(1))
-    imports = absolutize(of(facts, "import").filter("kind = 'from'")).select(*FILE, F.col("asname").alias("name"), F.col("name").alias("orig"), "target").distinct()
-    far = uses.join(imports, [*FILE, "name"]).join(tops.select("repo", F.col("module").alias("target"), F.col("name").alias("orig"), "def_path", "def_line"), ["repo", "target", "orig"])
-    both = local.select(*FILE, "name", "line", "col", "def_path", "def_line", "rank").unionByName(far.select(*FILE, "name", "line", "col", "def_path", "def_line", F.lit(2).alias("rank")))
-    best = both.groupBy(*FILE, "name", "line", "col").agg(F.min_by(F.struct("def_path", "def_line"), F.struct("rank", "def_path", "def_line")).alias("d"))
-    return best.select(*FILE, "name", "line", "col", "d.def_path", "d.def_line")
+def unresolved_names(facts: DataFrame) -> DataFrame:
+    """Names read that no scope around them binds and that are no builtins."""
+    return resolve_names(facts).filter(F.col("def_path").isNull() & ~F.col("name").isin(*dir(builtins))).select(*USE)
 
 
-def find_references(facts: DataFrame) -> DataFrame:
-    """goto_definition turned around: uses and files of each top-level definition that is used."""
-    return goto_definition(facts).groupBy("repo", "def_path", "name").agg(F.count("*").alias("uses"), F.count_distinct("path").alias("files"))
+def goto_definition(facts: DataFrame) -> DataFrame:
+    """resolve_names' rows that have a definition."""
+    return resolve_names(facts).filter(F.col("def_path").isNotNull())
+
+
+def find_references(facts: DataFrame, include_declaration: bool = False, limit: int | None = None) -> DataFrame:
+    """Reads and imports of each definition by place: repo, def_path, def_line, def_col, path, name, line, col, total (of the definition),
+    truncated. At most `limit` rows a definition, in order of place; the definition itself only if asked for.
+    """
+    check_limit(limit)
+    at = ["repo", "def_path", "def_line", "def_col"]
+    rows = goto_definition(facts).filter("kind <> 'import'").select(*at, "path", "name", "line", "col")
+    named = absolutize(of(facts, "import")).filter("kind = 'from'").select("repo", "target", F.col("name").alias("orig"), "path", F.col("name_line").alias("line"), F.col("name_col").alias("col"))
+    named = named.join(_tops(facts), ["repo", "target", "orig"]).select("repo", F.col("far.path").alias("def_path"), F.col("far.line").alias("def_line"), F.col("far.col").alias("def_col"), "path", F.col("orig").alias("name"), "line", "col")
+    rows = rows.unionByName(named)
+    if include_declaration:
+        rows = rows.unionByName(bindings(facts).filter("place.kind <> 'import'").select("repo", F.col("path").alias("def_path"), F.col("place.line").alias("def_line"), F.col("place.col").alias("def_col"), "path", "name", F.col("place.line").alias("line"), F.col("place.col").alias("col")))
+    rows = rows.distinct()
+    total = rows.groupBy(*at).agg(F.count("*").alias("total"))
+    rows = rows.join(total, at)
+    if limit is None:
+        return rows.withColumn("truncated", F.lit(False))
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*at).orderBy("path", "line", "col")))
+    return ranked.filter(F.col("_n") <= limit).drop("_n").withColumn("truncated", F.col("total") > limit)
+
+
+def reference_counts(facts: DataFrame) -> DataFrame:
+    """Uses and files of each top-level definition that is used."""
+    rows = find_references(facts)
+    return rows.groupBy("repo", "def_path", "def_line", "name").agg(F.count("*").alias("uses"), F.count_distinct("path").alias("files"))
 
 
 def highlights(facts: DataFrame, name: Column) -> DataFrame:
-    """Reads and writes of a name in each file. name: a column of the name wanted."""
-    return of(facts, "use").filter(F.col("name") == name).groupBy(*FILE, "name").agg(F.count_if(F.col("kind") == "read").alias("reads"), F.count_if(F.col("kind") == "write").alias("writes"))
+    """The places of a name in each file with kind read or write. name: a column of the name wanted."""
+    return of(facts, "use").filter((F.col("name") == name) & F.col("name_col").isNotNull()).select(*USE, "kind")
 
 
 def sub_definitions(facts: DataFrame) -> DataFrame:
@@ -125,19 +207,38 @@ def find_implementations(facts: DataFrame, closure: DataFrame, method: str) -> D
 
 
 def type_definition(facts: DataFrame) -> DataFrame:
-    """The class that each parameter's annotation names."""
+    """The class that the annotation of each parameter and annotated variable names; of classes of one name in a repo the one
+    in the same file, else the first by path."""
     classes = of(facts, "def").filter("kind = 'class'").select("repo", F.col("name").alias("attr"), F.col("path").alias("def_path")).distinct()
-    return of(facts, "param").filter("attr is not null").join(classes, ["repo", "attr"]).select(*FILE, "name", F.col("attr").alias("cls"), "def_path")
+    noted = of(facts, "param").filter("attr is not null").select(*FILE, "name", "attr", "name_line", "name_col")
+    noted = noted.unionByName(of(facts, "def").filter("kind = 'variable' and returns is not null").select(*FILE, "name", F.col("returns").alias("attr"), "name_line", "name_col"))
+    met = noted.join(classes, ["repo", "attr"])
+    best = met.groupBy(*noted.columns).agg(F.min(F.struct((F.col("path") != F.col("def_path")).alias("far"), "def_path")).alias("d"))
+    return best.select(*FILE, "name", F.col("name_line").alias("line"), F.col("attr").alias("cls"), "d.def_path")
+
+
+#: Kinds of references to a class.
+TYPE_KINDS = ("annotation", "subclass", "instantiation", "other")
 
 
-def type_users(facts: DataFrame) -> DataFrame:
-    """References to each class of the corpus by kind: annotation, subclass, instantiation, other (that precedence); imports are other."""
+def type_users(facts: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """References to each class of the corpus by place: repo, name, path, line, col, kind (annotation, subclass, instantiation,
+    other, in that precedence; imports are other), of the kinds asked for."""
+    if kinds is not None and (unknown := set(kinds) - set(TYPE_KINDS)):
+        raise ValueError(f"unknown kinds {sorted(unknown)}")
     classes = of(facts, "def").filter("kind = 'class'").select("repo", "name").distinct()
     kind = F.when(F.col("role") == "annotation", "annotation").when(F.col("role") == "base", "subclass").when(F.col("role") == "call", "instantiation").otherwise("other")
-    refs = of(facts, "use").select("repo", "name", kind.alias("kind")).unionByName(of(facts, "import").filter("kind = 'from'").select("repo", "name", F.lit("other").alias("kind")))
-    n = refs.join(classes, ["repo", "name"]).groupBy("repo", "name").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("annotation", "subclass", "instantiation", "other")])
-    zero = {k: F.coalesce(k, F.lit(0)) for k in ("annotation", "subclass", "instantiation", "other")}
-    return classes.join(n, ["repo", "name"], "left").withColumns(zero)
+    uses = of(facts, "use").select("repo", "name", "path", "line", "col", kind.alias("kind"))
+    imports = of(facts, "import").filter("kind = 'from'").select("repo", "name", "path", F.col("name_line").alias("line"), F.col("name_col").alias("col"), F.lit("other").alias("kind"))
+    rows = uses.unionByName(imports).join(classes, ["repo", "name"], "left_semi")
+    return rows.filter(F.col("kind").isin(*kinds)) if kinds is not None else rows
+
+
+def type_user_counts(facts: DataFrame) -> DataFrame:
+    """References to each class by kind, 0 where none."""
+    classes = of(facts, "def").filter("kind = 'class'").select("repo", "name").distinct()
+    n = type_users(facts).groupBy("repo", "name").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in TYPE_KINDS])
+    return classes.join(n, ["repo", "name"], "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in TYPE_KINDS})
 
 
 def constructor_sites(facts: DataFrame) -> DataFrame:
@@ -147,30 +248,85 @@ def constructor_sites(facts: DataFrame) -> DataFrame:
 
 
 def call_edges(facts: DataFrame) -> DataFrame:
-    """repo, src, dst: function to the function it calls by name."""
-    fns = of(facts, "def").filter("kind = 'function'").select(*FILE, F.col("nid").alias("fn"), F.col("name").alias("src"))
-    names = fns.select("repo", F.col("src").alias("dst")).distinct()
-    calls = of(facts, "call").filter("name is not null and size(fn_path) > 0").select(*FILE, F.element_at("fn_path", -1).alias("fn"), F.col("name").alias("dst"))
-    return calls.join(fns, [*FILE, "fn"]).join(names, ["repo", "dst"]).select("repo", "src", "dst").distinct()
+    """repo, src, dst: each function and the functions that it calls, as path:name, by the definitions that names lead to.
+    Facts needed: def, param, use, import, attr, call."""
+    fns = of(facts, "def").filter("kind = 'function'").select(*FILE, F.col("nid").alias("fn"), F.concat_ws(":", "path", "name").alias("src"), "name_line", "name_col")
+    calls = of(facts, "call").filter("size(fn_path) > 0 and coalesce(name, attr) is not null")
+    calls = calls.select(*FILE, F.element_at("fn_path", -1).alias("fn"), F.coalesce("name", "attr").alias("name"), "line", "col", "end_line", "end_col")
+    # the name called is the read that the call's range holds
+    led = goto_definition(facts).select("repo", "path", "name", F.col("line").alias("at"), F.col("col").alias("at_col"), "def_path", "def_line", "def_col")
+    met = calls.join(led, [*FILE, "name"]).filter("line <= at and at <= end_line and (at > line or at_col >= col) and (at < end_line or at_col < end_col)")
+    callee = fns.select("repo", F.col("path").alias("def_path"), F.col("name_line").alias("def_line"), F.col("name_col").alias("def_col"), F.col("src").alias("dst"))
+    return met.join(callee, ["repo", "def_path", "def_line", "def_col"]).join(fns.select(*FILE, "fn", "src"), [*FILE, "fn"]).select("repo", "src", "dst").distinct()
+
+
+#: Rule, severity and message of calls by name, of calls of a module's functions, and of subprocess calls with shell=True.
+CALLS = {
+    ("", "eval"): ("SEC001", "high", "Use of eval() can execute arbitrary code"),
+    ("", "exec"): ("SEC002", "high", "Use of exec() can execute arbitrary code"),
+    ("", "compile"): ("SEC003", "medium", "Use of compile() may execute arbitrary code"),
+    ("", "__import__"): ("SEC004", "medium", "Dynamic import via __import__()"),
+    ("os", "system"): ("SEC010", "high", "os.system() is vulnerable to shell injection"),
+    ("os", "popen"): ("SEC011", "high", "os.popen() is vulnerable to shell injection"),
+    ("pickle", "loads"): ("SEC020", "high", "pickle.loads() can execute arbitrary code during deserialization"),
+    ("pickle", "load"): ("SEC021", "high", "pickle.load() can execute arbitrary code during deserialization"),
+    ("yaml", "load"): ("SEC022", "medium", "yaml.load() without SafeLoader can execute arbitrary code"),
+    ("marshal", "loads"): ("SEC023", "high", "marshal.loads() can execute arbitrary code"),
+}
+SHELL = ("call", "run", "Popen", "check_call", "check_output")
+
+
+def call_rules(facts: DataFrame) -> DataFrame:
+    """Risky calls: repo, path, line, rule_id, severity, message, snippet (the stripped line of the call)."""
+    table = [(o, f, *rule, False) for (o, f), rule in CALLS.items()]
+    table += [("subprocess", f, "SEC030", "high", f"subprocess.{f}() with shell=True is vulnerable to injection", True) for f in SHELL]
+    # broadcast: the rules
+    rules = F.broadcast(facts.sparkSession.createDataFrame(table, "owner string, fn string, rule_id string, severity string, message string, shell boolean"))
+    calls = of(facts, "call").filter("name is not null or kind = 'plain'").withColumns({"owner": F.coalesce("text", F.lit("")), "fn": F.coalesce("name", "attr")})
+    return calls.join(rules, ["owner", "fn"]).filter(~F.col("shell") | F.array_contains("args", "shell=True")).select(*FILE, "line", "rule_id", "severity", "message", "snippet")
+
+
+def class_methods(facts: DataFrame) -> DataFrame:
+    """repo, path, cls, method, params (plain parameters but self and cls, joined by a comma), returns of every class's own methods."""
+    defs = of(facts, "def")
+    outer = defs.filter("kind = 'class'").select(*FILE, F.col("nid").alias("scope"), F.col("name").alias("cls"))
+    plain = of(facts, "param").filter("role = ''").groupBy(*FILE, F.col("scope").alias("nid")).agg(F.sort_array(F.collect_list(F.struct("name_line", "name_col", "name"))).alias("p"))
+    methods = defs.filter("kind = 'function'").join(outer, [*FILE, "scope"]).join(plain, [*FILE, "nid"], "left")
+    params = F.array_join(F.transform(F.coalesce("p", F.expr("array()")), lambda x: x["name"]), ", ")
+    return methods.select(*FILE, "cls", F.col("name").alias("method"), params.alias("params"), "returns")
 
 
-def call_rules(facts: DataFrame, bare: list[str]) -> DataFrame:
-    return of(facts, "call").filter(F.col("name").isin(*bare)).select(*FILE, "line", F.col("name").alias("call"))
+EDIT = ["start_line", "start_col", "end_line", "end_col", "new_text"]
 
 
 def rename_edits(facts: DataFrame, renames: DataFrame) -> DataFrame:
-    """Edits (repo, path, range, new_text) that rename top-level functions and classes: at the definition, its uses in the
-    module, imports of it and uses in the importing modules. renames: repo, module, old, new."""
-    defs = of(facts, "def").filter("is_top and kind <> 'variable'").select(*FILE, "module", F.col("name").alias("old"), "line", "col", "kind")
-    head = F.when(F.col("kind") == "class", 6).otherwise(4)
-    at_def = defs.join(renames, ["repo", "module", "old"]).select(*FILE, "line", (F.col("col") + head).alias("col"), "old", "new")
-    uses = of(facts, "use").select(*FILE, "module", F.col("name").alias("old"), "line", "col")
-    local = uses.join(renames, ["repo", "module", "old"]).select(*FILE, "line", "col", "old", "new")
-    imports = absolutize(of(facts, "import").filter("kind = 'from' and name <> '*'"))
-    far = imports.withColumnRenamed("name", "old").join(renames.withColumnRenamed("module", "target"), ["repo", "target", "old"])
-    at_import = far.select(*FILE, "line", F.lit(-1).alias("col"), "old", "new")
-    in_far = uses.join(far.filter("asname = old").select(*FILE, "old", "new").distinct(), [*FILE, "old"]).select(*FILE, "line", "col", "old", "new")
-    return at_def.unionByName(local).unionByName(at_import).unionByName(in_far).distinct()
+    """Edits (repo, path, range, new_text) that rename top-level functions, classes and variables: at the definition, at imports
+    of it and at the reads that lead to it, scope by scope. renames: repo, module, old, new; a new name must be a usable one.
+
+    Names that a file gives an import (import f as g) stay; so do strings such as those of export lists.
+    """
+    usable = F.when(is_identifier(F.col("new")), F.col("new")).otherwise(F.raise_error(F.concat(F.lit("not a usable name: "), F.coalesce("new", F.lit("null")))).cast("string"))
+    at = _tops(facts).join(renames.select("repo", F.col("module").alias("target"), F.col("old").alias("orig"), usable.alias("new_text")), ["repo", "target", "orig"])
+    at = at.select("repo", F.col("far.path").alias("def_path"), F.col("far.line").alias("def_line"), F.col("far.col").alias("def_col"), F.col("orig").alias("name"), "new_text")
+    rows = find_references(facts, include_declaration=True).join(at, ["repo", "def_path", "def_line", "def_col", "name"])
+    writes = of(facts, "use").filter("kind = 'write' and scope = 0").select("repo", F.col("path").alias("def_path"), "name", "line", "col")
+    again = writes.join(at, ["repo", "def_path", "name"]).select("repo", F.col("def_path").alias("path"), "name", "line", "col", "new_text")
+    rows = rows.select("repo", "path", "name", "line", "col", "new_text").unionByName(again).distinct()
+    return rows.select(*FILE, F.col("line").alias("start_line"), F.col("col").alias("start_col"), F.col("line").alias("end_line"), (F.col("col") + F.length("name")).alias("end_col"), "new_text")
+
+
+def star_edits(facts: DataFrame) -> DataFrame:
+    """Edits that put the names which a file reads in place of the * of its star imports; a star of which nothing is read stays."""
+    stars = of(facts, "import").filter("name = '*'").select(*FILE, "line", "name_line", "name_col")
+    names = expand_star(facts).select(*FILE, "line", F.col("names").alias("new_text"))
+    rows = stars.join(names, [*FILE, "line"])
+    return rows.select(*FILE, F.col("name_line").alias("start_line"), F.col("name_col").alias("start_col"), F.col("name_line").alias("end_line"), (F.col("name_col") + 1).alias("end_col"), "new_text")
+
+
+def absolute_edits(facts: DataFrame) -> DataFrame:
+    """Edits that put the absolute module in place of a relative one."""
+    rows = absolutize(of(facts, "import")).filter("level > 0 and mod_col is not null and target <> ''")
+    return rows.select(*FILE, F.col("line").alias("start_line"), F.col("mod_col").alias("start_col"), F.col("line").alias("end_line"), F.col("mod_end").alias("end_col"), F.col("target").alias("new_text")).distinct()
 
 
 def expand_star(facts: DataFrame) -> DataFrame:
@@ -181,7 +337,14 @@ def expand_star(facts: DataFrame) -> DataFrame:
     return stars.join(api, ["repo", "target"]).join(used, [*FILE, "name"]).groupBy(*FILE, "line", "target").agg(F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("names"))
 
 
+#: Statements that fold.
+FOLDING = ("FunctionDef", "AsyncFunctionDef", "ClassDef", "If", "For", "While", "With", "AsyncWith", "AsyncFor", "Try")
+
+
 def folding_ranges(facts: DataFrame) -> DataFrame:
-    """Compound statements of more than one line (region)."""
-    kinds = ("FunctionDef", "AsyncFunctionDef", "ClassDef", "If", "For", "AsyncFor", "While", "With", "AsyncWith", "Try", "Match")
-    return of(facts, "node").filter(F.col("kind").isin(*kinds) & (F.col("end_line") > F.col("line"))).select(*FILE, F.col("line").alias("first"), F.col("end_line").alias("last"), F.lit("region").alias("fold"))
+    """Compound statements of more than one line (region), and runs of imports at the top of a file (imports)."""
+    nodes = of(facts, "node")
+    regions = nodes.filter(F.col("kind").isin(*FOLDING) & (F.col("end_line") > F.col("line"))).select(*FILE, F.col("line").alias("first"), F.col("end_line").alias("last"), F.lit("region").alias("fold"))
+    tops = nodes.filter("is_top").select(*FILE, "nid", "line", "end_line", F.col("kind").isin("Import", "ImportFrom").cast("int").alias("flag"))
+    runs = windows.runs(tops, FILE, "nid", "flag", 1, ("line", "end_line")).filter("to > from")
+    return regions.unionByName(runs.select(*FILE, F.col("from").alias("first"), F.col("to").alias("last"), F.lit("imports").alias("fold")))

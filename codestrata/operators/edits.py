@@ -4,37 +4,71 @@ from __future__ import annotations
 
 import keyword
 import re
+import sys
+from bisect import bisect_right
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BREAK = "\r\n|\r|\n"
+RANGES = "array<struct<lo:int,hi:int,ok:boolean>>"
+
+
+def _starts(text: str) -> list[int]:
+    """0-based offset of each line, then the length of the text plus 1."""
+    return [0, *(m.end() for m in re.finditer(BREAK, text)), len(text) + 1]
+
+
+def _offset(starts: list[int], line: int | None, col: int | None) -> int | None:
+    """The offset of (line, col), None out of range; (number of lines, 0) is the end of the text."""
+    if line is None or col is None or line < 0 or col < 0 or line >= len(starts):
+        return None
+    if line == len(starts) - 1:
+        return starts[-1] - 1 if col == 0 else None
+    return starts[line] + col if starts[line] + col < starts[line + 1] else None
 
 
 def line_starts(files: DataFrame, key: str, content: str) -> DataFrame:
-    """key, starts: 0-based offset of each line, then the length of the text plus 1."""
-    ends = F.regexp_extract_all(F.col(content), F.lit(f"({BREAK})"), F.lit(1))
-    parts = F.split(content, BREAK, -1)
-    sizes = F.transform(parts, lambda p, i: F.length(p) + F.coalesce(F.length(F.get(ends, i)), F.lit(1)))
-    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    return files.select(key, starts.alias("starts"))
+    """key, starts: 0-based offset of each line, then the length of the text plus 1. One pass over each text."""
+
+    @F.pandas_udf("array<int>")
+    def starts(text: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _starts(t) for t in text], dtype=object)
+
+    return files.select(key, starts(content).alias("starts"))
 
 
 def to_offset(positions: DataFrame, files: DataFrame, key: str, content: str) -> DataFrame:
-    """The offset of (line, col), null out of range; (number of lines, 0) is the end of the text."""
-    met = positions.join(line_starts(files, key, content), key)
-    start, after = F.get("starts", F.col("line")), F.get("starts", F.col("line") + 1)
+    """The offset of (line, col), null out of range; (number of lines, 0) is the end of the text.
+
+    A file's positions are put together, so its lines are counted once, whatever their number.
+    """
+    names = positions.columns
+    per = positions.groupBy(key).agg(F.collect_list(F.struct(*names)).alias("_p")).join(line_starts(files, key, content), key)
+    start, after = (lambda x: F.get("starts", x["line"])), (lambda x: F.get("starts", x["line"] + 1))
     end = F.element_at("starts", -1) - 1
-    at = F.when((F.col("line") == F.size("starts") - 1) & (F.col("col") == 0), end).when((F.col("line") >= 0) & (F.col("col") >= 0) & (start + F.col("col") < after), start + F.col("col"))
-    return met.select(*positions.columns, at.alias("offset"))
+    at = lambda x: F.when((x["line"] == F.size("starts") - 1) & (x["col"] == 0), end).when((x["line"] >= 0) & (x["col"] >= 0) & (start(x) + x["col"] < after(x)), start(x) + x["col"])
+    met = per.select(F.explode(F.transform("_p", lambda x: F.struct(x.alias("p"), at(x).alias("offset")))).alias("_x"))
+    return met.select("_x.p.*", "_x.offset")
 
 
 def to_position(offsets: DataFrame, files: DataFrame, key: str, content: str) -> DataFrame:
-    """line and col of an offset; null out of range."""
-    met = offsets.join(line_starts(files, key, content), key)
-    line = F.size(F.filter(F.slice("starts", F.lit(1), F.size("starts") - 1), lambda s: s <= F.col("offset"))) - 1
-    ok = (F.col("offset") >= 0) & (F.col("offset") < F.element_at("starts", -1))
-    return met.select(*offsets.columns, F.when(ok, line).alias("line"), F.when(ok, F.col("offset") - F.get("starts", line)).alias("col"))
+    """line and col of an offset; null out of range. A search over the line starts for each offset."""
+
+    @F.pandas_udf("struct<line:int,col:int>")
+    def place(text: pd.Series, at: pd.Series) -> pd.DataFrame:
+        rows, last, starts = [], None, []
+        for t, offsets in zip(text, at):
+            starts = starts if t is last else _starts(t)
+            last = t
+            k = None if offsets is None or not 0 <= offsets < starts[-1] else bisect_right(starts, offsets, 0, len(starts) - 1) - 1
+            rows.append((k, None if k is None else int(offsets) - starts[k]))
+        return pd.DataFrame(rows, columns=["line", "col"]).astype("Int32")
+
+    met = offsets.join(files.select(key, F.col(content).alias("_t")), key)
+    return met.withColumn("_x", place("_t", F.col("offset").cast("long"))).select(*offsets.columns, "_x.line", "_x.col")
 
 
 def end_position(files: DataFrame, key: str, content: str) -> DataFrame:
@@ -42,29 +76,67 @@ def end_position(files: DataFrame, key: str, content: str) -> DataFrame:
     return files.select(key, (F.size(parts) - 1).alias("end_line"), F.length(F.element_at(parts, -1)).alias("end_col"))
 
 
+def _with_edits(files: DataFrame, edits: DataFrame, key: str, content: str, how: str) -> DataFrame:
+    """key, _t (the text) and _e: the file's edits as an array."""
+    per = edits.groupBy(key).agg(F.collect_list(F.struct("start_line", "start_col", "end_line", "end_col", "new_text", "seq")).alias("_e"))
+    return files.select(key, F.col(content).alias("_t")).join(per, key, how)
+
+
+def _resolved(text: str, edits) -> list[tuple]:
+    """(lo, hi, seq, place in edits, ok) by lo, hi, seq; inverted, overlapping or out-of-range edits are not ok, touching ones are."""
+    starts = _starts(text)
+    rows = [(_offset(starts, e["start_line"], e["start_col"]), _offset(starts, e["end_line"], e["end_col"]), e["seq"], k) for k, e in enumerate(edits)]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2]))
+    out, reached = [], 0
+    for lo, hi, seq, k in rows:
+        out.append((lo, hi, seq, k, lo is not None and hi is not None and reached <= lo <= hi))
+        reached = max(reached, hi or 0)
+    return out
+
+
 def resolve_edits(files: DataFrame, edits: DataFrame, key: str, content: str) -> DataFrame:
-    """Edits with offsets and ok: inverted, overlapping or out-of-range edits are not. Touching ones are."""
-    rows = edits.join(line_starts(files, key, content), key)
+    """Edits with offsets (lo, hi) and ok: inverted, overlapping or out-of-range edits are not. Touching ones are."""
 
-    def at(line, col):
-        start = F.get("starts", F.col(line))
-        return F.when((F.col(line) == F.size("starts") - 1) & (F.col(col) == 0), F.element_at("starts", -1) - 1).when(start + F.col(col) < F.get("starts", F.col(line) + 1), start + F.col(col))
+    @F.pandas_udf(RANGES)
+    def resolve(text: pd.Series, edits: pd.Series) -> pd.Series:
+        out = []
+        for t, e in zip(text, edits):
+            rows = sorted(_resolved(t, e), key=lambda r: r[3])
+            out.append([{"lo": lo, "hi": hi, "ok": ok} for lo, hi, _, _, ok in rows])
+        return pd.Series(out, dtype=object)
 
-    rows = rows.withColumns({"lo": at("start_line", "start_col"), "hi": at("end_line", "end_col")}).drop("starts")
-    before = F.max("hi").over(Window.partitionBy(key).orderBy("lo", "hi", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("ok", F.coalesce((F.col("lo") <= F.col("hi")) & (F.coalesce(before, F.lit(0)) <= F.col("lo")), F.lit(False)))
+    met = _with_edits(files, edits, key, content, "inner")
+    rows = met.select(key, F.explode(F.arrays_zip(F.col("_e"), resolve("_t", "_e").alias("_r"))).alias("_x"))
+    return rows.select(key, "_x._e.*", "_x._r.*")
 
 
 def apply_edits(files: DataFrame, edits: DataFrame, key: str, content: str) -> DataFrame:
-    """key and the text after its edits (key, range, new_text, seq), from the last to the first; inserts at one place come out in
-    reverse order of seq. Files without edits come as they are; a file with a bad edit keeps its text and has rejected set."""
-    done = resolve_edits(files, edits, key, content)
-    per = done.groupBy(key).agg(F.min("ok").alias("good"), F.sort_array(F.collect_list(F.struct("lo", F.col("seq").alias("s"), "hi", "new_text")), asc=False).alias("e"))
-    keep = lambda t, lo, hi, new: F.concat(F.substr(t, F.lit(1), lo), new, F.substr(t, hi + 1))
-    # from the end: of edits at one place the first in seq is applied last
-    order = F.array_sort("e", lambda a, b: F.when(a["lo"] != b["lo"], F.when(a["lo"] > b["lo"], -1).otherwise(1)).otherwise(F.when(a["s"] < b["s"], -1).otherwise(1)))
-    text = F.aggregate(order, F.col(content), lambda t, x: keep(t, x["lo"], x["hi"], x["new_text"]))
-    return files.join(per, key, "left").select(key, F.when(F.coalesce("good", F.lit(False)), text).otherwise(F.col(content)).alias(content), (~F.coalesce("good", F.lit(True))).alias("rejected"))
+    """key and the text after its edits (key, range, new_text, seq); inserts at one place come out in reverse order of seq. Files
+    without edits come as they are; a file with a bad edit keeps its text and has rejected set.
+
+    Each text is cut once into what stays between edits, so the time grows with its length and the number of its edits.
+    """
+
+    @F.pandas_udf("struct<text:string,rejected:boolean>")
+    def apply(text: pd.Series, edits: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, e in zip(text, edits):
+            rows = _resolved(t, e) if t is not None else []
+            if t is None or not all(r[4] for r in rows):
+                out.append((t, True))
+                continue
+            # by place; inserts at one place from the last in seq to the first, before what replaces text there
+            rows.sort(key=lambda r: (r[0], r[1], -r[2]))
+            parts, at = [], 0
+            for lo, hi, _, k, _ in rows:
+                parts += [t[at:lo], e[k]["new_text"] or ""]
+                at = hi
+            out.append(("".join([*parts, t[at:]]), False))
+        return pd.DataFrame(out, columns=["text", "rejected"])
+
+    met = _with_edits(files, edits, key, content, "left")
+    done = met.filter("_e is not null").withColumn("_x", apply("_t", "_e")).select(key, F.col("_x.text").alias(content), "_x.rejected")
+    return done.unionByName(met.filter("_e is null").select(key, F.col("_t").alias(content), F.lit(False).alias("rejected")))
 
 
 EDIT = "struct<path:string,start_line:int,start_col:int,end_line:int,end_col:int,new_text:string>"
@@ -105,6 +177,9 @@ def committed(changes: DataFrame, batches: DataFrame) -> DataFrame:
 
 
 def check_name(name: str) -> str:
-    if not re.fullmatch(r"[A-Za-z_]\w*", name) or keyword.iskeyword(name):
+    if not name.isidentifier() or keyword.iskeyword(name):
         raise ValueError(f"{name!r} is not a usable name")
     return name
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

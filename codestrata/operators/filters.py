@@ -62,12 +62,16 @@ def order_locations(df: DataFrame, *more: str) -> DataFrame:
     return df.orderBy(*RANGE, *more)
 
 
+def check_limit(limit: int | None) -> None:
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be at least 1")
+
+
 def top(df: DataFrame, order: list[str], limit: int | None) -> DataFrame:
     """The first `limit` rows and whether there are more (truncated)."""
     if limit is None:
         return df.orderBy(*order).withColumn("truncated", F.lit(False))
-    if limit < 1:
-        raise ValueError("limit must be at least 1")
+    check_limit(limit)
     # at most limit + 1 rows meet in one task
     first = df.orderBy(*order).limit(limit + 1)
     rows = first.withColumn("_n", F.row_number().over(Window.orderBy(*order)))

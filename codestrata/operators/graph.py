@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.scalars import half_up
@@ -15,10 +16,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage by files in the shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "codestrata-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a local session, whose driver and executors are one process, may come without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or os.path.join(tempfile.gettempdir(), "codestrata-checkpoints")
+
+
 def coupling(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """Distinct neighbours in (ca) and out (ce) within the vertices, and instability ce / (ca + ce) to 3 places, 0 when isolated."""
     inside = edges.join(vertices.select(F.col("v").alias("src")), "src", "left_semi").join(vertices.select(F.col("v").alias("dst")), "dst", "left_semi").filter("src <> dst")
@@ -34,10 +43,10 @@ def layer_violations(edges: DataFrame, layer_of: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").filter("src_layer > dst_layer").select("src", "dst", "src_layer", "dst_layer")
 
 
-def assign_layers(vertices: DataFrame, layers: list[str]) -> DataFrame:
-    """v and the index of the first declared layer equal to a whole component of v (by / or .)."""
+def assign_layers(vertices: DataFrame, layers: list[list[str]]) -> DataFrame:
+    """v and its layer: of the declared names in order, the first that is a whole component of v (by / or .) decides. layers: lists of names, from the top."""
     parts = F.split("v", r"[/.]")
-    hit = F.filter(F.array(*[F.when(F.array_contains(parts, n), F.lit(i)) for i, n in enumerate(layers)]), lambda x: x.isNotNull())
+    hit = F.filter(F.array(*[F.when(F.array_contains(parts, n), F.lit(i)) for i, names in enumerate(layers) for n in names]), lambda x: x.isNotNull())
     return vertices.select("v", F.get(hit, F.lit(0)).alias("layer")).filter("layer is not null")
 
 
@@ -84,23 +93,26 @@ def reach(edges: DataFrame) -> DataFrame:
 def sccs(edges: DataFrame) -> DataFrame:
     """node, component (least node) of strongly connected components with more than one node or a self-loop.
 
-    Each round gives every node the least label that reaches it forwards; the nodes that the label's own node can reach
-    back to within that label are one component and leave. What is left goes on.
+    Nodes without an edge in or out leave first, in rounds; that alone clears trees and chains' ends. Then each round gives
+    every node the least label that reaches it forwards; the nodes that the label's own node can reach back to within that
+    label are one component and leave. What is left goes on. Labels travel along doubled steps (_spread), so rounds grow
+    with the logarithm of the longest path.
     """
     left = checkpoint(edges.select("src", "dst").distinct())
     loops = left.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     left = checkpoint(left.filter("src <> dst"))
     out = loops
     while not left.isEmpty():
+        left = _trim(left)
+        if left.isEmpty():
+            break
         nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
         color = _spread(nodes.withColumn("c", F.col("node")), left, "src", "dst")
+        own = color.select("node", F.col("c").alias("color"))
         kept = checkpoint(left.join(color.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(color.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").filter("cs = cd").select("src", "dst", F.col("cs").alias("c")))
-        back = checkpoint(color.filter("node = c").select("node", "c"))
-        front = back
-        while not front.isEmpty():
-            step = front.join(kept, (front["node"] == kept["dst"]) & (front["c"] == kept["c"])).select(kept["src"].alias("node"), front["c"].alias("c")).distinct()
-            front = checkpoint(step.join(back, ["node", "c"], "left_anti"))
-            back = checkpoint(back.union(front))
+        # backwards, a node of the label's component gets the label's own node, its least one, as its least label
+        back = _spread(nodes.withColumn("c", F.col("node")), kept, "dst", "src")
+        back = checkpoint(back.join(own, "node").filter("c = color").select("node", "c"))
         size = back.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c")
         out = out.union(back.join(size, "c").select("node", F.col("c").alias("component")))
         gone = back.select("node")
@@ -108,12 +120,30 @@ def sccs(edges: DataFrame) -> DataFrame:
     return out.groupBy("node").agg(F.min("component").alias("component"))
 
 
+def _trim(left: DataFrame, rounds: int = 8) -> DataFrame:
+    """left without edges whose source nothing leads to or whose target leads nowhere, for a few rounds or until none is."""
+    n = left.count()
+    for _ in range(rounds):
+        ends = left.select("src").distinct().join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        left = checkpoint(left.join(ends, "src", "left_semi").join(ends.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"))
+        was, n = n, left.count()
+        if was == n:
+            break
+    return left
+
+
 def _spread(labels: DataFrame, edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """The least label that reaches each node along edges."""
-    labels = checkpoint(labels)
+    """The least label that reaches each node along edges. labels: node, c with c = node.
+
+    A node that holds label m is reached from m, and so by all that reaches m: besides the labels of its neighbours it takes
+    the label that its own label's node has by now, which doubles the steps of a round.
+    """
+    labels, edges = checkpoint(labels), edges.select(src, dst)
     while True:
-        near = edges.join(labels, edges[src] == labels["node"]).groupBy(F.col(dst).alias("to")).agg(F.min("c").alias("m"))
-        new = checkpoint(labels.join(near, labels["node"] == near["to"], "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("old")))
+        near = edges.join(labels, edges[src] == labels["node"]).select(F.col(dst).alias("node"), "c", F.lit(False).alias("own"))
+        jump = labels.join(labels.select(F.col("node").alias("via"), F.col("c").alias("far")), F.col("c") == F.col("via")).select("node", F.col("far").alias("c"), F.lit(False).alias("own"))
+        every = labels.withColumn("own", F.lit(True)).union(near).union(jump)
+        new = checkpoint(every.groupBy("node").agg(F.min("c").alias("c"), F.min(F.when(F.col("own"), F.col("c"))).alias("old")))
         changed = not new.filter("c <> old").isEmpty()
         labels = new.select("node", "c")
         if not changed:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codestrata.functions.scalars import dead_confidence
+
 
 def add_context(locs: DataFrame, lines: DataFrame) -> DataFrame:
     """The stripped source line of each location (path, start_line), null out of range. lines: path, line, text."""
@@ -54,26 +56,22 @@ def unused(imports: DataFrame, uses: DataFrame, file: str, name: str, exports: D
     return left.join(exports.select(file, name).distinct(), [file, name], "left_anti") if exports is not None else left
 
 
-def confidence(kind: str = "reason", test: str = "in_test"):
-    return F.when(F.col(test), "low").when(F.col(kind) == "unreferenced", "high").otherwise("medium")
-
-
 def dead_code(defs: DataFrame, refs: DataFrame, findings: DataFrame | None = None, exclude: list[str] | None = None, include_tests: bool = False) -> DataFrame:
     """Undecorated definitions with no reference from another file and at most one inside, and definitions that findings call unused.
 
-    defs: sym, name, decorated, in_test; refs: sym, external (0/1); findings: sym. On a clash the counted row wins.
+    defs: sym, name, decorated, in_test; refs: sym, external (0/1); findings: sym. reason is "no references" or "unused
+    diagnostic", and confidence follows from it and the name. On a clash the reported row wins.
     """
     counts = refs.groupBy("sym").agg(F.sum("external").alias("ext"), F.sum(1 - F.col("external")).alias("own"))
-    if exclude:
-        for p in exclude:
-            defs = defs.filter(~F.regexp_like("name", F.lit(p)))
+    for p in exclude or ():
+        defs = defs.filter(~F.regexp_like("name", F.lit(p)))
     if not include_tests:
         defs = defs.filter(~F.col("in_test"))
-    counted = defs.filter(~F.col("decorated")).join(counts, "sym", "left").filter("coalesce(ext, 0) = 0 and coalesce(own, 0) <= 1").select("sym", "name", "in_test", F.lit("unreferenced").alias("reason"))
+    rows = defs.filter(~F.col("decorated")).join(counts, "sym", "left").filter("coalesce(ext, 0) = 0 and coalesce(own, 0) <= 1").select("sym", "name", F.lit("no references").alias("reason"))
     if findings is not None:
-        told = defs.join(findings.select("sym").distinct(), "sym", "left_semi").select("sym", "name", "in_test", F.lit("reported").alias("reason"))
-        counted = counted.unionByName(told.join(counted.select("sym"), "sym", "left_anti"))
-    return counted.withColumn("confidence", confidence()).drop("in_test")
+        told = defs.join(findings.select("sym").distinct(), "sym", "left_semi").select("sym", "name", F.lit("unused diagnostic").alias("reason"))
+        rows = told.unionByName(rows.join(told.select("sym"), "sym", "left_anti"))
+    return rows.withColumn("confidence", dead_confidence(F.col("name"), F.col("reason")))
 
 
 def suggest_imports(unresolved: DataFrame, exporters: DataFrame) -> DataFrame:
@@ -82,13 +80,18 @@ def suggest_imports(unresolved: DataFrame, exporters: DataFrame) -> DataFrame:
     return unresolved.select("name").distinct().join(exporters.select("name", "module").distinct(), "name").select("name", "module", text.alias("statement"))
 
 
-def search_symbols(defs: DataFrame, queries: DataFrame) -> DataFrame:
-    """For each query its exact matches by name, else the names that contain it in any case. queries: q (few, stated)."""
-    exact = defs.join(queries, F.col("name") == F.col("q"))
-    # broadcast: the user's stated queries
-    part = defs.join(F.broadcast(queries), F.contains(F.lower("name"), F.lower("q")))
-    rest = part.join(exact.select("q").distinct(), "q", "left_anti")
-    return exact.withColumn("match", F.lit("exact")).unionByName(rest.withColumn("match", F.lit("part")).select(*exact.columns, "match")).distinct()
+def search_symbols(defs: DataFrame, queries: list[str]) -> DataFrame:
+    """For each query its exact matches by name, else the names that contain it in any case. queries: the few that a user states;
+    they are part of the plan, so a definition meets them in one pass without a join."""
+    if not queries:
+        return defs.limit(0).withColumns({"q": F.lit(""), "match": F.lit("")})
+    told = F.array(*map(F.lit, dict.fromkeys(queries)))
+    kind = lambda q: F.when(F.col("name") == q, "exact").when(F.contains(F.lower("name"), F.lower(q)), "part")
+    hits = defs.withColumn("_h", F.explode(F.filter(F.transform(told, lambda q: F.struct(q.alias("q"), kind(q).alias("match"))), lambda h: h["match"].isNotNull())))
+    rows = hits.select(*defs.columns, "_h.q", "_h.match")
+    # broadcast: at most one row a query
+    exact = F.broadcast(rows.filter("match = 'exact'").select("q").distinct())
+    return rows.filter("match = 'exact'").unionByName(rows.filter("match = 'part'").join(exact, "q", "left_anti").select(*rows.columns)).distinct()
 
 
 def with_zero_kinds(rows: DataFrame, kinds: list[str], kind: str = "kind") -> DataFrame:

@@ -21,9 +21,10 @@ def fallback_union(primary: DataFrame, secondary: DataFrame, query: str) -> Data
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
-    a = old.select(key, F.md5(content).alias("old_hash"))
-    b = new.select(key, F.md5(content).alias("new_hash"))
-    status = F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "removed").when(F.col("old_hash") == F.col("new_hash"), "unchanged").otherwise("changed")
+    """added, removed, changed or unchanged for each key of two versions; a null content is a content of its own."""
+    a = old.select(key, F.md5(content).alias("old_hash"), F.lit(True).alias("old"))
+    b = new.select(key, F.md5(content).alias("new_hash"), F.lit(True).alias("new"))
+    status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old_hash").eqNullSafe(F.col("new_hash")), "unchanged").otherwise("changed")
     return a.join(b, key, "full_outer").select(key, status.alias("status"))
 
 
@@ -31,10 +32,19 @@ def _lines(df: DataFrame, key: str, content: str) -> DataFrame:
     return df.select(key, F.explode(F.split(content, "\r\n|\r|\n")).alias("text"))
 
 
+def line_changes(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
+    """The lines of each key whose counts differ: key, text, d (above 0 for lines added, so many times; below for removed ones)."""
+    return _net_lines(old, new, key, content).filter("d <> 0")
+
+
+def _net_lines(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
+    n = _lines(old, key, content).withColumn("d", F.lit(-1)).union(_lines(new, key, content).withColumn("d", F.lit(1)))
+    return n.groupBy(key, "text").agg(F.sum("d").alias("d"))
+
+
 def line_delta(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
     """Lines added and removed per key, as multisets: counts of a line in one version above those in the other."""
-    n = _lines(old, key, content).withColumn("d", F.lit(-1)).union(_lines(new, key, content).withColumn("d", F.lit(1)))
-    net = n.groupBy(key, "text").agg(F.sum("d").alias("d"))
+    net = _net_lines(old, new, key, content)
     return net.groupBy(key).agg(F.sum(F.greatest("d", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("removed"))
 
 

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Token types by index and modifiers by bit.
-TOKEN_TYPES = "namespace type class enum interface struct typeParameter parameter variable property enumMember event function method macro keyword modifier comment string number regexp operator decorator".split()
-MODIFIERS = "declaration definition readonly static deprecated abstract async modification documentation defaultLibrary".split()
+TOKEN_TYPES = ["namespace", "type", "class", "enum", "interface", "struct", "typeParameter", "parameter", "variable", "property", "enumMember", "event", "function", "method", "macro", "keyword", "modifier", "comment", "string", "number", "regexp", "operator", "decorator"]
+MODIFIERS = ["declaration", "definition", "readonly", "static", "deprecated", "abstract", "async", "modification", "documentation", "defaultLibrary"]
 
 
-def runs(rows: DataFrame, part: list[str], order: str, flag: str, least: int = 2) -> DataFrame:
-    """Maximal runs of rows with flag set, at least `least` long: part, start and end (of order), n."""
+def runs(rows: DataFrame, part: list[str], order: str, flag: str, least: int = 2, span: tuple[str, str] | None = None) -> DataFrame:
+    """Maximal runs of rows with flag set, at least `least` long: part, first and last (of order), n; with span also from and to,
+    the least of one column and the greatest of another."""
     own, flagged = Window.partitionBy(*part).orderBy(order), Window.partitionBy(*part, flag).orderBy(order)
     island = rows.withColumn("_g", F.row_number().over(own) - F.row_number().over(flagged)).filter(F.col(flag) == 1)
-    return island.groupBy(*part, "_g").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).filter(F.col("n") >= least).drop("_g")
+    more = [F.min(span[0]).alias("from"), F.max(span[1]).alias("to")] if span else []
+    return island.groupBy(*part, "_g").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"), *more).filter(F.col("n") >= least).drop("_g")
 
 
 def delta_decode(tokens: DataFrame, part: str, order: str = "seq") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from codestrata.functions import scalars
@@ -43,12 +46,11 @@ def f2_suppress(spark, d):
     return filters.suppress(_f(spark, d), ["c1", "c3"]).select("path", "seq", "code")
 
 
-@query(r"""WITH l AS (SELECT doc_id AS path, unnest(string_split_regex(text, '\r\n|\r|\n')) AS text, generate_subscripts(string_split_regex(text, '\r\n|\r|\n'), 1) - 1 AS line FROM documents),
-f AS (SELECT doc_id AS path, i AS start_line FROM documents, range(0, 4) t(i))
-SELECT path, start_line FROM f WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.path = f.path AND l.line = f.start_line AND regexp_matches(l.text, 'token = '))""")
+@query(r"""WITH l AS (SELECT doc_id AS path, unnest(string_split_regex(text, '\r\n|\r|\n')) AS text, generate_subscripts(string_split_regex(text, '\r\n|\r|\n'), 1) - 1 AS start_line FROM documents)
+SELECT path, start_line FROM l WHERE NOT regexp_matches(text, 'token = ')""")
 def f3_inline_suppress(spark, d):
-    found = V.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.explode(F.expr("sequence(0L, 3L)")).alias("start_line"))
-    return filters.inline_suppress(found, _doc_lines(spark, d), "token = ")
+    lines = _doc_lines(spark, d)
+    return filters.inline_suppress(lines.select("path", F.col("line").alias("start_line")), lines, "token = ")
 
 
 def _doc_lines(spark, d):
@@ -143,9 +145,11 @@ def s6_snapshot_diff(spark, d):
     return merge.snapshot_diff(V.table(spark, d, "documents"), _new(spark, d), "doc_id", "text")
 
 
-@query("SELECT doc_id, text FROM documents WHERE doc_id % 10 = 3")
+@query("SELECT doc_id, text FROM documents")
 def s7_write_files(spark, d):
-    return corpus.write_files(V.table(spark, d, "documents").filter("doc_id % 10 = 3").select("doc_id", "text"), "", 1)
+    folder = f"{graph.shared_folder(spark)}/written-{uuid4().hex}"
+    corpus.write_files(V.table(spark, d, "documents").select("doc_id", "text"), folder, 1, apply=True)
+    return corpus.read_files(spark, folder)
 
 
 # --- merges --------------------------------------------------------------------------------------------------------
@@ -170,10 +174,10 @@ def u3_line_delta(spark, d):
 
 
 # --- joins ---------------------------------------------------------------------------------------------------------
-@query(r"""SELECT doc_id AS path, i AS start_line, string_split_regex(text, '\r\n|\r|\n')[i + 1] AS context FROM documents, range(0, 3) t(i)""")
+@query(r"""SELECT doc_id AS path, generate_subscripts(string_split_regex(text, '\r\n|\r|\n'), 1) - 1 AS start_line, unnest(string_split_regex(text, '\r\n|\r|\n')) AS context FROM documents""")
 def j1_add_context(spark, d):
-    locs = V.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.explode(F.expr("sequence(0L, 2L)")).alias("start_line"))
-    return joins.add_context(locs, _doc_lines(spark, d))
+    lines = _doc_lines(spark, d)
+    return joins.add_context(lines.select("path", F.col("line").alias("start_line")), lines)
 
 
 @query(f"WITH i AS ({V.INTERVALS}), p AS ({V.POINTS}), m AS (SELECT p.path, pid, nid, row_number() OVER (PARTITION BY p.path, pid ORDER BY end_line - start_line, nid) AS n FROM p JOIN i ON p.path = i.path AND start_line <= line AND line <= end_line) SELECT p.path, p.pid, nid FROM p LEFT JOIN m ON p.path = m.path AND p.pid = m.pid AND n = 1")
@@ -214,8 +218,9 @@ def j14_unused(spark, d):
 
 
 @query(f"""WITH r AS ({V.REFS}), c AS (SELECT sym, sum(external) AS e, sum(1 - external) AS o FROM r GROUP BY sym), p AS ({V.DEFS}),
-a AS (SELECT p.sym, name, 'unreferenced' AS reason FROM p LEFT JOIN c ON p.sym = c.sym WHERE NOT in_test AND NOT decorated AND coalesce(e, 0) = 0 AND coalesce(o, 0) <= 1)
-SELECT sym, name, reason, 'high' AS confidence FROM a UNION ALL SELECT sym, name, 'reported', 'medium' FROM p WHERE NOT in_test AND sym % 13 = 0 AND sym NOT IN (SELECT sym FROM a)""")
+t AS (SELECT sym, name, 'unused diagnostic' AS reason FROM p WHERE NOT in_test AND sym % 13 = 0),
+a AS (SELECT p.sym, name, 'no references' AS reason FROM p LEFT JOIN c ON p.sym = c.sym WHERE NOT in_test AND NOT decorated AND coalesce(e, 0) = 0 AND coalesce(o, 0) <= 1 AND p.sym NOT IN (SELECT sym FROM t))
+SELECT *, 'high' AS confidence FROM t UNION ALL SELECT *, CASE WHEN lower(name) IN ('logger', '_logger', 'log', '_log') OR name LIKE 'test#_%' ESCAPE '#' OR name LIKE 'Test%' OR name LIKE '#_#_%#_#_' ESCAPE '#' THEN 'low' ELSE 'medium' END FROM a""")
 def j16_dead_code(spark, d):
     defs = V.view(spark, d, V.DEFS)
     return joins.dead_code(defs, V.view(spark, d, V.REFS), defs.filter("sym % 13 = 0").select("sym"))
@@ -231,8 +236,8 @@ def j17_suggest_imports(spark, d):
 SELECT * FROM e UNION ALL SELECT q, p_partkey, p_name, 'part' FROM part JOIN q ON contains(lower(p_name), lower(q)) WHERE q NOT IN (SELECT q FROM e)""")
 def j18_search_symbols(spark, d):
     part = V.table(spark, d, "part")
-    q = part.filter("p_partkey = 1").select(F.col("p_name").alias("q")).union(spark.createDataFrame([("9",)], "q string")).distinct()
-    return joins.search_symbols(part.select(F.col("p_partkey").alias("sym"), F.col("p_name").alias("name")), q)
+    first = part.filter("p_partkey = 1").first()
+    return joins.search_symbols(part.select(F.col("p_partkey").alias("sym"), F.col("p_name").alias("name")), ([first["p_name"]] if first else []) + ["9"])
 
 
 # --- aggregations --------------------------------------------------------------------------------------------------
@@ -253,7 +258,7 @@ def a4_coverage(spark, d):
     return aggs.coverage_summary(V.table(spark, d, "documents").select("doc_id").join(marked, "doc_id", "left").withColumn("m", F.coalesce("m", F.lit(False))), "m")
 
 
-@query("SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY md5(text) HAVING count(*) >= 2")
+@query("WITH g AS (SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY md5(text) HAVING count(*) >= 2) SELECT h, n, first, doc_id AS item FROM g JOIN documents ON md5(text) = h")
 def a5_duplicates(spark, d):
     return aggs.duplicates(V.table(spark, d, "documents"), "text", "doc_id")
 
@@ -264,22 +269,29 @@ def a6_rule_scan(spark, d):
     return aggs.rule_scan(_doc_lines(spark, d), list(V.RULES))
 
 
-@query(f"WITH r AS ({V.REFS}), c AS (SELECT sym, count(DISTINCT ref_file) AS n FROM r GROUP BY sym) SELECT p_partkey AS sym, coalesce(n, 0) AS test_files, n IS NOT NULL AS covered FROM part LEFT JOIN c ON p_partkey = sym")
+@query(f"WITH r AS ({V.REFS}), c AS (SELECT sym, count(DISTINCT ref_file) AS n, list_sort(list(DISTINCT ref_file)) AS f FROM r GROUP BY sym) SELECT p_partkey AS sym, coalesce(n, 0) AS test_files, array_to_string(f, ',') AS files, n IS NOT NULL AS covered FROM part LEFT JOIN c ON p_partkey = sym")
 def a7_test_coverage(spark, d):
-    return aggs.test_coverage(V.table(spark, d, "part").select(F.col("p_partkey").alias("sym")), V.view(spark, d, V.REFS))
+    found = aggs.test_coverage(V.table(spark, d, "part").select(F.col("p_partkey").alias("sym")), V.view(spark, d, V.REFS))
+    return found.withColumn("files", F.array_join(F.col("files").cast("array<string>"), ","))
+
+
+@query(f"WITH r AS ({V.REFS}) SELECT count(*) AS total, count(*) FILTER (p_partkey IN (SELECT sym FROM r)) AS covered, {HALF('100 * count(*) FILTER (p_partkey IN (SELECT sym FROM r))', 'count(*)', 1)} AS pct FROM part")
+def a7_coverage_percentage(spark, d):
+    return aggs.coverage_summary(aggs.test_coverage(V.table(spark, d, "part").select(F.col("p_partkey").alias("sym")), V.view(spark, d, V.REFS)), "covered")
 
 
-CONFORM = f"WITH m AS ({V.METHODS}), g AS (SELECT method, count(DISTINCT cls) AS c, count(DISTINCT params) AS p FROM m GROUP BY method) "
+CONFORM = """WITH c AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey < 3), m AS (SELECT k, 'm0' AS method, 'x' AS params FROM c UNION ALL SELECT k, 'm1', CASE WHEN k % 3 = 0 THEN 'x, y' ELSE 'x' END FROM c UNION ALL SELECT k, 'p_' || (k % 5), '' FROM c),
+g AS (SELECT method, count(DISTINCT k) AS n, count(DISTINCT params) AS p, string_agg('C_' || k, ',' ORDER BY k) AS has FROM m GROUP BY method) """
 
 
-@query(CONFORM + "SELECT method, c AS classes, c = 3 AS common, c = 3 AND p > 1 AS mismatched FROM g")
+@query(CONFORM + "SELECT method, n AS classes, n = 3 AS common, n = 3 AND p > 1 AS mismatched, CASE WHEN n < 3 THEN has END AS only_in FROM g")
 def a9_interface_conformance(spark, d):
-    return aggs.interface_conformance(V.view(spark, d, V.METHODS), 3)
+    return aggs.interface_conformance(code.class_methods(_class_facts(spark, d, "def", "param")), ["C_0", "C_1", "C_2"])
 
 
-@query(CONFORM + "SELECT 'class P(Protocol):' || chr(10) || coalesce(string_agg('    def ' || x.method || '(' || x.params || '): ...', chr(10) ORDER BY '    def ' || x.method || '(' || x.params || '): ...'), '    pass') AS text FROM g JOIN (SELECT * FROM m WHERE cls = 0) x ON g.method = x.method WHERE c = 3")
+@query("SELECT 'class P(Protocol):' || chr(10) || '    def m0(self, x): ...' || chr(10) || '    def m1(self, x' || CASE WHEN s_suppkey % 3 = 0 THEN ', y' ELSE '' END || ')' || CASE WHEN s_suppkey % 2 = 0 THEN ' -> int' ELSE '' END || ': ...' || chr(10) AS text FROM supplier WHERE s_suppkey = 0")
 def a10_protocol_text(spark, d):
-    return aggs.protocol_text(V.view(spark, d, V.METHODS).withColumn("method", F.col("method").cast("string")), 3, 0, "P")
+    return aggs.protocol_text(code.class_methods(_class_facts(spark, d, "def", "param")), ["C_0", "C_1", "C_2"], "P")
 
 
 # --- graphs --------------------------------------------------------------------------------------------------------
@@ -303,20 +315,20 @@ def g3_cycles(spark, d):
 
 
 @query(f"""WITH {E_}, a AS (SELECT dst AS v, count(DISTINCT src) AS ca FROM e WHERE src <> dst GROUP BY dst), b AS (SELECT src AS v, count(DISTINCT dst) AS ce FROM e WHERE src <> dst GROUP BY src),
-n AS (SELECT n_nationkey AS v, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce FROM nation LEFT JOIN a ON n_nationkey = a.v LEFT JOIN b ON n_nationkey = b.v) SELECT v, ca, ce, {HALF('ce', 'ca + ce', 3)} AS instability FROM n""")
+n AS (SELECT c_custkey AS v, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce FROM customer LEFT JOIN a ON c_custkey = a.v LEFT JOIN b ON c_custkey = b.v) SELECT v, ca, ce, {HALF('ce', 'ca + ce', 3)} AS instability FROM n""")
 def g4_coupling(spark, d):
-    return graph.coupling(_edges(spark, d), V.table(spark, d, "nation").select(F.col("n_nationkey").alias("v")))
+    return graph.coupling(_edges(spark, d), V.table(spark, d, "customer").select(F.col("c_custkey").alias("v")))
 
 
-@query(f"WITH {E_} SELECT src, dst, a.n_regionkey AS src_layer, b.n_regionkey AS dst_layer FROM e JOIN nation a ON src = a.n_nationkey JOIN nation b ON dst = b.n_nationkey WHERE a.n_regionkey > b.n_regionkey")
+@query(f"WITH {E_} SELECT src, dst, a.c_nationkey AS src_layer, b.c_nationkey AS dst_layer FROM e JOIN customer a ON src = a.c_custkey JOIN customer b ON dst = b.c_custkey WHERE a.c_nationkey > b.c_nationkey")
 def g5_layer_violations(spark, d):
-    return graph.layer_violations(_edges(spark, d), V.table(spark, d, "nation").select(F.col("n_nationkey").alias("v"), F.col("n_regionkey").alias("layer")))
+    return graph.layer_violations(_edges(spark, d), V.table(spark, d, "customer").select(F.col("c_custkey").alias("v"), F.col("c_nationkey").alias("layer")))
 
 
-@query(f"""WITH RECURSIVE {E_}, w AS (SELECT n_nationkey AS root, n_nationkey AS node, 0 AS depth FROM nation UNION SELECT root, e.dst, depth + 1 FROM w JOIN e ON node = e.src WHERE depth < 3)
+@query(f"""WITH RECURSIVE {E_}, w AS (SELECT c_custkey AS root, c_custkey AS node, 0 AS depth FROM customer UNION SELECT root, e.dst, depth + 1 FROM w JOIN e ON node = e.src WHERE depth < 3)
 SELECT root, node, CAST(min(depth) AS INT) AS depth, false AS truncated FROM w WHERE node <> root GROUP BY root, node""")
 def g6_traverse(spark, d):
-    return graph.traverse(_edges(spark, d), V.table(spark, d, "nation").select(F.col("n_nationkey").alias("root")), "callees", 3)
+    return graph.traverse(_edges(spark, d), V.table(spark, d, "customer").select(F.col("c_custkey").alias("root")), "callees", 3)
 
 
 # --- windows -------------------------------------------------------------------------------------------------------
@@ -336,12 +348,18 @@ def w2_delta_decode(spark, d):
 LINES = r"string_split_regex(text, '\r\n|\r|\n')"
 
 
-@query(f"SELECT doc_id, 1 AS line, 0 AS col, CAST(CASE WHEN len({LINES}) > 1 THEN length({LINES}[1]) + 1 END AS INT) AS \"offset\" FROM documents WHERE NOT contains(text, chr(13))")
+@query(f"""WITH l AS (SELECT doc_id, unnest({LINES}) AS t, unnest(list_concat(regexp_extract_all(text, '\\r\\n|\\r|\\n'), [''])) AS s, generate_subscripts({LINES}, 1) - 1 AS line FROM documents)
+SELECT doc_id, CAST(line AS INT) AS line, 0 AS col, CAST(coalesce(sum(length(t) + length(s)) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS "offset" FROM l WHERE length(t) > 0 OR s <> ''""")
 def e1_to_offset(spark, d):
-    docs = V.table(spark, d, "documents").filter("not contains(text, '\r')")
-    out = edits.to_offset(docs.select("doc_id", F.lit(1).alias("line"), F.lit(0).alias("col")), docs.select("doc_id", "text"), "doc_id", "text")
-    many = F.size(F.split("text", "\n", -1)) > 1
-    return out.join(docs.select("doc_id", many.alias("m")), "doc_id").select("doc_id", "line", "col", F.when(F.col("m"), F.col("offset")).alias("offset"))
+    docs = V.table(spark, d, "documents").select("doc_id", "text")
+    at = docs.select("doc_id", F.posexplode(F.split("text", edits.BREAK, -1)).alias("line", "t"), F.lit(0).alias("col"))
+    return edits.to_offset(at.select("doc_id", "line", "col"), docs, "doc_id", "text").filter("offset is not null")
+
+
+@query(f"SELECT doc_id, CAST(length(text) // 2 AS INT) AS \"offset\", CAST(len(regexp_extract_all(substr(text, 1, length(text) // 2), '\\n')) AS INT) AS line, CAST(length(string_split(substr(text, 1, length(text) // 2), chr(10))[-1]) AS INT) AS col FROM documents WHERE NOT contains(text, chr(13))")
+def e1_to_position(spark, d):
+    docs = V.table(spark, d, "documents").filter("not contains(text, '\r')").select("doc_id", "text")
+    return edits.to_position(docs.select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("offset")), docs, "doc_id", "text")
 
 
 @query(f"SELECT doc_id, CAST(len({LINES}) - 1 AS INT) AS end_line, CAST(length({LINES}[-1]) AS INT) AS end_col FROM documents")
@@ -349,10 +367,14 @@ def e1_end_position(spark, d):
     return edits.end_position(V.table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN text ELSE 'X' || substr(text, 2) END AS text, false AS rejected FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE length(text) > 1")
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN text ELSE 'X' || substr(text, 2) || 'YZ' END AS text, false AS rejected FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE length(text) > 1")
 def e2_apply_edits(spark, d):
     docs = V.table(spark, d, "documents").filter("length(text) > 1")
-    return edits.apply_edits(docs.select("doc_id", "text"), V.view(spark, d, V.EDITS), "doc_id", "text")
+    ends = edits.end_position(docs, "doc_id", "text").join(V.table(spark, d, "labels").select("doc_id"), "doc_id")
+    # two inserts at the end come out in reverse order
+    tail = ends.select("doc_id", F.col("end_line").alias("start_line"), F.col("end_col").alias("start_col"), "end_line", "end_col", F.explode(F.array(F.struct(F.lit("Z").alias("t"), F.lit(1).alias("n")), F.struct(F.lit("Y").alias("t"), F.lit(2).alias("n")))).alias("x"))
+    every = V.view(spark, d, V.EDITS).unionByName(tail.select("doc_id", "start_line", "start_col", "end_line", "end_col", F.col("x.t").alias("new_text"), F.col("x.n").alias("seq")))
+    return edits.apply_edits(docs.select("doc_id", "text"), every, "doc_id", "text")
 
 
 @query("SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS path, CAST(event_id % 9 AS INT) AS start_line, 0 AS start_col, CAST(event_id % 9 AS INT) AS end_line, 1 AS end_col, event_type AS new_text FROM events")
@@ -389,159 +411,287 @@ def x1_latest_findings(spark, d):
 
 
 # --- code facts over modules rendered from part and supplier --------------------------------------------------------
-def _facts(spark, d):
-    return facts.extract_facts(V.rendered(spark, d))
+def _stored(files, *tags):
+    """Facts of these tags, from one parse of each file."""
+    return graph.checkpoint(facts.extract_facts(files, tags))
+
+
+def _facts(spark, d, *tags):
+    return _stored(V.rendered(spark, d), *tags)
+
 
+def _class_facts(spark, d, *tags):
+    return _stored(V.rendered_classes(spark, d), *tags)
 
-def _class_facts(spark, d):
-    return facts.extract_facts(V.rendered_classes(spark, d))
 
+def _scope_facts(spark, d, *tags):
+    return _stored(V.rendered_scopes(spark, d), *tags)
 
-K = "WITH p AS (SELECT p_partkey AS k, p_size % 4 AS d, p_partkey // 3 AS j, (SELECT count(*) FROM part) AS n FROM part) "
-C = "WITH s AS (SELECT s_suppkey AS k, s_suppkey // 2 AS b, (s_suppkey + 1) % (SELECT count(*) FROM supplier) AS x FROM supplier) "
-M = "'pkg/m_' || k || '.py'"
 
+NAMES = ("def", "param", "use", "import", "attr")
+# start and back: the lines of the function and of its return
+K = """WITH o AS (SELECT p_partkey AS k, p_size % 4 AS d, p_partkey // 3 AS j, (SELECT count(*) FROM part) AS n FROM part),
+p AS (SELECT *, 2 + (k > 0)::INT + (k % 5 = 0 AND k + 1 < n)::INT + (k % 4 = 0)::INT AS start FROM o), q AS (SELECT *, start + 1 + d + (d > 0)::INT + (k % 6 = 0)::INT AS back FROM p) """
+# h: the line of _hidden
+C = "WITH s AS (SELECT s_suppkey AS k, s_suppkey // 2 AS b, (s_suppkey + 1) % (SELECT count(*) FROM supplier) AS x, (s_suppkey > 0)::INT + (s_suppkey % 10 = 0)::INT + (s_suppkey % 4 = 0)::INT AS h FROM supplier) "
+M, M2, MS = "'pkg/m_' || k || '.py'", "'pkg2/c_' || k || '.py'", "'app/s_' || k || '.py'"
 
-@query("SELECT tag, n FROM (SELECT 'def' AS tag, count(*) AS n FROM part UNION ALL SELECT 'param', 2 * count(*) FROM part)")
+
+@query("SELECT tag, n FROM (SELECT 'file' AS tag, count(*) AS n FROM part UNION ALL SELECT 'def', count(*) FROM part UNION ALL SELECT 'param', 2 * count(*) FROM part UNION ALL SELECT 'import', count(*) + count(*) FILTER (p_partkey > 0) + count(*) FILTER (p_partkey % 5 = 0 AND p_partkey + 1 < (SELECT count(*) FROM part)) + count(*) FILTER (p_partkey % 4 = 0) FROM part UNION ALL SELECT 'attr', count(*) FROM part UNION ALL SELECT 'call', 2 * count(*) + count(*) FILTER (p_partkey % 6 = 0) FROM part)")
 def s2_extract_facts(spark, d):
-    return _facts(spark, d).filter("tag in ('def', 'param')").groupBy("tag").agg(F.count("*").alias("n"))
+    return facts.extract_facts(V.rendered(spark, d), ("file", "def", "param", "import", "attr", "call")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'pkg/m_' || p_partkey || '.py' AS path, 0 AS line FROM part WHERE p_partkey % 9 = 0")
 def s3_syntax_errors(spark, d):
     broken = V.rendered(spark, d).withColumn("content", F.when(F.regexp_extract("path", "([0-9]+)", 1).cast("long") % 9 == 0, "def (").otherwise(F.col("content")))
-    return facts.syntax_errors(facts.extract_facts(broken)).select("path", "line")
+    return facts.syntax_errors(facts.extract_facts(broken, ("failure",))).select("path", "line")
 
 
 @query(K + f"SELECT {M} AS path, 'f_' || k AS name, CAST(1 + d AS BIGINT) AS cyclomatic, CAST(d * (d + 1) // 2 AS BIGINT) AS cognitive, CAST(d AS BIGINT) AS nesting, CAST(2 + d + (d > 0)::INT + (k % 6 = 0)::INT AS BIGINT) AS loc, CAST(2 AS BIGINT) AS n_params FROM p")
 def a2_function_metrics(spark, d):
-    return aggs.function_metrics(facts.of(_facts(spark, d), "node")).select("path", "name", "cyclomatic", "cognitive", "nesting", "loc", "n_params")
+    return aggs.function_metrics(_facts(spark, d, "node")).select("path", "name", "cyclomatic", "cognitive", "nesting", "loc", "n_params")
 
 
 @query(K + f"SELECT {M} AS path, k % 3 = 0 AS returns, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS annotated, 2 AS params FROM p")
 def a4_type_coverage(spark, d):
-    f = _facts(spark, d)
-    params = facts.of(f, "param").groupBy("path").agg(F.count_if("annotated").alias("annotated"), F.count("*").alias("params"))
+    f = _facts(spark, d, "def", "param")
+    params = facts.of(f, "param").filter("role = ''").groupBy("path").agg(F.count_if("annotated").alias("annotated"), F.count("*").alias("params"))
     return facts.of(f, "def").filter("kind = 'function'").select("path", F.col("annotated").alias("returns")).join(params, "path")
 
 
-@query(K + "SELECT count(*) AS n FROM p WHERE 2 + d + (d > 0)::INT + (k % 6 = 0)::INT >= 3 GROUP BY d, k % 6 = 0 HAVING count(*) >= 2")
+@query(K + f"SELECT {M} AS path, 'f_' || k AS name, start AS line, k % 3 <> 0 AS no_return, CASE WHEN k % 2 = 0 THEN 'b' ELSE 'a,b' END AS params FROM p")
+def a4_missing_annotations(spark, d):
+    return aggs.missing_annotations(_facts(spark, d, "def", "param")).select("path", "name", "line", "no_return", "params")
+
+
+@query(K + f"SELECT count(*) AS functions, count(*) FILTER (k % 3 = 0) AS returns, 2 * count(*) AS params, count(*) FILTER (k % 2 = 0) AS annotated, {HALF('100 * (count(*) FILTER (k % 3 = 0) + count(*) FILTER (k % 2 = 0))', '3 * count(*)', 1)} AS pct FROM p")
+def a4_annotation_summary(spark, d):
+    return aggs.annotation_summary(_facts(spark, d, "def", "param"))
+
+
+@query(K + f", g AS (SELECT d, k % 6 = 0 AS e, count(*) AS n FROM p WHERE 2 + d + (d > 0)::INT + (k % 6 = 0)::INT >= 3 GROUP BY d, k % 6 = 0 HAVING count(*) >= 2) SELECT g.n, {M} AS item FROM p JOIN g ON p.d = g.d AND (k % 6 = 0) = e")
 def a5_duplicate_functions(spark, d):
     # the callee's name is blanked like every other, so a body's shape depends on its nesting and its eval alone
-    fns = facts.of(_facts(spark, d), "def").filter("kind = 'function'").withColumn("n_lines", F.col("end_line") - F.col("line") + 1)
-    return aggs.duplicates(fns, "text", "path", 3, "n_lines").select("n")
+    bodies = facts.extract_facts(V.rendered(spark, d), ("body",)).withColumn("n_lines", F.col("end_line") - F.col("line") + 1)
+    return aggs.duplicates(graph.checkpoint(bodies.select("path", "text", "n_lines")), "text", "path", 3, "n_lines").select("n", "item")
 
 
-@query(K + f"SELECT {M} AS path, 'eval' AS call FROM p WHERE k % 6 = 0")
+@query(K + f"""SELECT {M} AS path, back - 1 AS line, 'SEC001' AS rule_id, 'high' AS severity, 'Use of eval() can execute arbitrary code' AS message, 'eval(''1'')' AS snippet FROM q WHERE k % 6 = 0 UNION ALL SELECT {MS}, 20, r, s, m, 'return ' || c FROM (SELECT s_suppkey AS k FROM supplier) x
+JOIN (VALUES (0, 'SEC020', 'high', 'pickle.loads() can execute arbitrary code during deserialization', 'pickle.loads(self)'), (1, 'SEC030', 'high', 'subprocess.run() with shell=True is vulnerable to injection', 'subprocess.run(self, shell=True)'), (3, 'SEC022', 'medium', 'yaml.load() without SafeLoader can execute arbitrary code', 'yaml.load(self)'), (4, 'SEC002', 'high', 'Use of exec() can execute arbitrary code', 'exec(self)')) t(i, r, s, m, c) ON k % 6 = i""")
 def a6_call_rules(spark, d):
-    return code.call_rules(_facts(spark, d), ["eval", "exec", "compile", "__import__"]).select("path", "call")
+    files = V.rendered(spark, d).union(V.rendered_scopes(spark, d))
+    return code.call_rules(facts.extract_facts(files, ("call",))).select("path", "line", "rule_id", "severity", "message", "snippet")
 
 
-@query(C + "SELECT 'pkg2/c_' || k || '.py' AS path, 'C_' || k AS name FROM s UNION ALL SELECT 'pkg2/c_' || k || '.py', 'make_' || k FROM s WHERE k % 4 <> 0")
+@query(C + f"SELECT {M2} AS path, 'C_' || k AS name FROM s UNION ALL SELECT {M2}, 'make_' || k FROM s WHERE k % 4 <> 0")
 def a8_public_api(spark, d):
-    return code.public_names(_class_facts(spark, d)).select("path", "name")
+    return code.public_names(_class_facts(spark, d, "def", "export")).select("path", "name")
 
 
-@query(C + "SELECT 'pkg2/c_' || k || '.py' AS path FROM s WHERE k % 10 = 0")
+@query(C + f"""SELECT 'star_import' AS pattern, {M2} AS path, (k > 0)::INT AS line FROM s WHERE k % 10 = 0 UNION ALL SELECT 'call:inner', {MS}, 10 FROM s UNION ALL SELECT 'attr_call:any.loads', {MS}, 20 FROM s WHERE k % 6 IN (0, 5) UNION ALL SELECT 'except:OSError', {MS}, 11 FROM s WHERE k % 2 = 1
+UNION ALL SELECT 'Except', {MS}, 11 FROM s UNION ALL SELECT 'assert', {MS}, 19 FROM s UNION ALL SELECT 'RAISE', {MS}, 12 FROM s""")
 def f10_structural_search(spark, d):
-    return code.structural_search(_class_facts(spark, d), "star_import").select("path")
+    f = _stored(V.rendered_classes(spark, d).union(V.rendered_scopes(spark, d)), "node", "call", "import")
+    patterns = ("star_import", "call:inner", "attr_call:any.loads", "except:OSError", "Except", "assert", "RAISE", "yield", "global", "decorator:mark")
+    found = [code.structural_search(f, p).select(F.lit(p).alias("pattern"), "path", "line") for p in patterns]
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 @query(K + "SELECT 'pkg.m_' || k AS src, 'os' AS dst, false AS resolved FROM p UNION ALL SELECT 'pkg.m_' || k, 'json', false FROM p WHERE k % 4 = 0 UNION ALL SELECT 'pkg.m_' || k, 'pkg.m_' || j, true FROM p WHERE k > 0 UNION ALL SELECT 'pkg.m_' || k, 'pkg.m_' || (k + 1), true FROM p WHERE k % 5 = 0 AND k + 1 < n")
 def g1_g2_dependency_graph(spark, d):
-    return code.dependency_graph(_facts(spark, d)).select("src", "dst", "resolved")
+    return code.dependency_graph(_facts(spark, d, "file", "import")).select("src", "dst", "resolved")
+
+
+@query("SELECT 'pkg.m_' || p_partkey AS v FROM part")
+def g2_vertices(spark, d):
+    return code.vertices(facts.extract_facts(V.rendered(spark, d), ("file",))).select("v")
+
+
+LAYER = "CASE WHEN {0} IN (0, 3, 4) THEN 0 WHEN {0} IN (1, 9, 10, 11) THEN 1 WHEN {0} IN (2, 5, 30) THEN 2 END"
+
+
+@query(K + f", e AS (SELECT k AS a, j AS b FROM p WHERE k > 0 UNION SELECT k, k + 1 FROM p WHERE k % 5 = 0 AND k + 1 < n) SELECT 'pkg.m_' || a AS src, 'pkg.m_' || b AS dst, {LAYER.format('a')} AS src_layer, {LAYER.format('b')} AS dst_layer FROM e WHERE {LAYER.format('a')} > {LAYER.format('b')}")
+def g5_declared_layers(spark, d):
+    f = _facts(spark, d, "file", "import")
+    layers = [[f"m_{i}" for i in names] for names in ((0, 3, 4), (1, 9, 10, 11), (2, 5, 30))]
+    return graph.layer_violations(code.dependency_graph(f).select("src", "dst").distinct(), graph.assign_layers(code.vertices(f), layers))
+
+
+@query(K.replace("WITH", "WITH RECURSIVE", 1) + ", w AS (SELECT k AS root, k AS node, 0 AS depth FROM p UNION ALL SELECT root, node // 3, depth + 1 FROM w WHERE depth < 3) SELECT 'pkg/m_' || root || '.py:f_' || root AS root, 'pkg/m_' || node || '.py:f_' || node AS node, min(depth) AS depth FROM w WHERE node <> root GROUP BY w.root, w.node")
+def g6_call_hierarchy(spark, d):
+    f = _facts(spark, d, *NAMES, "call")
+    edges = graph.checkpoint(code.call_edges(f).select("src", "dst"))
+    return graph.traverse(edges, edges.select(F.col("src").alias("root")).distinct(), "callees", 3).select("root", "node", "depth")
 
 
 @query(K + f"SELECT {M} AS path, 'json' AS name FROM p WHERE k % 4 = 0 UNION ALL SELECT {M}, 'f_' || (k + 1) FROM p WHERE k % 5 = 0 AND k + 1 < n AND k + 1 <> j")
 def j14_unused_imports(spark, d):
-    return code.unused_imports(_facts(spark, d)).select("path", "name")
+    return code.unused_imports(_facts(spark, d, "import", "use", "export")).select("path", "name")
 
 
-@query(K + f"SELECT {M} AS path, 'g' AS name FROM p WHERE k % 8 = 0")
+@query(K + f"SELECT {M} AS path, 'g' AS name FROM p WHERE k % 8 = 0 UNION ALL SELECT 'app/s_' || s_suppkey || '.py', 'name' FROM supplier")
 def j15_unresolved_names(spark, d):
     more = V.rendered(spark, d).withColumn("content", F.concat("content", F.when(F.regexp_extract("path", "([0-9]+)", 1).cast("long") % 8 == 0, "print(g)\n").otherwise("")))
-    return code.unresolved_names(facts.extract_facts(more)).select("path", "name")
+    return code.unresolved_names(_stored(more.union(V.rendered_scopes(spark, d)), *NAMES)).select("path", "name")
 
 
-@query(K + f"SELECT {M} AS path, 'f_' || j AS name, 'pkg/m_' || j || '.py' AS def_path FROM p")
+@query(K + f"""SELECT {M} AS path, 'a' AS name, start + i AS line, {M} AS def_path, start AS def_line, 'param' AS kind FROM q, range(1, 4) t(i) WHERE i <= d UNION ALL SELECT {M}, unnest(['a', 'b']), back, {M}, start, 'param' FROM q
+UNION ALL SELECT {M}, 'os', back, {M}, 0, 'import' FROM q UNION ALL SELECT 'pkg/m_' || q.k || '.py', 'f_' || q.j, q.back, 'pkg/m_' || q.j || '.py', f.start, 'def' FROM q JOIN p f ON f.k = q.j""")
 def j7_goto_definition(spark, d):
-    return code.goto_definition(_facts(spark, d)).select("path", "name", "def_path")
+    return code.goto_definition(_facts(spark, d, *NAMES)).select("path", "name", "line", "def_path", "def_line", "kind")
+
 
+@query(C + f"""SELECT {MS} AS path, name, line, {MS} AS def_path, def_line FROM s, (VALUES ('limit', 6, 4), ('path', 8, 7), ('limit', 8, 6), ('inner', 10, 7), ('path', 10, 6), ('app', 10, 0), ('near', 10, 1), ('near', 14, 1), ('limit', 19, 4), ('self', 20, 18)) t(name, line, def_line)
+UNION ALL SELECT {MS}, 'self', 20, {MS}, 18 FROM s WHERE k % 6 = 5 UNION ALL SELECT {MS}, CASE k % 6 WHEN 0 THEN 'pickle' WHEN 3 THEN 'yaml' ELSE 'subprocess' END, 20, {MS}, 2 FROM s WHERE k % 6 < 4
+UNION ALL SELECT {MS}, 'load_' || x, 10, 'app/s_' || x || '.py', 6 FROM s UNION ALL SELECT {MS}, 'Keep_' || x, 10, 'app/s_' || x || '.py', 15 FROM s""")
+def j7_scopes(spark, d):
+    return code.goto_definition(_scope_facts(spark, d, *NAMES)).select("path", "name", "line", "def_path", "def_line")
 
-@query(K + "SELECT 'pkg/m_' || j || '.py' AS def_path, 'f_' || j AS name, count(*) AS uses, count(*) AS files FROM p GROUP BY j")
+
+REFERENCES = """, r AS (SELECT j AS f, k, back AS line FROM q UNION ALL SELECT j, k, 1 FROM q WHERE k > 0 UNION ALL SELECT k + 1, k, 1 + (k > 0)::INT FROM q WHERE k % 5 = 0 AND k + 1 < n UNION ALL SELECT k, k, start FROM q),
+t AS (SELECT *, count(*) OVER (PARTITION BY f) AS total, row_number() OVER (PARTITION BY f ORDER BY 'pkg/m_' || k || '.py', line) AS i FROM r) """
+
+
+@query(K + REFERENCES + f"SELECT 'pkg/m_' || f || '.py' AS def_path, 'f_' || f AS name, {M} AS path, line, total, total > 3 AS truncated FROM t WHERE i <= 3")
 def j8_find_references(spark, d):
-    return code.find_references(_facts(spark, d)).select("def_path", "name", "uses", "files")
+    found = code.find_references(_facts(spark, d, *NAMES), include_declaration=True, limit=3)
+    return found.filter("startswith(name, 'f_')").select("def_path", "name", "path", "line", "total", "truncated")
+
 
+@query(K + REFERENCES + ", u AS (SELECT * FROM t JOIN p ON p.k = t.f WHERE NOT (t.k = t.f AND line = start)) SELECT 'pkg/m_' || f || '.py' AS def_path, 'f_' || f AS name, count(*) AS uses, count(DISTINCT u.k) AS files FROM u GROUP BY f")
+def j8_reference_counts(spark, d):
+    return code.reference_counts(_facts(spark, d, *NAMES)).filter("startswith(name, 'f_')").select("def_path", "name", "uses", "files")
 
-@query(C + "SELECT 'pkg2/c_' || k || '.py' AS path, 'obj' AS name, 1 AS reads, 1 AS writes FROM s")
+
+@query(C + f"SELECT {M2} AS path, h + 9 AS line, 'write' AS kind FROM s UNION ALL SELECT {M2}, h + 10 + (k % 10 = 0)::INT, 'read' FROM s")
 def j9_highlights(spark, d):
-    return code.highlights(_class_facts(spark, d), F.lit("obj")).select("path", "name", "reads", "writes")
+    return code.highlights(_class_facts(spark, d, "use"), F.lit("obj")).select("path", "line", "kind")
 
 
 @query(C + "SELECT 'C_' || k AS owner, unnest(['m0', 'm1', 'p_' || (k % 5)]) AS name FROM s UNION ALL SELECT 'make_' || k, 'obj' FROM s")
 def j5_sub_definitions(spark, d):
-    return code.sub_definitions(_class_facts(spark, d)).select("owner", "name")
+    return code.sub_definitions(_class_facts(spark, d, "def")).select("owner", "name")
 
 
-@query(C + "SELECT 'pkg2/c_' || k || '.py' AS path, unnest(['_hidden', 'C_' || k, 'm0', 'm1', 'p_' || (k % 5), 'make_' || k, 'obj']) AS name FROM s UNION ALL SELECT 'pkg2/c_' || k || '.py', '__all__' FROM s WHERE k % 4 = 0")
+@query(C + f"SELECT {M2} AS path, unnest(['_hidden', 'C_' || k, 'm0', 'm1', 'p_' || (k % 5), 'make_' || k, 'obj']) AS name FROM s UNION ALL SELECT {M2}, '__all__' FROM s WHERE k % 4 = 0")
 def j6_all_names(spark, d):
-    return code.all_names(_class_facts(spark, d)).select("path", "name")
+    return code.all_names(_class_facts(spark, d, "def")).select("path", "name")
 
 
-UP = C + ", k AS (SELECT k FROM s) "
+@query(C + f"""SELECT {M2} AS path, name, false AS is_definition FROM s, (VALUES ('_hidden'), ('x'), ('x'), ('self'), ('obj'), ('obj'), ('v')) t(name) UNION ALL SELECT {M2}, unnest(['C_' || k, 'C_' || k, 'C_' || k]), false FROM s UNION ALL SELECT {M2}, 'C_' || b, false FROM s WHERE k > 0
+UNION ALL SELECT {M2}, unnest(['make_' || x, 'v']), false FROM s WHERE k % 10 = 0 UNION ALL SELECT {M2}, '__all__', false FROM s WHERE k % 4 = 0 UNION ALL SELECT {M2}, 'int', false FROM s WHERE k % 2 = 0""")
+def j6_names_with_references(spark, d):
+    return code.all_names(_class_facts(spark, d, "def", "use"), references=True).filter("not is_definition").select("path", "name", "is_definition")
 
 
-@query(C.replace("WITH", "WITH RECURSIVE") + ", r AS (SELECT k AS cls, b AS base FROM s WHERE k > 0 UNION SELECT cls, b FROM r JOIN s ON base = k WHERE k > 0) SELECT 'C_' || base AS base, 'C_' || cls AS cls FROM r")
+@query(C.replace("WITH", "WITH RECURSIVE") + ", r AS (SELECT k AS cls, b AS base FROM s WHERE k > 0 UNION SELECT cls, s.b FROM r JOIN s ON base = k WHERE k > 0) SELECT 'C_' || base AS base, 'C_' || cls AS cls FROM r")
 def j10_find_implementations(spark, d):
-    f = _class_facts(spark, d)
+    f = _class_facts(spark, d, "def", "base")
     closure = graph.reach(code.class_edges(f).select("src", "dst")).withColumn("repo", F.lit("r0"))
     return code.find_implementations(f, closure, "m0").select("base", "cls")
 
 
-@query(C + "SELECT 'pkg2/c_' || k || '.py' AS path, 'v' AS name, 'C_' || k AS cls FROM s")
+@query(C + f"SELECT {M2} AS path, 'v' AS name, 'C_' || k AS cls FROM s")
 def j11_type_definition(spark, d):
-    return code.type_definition(_class_facts(spark, d)).select("path", "name", "cls")
+    return code.type_definition(_class_facts(spark, d, "def", "param")).select("path", "name", "cls")
 
 
 @query(C + "SELECT 'C_' || k AS name, 2 AS annotation, (SELECT count(*) FROM s c WHERE c.k >= 1 AND c.b = s.k) AS subclass, 1 AS instantiation, (SELECT count(*) FROM s c WHERE c.k >= 1 AND c.b = s.k) AS other FROM s")
+def j12_type_user_counts(spark, d):
+    return code.type_user_counts(_class_facts(spark, d, "def", "use", "import")).select("name", "annotation", "subclass", "instantiation", "other")
+
+
+@query(C + f"SELECT 'C_' || k AS name, {M2} AS path, h + 8 AS line, 'annotation' AS kind FROM s, range(2) UNION ALL SELECT 'C_' || b, {M2}, h + 1, 'subclass' FROM s WHERE k > 0 UNION ALL SELECT 'C_' || b, {M2}, 0, 'other' FROM s WHERE k > 0")
 def j12_type_users(spark, d):
-    return code.type_users(_class_facts(spark, d)).select("name", "annotation", "subclass", "instantiation", "other")
+    return code.type_users(_class_facts(spark, d, "def", "use", "import"), ["annotation", "subclass", "other"]).select("name", "path", "line", "kind")
 
 
 @query(C + "SELECT 'C_' || k AS cls, 'v;size=' || k AS args FROM s")
 def j13_constructor_sites(spark, d):
-    return code.constructor_sites(_class_facts(spark, d)).select("cls", F.array_join("args", ";").alias("args"))
+    return code.constructor_sites(_class_facts(spark, d, "def", "call")).select("cls", F.array_join("args", ";").alias("args"))
 
 
-@query(C.replace("WITH", "WITH RECURSIVE") + ", r AS (SELECT k AS root, k AS node, 0 AS depth FROM s UNION ALL SELECT root, b, depth + 1 FROM r JOIN s ON node = k WHERE k > 0 AND depth < 3) SELECT 'C_' || root AS root, 'C_' || node AS node, depth FROM r WHERE depth > 0 AND root <> node")
+@query(C.replace("WITH", "WITH RECURSIVE") + ", r AS (SELECT k AS root, k AS node, 0 AS depth FROM s UNION ALL SELECT root, s.b, depth + 1 FROM r JOIN s ON node = k WHERE k > 0 AND depth < 3) SELECT 'C_' || root AS root, 'C_' || node AS node, depth FROM r WHERE depth > 0 AND root <> node")
 def g7_type_hierarchy(spark, d):
-    f = _class_facts(spark, d)
+    f = _class_facts(spark, d, "def", "base")
     roots = facts.of(f, "def").filter("kind = 'class'").select(F.col("name").alias("root")).distinct()
     return graph.type_hierarchy(code.class_edges(f).select("src", "dst"), roots).select("root", "node", "depth")
 
 
-@query(K + f"SELECT {M} AS path FROM p WHERE k = 2 UNION ALL SELECT {M} FROM p WHERE k > 0 AND j = 2 UNION ALL SELECT {M} FROM p WHERE k % 5 = 0 AND k + 1 = 2")
-def e5_rename_files(spark, d):
+def _edited(files, found):
+    """path and text of files after edits."""
+    numbered = found.withColumn("seq", F.lit(0))
+    return edits.apply_edits(files, numbered, "path", "content").select("path", F.col("content").alias("text"), "rejected")
+
+
+@query(rf"SELECT path, regexp_replace(content, '\bf_2\b', 'g_2', 'g') AS text, false AS rejected FROM ({V.MODULES})")
+def e5_rename_text(spark, d):
+    files = V.rendered(spark, d)
     renames = spark.createDataFrame([("r0", "pkg.m_2", "f_2", "g_2")], "repo string, module string, old string, new string")
-    return code.rename_edits(_facts(spark, d), renames).select("path").distinct()
+    return _edited(files, code.rename_edits(_stored(files, *NAMES), renames))
 
 
-@query(C + "SELECT 'pkg2/c_' || k || '.py' AS path, 'pkg2.c_' || x AS target, 'make_' || x AS names FROM s WHERE k % 10 = 0")
+@query(rf"SELECT path, CASE WHEN k = 1 THEN replace(replace(replace(t, 'limit: int', 'bound: int'), 'limit=limit', 'limit=bound'), 'assert limit', 'assert bound') ELSE t END AS text, false AS rejected FROM (SELECT k, path, regexp_replace(content, '\bload_1\b', 'fetch', 'g') AS t FROM ({V.SCOPES}))")
+def e5_rename_in_scopes(spark, d):
+    files = V.rendered_scopes(spark, d)
+    renames = spark.createDataFrame([("r0", "app.s_1", "load_1", "fetch"), ("r0", "app.s_1", "limit", "bound")], "repo string, module string, old string, new string")
+    return _edited(files, code.rename_edits(_stored(files, *NAMES), renames))
+
+
+@query(f"SELECT path, replace(content, 'import *', 'import make_' || ((k + 1) % (SELECT count(*) FROM supplier))) AS text, false AS rejected FROM ({V.CLASSES})")
 def e6_expand_star(spark, d):
-    return code.expand_star(_class_facts(spark, d)).select("path", "target", "names")
+    files = V.rendered_classes(spark, d)
+    return _edited(files, code.star_edits(_stored(files, "def", "export", "use", "import")))
 
 
-@query(C + "SELECT 'pkg2/c_' || k || '.py' AS path, 'pkg2.c_' || x AS target FROM s WHERE k % 10 = 0")
+@query(f"SELECT path, replace(content, 'from .c_', 'from pkg2.c_') AS text, false AS rejected FROM ({V.CLASSES})")
 def e7_absolutize(spark, d):
-    return code.absolutize(facts.of(_class_facts(spark, d), "import")).filter("level > 0").select("path", "target")
+    files = V.rendered_classes(spark, d)
+    return _edited(files, code.absolute_edits(_stored(files, "import")))
 
 
-@query(C + "SELECT 'pkg2/c_' || k || '.py' AS path, 5 AS n FROM s")
+@query(C + f"""SELECT {M2} AS path, h + lo AS first, h + hi + more * (k % 10 = 0)::INT AS last, 'region' AS fold FROM s, (VALUES (1, 7, 0), (2, 3, 0), (4, 5, 0), (6, 7, 0), (8, 10, 1)) t(lo, hi, more) UNION ALL SELECT {M2}, 0, 1, 'imports' FROM s WHERE k > 0 AND k % 10 = 0""")
 def w1_folding_ranges(spark, d):
-    return code.folding_ranges(_class_facts(spark, d)).groupBy("path").agg(F.count("*").alias("n"))
+    return code.folding_ranges(_class_facts(spark, d, "node")).select("path", "first", "last", "fold")
 
 
-@query("SELECT repo, count(*) AS n FROM part, (SELECT unnest(['r0', 'r1']) AS repo) GROUP BY repo")
+@query("SELECT repo, CAST(sum(p_size % 4 + 4) AS BIGINT) AS n FROM part, (SELECT unnest(['r0', 'r1']) AS repo) GROUP BY repo")
 def u4_several_repos(spark, d):
-    f = facts.extract_facts(V.rendered(spark, d, ("r0", "r1")))
+    f = _stored(V.rendered(spark, d, ("r0", "r1")), *NAMES)
     return code.goto_definition(f).groupBy("repo").agg(F.count("*").alias("n"))
+
+
+# --- streams of files and column expressions -----------------------------------------------------------------------
+@query(K + f"SELECT {M} AS path, 'f_' || k AS name FROM p UNION ALL SELECT {M}, unnest(['f_' || k, 'x']) FROM p WHERE k % 4 = 0")
+def x2_stream_facts(spark, d):
+    """Two runs over the files; in the second every fourth is changed and the others come again as they were."""
+    folder = f"{graph.shared_folder(spark)}/stream-{uuid4().hex}"
+    files = V.rendered(spark, d)
+    changed = files.withColumn("content", F.concat("content", F.when(F.regexp_extract("path", "([0-9]+)", 1).cast("long") % 4 == 0, "x = 1\n").otherwise("")))
+    for version in (files, changed):
+        version.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(files.schema).parquet(f"{folder}/in")
+        live.stream_facts(stream, f"{folder}/out", f"{folder}/checkpoint", lambda df: facts.extract_facts(df, ("def",))).awaitTermination()
+    return spark.read.parquet(f"{folder}/out/facts").select("path", "name")
+
+
+CODES = "CAST(event_id % 30 AS INT)"
+
+
+@query(f"""SELECT event_id AS k, CASE {CODES} WHEN 1 THEN 'error' WHEN 2 THEN 'warning' WHEN 4 THEN 'hint' ELSE 'information' END AS severity, CASE event_type WHEN 'error' THEN 1 ELSE 3 END AS code, coalesce({list(scalars.KINDS)!r}[nullif({CODES}, 0)], 'symbol') AS kind,
+CASE WHEN event_id % 3 = 0 THEN NULL ELSE '/d e/' || event_id || '+.py' END AS path, event_type AS quoted, CASE WHEN event_id % 2 = 0 THEN event_type END AS quoted_double, CASE event_id % 3 WHEN 0 THEN 'a.b' WHEN 1 THEN 'os,json.x' ELSE '' END AS modules,
+event_type NOT IN ('') AND event_id % 2 = 0 AS identifier, event_id % 4 <> 3 AS unknown, CASE WHEN event_id % 2 = 0 THEN 4 ELSE 0 END AS col FROM events""")
+def v1_scalars(spark, d):
+    n, kind = F.col("event_id"), F.col("event_type")
+    quote = F.when(n % 2 == 0, '"').otherwise("'")
+    statement = F.when(n % 3 == 0, "from a.b import c").when(n % 3 == 1, "import os, json.x as j").otherwise("x = 1")
+    shown = F.when(n % 4 == 0, " Any ").when(n % 4 == 1, "list[int, Unknown]").when(n % 4 == 2, "").otherwise("int")
+    columns = {
+        "severity": scalars.severity_name(n % 30), "code": scalars.severity_code(kind), "kind": scalars.symbol_kind(n % 30),
+        "path": scalars.uri_path(F.when(n % 3 == 0, "http://x/y").otherwise(F.concat(F.lit("file:///d%20e/"), n.cast("string"), F.lit("+.py")))),
+        "quoted": scalars.quoted_name(F.concat(F.lit("name "), quote, kind, quote)), "quoted_double": scalars.quoted_name(F.concat(F.lit("name "), quote, kind, quote), True),
+        "modules": F.array_join(scalars.import_modules(statement), ","), "identifier": scalars.is_identifier(F.when(n % 2 == 0, kind).otherwise("1x")),
+        "unknown": scalars.unknown_type(shown), "col": scalars.name_column(F.when(n % 2 == 0, F.concat(F.lit("x = "), kind)).otherwise("none"), kind),
+    }
+    return V.table(spark, d, "events").select(n.alias("k"), *[c.alias(k) for k, c in columns.items()])

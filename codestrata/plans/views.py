@@ -9,9 +9,11 @@ FINDINGS = """SELECT 'u' || CAST(user_id % 40 AS STRING) AS path, CAST(event_id
  CAST(event_id % 50 AS INT) AS end_line, 1 AS end_col,
  CASE event_type WHEN 'error' THEN ' Error' WHEN 'purchase' THEN 'warning' WHEN 'signup' THEN 'hint' WHEN 'view' THEN 'information' ELSE 'fatal' END AS severity,
  event_type AS message, CASE WHEN event_id % 9 = 0 THEN NULL ELSE 'c' || CAST(event_id % 6 AS STRING) END AS code, event_id AS seq FROM events"""
-EDGES = """SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
- JOIN supplier ON l_suppkey = s_suppkey WHERE l_discount = 0.1 AND l_tax = 0.08 AND l_quantity >= 45"""
-REFS = """SELECT l_partkey AS sym, l_orderkey AS ref_file, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS external FROM lineitem WHERE l_quantity >= 48 AND l_tax = 0.08"""
+#: Two edges from each customer with orders: a directed graph with cycles, trees and a large component.
+EDGES = """SELECT src, a % (SELECT count(*) FROM customer) AS dst FROM (SELECT o_custkey AS src, min(o_orderkey) AS a FROM orders GROUP BY o_custkey) x
+ UNION SELECT src, b % (SELECT count(*) FROM customer) AS dst FROM (SELECT o_custkey AS src, max(o_orderkey) AS b FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey) y"""
+#: Squares leave about half of the parts without any reference.
+REFS = """SELECT (l_partkey * l_partkey) % (SELECT count(*) FROM part) AS sym, l_orderkey AS ref_file, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS external FROM lineitem"""
 INTERVALS = "SELECT p_brand AS path, p_partkey AS nid, p_partkey AS start_line, p_partkey + p_size * 3 AS end_line FROM part"
 POINTS = "SELECT p_brand AS path, p_partkey AS pid, p_partkey + 2 AS line FROM part"
 TOKENS = """SELECT user_id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS d_line, CAST(event_id % 7 AS INT) AS d_col,
@@ -21,11 +23,32 @@ LOG = "SELECT event_id AS seq, 'u' || CAST(user_id AS STRING) AS path, event_id
 NEW = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0
  UNION ALL SELECT doc_id + 1000000, text FROM documents WHERE doc_id % 11 = 0"""
 EDITS = "SELECT doc_id, 0 AS start_line, 0 AS start_col, 0 AS end_line, 1 AS end_col, 'X' AS new_text, 0 AS seq FROM labels"
-METHODS = "SELECT l_suppkey AS cls, l_partkey % 20 AS method, min(l_returnflag) AS params FROM lineitem WHERE l_suppkey < 3 AND l_quantity >= 44 GROUP BY l_suppkey, l_partkey % 20"
-DEFS = "SELECT p_partkey AS sym, p_name AS name, p_size % 10 = 0 AS decorated, p_size % 7 = 0 AS in_test FROM part"
+DEFS = """SELECT p_partkey AS sym, CASE p_partkey % 12 WHEN 0 THEN 'Logger' WHEN 1 THEN 'test_' || p_name WHEN 2 THEN '__all__' WHEN 3 THEN '__' || p_name WHEN 4 THEN 'TestCase' ELSE p_name END AS name,
+ p_size % 10 = 0 AS decorated, p_size % 7 = 0 AS in_test FROM part"""
 RULES = (("TXT001", "high", 'token = "[0-9a-f]+"'), ("TXT002", "medium", "[0-9A-Za-z.]+@[0-9A-Za-z.]+"), ("TXT003", "low", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"))
 TABLES = ("nation", "region", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages")
 
+#: A module for each part row, whose facts have closed forms.
+MODULES = """SELECT k, 'pkg/m_' || k || '.py' AS path, 'import os' || chr(10)
+ || CASE WHEN k > 0 THEN 'from pkg.m_' || j || ' import f_' || j || chr(10) ELSE '' END
+ || CASE WHEN k % 5 = 0 AND k + 1 < n THEN 'from pkg.m_' || (k + 1) || ' import f_' || (k + 1) || chr(10) ELSE '' END
+ || CASE WHEN k % 4 = 0 THEN 'import json' || chr(10) ELSE '' END
+ || chr(10) || 'def f_' || k || '(a' || CASE WHEN k % 2 = 0 THEN ': int' ELSE '' END || ', b)' || CASE WHEN k % 3 = 0 THEN ' -> int' ELSE '' END || ':' || chr(10)
+ || CASE WHEN d > 0 THEN '    if a:' || chr(10) ELSE '' END || CASE WHEN d > 1 THEN '        if a:' || chr(10) ELSE '' END || CASE WHEN d > 2 THEN '            if a:' || chr(10) ELSE '' END
+ || CASE WHEN d > 0 THEN repeat('    ', CAST(d + 1 AS INT)) || 'pass' || chr(10) ELSE '' END
+ || CASE WHEN k % 6 = 0 THEN '    eval(''1'')' || chr(10) ELSE '' END
+ || '    return os.getpid() + f_' || j || '(a, b)' || chr(10) AS content
+ FROM (SELECT p_partkey AS k, p_size % 4 AS d, CAST(floor(p_partkey / 3) AS BIGINT) AS j, (SELECT count(*) FROM part) AS n FROM part) x"""
+#: A module with nested scopes, attributes, handlers and risky calls for each supplier row.
+SCOPES = """SELECT k, 'app/s_' || k || '.py' AS path, 'import app.s_' || x || chr(10) || 'from app import s_' || x || ' as near' || chr(10) || 'import pickle, subprocess, yaml' || chr(10) || chr(10) || 'limit: int = ' || k || chr(10) || chr(10)
+ || 'async def load_' || k || '(path, limit=limit):' || chr(10)
+ || '    def inner(path):' || chr(10) || '        return path, limit, name' || chr(10)
+ || '    try:' || chr(10) || '        return inner(path), app.s_' || x || '.load_' || x || ', near.Keep_' || x || chr(10)
+ || '    except ' || CASE WHEN k % 2 = 0 THEN 'ValueError' ELSE 'OSError as error' END || ':' || chr(10) || '        raise' || chr(10) || chr(10)
+ || '@near.mark' || chr(10) || 'class Keep_' || k || ':' || chr(10) || '    limit = 2' || chr(10) || chr(10)
+ || '    def size(self):' || chr(10) || '        assert limit' || chr(10) || '        return ' || CASE k % 6 WHEN 0 THEN 'pickle.loads(self)' WHEN 1 THEN 'subprocess.run(self, shell=True)' WHEN 2 THEN 'subprocess.run(self, shell=False)' WHEN 3 THEN 'yaml.load(self)' WHEN 4 THEN 'exec(self)' ELSE 'self.pickle.loads(self)' END || chr(10) AS content
+ FROM (SELECT s_suppkey AS k, (s_suppkey + 1) % (SELECT count(*) FROM supplier) AS x FROM supplier) y"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,45 +62,32 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **tables)
 
 
+def _files(rows: DataFrame, repos: tuple[str, ...] = ("r0",)) -> DataFrame:
+    return rows.select(F.explode(F.array(*map(F.lit, repos))).alias("repo"), "path", "content")
+
+
 def rendered(spark: SparkSession, sf_dir: str, repos: tuple[str, ...] = ("r0",)) -> DataFrame:
-    """A module for each part row, whose metrics have closed forms: files (repo, path, content)."""
-    part = table(spark, sf_dir, "part")
-    n = part.agg(F.count("*").alias("n"))
-    # broadcast: one row
-    p = part.crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("k"), (F.col("p_size") % 4).alias("d"), F.floor(F.col("p_partkey") / 3).alias("j"), "n")
-    text = F.concat(
-        F.lit("import os\n"),
-        F.when(F.col("k") > 0, F.format_string("from pkg.m_%d import f_%d\n", "j", "j")).otherwise(""),
-        F.when((F.col("k") % 5 == 0) & (F.col("k") + 1 < F.col("n")), F.format_string("from pkg.m_%d import f_%d\n", F.col("k") + 1, F.col("k") + 1)).otherwise(""),
-        F.when(F.col("k") % 4 == 0, "import json\n").otherwise(""),
-        F.lit("\n"),
-        F.format_string("def f_%d(a%s, b)%s:\n", "k", F.when(F.col("k") % 2 == 0, ": int").otherwise(""), F.when(F.col("k") % 3 == 0, " -> int").otherwise("")),
-        F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.when(i <= F.col("d"), F.concat(F.repeat(F.lit("    "), i.cast("int")), F.lit("if a:\n"))).otherwise("")), ""),
-        F.when(F.col("d") > 0, F.concat(F.repeat(F.lit("    "), (F.col("d") + 1).cast("int")), F.lit("pass\n"))).otherwise(""),
-        F.when(F.col("k") % 6 == 0, "    eval('1')\n").otherwise(""),
-        F.format_string("    return os.getpid() + f_%d(a, b)\n", "j"),
-    )
-    return p.select(F.explode(F.array(*map(F.lit, repos))).alias("repo"), F.format_string("pkg/m_%d.py", "k").alias("path"), text.alias("content"))
+    """MODULES as files (repo, path, content)."""
+    return _files(view(spark, sf_dir, MODULES), repos)
+
+
+def rendered_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(view(spark, sf_dir, SCOPES))
+
+
+#: A module with a class for each supplier row.
+CLASSES = """SELECT k, 'pkg2/c_' || k || '.py' AS path,
+ CASE WHEN k > 0 THEN 'from pkg2.c_' || b || ' import C_' || b || chr(10) ELSE '' END
+ || CASE WHEN k % 10 = 0 THEN 'from .c_' || x || ' import *' || chr(10) ELSE '' END
+ || CASE WHEN k % 4 = 0 THEN '__all__ = [''C_' || k || ''']' || chr(10) ELSE '' END
+ || '_hidden = 1' || chr(10) || 'class C_' || k || CASE WHEN k > 0 THEN '(C_' || b || ')' ELSE '' END || ':' || chr(10)
+ || '    def m0(self, x):' || chr(10) || '        return x' || chr(10)
+ || '    def m1(self, x' || CASE WHEN k % 3 = 0 THEN ', y' ELSE '' END || ')' || CASE WHEN k % 2 = 0 THEN ' -> int' ELSE '' END || ':' || chr(10) || '        return x' || chr(10)
+ || '    def p_' || (k % 5) || '(self):' || chr(10) || '        return self' || chr(10)
+ || 'def make_' || k || '(v: C_' || k || ') -> C_' || k || ':' || chr(10) || '    obj = C_' || k || '(v, size=' || k || ')' || chr(10)
+ || CASE WHEN k % 10 = 0 THEN '    make_' || x || '(v)' || chr(10) ELSE '' END || '    return obj' || chr(10) AS content
+ FROM (SELECT s_suppkey AS k, CAST(floor(s_suppkey / 2) AS BIGINT) AS b, (s_suppkey + 1) % (SELECT count(*) FROM supplier) AS x FROM supplier) y"""
 
 
 def rendered_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A module with a class for each supplier row."""
-    supplier = table(spark, sf_dir, "supplier")
-    n = supplier.agg(F.count("*").alias("n"))
-    # broadcast: one row
-    s = supplier.crossJoin(F.broadcast(n)).select(F.col("s_suppkey").alias("k"), F.floor(F.col("s_suppkey") / 2).alias("b"), ((F.col("s_suppkey") + 1) % F.col("n")).alias("x"))
-    star = F.col("k") % 10 == 0
-    text = F.concat(
-        F.when(F.col("k") > 0, F.format_string("from pkg2.c_%d import C_%d\n", "b", "b")).otherwise(""),
-        F.when(star, F.format_string("from .c_%d import *\n", "x")).otherwise(""),
-        F.when(F.col("k") % 4 == 0, F.format_string("__all__ = ['C_%d']\n", "k")).otherwise(""),
-        F.lit("_hidden = 1\n"),
-        F.format_string("class C_%d%s:\n", "k", F.when(F.col("k") > 0, F.format_string("(C_%d)", "b")).otherwise("")),
-        F.lit("    def m0(self, x):\n        return x\n"),
-        F.format_string("    def m1(self, x%s):\n        return x\n", F.when(F.col("k") % 3 == 0, ", y").otherwise("")),
-        F.format_string("    def p_%d(self):\n        return self\n", F.col("k") % 5),
-        F.format_string("def make_%d(v: C_%d) -> C_%d:\n    obj = C_%d(v, size=%d)\n", "k", "k", "k", "k", "k"),
-        F.when(star, F.format_string("    make_%d(v)\n", "x")).otherwise(""),
-        F.lit("    return obj\n"),
-    )
-    return s.select(F.lit("r0").alias("repo"), F.format_string("pkg2/c_%d.py", "k").alias("path"), text.alias("content"))
+    return _files(view(spark, sf_dir, CLASSES))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Directories that no scan enters.
-EXCLUDED = (".git", ".hg", ".svn", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", "node_modules", "build", "dist")
+EXCLUDED = (".venv", "venv", "__pycache__", ".git", "node_modules", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build", ".eggs")
+#: Directories that a tree is divided into, at least, where it has as many.
+SLICES = 256
 
 
 def source_files(files: DataFrame, exclude_dirs: tuple[str, ...] = EXCLUDED, suffix: str = ".py") -> DataFrame:
@@ -40,8 +42,12 @@ class _TreeReader(DataSourceReader):
         self.excluded = tuple(x for x in options.get("exclude", ",".join(EXCLUDED)).split(",") if x)
 
     def partitions(self):
-        tops = sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False) and e.name not in self.excluded)
-        return [InputPartition(("", False)), *(InputPartition((t, True)) for t in tops)]
+        """Directories are opened level by level until there are SLICES of them; those opened are read without what is below."""
+        flat, deep = [], [""]
+        while deep and len(flat) + len(deep) < SLICES:
+            inner = [os.path.join(d, e.name) for d in deep for e in os.scandir(os.path.join(self.root, d)) if e.is_dir(follow_symlinks=False) and e.name not in self.excluded]
+            flat, deep = flat + deep, sorted(inner)
+        return [InputPartition((d, False)) for d in flat] + [InputPartition((d, True)) for d in deep]
 
     def read(self, partition):
         top, deep = partition.value
@@ -65,4 +71,16 @@ def write_files(files: DataFrame, path: str, version: int, apply: bool = False)
     return files
 
 
+def read_files(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of write_files, by default the last complete one; folders without _SUCCESS (a writer died) are passed over."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = hadoop(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in store.listStatus(folder)]
+    done = sorted(int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and store.exists(hadoop(p, "_SUCCESS")))
+    if version is None and not done or version is not None and version not in done:
+        raise FileNotFoundError(f"no complete version {'' if version is None else version} under {path}")
+    return spark.read.parquet(f"{path}/v={done[-1] if version is None else version:08d}")
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import ast
+import re
 import sys
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = (
     "tag string, repo string, path string, nid int, scope int, kind string, name string, module string, asname string, level int, line int, col int, end_line int, end_col int,"
-    " fn_path array<int>, nest_cog int, nest_all int, bool_n int, n_params int, is_top boolean, decorated boolean, annotated boolean, role string, attr string, args array<string>, text string"
+    " fn_path array<int>, nest_cog int, nest_all int, bool_n int, n_params int, is_top boolean, decorated boolean, annotated boolean, role string, attr string, args array<string>, text string,"
+    " scopes array<int>, name_line int, name_col int, mod_col int, mod_end int, returns string, snippet string"
 )
-NAMES = [f.strip().split()[0] for f in FIELDS.split(",")]
+TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+SCHEMA = pa.schema([(name, TYPES[kind]) for name, kind in (f.split() for f in FIELDS.split(","))])
+TAGS = ("file", "node", "def", "param", "base", "export", "import", "use", "attr", "call", "body", "failure")
+#: Node kinds that add to cognitive complexity by their depth, and those that nest.
 COG = ("If", "While", "For", "AsyncFor", "ExceptHandler")
 NEST = (*COG, "With", "AsyncWith", "Try")
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
-MAX_CHARS = 20_000_000
+PLAIN = (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)
+FROM = re.compile(r"from\s*(\.[.\w]*|(?<=\s)[.\w]+)(?=\s+import\b)")
+HEAD = re.compile(r"(?:async\s+)?def\s+|class\s+")
 
 
 def module_name(path: str) -> str:
@@ -27,72 +34,106 @@ def module_name(path: str) -> str:
     return ".".join(parts[:-1] if parts[-1] == "__init__" else parts)
 
 
-def file_facts(repo: str, path: str, content: str) -> list[dict]:
-    """Facts of one file; lines and columns are 0-based and columns count characters. A file that can't be parsed gives one failure."""
+def _failure(error: Exception) -> dict:
+    return {"tag": "failure", "text": str(getattr(error, "msg", None) or error), "line": max(0, (getattr(error, "lineno", 1) or 1) - 1), "col": max(0, (getattr(error, "offset", 1) or 1) - 1)}
+
+
+def file_facts(repo: str, path: str, content: str, tags: tuple[str, ...] = TAGS) -> list[dict]:
+    """Facts of one file, of the tags asked for; lines and columns are 0-based and columns count characters. A file that can't
+    be parsed gives one failure.
+
+    scopes: the scopes whose names a use sees, from the inside out; a class's own names are seen in its body only.
+    """
     base = {"repo": repo, "path": path, "module": module_name(path)}
-    if content is None or len(content) > MAX_CHARS:
-        return [base | {"tag": "failure", "text": "no content" if content is None else "too large", "line": 0, "col": 0}]
+    if content is None:
+        return [base | {"tag": "failure", "text": "no content", "line": 0, "col": 0}] if "failure" in tags else []
     try:
         tree = ast.parse(content)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        return [base | {"tag": "failure", "text": str(getattr(e, "msg", None) or e), "line": max(0, (getattr(e, "lineno", 1) or 1) - 1), "col": max(0, (getattr(e, "offset", 1) or 1) - 1)}]
+        return [base | _failure(e)] if "failure" in tags else []
     lines = content.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     out: list[dict] = []
+    wanted, classes = frozenset(tags), set()
 
     def chars(line: int, col: int) -> int:
         text = lines[line - 1] if 0 < line <= len(lines) else ""
         return col if text.isascii() else len(text.encode()[:col].decode(errors="ignore"))
 
-    # (node, parent nid, scope nid, functions around, nesting of two kinds, place in its statement)
-    stack: list[tuple] = [(tree, -1, -1, (), 0, 0, "")]
+    def add(tag: str, row: dict, **more) -> None:
+        if tag in wanted:
+            out.append({**row, "tag": tag, **more})
+
+    # (node, parent nid, scope nid, scopes seen, functions around, nesting of two kinds, place in its statement)
+    stack: list[tuple] = [(tree, -1, -1, (), (), 0, 0, "")]
     nid = -1
     while stack:
-        node, parent, scope, fns, cog, all_, role = stack.pop()
+        node, parent, scope, seen, fns, cog, all_, role = stack.pop()
         nid += 1
         kind = type(node).__name__
-        at = {"line": 0, "col": 0, "end_line": len(lines) - 1, "end_col": 0}
+        row = {**base, "nid": nid, "scope": scope, "is_top": parent == 0, "line": 0, "col": 0, "end_line": len(lines) - 1, "end_col": 0}
         if hasattr(node, "lineno"):
-            at = {"line": node.lineno - 1, "col": chars(node.lineno, node.col_offset), "end_line": node.end_lineno - 1, "end_col": chars(node.end_lineno, node.end_col_offset)}
-        row = base | at | {"nid": nid, "scope": scope, "is_top": parent == 0}
-        own = (*fns, nid) if isinstance(node, FUNCTIONS) else fns
-        a = getattr(node, "args", None) if isinstance(node, FUNCTIONS) else None
+            row.update(line=node.lineno - 1, col=chars(node.lineno, node.col_offset), end_line=node.end_lineno - 1, end_col=chars(node.end_lineno, node.end_col_offset))
+        is_function, is_class = isinstance(node, FUNCTIONS), isinstance(node, ast.ClassDef)
+        a = getattr(node, "args", None) if isinstance(node, (*FUNCTIONS, ast.Lambda)) else None
         params = [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])] if a else []
-        name = getattr(node, "name", None) or getattr(node, "id", None) or getattr(node, "attr", None)
-        out.append(row | {"tag": "node", "kind": kind, "name": name if isinstance(name, str) else None, "fn_path": list(fns), "nest_cog": cog, "nest_all": all_, "bool_n": len(node.values) if isinstance(node, ast.BoolOp) else None, "n_params": len(params) if a else None, "role": role})
-        if isinstance(node, (*FUNCTIONS, ast.ClassDef)):
-            norm = ast.dump(ast.Module([_Blank().visit(ast.parse(ast.unparse(x))) for x in node.body], [])) if isinstance(node, FUNCTIONS) else None
-            shown = ", ".join(p.arg for p in params)
-            out.append(row | {"tag": "def", "kind": "class" if isinstance(node, ast.ClassDef) else "function", "name": node.name, "decorated": bool(node.decorator_list), "annotated": bool(getattr(node, "returns", None)), "n_params": len(params), "attr": shown, "text": norm})
-            skip = 1 if a and params and params[0].arg in ("self", "cls") and params[0] in (*a.posonlyargs[:1], *a.args[:1]) else 0
-            for k, p in enumerate([*a.posonlyargs, *a.args, *a.kwonlyargs] if a else []):
-                if k >= skip:
-                    out.append(row | {"tag": "param", "scope": nid, "name": p.arg, "annotated": p.annotation is not None, "attr": ast.unparse(p.annotation) if p.annotation else None})
+        if nid == 0:
+            add("file", row)
+        if "node" in wanted:
+            name = getattr(node, "name", None) or getattr(node, "id", None) or getattr(node, "attr", None)
+            caught = node.type.id if isinstance(node, ast.ExceptHandler) and isinstance(node.type, ast.Name) else None
+            add("node", row, kind=kind, name=name if isinstance(name, str) else None, fn_path=list(fns), nest_cog=cog, nest_all=all_, bool_n=len(node.values) if isinstance(node, ast.BoolOp) else None, n_params=len(params) if is_function else None, role=role, attr=caught)
+        if is_function or is_class:
+            head = HEAD.match(lines[node.lineno - 1], row["col"])
+            name_col = head.end() if head else row["col"]
+            names = [p.arg for p in params]
+            returns = ast.unparse(node.returns) if is_function and node.returns else None
+            add("def", row, kind="class" if is_class else "function", name=node.name, decorated=bool(node.decorator_list), annotated=returns is not None, n_params=len(params), attr=", ".join(names), args=names, returns=returns, name_line=row["line"], name_col=name_col, scopes=[nid])
+            if is_function and "body" in wanted:
+                norm = ast.dump(ast.Module([_Blank().visit(ast.parse(ast.unparse(x))) for x in node.body], []))
+                add("body", row, name=node.name, text=norm)
             for b in getattr(node, "bases", []):
-                out.append(row | {"tag": "base", "name": node.name, "attr": ast.unparse(b)})
+                add("base", row, name=node.name, attr=ast.unparse(b))
+        if a:
+            own = 1 if is_function and params and params[0].arg in ("self", "cls") and params[0] in (*a.posonlyargs[:1], *a.args[:1]) else 0
+            counted = [p for k, p in enumerate([*a.posonlyargs, *a.args, *a.kwonlyargs]) if k >= own] if is_function else []
+            for p in params:
+                add("param", {**row, "scope": nid}, name=p.arg, annotated=p.annotation is not None, attr=ast.unparse(p.annotation) if p.annotation else None, role="" if p in counted else "uncounted", name_line=p.lineno - 1, name_col=chars(p.lineno, p.col_offset))
         elif isinstance(node, (ast.Assign, ast.AnnAssign)):
             first = next((t for t in (node.targets if isinstance(node, ast.Assign) else [node.target]) if isinstance(t, ast.Name)), None)
             if first is not None:
-                out.append(row | {"tag": "def", "kind": "variable", "name": first.id, "decorated": False, "annotated": isinstance(node, ast.AnnAssign)})
+                add("def", row, kind="variable", name=first.id, decorated=False, annotated=isinstance(node, ast.AnnAssign), returns=ast.unparse(node.annotation) if isinstance(node, ast.AnnAssign) else None, name_line=first.lineno - 1, name_col=chars(first.lineno, first.col_offset))
                 if first.id == "__all__" and parent == 0 and isinstance(node.value, (ast.List, ast.Tuple)):
-                    out += [row | {"tag": "export", "name": x.value} for x in node.value.elts if isinstance(x, ast.Constant) and isinstance(x.value, str)]
+                    for x in node.value.elts:
+                        if isinstance(x, ast.Constant) and isinstance(x.value, str):
+                            add("export", row, name=x.value)
         elif isinstance(node, (ast.Import, ast.ImportFrom)):
+            is_from = isinstance(node, ast.ImportFrom)
+            named = FROM.match(lines[node.lineno - 1], row["col"]) if is_from else None
             for x in node.names:
-                level = getattr(node, "level", 0) or 0
-                target = node.module or "" if isinstance(node, ast.ImportFrom) else x.name
-                out.append(row | {"tag": "import", "text": target, "name": x.name if isinstance(node, ast.ImportFrom) else None, "asname": x.asname or (x.name if isinstance(node, ast.ImportFrom) else x.name.split(".")[0]), "level": level, "kind": "from" if isinstance(node, ast.ImportFrom) else "import"})
+                bound = x.asname or (x.name if is_from else x.name.split(".")[0])
+                add("import", row, text=(node.module or "") if is_from else x.name, name=x.name if is_from else None, asname=bound, level=(node.level or 0) if is_from else 0, kind="from" if is_from else "import", role="" if x.asname is None else "renamed", name_line=x.lineno - 1, name_col=chars(x.lineno, x.col_offset), mod_col=named.start(1) if named else None, mod_end=named.end(1) if named else None)
         elif isinstance(node, ast.Name):
-            out.append(row | {"tag": "use", "name": node.id, "kind": {"Load": "read"}.get(type(node.ctx).__name__, "write"), "role": role})
-        elif isinstance(node, ast.Call):
-            head = node.func.id if isinstance(node.func, ast.Name) else None
-            owner = ast.unparse(node.func.value) if isinstance(node.func, ast.Attribute) else None
+            add("use", row, name=node.id, kind="read" if isinstance(node.ctx, ast.Load) else "write", role=role, scopes=list(seen), name_line=row["line"], name_col=row["col"])
+        elif isinstance(node, ast.ExceptHandler) and node.name:
+            add("use", row, name=node.name, kind="write", role="handler", scopes=list(seen))
+        elif isinstance(node, ast.Attribute) and "attr" in wanted and isinstance(node.value, (ast.Name, ast.Attribute)):
+            add("attr", row, name=node.attr, text=ast.unparse(node.value), kind="read" if isinstance(node.ctx, ast.Load) else "write", role=role, scopes=list(seen), name_line=row["end_line"], name_col=row["end_col"] - len(node.attr))
+        elif isinstance(node, ast.Call) and "call" in wanted:
+            f = node.func
             shown = [ast.unparse(x) for x in node.args] + [f"{k.arg}={ast.unparse(k.value)}" if k.arg else f"**{ast.unparse(k.value)}" for k in node.keywords]
-            out.append(row | {"tag": "call", "name": head, "module": base["module"], "text": owner, "attr": node.func.attr if isinstance(node.func, ast.Attribute) else None, "args": shown, "fn_path": list(fns)})
+            add("call", row, kind="plain" if isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name) else "", name=f.id if isinstance(f, ast.Name) else None, text=ast.unparse(f.value) if isinstance(f, ast.Attribute) else None, attr=f.attr if isinstance(f, ast.Attribute) else None, args=shown, fn_path=list(fns), scopes=list(seen), snippet=lines[node.lineno - 1].strip())
         inner_scope = nid if isinstance(node, (*FUNCTIONS, ast.ClassDef, ast.Module, ast.Lambda)) else scope
+        if is_class:
+            classes.add(nid)
+        # what is in a class's functions and classes does not see the class's own names
+        inner_seen = (nid, *(seen[1:] if seen and seen[0] in classes else seen)) if inner_scope == nid else seen
         inner_cog, inner_all = cog + (kind in COG), all_ + (kind in NEST)
         children = []
-        for field, value in ast.iter_fields(node):  # noqa: PLR1704
-            inner = "decorator" if field == "decorator_list" else "annotation" if field in ("annotation", "returns") or role == "annotation" else "base" if isinstance(node, ast.ClassDef) and field == "bases" else "call" if isinstance(node, ast.Call) and field == "func" else ""
-            children += [(x, nid, inner_scope, own, inner_cog, inner_all, inner) for x in (value if isinstance(value, list) else [value]) if isinstance(x, ast.AST) and not isinstance(x, (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop))]
+        for field, value in ast.iter_fields(node):
+            inner = "decorator" if field == "decorator_list" else "annotation" if field in ("annotation", "returns") or role == "annotation" else "base" if is_class and field == "bases" else "call" if isinstance(node, ast.Call) and field == "func" else ""
+            # decorators, defaults, annotations and bases are read outside of what they belong to
+            own = (inner_scope, inner_seen) if field == "body" or inner_scope != nid else (scope, seen)
+            children += [(x, nid, *own, (*fns, nid) if is_function else fns, inner_cog, inner_all, inner) for x in (value if isinstance(value, list) else [value]) if isinstance(x, ast.AST) and not isinstance(x, PLAIN)]
         stack.extend(reversed(children))
     return out
 
@@ -105,30 +146,23 @@ class _Blank(ast.NodeTransformer):
         return ast.arg("_")
 
 
-def extract_facts(files: DataFrame) -> DataFrame:
-    """The facts of files (repo, path, content), in batches of bounded size. Persist them by tag before using several."""
+def extract_facts(files: DataFrame, tags: tuple[str, ...] = TAGS) -> DataFrame:
+    """The facts of files (repo, path, content) of the tags asked for, in Arrow batches of bounded size. Store them before using them twice."""
+    if unknown := set(tags) - set(TAGS):
+        raise ValueError(f"unknown tags {sorted(unknown)}")
 
     def run(batches):
-        for pdf in batches:
-            rows: list[dict] = []
-            for repo, path, content in zip(pdf["repo"], pdf["path"], pdf["content"]):
-                rows += file_facts(repo, path, content)
-                while len(rows) > 50_000:
-                    yield _frame(rows[:50_000])
-                    rows = rows[50_000:]
-            if rows:
-                yield _frame(rows)
-
-    return files.select("repo", "path", "content").mapInPandas(run, FIELDS)
-
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=NAMES)
-    for c in ("nid", "scope", "level", "line", "col", "end_line", "end_col", "nest_cog", "nest_all", "bool_n", "n_params"):
-        frame[c] = frame[c].astype("Int32")
-    for c in ("is_top", "decorated", "annotated"):
-        frame[c] = frame[c].astype("boolean")
-    return frame.astype(object).where(frame.notna(), None)
+        rows: list[dict] = []
+        for batch in batches:
+            for file in zip(*(batch.column(c).to_pylist() for c in ("repo", "path", "content"))):
+                rows += file_facts(*file, tags)
+                while len(rows) >= 20_000:
+                    yield pa.RecordBatch.from_pylist(rows[:20_000], schema=SCHEMA)
+                    rows = rows[20_000:]
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+
+    return files.select("repo", "path", "content").mapInArrow(run, FIELDS)
 
 
 def of(facts: DataFrame, tag: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,22 +21,27 @@ def latest_findings(messages: DataFrame) -> DataFrame:
 
 
 def stream_facts(files: DataFrame, facts_dir: str, checkpoint_dir: str, extract) -> object:
-    """Start a query that extracts facts of new and changed file versions (path, content) and appends them under facts_dir.
+    """Start a query that extracts facts of new and changed file versions (path, content) and writes them under facts_dir/facts.
 
-    A version whose content hash is already there is skipped. Both folders must be shared by all executors.
+    A version whose content hash is already there is skipped. A batch writes its facts to its own folder (batch=n), then its
+    versions to a folder of the same name, and a retried batch overwrites both; versions of the batch itself are never
+    "already there", so a failure between the two writes neither loses nor doubles facts. Folders must be shared by all executors.
     """
 
+    # a checkpoint folder numbers its batches from 0, so its name is part of theirs
+    stem = md5(checkpoint_dir.encode()).hexdigest()[:12]
+    name = lambda batch_id: f"{stem}-{batch_id}"
+
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("hash", F.md5("content")).dropDuplicates(["path", "hash"])
-        target = f"{facts_dir}/versions"
         try:
-            seen = spark.read.parquet(target).select("path", "hash")
-            rows = rows.join(seen, ["path", "hash"], "left_anti")
-        except Exception as e:  # the first batch has no folder yet
-            if "PATH_NOT_FOUND" not in str(e):
+            seen = spark.read.parquet(f"{facts_dir}/versions")
+            rows = rows.join(seen.filter(F.col("batch") != name(batch_id)).select("path", "hash"), ["path", "hash"], "left_anti")
+        except AnalysisException as e:  # the first batch has no folder yet
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-        extract(rows.select("repo", "path", "content")).write.mode("append").parquet(f"{facts_dir}/facts")
-        rows.select("path", "hash").write.mode("append").parquet(target)
+        extract(rows.select("repo", "path", "content")).write.mode("overwrite").parquet(f"{facts_dir}/facts/batch={name(batch_id)}")
+        rows.select("path", "hash").write.mode("overwrite").parquet(f"{facts_dir}/versions/batch={name(batch_id)}")
 
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
