@@ -161,7 +161,8 @@ def mixed_blocks(docs: DataFrame, weights: list[float] | None = None, block: int
     span = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
     pieces = rows.withColumn("block", F.explode_outer(span))
     pieces = pieces.withColumns({"lo": F.greatest("start", F.col("block") * block) - F.col("start"), "hi": F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("start")})
-    return pieces.join(taken, ["s", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0))), sources
+    # Spark takes what tasks make from a range for small; it is not, so it must not be broadcast
+    return pieces.join(taken.hint("merge"), ["s", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0))), sources
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
