@@ -141,11 +141,12 @@ def components(links: DataFrame) -> DataFrame:
     links = checkpoint(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = checkpoint(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
     while True:
-        near = links.join(labels, links["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("m"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "m").alias("next"), F.col("comp").alias("old"))
-        jump = labels.select(F.col("node").alias("via"), F.col("comp").alias("far"))
-        new = checkpoint(step.join(jump, F.col("next") == F.col("via"), "left").select("node", F.least("next", F.coalesce("far", "next")).alias("comp"), "old"))
-        changed = new.filter("comp <> old").limit(1).count()
+        # one union and one aggregate: Spark would pile up constraints on nested expressions from round to round
+        near = links.join(labels, links["b"] == labels["node"]).select(F.col("a").alias("node"), "comp", F.lit(False).alias("own"))
+        jump = labels.join(labels.select(F.col("node").alias("via"), F.col("comp").alias("far")), F.col("comp") == F.col("via")).select("node", F.col("far").alias("comp"), F.lit(False).alias("own"))
+        every = labels.withColumn("own", F.lit(True)).union(near).union(jump)
+        new = checkpoint(every.groupBy("node").agg(F.min("comp").alias("comp"), F.min(F.when(F.col("own"), F.col("comp"))).alias("old")))
+        changed = not new.filter("comp <> old").isEmpty()
         labels = new.select("node", "comp")
         if not changed:
             return labels
