@@ -69,6 +69,13 @@ def test_near_groups(spark):
                 assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]), r["doc_id"] == find(r["doc_id"]))
 
 
+def test_components_of_a_long_chain(spark):
+    """Rounds grow with the logarithm of the chain, and plans stay small."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(3000)] + [(5000, 5001)], "a long, b long")
+    got = {r["node"]: r["comp"] for r in near_dedup.components(links).collect()}
+    assert got == {**dict.fromkeys(range(3001), 0), 5000: 5000, 5001: 5000}
+
+
 def test_exact_groups(spark):
     for docs in tables(spark):
         groups = collections.defaultdict(list)
