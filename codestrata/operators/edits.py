@@ -55,20 +55,23 @@ def to_offset(positions: DataFrame, files: DataFrame, key: str, content: str) ->
 
 
 def to_position(offsets: DataFrame, files: DataFrame, key: str, content: str) -> DataFrame:
-    """line and col of an offset; null out of range. A search over the line starts for each offset."""
+    """line and col of an offset; null out of range. A file's offsets are put together, and each is a search over its line starts."""
 
-    @F.pandas_udf("struct<line:int,col:int>")
-    def place(text: pd.Series, at: pd.Series) -> pd.DataFrame:
-        rows, last, starts = [], None, []
+    @F.pandas_udf("array<struct<line:int,col:int>>")
+    def place(text: pd.Series, at: pd.Series) -> pd.Series:
+        out = []
         for t, offsets in zip(text, at):
-            starts = starts if t is last else _starts(t)
-            last = t
-            k = None if offsets is None or not 0 <= offsets < starts[-1] else bisect_right(starts, offsets, 0, len(starts) - 1) - 1
-            rows.append((k, None if k is None else int(offsets) - starts[k]))
-        return pd.DataFrame(rows, columns=["line", "col"]).astype("Int32")
-
-    met = offsets.join(files.select(key, F.col(content).alias("_t")), key)
-    return met.withColumn("_x", place("_t", F.col("offset").cast("long"))).select(*offsets.columns, "_x.line", "_x.col")
+            starts, rows = _starts(t or ""), []
+            for x in offsets:
+                k = None if x is None or t is None or not 0 <= x < starts[-1] else bisect_right(starts, int(x), 0, len(starts) - 1) - 1
+                rows.append({"line": k, "col": None if k is None else int(x) - starts[k]})
+            out.append(rows)
+        return pd.Series(out, dtype=object)
+
+    names = offsets.columns
+    per = offsets.groupBy(key).agg(F.collect_list(F.struct(*names)).alias("_p")).join(files.select(key, F.col(content).alias("_t")), key)
+    found = place("_t", F.transform("_p", lambda x: x["offset"].cast("long")))
+    return per.select(F.explode(F.arrays_zip(F.col("_p"), found.alias("_r"))).alias("_x")).select("_x._p.*", "_x._r.*")
 
 
 def end_position(files: DataFrame, key: str, content: str) -> DataFrame:
