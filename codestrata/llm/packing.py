@@ -22,8 +22,8 @@ from codestrata.llm.common import buckets_of, checkpoint, ship, small_batches
 #: Latin-1 letters, then ASCII marks other than the apostrophe, which can join a word's letters.
 CASED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a task remembers (some 25 MB); the tokenizer alone stays in the worker from task to task.
-CACHED = 100_000
+#: Words whose ids a task remembers (some 150 MB at most); the tokenizer alone stays in the worker from task to task.
+CACHED = 500_000
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end: int = 1, room: int = 4096) -> DataFrame:
