@@ -181,7 +181,9 @@ def _grouped(docs: DataFrame, crowd: int) -> DataFrame:
     real = sig.filter("n_shingles > 0 and doc_id is not null")
     firsts = real.groupBy(*key).agg(F.min("doc_id").alias("first"))
     shown = real.join(firsts, key).filter("doc_id = first").select(*key, "first", F.col("n_shingles").alias("n"), "left", "right")
-    shown = checkpoint(shown.dropDuplicates(key).withColumn("rep", F.monotonically_increasing_id()))
+    # numbers rise with the first doc_id: of near copies the first is most often the one that the others were made from
+    shown = shown.repartitionByRange("first").dropDuplicates(["first", *key]).sortWithinPartitions("first")
+    shown = checkpoint(shown.withColumn("rep", F.monotonically_increasing_id()))
     lefts = shown.select("rep", F.explode("left").alias("lk"))
     twice = lefts.groupBy("lk").agg(F.count("*").alias("c")).filter("c > 1").select("lk")
     met = lefts.join(twice, "lk").join(shown.select("rep", "n", "right"), "rep")
