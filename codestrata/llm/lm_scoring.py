@@ -28,9 +28,9 @@ BLOCK = "block long, doc_id array<long>, learn array<boolean>, size array<int>,
 def _contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two ids before each, of texts one behind the other that close with END; a text starts after two ends."""
     padded = np.concatenate([[END, END], ids]).astype(ids.dtype)
-    before = padded[:-2]
+    before = padded[:-2].copy()
     before[1:][ids[:-1] == END] = END
-    return padded[1:-1].copy(), before
+    return padded[1:-1], before
 
 
 def classes(noise: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:

@@ -16,15 +16,18 @@ def tokenizer_path() -> str:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents. Null or wordless texts stand alone; rows that repeat an id are judged each by its text; an empty table gives no rows."""
     return near_dedup.near_groups(documents(spark, sf_dir))
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents. Null or empty texts have none; repeated rows are given each; an empty table gives no rows."""
     found = licenses.scan(documents(spark, sf_dir))
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), "n_matches")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from labels of ids whose remainder is not 0. Null text scores as empty text; ties of hashes go by id; repeated rows are given each; empty tables give no rows or, for labels, the score 0."""
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.filter(remainder("doc_id", 5) != 0))
     scored = toxicity.score(docs, model)
@@ -32,34 +35,41 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learnt where the remainder is not 1. Null or letterless text is `und`; repeated rows are given each; without rows to learn from all is `und`."""
     docs = documents(spark, sf_dir)
     model = language_id.fit(docs.filter(remainder("doc_id", 3) != 1))
     return language_id.predict(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents. Null text has size 0; a null source is the last one; equal rows are taken each on its own; an empty table gives no rows."""
     return mixing.mix(documents(spark, sf_dir))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts. Null text is empty; null ids come first; rows of one id go by text; a single row is its own next; an empty table gives no rows."""
     return fingerprints.fingerprint_pairs(documents(spark, sf_dir))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents. Null text has none; repeated rows are given each; an empty table gives no rows."""
     return secrets.digest(secrets.find_secrets(documents(spark, sf_dir)))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents. Null text counts as empty; a null id loses every tie; repeated rows are given each; an empty table gives no rows."""
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt where the remainder is not 1. Null text is one end; repeated rows are given each; an empty table gives no rows."""
     docs = documents(spark, sf_dir)
     scored = lm_scoring.score(docs, remainder("doc_id", 5) != 1)
     return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences. Null text is the end id alone; equal rows are packed each; an empty table gives no rows."""
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
