@@ -69,6 +69,21 @@ def test_near_groups(spark):
                 assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]), r["doc_id"] == find(r["doc_id"]))
 
 
+def test_near_links_of_a_query_set(spark):
+    """All links of rows whose id is divisible by 50, against all rows of a larger table, by brute force: both ends share a component."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {i: shingle_set(t) for i, t in pairs(docs)}
+    comp = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(docs).collect()}
+    links = lost = 0
+    for a in (i for i in sets if i % 50 == 0):
+        for b, s in sets.items():
+            both = len(sets[a] & s) if a != b and sets[a] else 0
+            if both and 100 * both >= 75 * len(sets[a] | s):
+                links, lost = links + 1, lost + (comp[a] != comp[b])
+    assert links and lost <= 0.001 * links
+    assert near_dedup.near_groups(docs, crowd=2).exceptAll(near_dedup.near_groups(docs, crowd=10**9)).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     """Rounds grow with the logarithm of the chain, and plans stay small."""
     links = spark.createDataFrame([(i, i + 1) for i in range(3000)] + [(5000, 5001)], "a long, b long")
@@ -299,6 +314,75 @@ def test_isotonic_is_monotone():
     assert (np.diff(y) >= 0).all() and 0 < y[0] and y[-1] < 1
 
 
+def test_toxicity_features_by_hand():
+    text = "YOU are a l0ser, and tu es un IDIOT!! trash? ok"
+    words = ["you", "are", "a", "l0ser", "and", "tu", "es", "un", "idiot", "trash", "ok"]
+    got = toxicity.features(text, {"are": 2.0, "ok": 1.5})
+    n, chars = len(words), len(text)
+    insults, hidden = [8, 9], [3]
+    near = sum(any(abs(i - j) <= 4 for j in (0, 5)) for i in (1, 3, 8, 9, 10))
+    want = [2 / n, 3.5 / n, 2.0, 5.0, len(insults) / n, len(hidden) / n, 2 / n, near / n, sum(c.isupper() for c in text) / chars, 2 / n, 3 / chars, 4 / chars, 1 / n, math.log1p(n)]
+    assert np.allclose(got, want) and toxicity.features("", {}) == [0.0] * toxicity.FEATURES
+
+
+def test_trees_and_margins_by_hand():
+    """A tree's margin is the base and, for each tree, the leaf that the splits lead to."""
+    trees = (0.5, 2, [([(0, 1.0), (1, 5.0), (1, 2.0)], np.array([1.0, 2.0, 3.0, 4.0])), ([(1, 3.0), (0, 0.0), (0, 9.0)], np.array([10.0, 20.0, 30.0, 40.0]))])
+    x = np.array([[1.0, 5.0], [1.0, 6.0], [2.0, 2.0], [2.0, 2.5], [-1.0, 3.0]])
+    want = []
+    for row in x:
+        total = 0.5
+        for splits, leaves in trees[2]:
+            k = 0
+            for _ in range(2):
+                j, bound = splits[k]
+                k = 2 * k + 1 + int(row[j] > bound)
+            total += leaves[k - 3]
+        want.append(total)
+    assert np.allclose(toxicity.margins(x, trees), want)
+    y = (np.random.default_rng(0).random(400) < 0.5).astype(float)
+    z = np.column_stack([y + np.random.default_rng(1).normal(0, 0.3, 400), np.zeros(400)])
+    assert ((toxicity.margins(z, toxicity.boost(z, y, trees=20)) > 0) == (y > 0)).mean() > 0.95
+
+
+def test_language_scores_by_hand(spark):
+    """Predictions against loops over n-grams with the learned weights, on real and odd rows."""
+    model = language_id.fit(real(spark))
+    for docs in (odd(spark), real(spark)):
+        got = collections.Counter((r["doc_id"], r["lang_pred"], round(r["score"], 6)) for r in language_id.predict(docs, model).collect())
+        want = collections.Counter()
+        for i, t in pairs(docs):
+            if not any(c.isalpha() for c in t):
+                want[(i, "und", 0.0)] += 1
+                continue
+            kept = []
+            for c in t.lower():
+                letter = "a" <= c <= "z" or ord(c) >= 192
+                if letter or kept and kept[-1] != 32:
+                    kept.append(ord(c) if letter else 32)
+            n = collections.Counter()
+            for k in range(len(kept)):
+                h = kept[k] * 2654435761 % 2**32
+                n[bucket(h)] += 1
+                if k + 1 < len(kept):
+                    two = ((h ^ 0x5BD1E995) * 2246822519 + kept[k + 1] * 2654435761) % 2**32
+                    n[bucket(two)] += 1
+                    if k + 2 < len(kept):
+                        n[bucket(((two ^ 0x27D4EB2F) * 3266489917 + kept[k + 2] * 2654435761) % 2**32)] += 1
+            v = {g: (1 + math.log(c)) * model["idf"][g] for g, c in n.items()}
+            norm = max(1e-9, math.sqrt(sum(x * x for x in v.values())))
+            s = sum((x / norm * model["w"][g] for g, x in v.items()), model["b"].copy()) / model["t"]
+            p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+            want[(i, model["classes"][int(np.argmax(p))], round(float(p.max()), 6))] += 1
+        # the last of six digits may be rounded the other way
+        assert sum(got.values()) == sum(want.values()) and sum((got - want).values()) <= 0.01 * sum(want.values())
+
+
+def bucket(h):
+    h ^= h >> 15
+    return h * 2246822519 % 2**32 >> 17
+
+
 def test_language_held_out(spark):
     docs = real(spark)
     got = queries.op4_language_id(spark, DATA).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
@@ -324,6 +408,28 @@ def test_mixing(spark):
         assert sorted(map(str, mixing.mix(docs, block=8, shard=1024).collect())) == sorted(map(str, rows))
 
 
+def test_mixing_takes_whole_blocks_in_passes(spark):
+    """What each document has taken, from its blocks' words and the passes over them, by loops; a source's blocks differ by one pass."""
+    for docs in tables(spark):
+        pieces, sources = mixing.mixed_blocks(docs, block=8, shard=64)
+        rows = pieces.filter("block is not null").collect()
+        taken, times, filled = collections.Counter(), {}, collections.defaultdict(set)
+        for r in rows:
+            assert 0 <= r["lo"] < r["hi"] <= r["size"] and r["hi"] - r["lo"] <= 8 and times.setdefault((r["s"], r["block"]), r["times"]) == r["times"]
+            taken[(r["doc_id"], r["size"])] += (r["hi"] - r["lo"]) * r["times"]
+            place = range(r["start"] + r["lo"], r["start"] + r["hi"])
+            assert {w // 8 for w in place} == {r["block"]} and not filled[r["s"]] & set(place)
+            filled[r["s"]] |= set(place)
+        for k, (_, size, _) in enumerate(sources):
+            assert filled[k] == set(range(size))
+            of_source = [n for (s, _), n in times.items() if s == k]
+            assert not of_source or max(of_source) - min(of_source) <= 1 and max(of_source) <= 3
+        got = collections.Counter()
+        for r in mixing.mix(docs, block=8, shard=64).collect():
+            got[(r["doc_id"], r["size"])] += r["taken"]
+        assert +got == +taken
+
+
 def test_mixed_documents_have_the_words_taken(spark):
     docs = odd(spark)
     taken = sum(r["taken"] for r in mixing.mix(docs, block=8).collect())
@@ -413,6 +519,28 @@ def test_lm_scores(spark):
         assert all(r["score"] <= 0 and r["train_tokens"] == n for r in got)
 
 
+def test_lm_chances_by_hand():
+    """Chances of words from class and word scores by loops; contexts of texts one behind the other."""
+    noise = np.r_[0.2, 0.2, np.full(30, 0.02)]
+    ids = np.array([5, 7, 1, 1, 9, 9, 31, 1], np.int32)  # three texts, the second one empty
+    w1, w2 = lm_scoring._contexts(ids)
+    assert w1.tolist() == [1, 5, 7, 1, 1, 9, 9, 31] and w2.tolist() == [1, 1, 5, 1, 1, 1, 9, 9]
+    p, _ = lm_scoring.train_part([ids] * 50, noise / noise.sum(), 4, 1)
+    own, members, _ = kinds = lm_scoring.classes(noise / noise.sum())
+    want = []
+    for w, a, b in zip(ids, w1, w2):
+        hat = np.r_[p["a"][a] + p["b"][b], 1.0]
+        of_class, of_word = np.exp(p["c"] @ hat), np.exp(p["q"][members[own[w]]] @ hat)
+        want.append(math.log(of_class[own[w]] / of_class.sum() * of_word[list(members[own[w]]).index(w)] / of_word.sum()))
+    assert np.allclose(lm_scoring.log_chances(p, kinds, ids, w1, w2), want, atol=1e-4)
+
+
+def test_lm_base_scores_do_not_depend_on_partitions(spark):
+    docs = real(spark)
+    few, many = ({r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in lm_scoring.score(docs.repartition(n), F.col("doc_id") % 3 > 0, vocabulary=64, common=50).collect()} for n in (1, 9))
+    assert few == many and len(few) == docs.count()
+
+
 def test_lm_is_normalised():
     p = {k: np.random.default_rng(3).normal(size=(20, 4)).astype(np.float32) for k in "abq"} | {"bias": np.zeros(20, np.float32)}
     a, b, z = lm_scoring.log_tables(p)
