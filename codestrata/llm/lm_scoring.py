@@ -328,7 +328,7 @@ def score(docs: DataFrame, learn: Column, vocabulary: int | None = None, common:
 
     # broadcast: the model's words and the common ones
     told = F.broadcast(spark.createDataFrame([(w, n, index.get(w, OTHER)) for w, n in top], "word binary, n long, m int"))
-    # a word outside of them occurs in fewer than sqrt(tokens) / 32 (or tokens / common) dictionaries
+    # a counted word outside of them is in fewer than sqrt(tokens) / 32 (or tokens / common) dictionaries with a count; others in one a block at most
     rare = said.join(told, "word", "left_anti").withColumn("n", F.sum("times").over(Window.partitionBy("word"))).filter("n > 0").withColumn("m", F.lit(OTHER))
     both = rare.select("block", "i", "n", "m").union(said.join(told, "word").select("block", "i", "n", "m"))
     words = both.groupBy("block").agg(F.collect_list(F.struct("i", "n", "m")).alias("x")).select("block", F.col("x.i").alias("at"), F.col("x.n").alias("n"), F.col("x.m").alias("m"))
