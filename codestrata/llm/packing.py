@@ -58,25 +58,34 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int = 1, room: int = 4096
             for w, run, marks in halves:
                 seen[w] = stems[run] + seen[marks]
 
-        for batch in batches:
-            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
+        def runs(batch):
+            """Documents of some two million bytes together, split into words."""
+            held, size = [], 0
             for doc, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text"))):
                 # bytes.split() splits at the six white-space characters and at nothing else
-                own = (text or b"").split()
-                try:
-                    ids = b"".join(map(seen.__getitem__, own)) + tail
-                except KeyError:
-                    if len(seen) > CACHED:
-                        seen.clear()
-                        seen[b""] = b""
-                    if len(stems) > CACHED:
-                        stems.clear()
-                    learn([w for w in dict.fromkeys(own) if w not in seen])
+                held.append((doc, (text or b"").split()))
+                size += len(text or b"")
+                if size > 2_000_000:
+                    yield held
+                    held, size = [], 0
+            if held:
+                yield held
+
+        for batch in batches:
+            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
+            for held in runs(batch):
+                if len(seen) > CACHED:
+                    seen.clear()
+                    seen[b""] = b""
+                if len(stems) > CACHED:
+                    stems.clear()
+                learn(set().union(*(own for _, own in held)).difference(seen))
+                for doc, own in held:
                     ids = b"".join(map(seen.__getitem__, own)) + tail
-                for k, at in enumerate(range(0, len(ids), 4 * room)):
-                    part = ids[at : at + 4 * room]
-                    for name, v in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
-                        out[name].append(v)
+                    for k, at in enumerate(range(0, len(ids), 4 * room)):
+                        part = ids[at : at + 4 * room]
+                        for name, v in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
+                            out[name].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, PIECES)
