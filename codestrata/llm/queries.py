@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import exact_dedup, fingerprints, language_id, licenses, lm_scoring, mixing, near_dedup, packing, secrets, toxicity
+from codestrata.llm import alignment, exact_dedup, fingerprints, language_id, licenses, lm_scoring, mixing, near_dedup, packing, phrases, secrets, sharding, toxicity
 from codestrata.llm.common import documents, remainder
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +73,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_licenses, op3_toxicity, op4_language_id, op5_mixing, op6_fingerprints, op7_secrets, op8_exact_dedup, op9_lm_scoring, op10_packing)}
-SQL = {"op8_exact_dedup": exact_dedup.SQL}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers over all documents. Null and empty texts, and those that don't come back byte for byte, have zeros; repeated rows count each; an empty table gives no rows."""
+    return alignment.align_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language over all documents. Null text is empty, null lang `und`; repeated rows count each; ties go by phrase; an empty table gives no rows."""
+    return phrases.phrases(documents(spark, sf_dir))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards, and where a 25th would take them. Null text has no bytes; a null id is one key; rows alike get slots each; an empty table gives no rows."""
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_licenses, op3_toxicity, op4_language_id, op5_mixing, op6_fingerprints, op7_secrets, op8_exact_dedup, op9_lm_scoring, op10_packing, op11_alignment, op12_phrases, op13_sharding)}
+SQL = {"op8_exact_dedup": exact_dedup.SQL, "op12_phrases": phrases.SQL}
