@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,11 +14,29 @@ from codestrata.functions.scalars import half_up
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage by files in the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Cut lineage by a table in the shared folder: no plan, and no estimate of sizes, passes from one round to the next."""
+    return _written(df, f"{shared_folder(df.sparkSession)}/tables/{uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """The tables of an iteration: a table put under a name takes the place of the last one, whose files go."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.held, self.n = spark, f"{shared_folder(spark)}/tables/{uuid4().hex}", {}, 0
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        self.n += 1
+        old, self.held[name] = self.held.get(name), f"{self.folder}/{name}-{self.n}"
+        out = _written(df, self.held[name])
+        if old:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return out
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -90,63 +109,153 @@ def reach(edges: DataFrame) -> DataFrame:
         n = m
 
 
+def jumps(links: DataFrame, rounds: Rounds | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """Where single links lead in the end, by doubled steps. links: node, to; one row a node.
+
+    Returns ends (node, end, ring) and the steps taken: end is the first node without a link of its own, and ring is null;
+    on a way that never ends, end is a node of the ring that the way runs into and ring the least node of that ring. The
+    k-th table of steps (node, to) has the nodes 2^k links on, for ways that go on there. Rounds grow with the logarithm of
+    the longest way, or of the number of links where there are rings.
+    """
+    rounds = rounds or Rounds(links.sparkSession)
+    tag, steps = uuid4().hex[:8], []
+    goes_on = links.select(F.col("node").alias("to")).distinct()
+    first = links.join(goes_on.withColumn("on", F.lit(True)), "to", "left").select("node", "to", F.coalesce("on", F.lit(False)).alias("on"), F.col("node").alias("least"))
+    now, done, span = rounds.put(f"{tag}-now", first), [], 1
+    n = now.count()
+    while True:
+        done.append(rounds.put(f"{tag}-done-{len(done)}", now.filter("not on").select("node", F.col("to").alias("end"))))
+        now = rounds.put(f"{tag}-on-{len(steps)}", now.filter("on"))
+        if span > n or now.isEmpty():
+            break
+        steps.append(now.select("node", "to"))
+        # what a way's next stop has reached by now: still going on, or done in this round or before
+        ended = done[0]
+        for more in done[1:]:
+            ended = ended.unionByName(more)
+        after = now.select(F.col("node").alias("to"), F.col("to").alias("far"), F.lit(True).alias("more"), F.col("least").alias("least2"))
+        after = after.unionByName(ended.select(F.col("node").alias("to"), F.col("end").alias("far"), F.lit(False).alias("more"), F.lit(None).cast(dict(links.dtypes)["node"]).alias("least2")))
+        now = rounds.put(f"{tag}-now", now.join(after, "to").select("node", F.col("far").alias("to"), F.col("more").alias("on"), F.least("least", "least2").alias("least")))
+        span *= 2
+    ends = done[0]
+    for more in done[1:]:
+        ends = ends.unionByName(more)
+    # after so many steps a way without an end is on its ring, and every node of a ring is where one of them has come
+    on_ring = now.select(F.col("to").alias("end")).distinct()
+    ring = now.select(F.col("node").alias("end"), F.col("least").alias("ring")).join(on_ring, "end", "left_semi")
+    endless = now.select("node", F.col("to").alias("end")).join(ring, "end").select("node", "end", "ring")
+    return ends.withColumn("ring", F.lit(None).cast(dict(links.dtypes)["node"])).unionByName(endless), steps
+
+
 def sccs(edges: DataFrame) -> DataFrame:
     """node, component (least node) of strongly connected components with more than one node or a self-loop.
 
-    Nodes without an edge in or out leave first, in rounds; that alone clears trees and chains' ends. Then each round gives
-    every node the least label that reaches it forwards; the nodes that the label's own node can reach back to within that
-    label are one component and leave. What is left goes on. Labels travel along doubled steps (_spread), so rounds grow
-    with the logarithm of the longest path.
+    Nodes with one way out are decided by where that way leads: all of them leave at once, along ways of any length, found
+    by doubled steps (jumps); so do, with edges turned, nodes with one way in. Ways that never leave such nodes end in rings,
+    each a component. Edges into a way that was left out go to its end instead; if they turn out to come from the end's own
+    component, the way from there on belongs to it. What is left, nodes with two ways in and out at least, is searched from
+    hashed pivots, many to a round: every node gets the least hash that reaches it, and what reaches that hash's node within
+    its label is that node's component. Edges between labels leave. Rounds grow with the logarithm of a path, save in graphs
+    that neither rule cuts; each round is a table in the shared folder.
     """
-    left = checkpoint(edges.select("src", "dst").distinct())
-    loops = left.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
-    left = checkpoint(left.filter("src <> dst"))
-    out = loops
-    while not left.isEmpty():
-        left = _trim(left)
-        if left.isEmpty():
-            break
-        nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
-        color = _spread(nodes.withColumn("c", F.col("node")), left, "src", "dst")
-        own = color.select("node", F.col("c").alias("color"))
-        kept = checkpoint(left.join(color.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(color.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").filter("cs = cd").select("src", "dst", F.col("cs").alias("c")))
-        # backwards, a node of the label's component gets the label's own node, its least one, as its least label
-        back = _spread(nodes.withColumn("c", F.col("node")), kept, "dst", "src")
-        back = checkpoint(back.join(own, "node").filter("c = color").select("node", "c"))
-        size = back.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c")
-        out = out.union(back.join(size, "c").select("node", F.col("c").alias("component")))
-        gone = back.select("node")
-        left = checkpoint(left.join(gone, left["src"] == gone["node"], "left_anti").join(gone, F.col("dst") == gone["node"], "left_anti"))
-    return out.groupBy("node").agg(F.min("component").alias("component"))
-
-
-def _trim(left: DataFrame, rounds: int = 8) -> DataFrame:
-    """left without edges whose source nothing leads to or whose target leads nowhere, for a few rounds or until none is."""
-    n = left.count()
-    for _ in range(rounds):
-        ends = left.select("src").distinct().join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        left = checkpoint(left.join(ends, "src", "left_semi").join(ends.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"))
-        was, n = n, left.count()
-        if was == n:
-            break
-    return left
+    rounds = Rounds(edges.sparkSession)
+    plain = rounds.put("edges", edges.select("src", "dst").distinct())
+    loops = plain.filter("src = dst").select(F.col("src").alias("node"))
+    left = rounds.put("left", plain.filter("src <> dst"))
+    found: list[DataFrame] = []
+    levels: list[tuple[DataFrame, DataFrame, list[DataFrame]]] = []
+    size = left.count()
+    while size:
+        before = size
+        for src, dst in (("src", "dst"), ("dst", "src")):
+            left, rings, level = _shortcut(left, src, dst, rounds, len(levels))
+            found.append(rings)
+            levels.append(level)
+            size = left.count()
+            if not size:
+                break
+        if size > 0.75 * before:
+            left, some = _pivots(left, rounds, len(levels))
+            found.append(some)
+            size = left.count()
+    groups = loops.select("node", F.col("node").alias("c")).limit(0)
+    for some in found:
+        groups = groups.unionByName(some)
+    groups = rounds.put("groups", groups)
+    for entries, ends, steps in reversed(levels):
+        groups = rounds.put("groups", groups.unionByName(_readmit(groups, entries, ends, steps, rounds)).distinct())
+    name = groups.groupBy("c").agg(F.min("node").alias("component"), F.count("*").alias("n"))
+    out = groups.join(name.filter("n > 1").select("c", "component"), "c").select("node", "component")
+    return checkpoint(out.unionByName(loops.join(out, "node", "left_anti").select("node", F.col("node").alias("component"))))
+
+
+def _shortcut(left: DataFrame, src: str, dst: str, rounds: Rounds, k: int) -> tuple[DataFrame, DataFrame, tuple]:
+    """left without nodes that have one way out (from src to dst), and those without any; the rings among them (node, c); and what
+    is needed to take others back: entries (src, at, end), ends (node, end) and steps."""
+    e = left.select(F.col(src).alias("a"), F.col(dst).alias("b"))
+    single = e.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("to")).filter("n = 1").select(F.col("a").alias("node"), "to")
+    ends, steps = jumps(rounds.put(f"single-{k}", single), rounds)
+    ends = rounds.put(f"ends-{k}", ends)
+    rings = ends.filter("ring is not null")
+    rings = rounds.put(f"rings-{k}", rings.select(F.col("end").alias("node"), F.col("ring").alias("c")).distinct())
+    # ends without any way out, and ways into rings, are in no component but the rings
+    ways = e.select(F.col("a").alias("end")).distinct()
+    ends = rounds.put(f"open-{k}", ends.filter("ring is null").join(ways, "end", "left_semi").select("node", "end"))
+    ruled = single.select("node")
+    more = e.join(ruled, e["a"] == ruled["node"], "left_anti")
+    into = rounds.put(f"into-{k}", more.join(ends, F.col("b") == F.col("node")).select("a", F.col("b").alias("at"), "end"))
+    # an edge that stays leads to a node with more ways out, or to the end of a way
+    kept = more.join(ways, more["b"] == ways["end"], "left_semi").join(ruled, F.col("b") == F.col("node"), "left_anti").select("a", "b")
+    after = kept.unionByName(into.filter("a <> end").select("a", F.col("end").alias("b"))).distinct()
+    left = rounds.put("left", after.select(F.col("a").alias(src), F.col("b").alias(dst)).select("src", "dst"))
+    return left, rings, (into, ends, steps)
+
+
+def _readmit(groups: DataFrame, entries: DataFrame, ends: DataFrame, steps: list[DataFrame], rounds: Rounds) -> DataFrame:
+    """node, c of the nodes left out that lie between an edge from their end's component and that end, and of such ends."""
+    of = lambda name: groups.select(F.col("node").alias(name), F.col("c").alias(f"c_{name}"))
+    met = entries.join(of("a"), "a", "left").join(of("end"), "end", "left")
+    met = met.filter("coalesce(c_a, a) = coalesce(c_end, end)").select(F.col("at").alias("node"), "end", F.coalesce("c_end", "end").alias("c"))
+    ends_too = met.select(F.col("end").alias("node"), "c")
+    marked = rounds.put("marked", met.select("node").distinct())
+    for step in steps:
+        marked = rounds.put("marked", marked.unionByName(step.join(marked, "node", "left_semi").select(F.col("to").alias("node"))).distinct())
+    inside = marked.join(ends, "node").join(of("end"), "end", "left").select("node", F.coalesce("c_end", "end").alias("c"))
+    return rounds.put(f"readmitted-{rounds.n}", inside.unionByName(ends_too))
+
+
+def _pivots(left: DataFrame, rounds: Rounds, k: int) -> tuple[DataFrame, DataFrame]:
+    """One search: the edges that stay, and node, c of the components found."""
+    nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+    own = rounds.put("own", nodes.withColumn("c", F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("at"))))
+    color = rounds.put("color", _spread(own, left, "src", "dst", rounds))
+    ends = [color.select(F.col("node").alias(x), F.col("c").alias(f"c_{x}")) for x in ("src", "dst")]
+    kept = rounds.put("kept", left.join(ends[0], "src").join(ends[1], "dst").filter("c_src = c_dst").select("src", "dst"))
+    # backwards, what reaches the label's own node gets its hash, which is the least of all with that label
+    back = _spread(own, kept, "dst", "src", rounds)
+    found = back.join(color.withColumnRenamed("c", "color"), "node").filter("c = color").select("node", F.col("c.at").alias("c"))
+    found = rounds.put(f"found-{k}", found)
+    gone = found.select("node")
+    rest = kept.join(gone, kept["src"] == gone["node"], "left_anti").join(gone, F.col("dst") == gone["node"], "left_anti")
+    return rounds.put("left", rest.select("src", "dst")), found
 
 
-def _spread(labels: DataFrame, edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """The least label that reaches each node along edges. labels: node, c with c = node.
+def _spread(labels: DataFrame, edges: DataFrame, src: str, dst: str, rounds: Rounds) -> DataFrame:
+    """The least label that reaches each node along edges. labels: node, c, where c.at is the node that a label is of.
 
-    A node that holds label m is reached from m, and so by all that reaches m: besides the labels of its neighbours it takes
-    the label that its own label's node has by now, which doubles the steps of a round.
+    A node that holds a label is reached from that label's node, and so by all that reaches it: besides the labels of its
+    neighbours it takes the one that its own label's node has by now. Labels are hashes, so the least one of a stretch is
+    anywhere on it, and a round makes stretches longer by a share of their length.
     """
-    labels, edges = checkpoint(labels), edges.select(src, dst)
+    edges = edges.select(src, dst)
     while True:
         near = edges.join(labels, edges[src] == labels["node"]).select(F.col(dst).alias("node"), "c", F.lit(False).alias("own"))
-        jump = labels.join(labels.select(F.col("node").alias("via"), F.col("c").alias("far")), F.col("c") == F.col("via")).select("node", F.col("far").alias("c"), F.lit(False).alias("own"))
-        every = labels.withColumn("own", F.lit(True)).union(near).union(jump)
-        new = checkpoint(every.groupBy("node").agg(F.min("c").alias("c"), F.min(F.when(F.col("own"), F.col("c"))).alias("old")))
-        changed = not new.filter("c <> old").isEmpty()
+        jump = labels.select("node", F.col("c.at").alias("via")).join(labels.select(F.col("node").alias("via"), "c"), "via").select("node", "c", F.lit(False).alias("own"))
+        every = labels.select("node", "c", F.lit(True).alias("own")).union(near).union(jump)
+        new = every.groupBy("node").agg(F.min("c").alias("c"), F.min(F.when(F.col("own"), F.col("c"))).alias("old"))
+        new = rounds.put(f"labels-{src}", new)
         labels = new.select("node", "c")
-        if not changed:
+        if new.filter("c <> old").isEmpty():
             return labels
 
 
