@@ -16,8 +16,10 @@ from codestrata.llm.common import LOWER, UPPER, checkpoint, ship, small_batches
 SEPARATORS = ".,;:!?\n\x0b\x0c\r"
 #: Bytes as they are counted: A-Z lower-cased, separators as line feeds, tabs as blanks. All are ASCII, so UTF-8 stays whole.
 BYTES = bytes.maketrans((UPPER + SEPARATORS + "\t").encode(), (LOWER + "\n" * len(SEPARATORS) + " ").encode())
-STRIPE = "lang string, size int, prefix binary, next array<binary>, n array<long>"
-ARROW = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("prefix", pa.binary()), ("next", pa.list_(pa.binary())), ("n", pa.list_(pa.int64()))])
+#: Stripes of one run, language, size and slot as they travel: prefixes and next words by line (neither holds a line feed), how many
+#: next words each prefix has, and their counts; all packed.
+PACKED = "slot int, lang string, size int, prefixes binary, next binary, lengths binary, n binary"
+ARROW = pa.schema([("slot", pa.int32()), ("lang", pa.string()), ("size", pa.int32()), ("prefixes", pa.binary()), ("next", pa.binary()), ("lengths", pa.binary()), ("n", pa.binary())])
 #: Bits of the filter that tells tasks what was frequent in the round before: 8 MB, whatever the input.
 BITS = 1 << 26
 
@@ -48,15 +50,49 @@ class _Words(dict):
         return self[word]
 
 
-def _stripes(lang: str, size: int, prefixes: pa.Array, words: pa.Array, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Elements (prefix number a, word number b, count n), in order of a, as one row a prefix."""
-    starts = np.flatnonzero(np.diff(a, prepend=-1))
-    offsets = pa.array(np.append(starts, len(a)).astype(np.int32))
-    rows = [pa.array([lang] * len(starts), pa.string()), pa.array(np.full(len(starts), size, np.int32)), prefixes.take(pa.array(a[starts])), pa.ListArray.from_arrays(offsets, words.take(pa.array(b))), pa.ListArray.from_arrays(offsets, pa.array(n))]
-    return pa.RecordBatch.from_arrays(rows, schema=ARROW)
-
-
-def _count(lang: str, codes: np.ndarray, words: list[bytes], sizes: tuple[int, ...], known: np.ndarray | None):
+def _crcs(phrases: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, phrases), np.uint64, len(phrases))
+
+
+def _stripes(lang: str, size: int, slots: int, prefixes: list[bytes], words: list[bytes], a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Elements (prefix number a, word number b, count n), in order of a, as packed stripes. An element's slot comes from its
+    prefix and its word, so that a hot prefix is in many."""
+    slot = ((_crcs(prefixes)[a] * np.uint64(0x9E3779B1) + _crcs(words)[b] * np.uint64(0x85EBCA77)) >> np.uint64(13)) % np.uint64(slots)
+    order = np.argsort(slot, kind="stable")
+    slot, a, b, n = slot[order].astype(np.int32), a[order], b[order], n[order].astype("<u4")
+    first = np.flatnonzero(np.diff(slot, prepend=-1))
+    out = {k: [] for k in ARROW.names}
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(slot)]):
+        starts = lo + np.flatnonzero(np.diff(a[lo:hi], prepend=-1))
+        lengths = np.diff(starts, append=hi).astype("<u4")
+        joined = [b"\n".join([prefixes[i] for i in a[starts].tolist()]), b"\n".join([words[i] for i in b[lo:hi].tolist()]), lengths.tobytes(), n[lo:hi].tobytes()]
+        for k, v in zip(out, (int(slot[lo]), lang, size, *[zlib.compress(x, 1) for x in joined])):
+            out[k].append(v)
+    return pa.RecordBatch.from_pydict(out, schema=ARROW)
+
+
+def _merged(rows: pa.Table, least: int) -> pa.Table:
+    """The stripes of one slot added up, element by element: elements that occur `least` times, and a row of size 0 a language
+    with the sum of all counts."""
+    counters: dict[tuple[str, int], dict[bytes, dict[bytes, int]]] = {}
+    total: dict[str, int] = {}
+    for lang, size, *packed in zip(*(rows.column(k).to_pylist() for k in ARROW.names[1:])):
+        prefixes, words, lengths, n = map(zlib.decompress, packed)
+        stripes_, at = counters.setdefault((lang, size), {}), 0
+        words, n = words.split(b"\n"), np.frombuffer(n, "<u4").tolist()
+        total[lang] = total.get(lang, 0) + sum(n)
+        for prefix, length in zip(prefixes.split(b"\n"), np.frombuffer(lengths, "<u4").tolist()):
+            counter = stripes_.setdefault(prefix, {})
+            for word, more in zip(words[at : at + length], n[at : at + length]):
+                counter[word] = counter.get(word, 0) + more
+            at += length
+    out = [(lang, size, prefix, word, n) for (lang, size), stripes_ in counters.items() for prefix, counter in stripes_.items() for word, n in counter.items() if n >= least]
+    out += [(lang, 0, b"", b"", n) for lang, n in total.items()]
+    kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+    return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=["lang", "size", "prefix", "next", "n"])
+
+
+def _count(lang: str, codes: np.ndarray, words: list[bytes], sizes: tuple[int, ...], known: np.ndarray | None, slots: int):
     """Stripes of phrases of these sizes in a run of words. known: frequent words (for pairs) or frequent pairs (for more)."""
     arrow, tag = pa.array(words, pa.binary()), lang.encode()
     if sizes == (1,):
@@ -64,7 +100,7 @@ def _count(lang: str, codes: np.ndarray, words: list[bytes], sizes: tuple[int, .
         n[0] = 0
         at = np.flatnonzero(n)
         if len(at):
-            yield _stripes(lang, 1, pa.array([b""], pa.binary()), arrow, np.zeros(len(at), np.int64), at, n[at])
+            yield _stripes(lang, 1, slots, [b""], words, np.zeros(len(at), np.int64), at, n[at])
         return
     ok = codes != 0
     if sizes == (2,):
@@ -77,7 +113,7 @@ def _count(lang: str, codes: np.ndarray, words: list[bytes], sizes: tuple[int, .
     first, second = np.divmod(pairs, len(words))
     if sizes == (2,):
         if len(pairs):
-            yield _stripes(lang, 2, arrow, arrow, first, second, n)
+            yield _stripes(lang, 2, slots, words, words, first, second, n)
         return
     phrases = pc.binary_join_element_wise(arrow.take(pa.array(first)), arrow.take(pa.array(second)), b" ")
     good = _has(known, _hash(tag, phrases.to_pylist())) if len(pairs) else np.zeros(0, bool)
@@ -92,15 +128,16 @@ def _count(lang: str, codes: np.ndarray, words: list[bytes], sizes: tuple[int, .
             return
         both, inverse, n = np.unique(number * np.int64(len(words)) + codes[at + size - 1], return_inverse=True, return_counts=True)
         a, b = np.divmod(both, len(words))
-        yield _stripes(lang, size, phrases, arrow, a, b, n)
+        yield _stripes(lang, size, slots, phrases.to_pylist(), words, a, b, n)
         phrases, number = pc.binary_join_element_wise(phrases.take(pa.array(a)), arrow.take(pa.array(b)), b" "), inverse
 
 
-def stripes(docs: DataFrame, sizes: tuple[int, ...], known: np.ndarray | None = None, most: int = 2_000_000) -> DataFrame:
-    """Merged stripes of phrases of these sizes: lang, size, prefix, next, n, one row an element.
+def stripes(docs: DataFrame, sizes: tuple[int, ...], least: int = 1, known: np.ndarray | None = None, slots: int = 128, most: int = 2_000_000) -> DataFrame:
+    """Merged stripes of phrases of these sizes: lang, size, prefix, next, n, a row an element that occurs `least` times; and
+    rows of size 0 whose n add up to a language's occurrences.
 
     A task counts runs of up to `most` words (one longer text may exceed that) in associative counters, a stripe a prefix.
-    Stripes are then added up element by element, so the counter of a hot prefix is shared by many tasks and none holds it whole.
+    Stripes travel packed, dealt to `slots` by prefix and next word, and each slot adds its own up element by element.
     """
     sent = docs.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
@@ -111,7 +148,7 @@ def stripes(docs: DataFrame, sizes: tuple[int, ...], known: np.ndarray | None =
         def flush():
             words = list(number)
             for lang, parts in held.items():
-                yield from _count(lang, np.concatenate(parts), words, sizes, bits)
+                yield from _count(lang, np.concatenate(parts), words, sizes, bits, slots)
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -128,8 +165,8 @@ def stripes(docs: DataFrame, sizes: tuple[int, ...], known: np.ndarray | None =
         yield from flush()
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    made = rows.mapInArrow(run, STRIPE).select("lang", "size", F.col("prefix").cast("string").alias("prefix"), F.explode(F.arrays_zip("next", "n")).alias("x"))
-    return made.select("lang", "size", "prefix", F.col("x.next").cast("string").alias("next"), F.col("x.n").alias("n")).groupBy("lang", "size", "prefix", "next").agg(F.sum("n").alias("n"))
+    made = rows.mapInArrow(run, PACKED).groupBy("slot").applyInArrow(lambda table: _merged(table, least), "lang string, size int, prefix binary, next binary, n long")
+    return made.withColumns({c: F.col(c).cast("string") for c in ("prefix", "next")})
 
 
 def _score(a: Column, n: Column, left: Column, right: Column) -> Column:
@@ -153,15 +190,17 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000
     Ties of score and count go by phrase in byte order.
     """
     small_batches(docs.sparkSession)
-    words = checkpoint(stripes(docs, (1,)))
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    single = words.filter(F.col("n") >= least).select("lang", F.col("next").alias("phrase"), F.col("n").alias("f"))
-    pairs = checkpoint(stripes(docs, (2,), _filter(single)).filter(F.col("n") >= least))
+    # a slot for some two million words, so that its counters fit a task however large the corpus
+    slots = max(128, (docs.select(F.sum(F.octet_length("text"))).first()[0] or 0) // 12_000_000)
+    words = checkpoint(stripes(docs, (1,), least, slots=slots))
+    totals = words.filter("size = 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    single = words.filter("size > 0").select("lang", F.col("next").alias("phrase"), F.col("n").alias("f"))
+    pairs = checkpoint(stripes(docs, (2,), least, _filter(single), slots).filter("size > 0"))
     joined = F.concat_ws(" ", "prefix", "next").alias("phrase")
     found = pairs
     if longest > 2:
         known = _filter(pairs.select("lang", joined))
-        found = pairs.unionByName(checkpoint(stripes(docs, tuple(range(3, longest + 1)), known).filter(F.col("n") >= least)))
+        found = pairs.unionByName(checkpoint(stripes(docs, tuple(range(3, longest + 1)), least, known, slots).filter("size > 0")))
     candidates = found.select("lang", joined, "size", F.col("n").alias("a"), "prefix")
     # a word more on either side: the stripe's own prefix, and the phrase without its first word
     shorter = F.explode(F.array("prefix", F.expr("substring(phrase, instr(phrase, ' ') + 1)"))).alias("phrase")

@@ -137,8 +137,8 @@ def test_phrases(spark, least, top, longest):
 
 def test_phrases_in_small_runs_and_of_nothing(spark):
     rows = [(i, "x y z x y z " * 30, "en") for i in range(4)]
-    whole = phrases.stripes(frame(spark, rows), (1,)).collect()
-    assert sorted(map(tuple, whole)) == sorted(map(tuple, phrases.stripes(frame(spark, rows), (1,), most=10).collect()))
+    whole = phrases.stripes(frame(spark, rows), (1,)).filter("size > 0").collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, phrases.stripes(frame(spark, rows), (1,), slots=3, most=10).filter("size > 0").collect()))
     assert phrases.phrases(frame(spark, [])).count() == 0
     assert phrases.phrases(frame(spark, [(1, None, None), (2, "a. b", "en")])).count() == 0
 
