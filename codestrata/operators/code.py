@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import builtins
 import re
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.scalars import is_identifier
-from codestrata.operators import windows
+from codestrata.operators import graph, windows
 from codestrata.operators.filters import check_limit
 from codestrata.sources.facts import of
 
@@ -89,60 +91,166 @@ def unused_imports(facts: DataFrame) -> DataFrame:
 
 
 def bindings(facts: DataFrame) -> DataFrame:
-    """The first place where each scope binds a name: repo, path, scope, name, place (line, col, kind) and what an import names.
+    """The first place where each scope binds a name: repo, path, module, scope, name, place (line, col, kind), what an import
+    names (target, orig), and n, the number of its places.
 
-    Definitions, parameters, assignments (also by for, with, except) and imports bind; kinds: def, param, write, import.
+    Definitions, parameters, assignments (also by for, with, except, match, := and type parameters) and imports bind; kinds:
+    def, param, write, import.
     """
     none = F.lit(None).cast("string")
+    own = [*FILE, "module", "scope", "name"]
     place = lambda kind: F.struct(F.col("name_line").alias("line"), F.col("name_col").alias("col"), F.lit(kind).alias("kind"))
-    defs = of(facts, "def").filter("kind <> 'variable'").select(*FILE, "scope", "name", place("def").alias("place"), none.alias("target"), none.alias("orig"))
-    params = of(facts, "param").select(*FILE, "scope", "name", place("param").alias("place"), none.alias("target"), none.alias("orig"))
-    writes = of(facts, "use").filter("kind = 'write'").select(*FILE, "scope", "name", F.struct("line", "col", F.lit("write").alias("kind")).alias("place"), none.alias("target"), none.alias("orig"))
-    imports = absolutize(of(facts, "import")).filter("coalesce(name, '') <> '*'").select(*FILE, "scope", F.col("asname").alias("name"), place("import").alias("place"), "target", F.coalesce("name", F.lit("")).alias("orig"))
+    defs = of(facts, "def").filter("kind <> 'variable'").select(*own, place("def").alias("place"), none.alias("target"), none.alias("orig"))
+    params = of(facts, "param").select(*own, place("param").alias("place"), none.alias("target"), none.alias("orig"))
+    writes = of(facts, "use").filter("kind = 'write'").select(*own, F.struct("line", "col", F.lit("write").alias("kind")).alias("place"), none.alias("target"), none.alias("orig"))
+    imports = absolutize(of(facts, "import")).filter("coalesce(name, '') <> '*'").select(*FILE, "module", "scope", F.col("asname").alias("name"), place("import").alias("place"), "target", F.coalesce("name", F.lit("")).alias("orig"))
     every = defs.unionByName(params).unionByName(writes).unionByName(imports)
-    best = every.groupBy(*FILE, "scope", "name").agg(F.min_by(F.struct("place", "target", "orig"), "place").alias("b"))
-    return best.select(*FILE, "scope", "name", "b.place", "b.target", "b.orig")
+    best = every.groupBy(*own).agg(F.min_by(F.struct("place", "target", "orig"), "place").alias("b"), F.count_distinct("place").alias("n"))
+    return best.select(*own, "b.place", "b.target", "b.orig", "n")
 
 
-def _tops(facts: DataFrame) -> DataFrame:
-    """Top-level definitions and variables by module: repo, target, orig, far (path, line, col)."""
-    far = F.struct("path", F.col("name_line").alias("line"), F.col("name_col").alias("col"))
-    return of(facts, "def").filter("is_top").groupBy("repo", F.col("module").alias("target"), F.col("name").alias("orig")).agg(F.min(far).alias("far"))
+def module_homes(facts: DataFrame) -> DataFrame:
+    """repo, module, home: the file that an import of each module reads. Roots go in order (the repository, src, lib), and in
+    each a package before a module."""
+    files = facts.filter("tag <> 'failure'").select("repo", "module", "path").distinct()
+    rank = F.when(F.startswith("path", F.lit("src/")), 1).when(F.startswith("path", F.lit("lib/")), 2).otherwise(0)
+    return files.groupBy("repo", "module").agg(F.min(F.struct(rank.alias("root"), (~F.endswith("path", F.lit("__init__.py"))).alias("plain"), "path"))["path"].alias("home"))
 
 
-USE = [*FILE, "name", "line", "col"]
+class Names(NamedTuple):
+    """Names of a corpus: bindings (with a row of kind star for each name that a star brings, which the file does not bind itself);
+    homes; imports: every name imported by from or import, with the place it leads to at once (to_path, to_name; to_name is
+    empty for a module) and in the end (end_path, end_name); tops: where names at the top of files are (def: line, col, kind)."""
 
+    bound: DataFrame
+    homes: DataFrame
+    imports: DataFrame
+    tops: DataFrame
 
-def resolve_names(facts: DataFrame) -> DataFrame:
-    """Every name read with its definition: repo, path, name, line, col, def_path, def_line, def_col, kind (def, param, write or
-    import); the nearest scope that binds the name decides, and an import leads to the module's own definition if the
-    corpus has it. Names that no scope binds have nulls.
 
-    Reads of attributes (m.f) are in it where m is an imported module of the corpus and f is defined at its top.
-    Facts needed: def, param, use, import, attr.
+def names(facts: DataFrame) -> Names:
+    """Resolves imports through re-exports and stars, of any length: stars are expanded until no file gets a new name, links
+    from name to name are followed by doubled steps, and links that run in a ring lead nowhere.
+
+    Of several stars that bring one name the last decides, and a name that the file binds itself goes before. A star brings
+    what the module's export list names, or else its names without a leading underscore, those from its own stars among them.
+    Facts needed: def, param, use, import; and export for stars and renames.
     """
-    bound, tops = bindings(facts), _tops(facts)
+    bound, homes = graph.checkpoint(bindings(facts)), graph.checkpoint(module_homes(facts))
+    stars = _star_names(facts, bound.filter("scope = 0"), homes)
+    if stars is not None:
+        bound = graph.checkpoint(bound.unionByName(stars))
+    top = bound.filter("scope = 0").select("repo", F.col("path").alias("to_path"), F.col("name").alias("to_name"))
+    imports = absolutize(of(facts, "import")).filter("coalesce(name, '') <> '*'").select(*FILE, "scope", F.col("asname").alias("name"), F.coalesce("name", F.lit("")).alias("orig"), "role", "target", F.col("name_line").alias("line"), F.col("name_col").alias("col"))
+    if stars is not None:
+        imports = imports.unionByName(stars.select(*FILE, "scope", "name", "orig", F.lit("star").alias("role"), "target", "place.line", "place.col"))
+    # import a.b binds a, import a.b as x binds x to a.b
+    first = F.when((F.col("orig") == "") & (F.col("role") == ""), F.split("target", r"\.")[0]).otherwise(F.col("target"))
+    met = imports.withColumn("m", first).join(homes.select("repo", F.col("module").alias("m"), F.col("home").alias("to_path")), ["repo", "m"], "left")
+    met = met.withColumn("to_name", F.col("orig")).join(top.withColumn("there", F.lit(True)), ["repo", "to_path", "to_name"], "left")
+    deep = homes.select("repo", F.col("module").alias("deep"), F.col("home").alias("sub"))
+    met = met.withColumn("deep", F.when(F.col("orig") != "", F.concat_ws(".", "target", "orig"))).join(deep, ["repo", "deep"], "left")
+    # from p import m: a name of p, or else the module p.m; a package that imports m from itself means the module
+    name_of = F.col("there") & ~(F.col("sub").isNotNull() & (F.col("to_path") == F.col("path")))
+    to = F.when(F.col("orig") == "", F.struct("to_path", F.lit("").alias("to_name"))).when(name_of, F.struct("to_path", "to_name")).otherwise(F.struct(F.col("sub").alias("to_path"), F.lit("").alias("to_name")))
+    met = graph.checkpoint(met.withColumn("to", to).select(*FILE, "scope", "name", "orig", "role", "target", "line", "col", "to.to_path", "to.to_name"))
+    node = lambda path, name: F.struct("repo", F.col(path).alias("path"), F.col(name).alias("name"))
+    firsts = bound.filter("scope = 0 and place.kind in ('import', 'star')").select(*FILE, "scope", "name", "place.line", "place.col")
+    links = met.filter("to_path is not null").join(firsts, [*FILE, "scope", "name", "line", "col"], "left_semi").select(node("path", "name").alias("node"), node("to_path", "to_name").alias("to")).dropDuplicates(["node"])
+    ends = graph.jumps(links)[0]
+    ends = ends.select("node.repo", F.col("node.path").alias("to_path"), F.col("node.name").alias("to_name"), F.when(F.col("ring").isNull(), F.col("end")).alias("end"), F.lit(True).alias("on"))
+    met = met.join(ends, ["repo", "to_path", "to_name"], "left")
+    end = [F.when(F.col("on"), F.col(f"end.{k}")).otherwise(F.col(f"to_{k}")).alias(f"end_{k}") for k in ("path", "name")]
+    imports = graph.checkpoint(met.select(*FILE, "scope", "name", "orig", "role", "target", "line", "col", "to_path", "to_name", *end))
+    tops = bound.filter("scope = 0 and place.kind <> 'star'").select("repo", F.col("path").alias("end_path"), F.col("name").alias("end_name"), F.struct(F.col("path"), "place.line", "place.col", "place.kind").alias("far"))
+    return Names(bound, homes, imports, tops)
+
+
+def _star_names(facts: DataFrame, top: DataFrame, homes: DataFrame) -> DataFrame | None:
+    """Bindings of kind star: names that stars bring to files which don't bind them; None without stars."""
+    stars = absolutize(of(facts, "import").filter("name = '*'")).join(homes.withColumnRenamed("module", "target"), ["repo", "target"])
+    stars = graph.checkpoint(stars.filter("home <> path").select(*FILE, "module", "target", "home", F.col("name_line").alias("line"), F.col("name_col").alias("col")))
+    if stars.isEmpty():
+        return None
+    rounds = graph.Rounds(facts.sparkSession)
+    sources = stars.select("repo", F.col("home").alias("path")).distinct()
+    have = rounds.put("have-0", top.select(*FILE, "name"))
+    new, brought, k = have, [], 0
+    while not new.isEmpty():
+        k += 1
+        given = new.join(sources, FILE, "left_semi").select("repo", F.col("path").alias("home"), "name")
+        brought.append(rounds.put(f"brought-{k}", stars.join(_passed(facts, given), ["repo", "home"])))
+        new = rounds.put("new", brought[-1].select(*FILE, "name").distinct().join(have, [*FILE, "name"], "left_anti"))
+        have = rounds.put(f"have-{k % 2}", have.unionByName(new).distinct())
+    every = reduce(lambda a, b: a.unionByName(b), brought).join(top, [*FILE, "name"], "left_anti")
+    last = every.groupBy(*FILE, "module", "name").agg(F.max(F.struct("line", "col", "target")).alias("s"))
+    place = F.struct("s.line", "s.col", F.lit("star").alias("kind")).alias("place")
+    return last.select(*FILE, "module", F.lit(0).alias("scope"), "name", place, "s.target", F.col("name").alias("orig"), F.lit(1).cast("long").alias("n"))
+
+
+def _passed(facts: DataFrame, given: DataFrame) -> DataFrame:
+    """Of the names (repo, home, name) those that a star brings: listed ones, or without a list those with no leading underscore."""
+    exports = of(facts, "export").select("repo", F.col("path").alias("home"), "name").distinct()
+    listed = given.join(exports, ["repo", "home", "name"], "left_semi")
+    return listed.unionByName(given.join(exports.select("repo", "home").distinct(), ["repo", "home"], "left_anti").filter("not startswith(name, '_')"))
+
+
+USE = [*FILE, "name", "line", "col"]
+
+
+def _resolved(facts: DataFrame, known: Names) -> DataFrame:
+    """resolve_names' rows with the binding through which each is read: via_path, via_scope, via_name."""
+    bound = known.bound.select(*FILE, "name", "scope", "place", "target", "orig")
     uses = of(facts, "use").filter("kind = 'read'").select(*USE, "scopes")
     near = uses.select(*USE, F.posexplode("scopes").alias("depth", "scope")).join(bound, [*FILE, "name", "scope"])
-    best = near.groupBy(*USE).agg(F.min_by(F.struct("place", "target", "orig"), "depth").alias("b"))
-    found = uses.select(*USE).join(best, USE, "left").select(*USE, "b.place", "b.target", "b.orig")
-    local = found.join(tops, ["repo", "target", "orig"], "left")
-    to = {"def_path": F.when(F.col("place").isNotNull(), F.coalesce("far.path", "path")), "def_line": F.coalesce("far.line", "place.line"), "def_col": F.coalesce("far.col", "place.col"), "kind": F.when(F.col("far").isNotNull(), "def").otherwise(F.col("place.kind"))}
-    local = local.select(*USE, *[c.alias(k) for k, c in to.items()])
+    best = near.groupBy(*USE).agg(F.min_by(F.struct("place", "scope"), "depth").alias("b"))
+    found = uses.select(*USE).join(best, USE, "left").select(*USE, "b.place", "b.scope")
+    led = known.imports.join(known.tops, ["repo", "end_path", "end_name"], "left").select(*FILE, "name", "scope", "line", "col", "far", "end_path", "end_name")
+    at = led.groupBy(*FILE, "name", "scope", F.struct("line", "col").alias("at")).agg(F.first("far").alias("far"))
+    local = found.withColumn("at", F.when(F.col("place.kind").isin("import", "star"), F.struct("place.line", "place.col"))).join(at, [*FILE, "name", "scope", "at"], "left")
+    to = {"def_path": F.when(F.col("place").isNotNull(), F.coalesce("far.path", "path")), "def_line": F.coalesce("far.line", "place.line"), "def_col": F.coalesce("far.col", "place.col"), "kind": F.when(F.col("far.kind").isNotNull() & (F.col("far.kind") != "import"), "def").when(F.col("place.kind") == "star", "import").otherwise(F.col("place.kind"))}
+    local = local.select(*USE, *[c.alias(k) for k, c in to.items()], F.col("path").alias("via_path"), F.col("scope").alias("via_scope"), F.col("name").alias("via_name"))
     reads = of(facts, "attr").select(*FILE, "name", F.col("name_line").alias("line"), F.col("name_col").alias("col"), "text", F.split("text", r"\.")[0].alias("head"), "scopes")
-    owners = bound.filter("place.kind = 'import'").withColumnRenamed("name", "head").select(*FILE, "scope", "head", "target", "orig")
-    met = reads.select(*USE, "text", "head", F.posexplode("scopes").alias("depth", "scope")).join(owners, [*FILE, "head", "scope"])
-    met = met.groupBy(*USE, "text", "head").agg(F.min_by(F.struct("target", "orig"), "depth").alias("b"))
+    met = reads.select(*USE, "text", "head", F.posexplode("scopes").alias("depth", "scope")).join(bound.withColumnRenamed("name", "head"), [*FILE, "head", "scope"])
+    met = met.groupBy(*USE, "text", "head").agg(F.min_by(F.struct("place", "scope", "target", "orig"), "depth").alias("b")).filter("b.place.kind in ('import', 'star')")
+    modules = led.filter("end_name = ''").select(*FILE, F.col("name").alias("head"), "scope", F.struct("line", "col").alias("at"), F.col("end_path").alias("of")).dropDuplicates([*FILE, "head", "scope", "at"])
+    modules = modules.join(known.homes.select("repo", F.col("home").alias("of"), "module"), ["repo", "of"])
+    met = met.select("*", "b.scope", F.struct("b.place.line", "b.place.col").alias("at")).join(modules, [*FILE, "head", "scope", "at"], "left")
     # import p.m binds p and is read as p.m.f; import p.m as x and from p import m are read as x.f and m.f
-    module = F.when(F.col("text") != F.col("head"), F.col("text")).when(F.col("b.orig") != "", F.concat_ws(".", "b.target", "b.orig")).otherwise(F.col("b.target"))
-    members = met.select(*USE, module.alias("target"), F.col("name").alias("orig")).join(tops, ["repo", "target", "orig"])
-    members = members.select(*USE, F.col("far.path").alias("def_path"), F.col("far.line").alias("def_line"), F.col("far.col").alias("def_col"), F.lit("def").alias("kind"))
+    plain = (F.col("b.orig") == "") & (F.split("b.target", r"\.")[0] == F.col("head"))
+    module = F.when(plain, F.col("text")).otherwise(F.concat("module", F.expr("substring(text, length(head) + 1)")))
+    owners = known.homes.select("repo", F.col("module").alias("owner"), F.col("home").alias("via_path"))
+    met = met.select(*USE, module.alias("owner")).join(owners, ["repo", "owner"])
+    onward = known.imports.filter("scope = 0").groupBy("repo", F.col("path").alias("via_path"), "name").agg(F.min_by(F.struct("end_path", "end_name"), F.struct("line", "col")).alias("e"))
+    met = met.join(onward, ["repo", "via_path", "name"], "left").select(*USE, "via_path", F.coalesce("e.end_path", "via_path").alias("end_path"), F.coalesce("e.end_name", "name").alias("end_name"))
+    members = met.join(known.tops, ["repo", "end_path", "end_name"])
+    kind = F.when(F.col("far.kind") == "import", "import").otherwise("def")
+    members = members.select(*USE, F.col("far.path").alias("def_path"), F.col("far.line").alias("def_line"), F.col("far.col").alias("def_col"), kind.alias("kind"), "via_path", F.lit(0).alias("via_scope"), F.col("name").alias("via_name"))
     return local.unionByName(members)
 
 
+def resolve_names(facts: DataFrame) -> DataFrame:
+    """Every name read with its definition: repo, path, name, line, col, def_path, def_line, def_col, kind (def, param, write or
+    import); the nearest scope that binds the name decides, and an import leads to the definition in the corpus that it
+    comes from, through re-exports and stars (names). Names that no scope binds have nulls.
+
+    Reads of attributes (m.f) are in it where m is an imported module of the corpus and f is a name at its top.
+    Facts needed: def, param, use, import, attr, export.
+    """
+    return _resolved(facts, names(facts)).drop("via_path", "via_scope", "via_name")
+
+
+#: Names that modules and classes have besides the builtins.
+GIVEN = ("__file__", "__path__", "__class__", "__module__", "__qualname__", "__annotations__", "__dict__")
+
+
 def unresolved_names(facts: DataFrame) -> DataFrame:
-    """Names read that no scope around them binds and that are no builtins."""
-    return resolve_names(facts).filter(F.col("def_path").isNull() & ~F.col("name").isin(*dir(builtins))).select(*USE)
+    """Names read that no scope around them binds and that are no builtins; none in files with a star of a module outside the
+    corpus, which may bring any name."""
+    known = names(facts)
+    far = absolutize(of(facts, "import").filter("name = '*'")).join(known.homes.withColumnRenamed("module", "target"), ["repo", "target"], "left_anti")
+    rows = _resolved(facts, known).filter(F.col("def_path").isNull() & ~F.col("name").isin(*dir(builtins), *GIVEN))
+    return rows.join(far.select(*FILE).distinct(), FILE, "left_anti").select(*USE)
 
 
 def goto_definition(facts: DataFrame) -> DataFrame:
@@ -152,16 +260,18 @@ def goto_definition(facts: DataFrame) -> DataFrame:
 
 def find_references(facts: DataFrame, include_declaration: bool = False, limit: int | None = None) -> DataFrame:
     """Reads and imports of each definition by place: repo, def_path, def_line, def_col, path, name, line, col, total (of the definition),
-    truncated. At most `limit` rows a definition, in order of place; the definition itself only if asked for.
+    truncated. At most `limit` rows a definition, in order of place; the definition itself only if asked for. Imports and
+    reads through re-exports and stars count.
     """
     check_limit(limit)
+    known = names(facts)
     at = ["repo", "def_path", "def_line", "def_col"]
-    rows = goto_definition(facts).filter("kind <> 'import'").select(*at, "path", "name", "line", "col")
-    named = absolutize(of(facts, "import")).filter("kind = 'from'").select("repo", "target", F.col("name").alias("orig"), "path", F.col("name_line").alias("line"), F.col("name_col").alias("col"))
-    named = named.join(_tops(facts), ["repo", "target", "orig"]).select("repo", F.col("far.path").alias("def_path"), F.col("far.line").alias("def_line"), F.col("far.col").alias("def_col"), "path", F.col("orig").alias("name"), "line", "col")
+    rows = _resolved(facts, known).filter("def_path is not null and kind <> 'import'").select(*at, "path", "name", "line", "col")
+    named = known.imports.filter("orig <> '' and role <> 'star'").join(known.tops.filter("far.kind <> 'import'"), ["repo", "end_path", "end_name"])
+    named = named.select("repo", F.col("far.path").alias("def_path"), F.col("far.line").alias("def_line"), F.col("far.col").alias("def_col"), "path", F.col("orig").alias("name"), "line", "col")
     rows = rows.unionByName(named)
     if include_declaration:
-        rows = rows.unionByName(bindings(facts).filter("place.kind <> 'import'").select("repo", F.col("path").alias("def_path"), F.col("place.line").alias("def_line"), F.col("place.col").alias("def_col"), "path", "name", F.col("place.line").alias("line"), F.col("place.col").alias("col")))
+        rows = rows.unionByName(known.bound.filter("place.kind not in ('import', 'star')").select("repo", F.col("path").alias("def_path"), F.col("place.line").alias("def_line"), F.col("place.col").alias("def_col"), "path", "name", F.col("place.line").alias("line"), F.col("place.col").alias("col")))
     rows = rows.distinct()
     total = rows.groupBy(*at).agg(F.count("*").alias("total"))
     rows = rows.join(total, at)
@@ -300,19 +410,52 @@ EDIT = ["start_line", "start_col", "end_line", "end_col", "new_text"]
 
 
 def rename_edits(facts: DataFrame, renames: DataFrame) -> DataFrame:
-    """Edits (repo, path, range, new_text) that rename top-level functions, classes and variables: at the definition, at imports
-    of it and at the reads that lead to it, scope by scope. renames: repo, module, old, new; a new name must be a usable one.
+    """Edits (repo, path, range, new_text) that rename top-level functions, classes and variables in the whole corpus. renames:
+    repo, module, old, new. A new name must be a usable one that the module does not mention yet, or it is an error.
 
-    Names that a file gives an import (import f as g) stay; so do strings such as those of export lists.
+    Renamed are all places that bind the name at the top of its module, its export list, reads of it by any way, and imports.
+    An import `from m import f` becomes `from m import g`, and f is renamed in that file too, and wherever the file's own f is
+    imported in turn or brought by a star, unless the scope binds f elsewhere as well or the file mentions g: then the import
+    becomes `from m import g as f` and all else stays. Names given by `as` stay. Strings other than export lists stay.
     """
+    known = names(facts)
     usable = F.when(is_identifier(F.col("new")), F.col("new")).otherwise(F.raise_error(F.concat(F.lit("not a usable name: "), F.coalesce("new", F.lit("null")))).cast("string"))
-    at = _tops(facts).join(renames.select("repo", F.col("module").alias("target"), F.col("old").alias("orig"), usable.alias("new_text")), ["repo", "target", "orig"])
-    at = at.select("repo", F.col("far.path").alias("def_path"), F.col("far.line").alias("def_line"), F.col("far.col").alias("def_col"), F.col("orig").alias("name"), "new_text")
-    rows = find_references(facts, include_declaration=True).join(at, ["repo", "def_path", "def_line", "def_col", "name"])
-    writes = of(facts, "use").filter("kind = 'write' and scope = 0").select("repo", F.col("path").alias("def_path"), "name", "line", "col")
-    again = writes.join(at, ["repo", "def_path", "name"]).select("repo", F.col("def_path").alias("path"), "name", "line", "col", "new_text")
-    rows = rows.select("repo", "path", "name", "line", "col", "new_text").unionByName(again).distinct()
-    return rows.select(*FILE, F.col("line").alias("start_line"), F.col("col").alias("start_col"), F.col("line").alias("end_line"), (F.col("col") + F.length("name")).alias("end_col"), "new_text")
+    asked = renames.select("repo", "module", F.col("old").alias("name"), usable.alias("new")).join(known.homes, ["repo", "module"])
+    roots = known.tops.filter("far.kind <> 'import'").select("repo", F.col("end_path").alias("path"), F.col("end_name").alias("name"))
+    roots = graph.checkpoint(asked.select("repo", F.col("home").alias("path"), "name", "new").distinct().join(roots, [*FILE, "name"]))
+    uses = of(facts, "use").select(*FILE, F.col("name").alias("new"))
+    taken = known.bound.filter("place.kind <> 'star'").select(*FILE, F.col("name").alias("new")).unionByName(uses).distinct()
+    # imports of names that may change, by the rename that may change them
+    wanted = roots.select("repo", F.col("name").alias("to_name"), "new").distinct()
+    found = known.imports.filter("to_path is not null and orig <> ''").join(wanted, ["repo", "to_name"])
+    single = known.bound.filter("n = 1").select(*FILE, "scope", "name", F.lit(True).alias("single"))
+    found = found.join(single, [*FILE, "scope", "name"], "left").join(taken.withColumn("taken", F.lit(True)), [*FILE, "new"], "left")
+    carries = (F.col("name") == F.col("to_name")) & (F.col("role") != "renamed") & F.coalesce("single", F.lit(False)) & F.col("taken").isNull()
+    found = graph.checkpoint(found.withColumn("carries", F.coalesce(carries, F.lit(False)) | (F.col("role") == "star")))
+    node = lambda path: F.struct("repo", F.col(path).alias("path"), F.col("to_name").alias("name"), "new")
+    links = found.filter("carries and scope = 0").select(node("path").alias("node"), node("to_path").alias("to")).dropDuplicates(["node"])
+    ends = graph.jumps(links)[0].filter("ring is null").select("node", "end.*").join(roots, [*FILE, "name", "new"], "left_semi").select("node.*")
+    nodes = graph.checkpoint(roots.select(*FILE, "name", "new").unionByName(ends.select(*FILE, "name", "new")).distinct())
+    brought = found.filter("role = 'star' and taken").select(*FILE, "name", "new")
+    clash = roots.select(*FILE, "name", "new").join(taken, [*FILE, "new"], "left_semi").unionByName(brought.join(nodes, [*FILE, "name", "new"], "left_semi"))
+    # every edit asks whether its rename clashes, so none is told if one does
+    clashes = clash.groupBy("repo", "name", "new").agg(F.min("path").alias("at"))
+    met = found.filter("role <> 'star'").join(nodes.select("repo", F.col("path").alias("to_path"), F.col("name").alias("to_name"), "new"), ["repo", "to_path", "to_name", "new"])
+    told = F.when(F.col("carries") | (F.col("role") == "renamed"), F.col("new")).otherwise(F.concat_ws(" as ", "new", "to_name"))
+    rows = met.select(*FILE, F.col("to_name").alias("name"), "line", "col", "new", told.alias("new_text"))
+    via = nodes.select("repo", F.col("path").alias("via_path"), F.lit(0).alias("via_scope"), F.col("name").alias("via_name"), "new")
+    inner = met.filter("carries and scope <> 0").select("repo", F.col("path").alias("via_path"), F.col("scope").alias("via_scope"), F.col("name").alias("via_name"), "new")
+    reads = _resolved(facts, known).join(via.unionByName(inner).distinct(), ["repo", "via_path", "via_scope", "via_name"])
+    rows = rows.unionByName(reads.select(*USE, "new", F.col("new").alias("new_text")))
+    place = [*FILE, "name", F.col("name_line").alias("line"), F.col("name_col").alias("col")]
+    writes = of(facts, "def").filter("kind <> 'variable' and scope = 0").select(*place).unionByName(of(facts, "use").filter("kind = 'write' and scope = 0").select(*place))
+    writes = writes.join(roots.select(*FILE, "name", "new"), [*FILE, "name"]).unionByName(of(facts, "export").select(*place).join(nodes, [*FILE, "name"]))
+    again = absolutize(of(facts, "import")).filter("kind = 'from' and role = '' and scope = 0").select(*place).join(roots.select(*FILE, "name", "new"), [*FILE, "name"])
+    rows = rows.unionByName(writes.filter("line is not null").select(*USE, "new", F.col("new").alias("new_text")))
+    rows = rows.unionByName(again.select(*USE, "new", F.concat_ws(" as ", "name", "new").alias("new_text"))).distinct()
+    rows = rows.join(clashes, ["repo", "name", "new"], "left")
+    text = F.when(F.col("at").isNull(), F.col("new_text")).otherwise(F.raise_error(F.concat(F.lit("the new name is taken: "), "new", F.lit(" in "), "at")).cast("string"))
+    return rows.select(*FILE, F.col("line").alias("start_line"), F.col("col").alias("start_col"), F.col("line").alias("end_line"), (F.col("col") + F.length("name")).alias("end_col"), text.alias("new_text"))
 
 
 def star_edits(facts: DataFrame) -> DataFrame:
@@ -330,11 +473,16 @@ def absolute_edits(facts: DataFrame) -> DataFrame:
 
 
 def expand_star(facts: DataFrame) -> DataFrame:
-    """The names that each `from m import *` should list: public names of m that the file reads, sorted."""
-    stars = absolutize(of(facts, "import").filter("name = '*'")).select(*FILE, "target", "line")
-    api = public_names(facts).select("repo", F.col("module").alias("target"), "name")
-    used = of(facts, "use").filter("kind = 'read'").select(*FILE, "name").distinct()
-    return stars.join(api, ["repo", "target"]).join(used, [*FILE, "name"]).groupBy(*FILE, "line", "target").agg(F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("names"))
+    """The names that each `from m import *` should list: names that it brings, from m's own stars too, and the
+    file reads but does not bind itself, sorted."""
+    bound, homes = graph.checkpoint(bindings(facts)), graph.checkpoint(module_homes(facts))
+    top = bound.filter("scope = 0")
+    more = _star_names(facts, top, homes)
+    have = top.select("repo", F.col("path").alias("home"), "name")
+    have = have if more is None else have.unionByName(more.select("repo", F.col("path").alias("home"), "name"))
+    stars = absolutize(of(facts, "import").filter("name = '*'")).select(*FILE, "target", "line").join(homes.withColumnRenamed("module", "target"), ["repo", "target"])
+    used = of(facts, "use").filter("kind = 'read'").select(*FILE, "name").distinct().join(top, [*FILE, "name"], "left_anti")
+    return stars.join(_passed(facts, have.distinct()), ["repo", "home"]).join(used, [*FILE, "name"]).groupBy(*FILE, "line", "target").agg(F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("names"))
 
 
 #: Statements that fold.

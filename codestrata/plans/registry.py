@@ -428,7 +428,7 @@ def _scope_facts(spark, d, *tags):
     return _stored(V.rendered_scopes(spark, d), *tags)
 
 
-NAMES = ("def", "param", "use", "import", "attr")
+NAMES = ("def", "param", "use", "import", "attr", "export")
 # start and back: the lines of the function and of its return
 K = """WITH o AS (SELECT p_partkey AS k, p_size % 4 AS d, p_partkey // 3 AS j, (SELECT count(*) FROM part) AS n FROM part),
 p AS (SELECT *, 2 + (k > 0)::INT + (k % 5 = 0 AND k + 1 < n)::INT + (k % 4 = 0)::INT AS start FROM o), q AS (SELECT *, start + 1 + d + (d > 0)::INT + (k % 6 = 0)::INT AS back FROM p) """

@@ -23,6 +23,8 @@ TAGS = ("file", "node", "def", "param", "base", "export", "import", "use", "attr
 COG = ("If", "While", "For", "AsyncFor", "ExceptHandler")
 NEST = (*COG, "With", "AsyncWith", "Try")
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
+SCOPES = (*FUNCTIONS, *COMPREHENSIONS, ast.ClassDef, ast.Module, ast.Lambda)
 PLAIN = (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)
 FROM = re.compile(r"from\s*(\.[.\w]*|(?<=\s)[.\w]+)(?=\s+import\b)")
 HEAD = re.compile(r"(?:async\s+)?def\s+|class\s+")
@@ -40,116 +42,281 @@ def _failure(error: Exception) -> dict:
 
 def file_facts(repo: str, path: str, content: str, tags: tuple[str, ...] = TAGS) -> list[dict]:
     """Facts of one file, of the tags asked for; lines and columns are 0-based and columns count characters. A file that can't
-    be parsed gives one failure.
+    be parsed, or whose syntax is too deep to walk, gives one failure and nothing else.
 
-    scopes: the scopes whose names a use sees, from the inside out; a class's own names are seen in its body only.
+    scopes: the scopes whose names a use sees, from the inside out; a class's own names are seen in its body only, and a name
+    declared global is seen at the top only. scope: the one that a definition, parameter, import or written name is bound in
+    (for names declared global or nonlocal, and for := within comprehensions, not the one around it). Modules, functions,
+    classes, lambdas and comprehensions are scopes by their nid, and so are type parameters (by -2 - nid of what has them).
     """
     base = {"repo": repo, "path": path, "module": module_name(path)}
-    if content is None:
-        return [base | {"tag": "failure", "text": "no content", "line": 0, "col": 0}] if "failure" in tags else []
     try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        if content is None:
+            raise ValueError("no content")
+        return _Reader(base, content, frozenset(tags)).rows()
+    except (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError) as e:
         return [base | _failure(e)] if "failure" in tags else []
-    lines = content.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    out: list[dict] = []
-    wanted, classes = frozenset(tags), set()
 
-    def chars(line: int, col: int) -> int:
-        text = lines[line - 1] if 0 < line <= len(lines) else ""
-        return col if text.isascii() else len(text.encode()[:col].decode(errors="ignore"))
 
-    def add(tag: str, row: dict, **more) -> None:
-        if tag in wanted:
-            out.append({**row, "tag": tag, **more})
+class _Source:
+    """Lines of a text, and columns in characters for the parser's columns in bytes."""
 
-    # (node, parent nid, scope nid, scopes seen, functions around, nesting of two kinds, place in its statement)
-    stack: list[tuple] = [(tree, -1, -1, (), (), 0, 0, "")]
-    nid = -1
+    def __init__(self, content: str) -> None:
+        self.lines = content.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        self.tables: dict[int, list[int]] = {}
+
+    def column(self, line: int, col: int) -> int:
+        """line from 1."""
+        text = self.lines[line - 1] if 0 < line <= len(self.lines) else ""
+        if text.isascii():
+            return col
+        if line not in self.tables:
+            self.tables[line] = [k for k, c in enumerate(text) for _ in range(len(c.encode(errors="surrogatepass")))] + [len(text)]
+        table = self.tables[line]
+        return table[min(col, len(table) - 1)]
+
+    def start(self, node) -> tuple[int, int]:
+        return node.lineno - 1, self.column(node.lineno, node.col_offset)
+
+    def end(self, node) -> tuple[int, int]:
+        return node.end_lineno - 1, self.column(node.end_lineno, node.end_col_offset)
+
+    def between(self, at: tuple[int, int], to: tuple[int, int]) -> str:
+        if at[0] == to[0]:
+            return self.lines[at[0]][at[1] : to[1]]
+        return "\n".join([self.lines[at[0]][at[1] :], *self.lines[at[0] + 1 : to[0]], self.lines[to[0]][: to[1]]])
+
+    def text(self, node) -> str:
+        """What a node says; dotted names without blanks, other code as written."""
+        return dotted(node) or self.between(self.start(node), self.end(node))
+
+    def find(self, pattern: str, at: tuple[int, int], to: tuple[int, int], last: bool = False) -> tuple[int, int] | None:
+        """Where the first (or last) match's group 1 begins."""
+        found = list(re.finditer(pattern, self.between(at, to)))
+        if not found:
+            return None
+        before = self.between(at, to)[: found[-last].start(1)]
+        return (at[0] + before.count("\n"), len(before) - before.rfind("\n") - 1) if "\n" in before else (at[0], at[1] + len(before))
+
+
+def dotted(node) -> str | None:
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else None
+
+
+def shape(nodes: list) -> str:
+    """The syntax of nodes with variables and parameters blanked; walks with a stack, so depth does not matter."""
+    out, stack = [], list(reversed(nodes))
     while stack:
-        node, parent, scope, seen, fns, cog, all_, role = stack.pop()
-        nid += 1
-        kind = type(node).__name__
-        row = {**base, "nid": nid, "scope": scope, "is_top": parent == 0, "line": 0, "col": 0, "end_line": len(lines) - 1, "end_col": 0}
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif isinstance(x, ast.Name):
+            out.append(f"Name {type(x.ctx).__name__} ")
+        elif isinstance(x, ast.arg):
+            out.append("arg ")
+        elif isinstance(x, list):
+            stack += ["]", *reversed(x), "["]
+        elif isinstance(x, ast.AST):
+            stack += [")", *(y for field, value in reversed(list(ast.iter_fields(x))) for y in (value if isinstance(value, (ast.AST, list)) else _told(value), field + "=")), type(x).__name__ + "("]
+        else:
+            out.append(_told(x))
+    return "".join(out)
+
+
+def _told(value) -> str:
+    return (hex(value) if isinstance(value, int) and abs(value) > 1 << 64 else repr(value)) + " "
+
+
+class _Reader:
+    """Two walks over a file's syntax: the first finds every node's scope and what each scope binds, the second tells the facts."""
+
+    def __init__(self, base: dict, content: str, wanted: frozenset[str]) -> None:
+        self.base, self.wanted, self.source, self.out = base, wanted, _Source(content), []
+        self.tree = ast.parse(content)
+        self.classes: set[int] = set()
+        self.comprehensions: set[int] = set()
+        self.sees: dict[int, tuple[int, ...]] = {}
+        self.global_: dict[int, set[str]] = {}
+        self.nonlocal_: dict[int, set[str]] = {}
+        self.binds: dict[int, set[str]] = {}
+        self.outside: dict[int, tuple] = {}
+
+    def rows(self) -> list[dict]:
+        visits = list(self.walk())
+        for visit in visits:
+            self.tell(*visit)
+        return self.out
+
+    def walk(self):
+        """(nid, node, parent nid, scope, scopes seen, functions around, nesting of two kinds, place in its statement)"""
+        stack: list[tuple] = [(self.tree, -1, -1, (), (), 0, 0, "")]
+        nid = -1
+        while stack:
+            node, parent, scope, seen, fns, cog, all_, role = stack.pop()
+            nid += 1
+            yield nid, node, parent, scope, seen, fns, cog, all_, role
+            kind = type(node).__name__
+            is_function, is_class = isinstance(node, FUNCTIONS), isinstance(node, ast.ClassDef)
+            self.note(node, scope)
+            # what is in a class's functions, classes and comprehensions does not see the class's own names
+            around = seen[1:] if seen and seen[0] in self.classes else seen
+            typed = getattr(node, "type_params", None)
+            types = ((-2 - nid, *seen), -2 - nid) if typed else (seen, scope)
+            if typed:
+                self.sees[-2 - nid] = types[0]
+            if isinstance(node, SCOPES):
+                inner_scope, inner = nid, (nid, *(types[0] if typed and not around != seen else (-2 - nid, *around) if typed else around))
+                self.sees[nid] = inner
+            else:
+                inner_scope, inner = scope, seen
+            if is_class:
+                self.classes.add(nid)
+            if isinstance(node, COMPREHENSIONS):
+                self.comprehensions.add(nid)
+                self.outside[id(node.generators[0])] = (scope, seen)
+            if isinstance(node, (*FUNCTIONS, ast.Lambda)):
+                self.outside[id(node.args)] = (scope, seen)
+            out = self.outside.get(id(node))
+            inner_cog, inner_all = cog + (kind in COG), all_ + (kind in NEST)
+            children = []
+            for field, value in ast.iter_fields(node):
+                said = "decorator" if field == "decorator_list" else "annotation" if field in ("annotation", "returns") or role == "annotation" else "base" if is_class and field == "bases" else "call" if isinstance(node, ast.Call) and field == "func" else ""
+                if field == "body" and isinstance(node, SCOPES) or isinstance(node, COMPREHENSIONS):
+                    own = inner_scope, inner
+                elif isinstance(node, ast.NamedExpr) and field == "target":
+                    own = next((x for x in (scope, *seen) if x not in self.comprehensions), scope), seen  # binds in what is around a comprehension
+                elif out and (field in ("defaults", "kw_defaults") or isinstance(node, ast.comprehension) and field == "iter"):
+                    own = out  # read outside of what they belong to, like decorators
+                elif typed and field != "decorator_list" and not (isinstance(node, ast.TypeAlias) and field == "name"):
+                    own = types[1], types[0]
+                else:
+                    own = scope, seen
+                children += [(x, nid, *own, (*fns, nid) if is_function else fns, inner_cog, inner_all, said) for x in (value if isinstance(value, list) else [value]) if isinstance(x, ast.AST) and not isinstance(x, PLAIN)]
+            stack.extend(reversed(children))
+
+    def note(self, node, scope: int) -> None:
+        """What a node binds or declares in its scope, as far as nonlocal names need it."""
+        if isinstance(node, ast.Global):
+            self.global_.setdefault(scope, set()).update(node.names)
+        elif isinstance(node, ast.Nonlocal):
+            self.nonlocal_.setdefault(scope, set()).update(node.names)
+        elif isinstance(node, ast.Name) and not isinstance(node.ctx, ast.Load):
+            self.binds.setdefault(scope, set()).add(node.id)
+        elif isinstance(node, (*FUNCTIONS, ast.ClassDef)) or isinstance(node, (ast.ExceptHandler, ast.MatchAs, ast.MatchStar)) and node.name:
+            self.binds.setdefault(scope, set()).add(node.name)
+        elif isinstance(node, ast.arg):
+            self.binds.setdefault(scope, set()).add(node.arg)
+        elif isinstance(node, ast.alias):
+            self.binds.setdefault(scope, set()).add(node.asname or node.name.split(".")[0])
+
+    def home(self, name: str, scope: int) -> int:
+        """The scope that a name written in `scope` belongs to."""
+        if name in self.global_.get(scope, ()):
+            return 0
+        if name in self.nonlocal_.get(scope, ()):
+            for s in self.sees.get(scope, ())[1:]:
+                if s > 0 and s not in self.classes and name in self.binds.get(s, ()) and name not in self.nonlocal_.get(s, ()):
+                    return s
+        return scope
+
+    def visible(self, name: str, seen: tuple[int, ...]) -> list[int]:
+        for k, s in enumerate(seen):
+            if name in self.global_.get(s, ()):
+                return [*seen[:k], 0]
+        return list(seen)
+
+    def add(self, tag: str, row: dict, **more) -> None:
+        if tag in self.wanted:
+            self.out.append({**row, "tag": tag, **more})
+
+    def write(self, row: dict, name: str, scope: int, seen: tuple[int, ...], at: tuple[int, int] | None, role: str) -> None:
+        place = {"line": at[0], "col": at[1]} if at else {}
+        self.add("use", row, name=name, kind="write", role=role, scope=self.home(name, scope), scopes=list(seen), name_line=at and at[0], name_col=at and at[1], **place)
+
+    def tell(self, nid, node, parent, scope, seen, fns, cog, all_, role) -> None:
+        source, wanted, kind = self.source, self.wanted, type(node).__name__
+        row = {**self.base, "nid": nid, "scope": scope, "is_top": parent == 0, "line": 0, "col": 0, "end_line": len(source.lines) - 1, "end_col": 0}
         if hasattr(node, "lineno"):
-            row.update(line=node.lineno - 1, col=chars(node.lineno, node.col_offset), end_line=node.end_lineno - 1, end_col=chars(node.end_lineno, node.end_col_offset))
+            (row["line"], row["col"]), (row["end_line"], row["end_col"]) = source.start(node), source.end(node)
+        start, end = (row["line"], row["col"]), (row["end_line"], row["end_col"])
         is_function, is_class = isinstance(node, FUNCTIONS), isinstance(node, ast.ClassDef)
         a = getattr(node, "args", None) if isinstance(node, (*FUNCTIONS, ast.Lambda)) else None
         params = [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])] if a else []
         if nid == 0:
-            add("file", row)
+            self.add("file", row)
         if "node" in wanted:
             name = getattr(node, "name", None) or getattr(node, "id", None) or getattr(node, "attr", None)
             caught = node.type.id if isinstance(node, ast.ExceptHandler) and isinstance(node.type, ast.Name) else None
-            add("node", row, kind=kind, name=name if isinstance(name, str) else None, fn_path=list(fns), nest_cog=cog, nest_all=all_, bool_n=len(node.values) if isinstance(node, ast.BoolOp) else None, n_params=len(params) if is_function else None, role=role, attr=caught)
+            self.add("node", row, kind=kind, name=name if isinstance(name, str) else None, fn_path=list(fns), nest_cog=cog, nest_all=all_, bool_n=len(node.values) if isinstance(node, ast.BoolOp) else None, n_params=len(params) if is_function else None, role=role, attr=caught)
         if is_function or is_class:
-            head = HEAD.match(lines[node.lineno - 1], row["col"])
-            name_col = head.end() if head else row["col"]
+            head = HEAD.match(source.lines[node.lineno - 1], row["col"])
             names = [p.arg for p in params]
-            returns = ast.unparse(node.returns) if is_function and node.returns else None
-            add("def", row, kind="class" if is_class else "function", name=node.name, decorated=bool(node.decorator_list), annotated=returns is not None, n_params=len(params), attr=", ".join(names), args=names, returns=returns, name_line=row["line"], name_col=name_col, scopes=[nid])
+            returns = source.text(node.returns) if is_function and node.returns else None
+            self.add("def", row, scope=self.home(node.name, scope), kind="class" if is_class else "function", name=node.name, decorated=bool(node.decorator_list), annotated=returns is not None, n_params=len(params), attr=", ".join(names), args=names, returns=returns, name_line=row["line"], name_col=head.end() if head else row["col"], scopes=[nid])
             if is_function and "body" in wanted:
-                norm = ast.dump(ast.Module([_Blank().visit(ast.parse(ast.unparse(x))) for x in node.body], []))
-                add("body", row, name=node.name, text=norm)
+                self.add("body", row, name=node.name, text=shape(node.body))
             for b in getattr(node, "bases", []):
-                add("base", row, name=node.name, attr=ast.unparse(b))
+                self.add("base", row, name=node.name, attr=source.text(b), scopes=list(seen))
+        for p in getattr(node, "type_params", None) or ():
+            at = source.start(p)
+            stars = len(re.match(r"\**\s*", source.lines[at[0]][at[1] :])[0])
+            self.write(row, p.name, -2 - nid, (), (at[0], at[1] + stars), "type")
         if a:
             own = 1 if is_function and params and params[0].arg in ("self", "cls") and params[0] in (*a.posonlyargs[:1], *a.args[:1]) else 0
             counted = [p for k, p in enumerate([*a.posonlyargs, *a.args, *a.kwonlyargs]) if k >= own] if is_function else []
             for p in params:
-                add("param", {**row, "scope": nid}, name=p.arg, annotated=p.annotation is not None, attr=ast.unparse(p.annotation) if p.annotation else None, role="" if p in counted else "uncounted", name_line=p.lineno - 1, name_col=chars(p.lineno, p.col_offset))
+                at = source.start(p)
+                self.add("param", {**row, "scope": nid}, name=p.arg, annotated=p.annotation is not None, attr=source.text(p.annotation) if p.annotation else None, role="" if p in counted else "uncounted", name_line=at[0], name_col=at[1])
         elif isinstance(node, (ast.Assign, ast.AnnAssign)):
             first = next((t for t in (node.targets if isinstance(node, ast.Assign) else [node.target]) if isinstance(t, ast.Name)), None)
             if first is not None:
-                add("def", row, kind="variable", name=first.id, decorated=False, annotated=isinstance(node, ast.AnnAssign), returns=ast.unparse(node.annotation) if isinstance(node, ast.AnnAssign) else None, name_line=first.lineno - 1, name_col=chars(first.lineno, first.col_offset))
+                at = source.start(first)
+                self.add("def", row, scope=self.home(first.id, scope), kind="variable", name=first.id, decorated=False, annotated=isinstance(node, ast.AnnAssign), returns=source.text(node.annotation) if isinstance(node, ast.AnnAssign) else None, name_line=at[0], name_col=at[1])
                 if first.id == "__all__" and parent == 0 and isinstance(node.value, (ast.List, ast.Tuple)):
+                    self.add("export", row, name=None)  # says that there is a list, though it may be empty
                     for x in node.value.elts:
                         if isinstance(x, ast.Constant) and isinstance(x.value, str):
-                            add("export", row, name=x.value)
+                            at = source.start(x)
+                            plain = source.text(x)[1:-1] == x.value
+                            self.add("export", row, name=x.value, name_line=at[0] if plain else None, name_col=at[1] + 1 if plain else None)
         elif isinstance(node, (ast.Import, ast.ImportFrom)):
             is_from = isinstance(node, ast.ImportFrom)
-            named = FROM.match(lines[node.lineno - 1], row["col"]) if is_from else None
+            named = FROM.match(source.lines[node.lineno - 1], row["col"]) if is_from else None
             for x in node.names:
-                bound = x.asname or (x.name if is_from else x.name.split(".")[0])
-                add("import", row, text=(node.module or "") if is_from else x.name, name=x.name if is_from else None, asname=bound, level=(node.level or 0) if is_from else 0, kind="from" if is_from else "import", role="" if x.asname is None else "renamed", name_line=x.lineno - 1, name_col=chars(x.lineno, x.col_offset), mod_col=named.start(1) if named else None, mod_end=named.end(1) if named else None)
+                bound, at = x.asname or (x.name if is_from else x.name.split(".")[0]), source.start(x)
+                self.add("import", row, scope=self.home(bound, scope), text=(node.module or "") if is_from else x.name, name=x.name if is_from else None, asname=bound, level=(node.level or 0) if is_from else 0, kind="from" if is_from else "import", role="" if x.asname is None else "renamed", name_line=at[0], name_col=at[1], mod_col=named.start(1) if named else None, mod_end=named.end(1) if named else None)
+        elif isinstance(node, ast.Name) and isinstance(node.ctx, ast.Load):
+            self.add("use", row, name=node.id, kind="read", role=role, scopes=self.visible(node.id, seen), name_line=row["line"], name_col=row["col"])
         elif isinstance(node, ast.Name):
-            add("use", row, name=node.id, kind="read" if isinstance(node.ctx, ast.Load) else "write", role=role, scopes=list(seen), name_line=row["line"], name_col=row["col"])
+            self.write(row, node.id, scope, seen, start, role)
         elif isinstance(node, ast.ExceptHandler) and node.name:
-            add("use", row, name=node.name, kind="write", role="handler", scopes=list(seen))
+            at = source.find(rf"\bas\s+({re.escape(node.name)})\b", source.end(node.type), source.start(node.body[0])) if node.type else None
+            self.write(row, node.name, scope, seen, at or start, "handler")
+        elif isinstance(node, (ast.MatchAs, ast.MatchStar)) and node.name:
+            self.write(row, node.name, scope, seen, (end[0], end[1] - len(node.name)), "capture")
+        elif isinstance(node, ast.MatchMapping) and node.rest:
+            self.write(row, node.rest, scope, seen, source.find(rf"\*\*\s*({re.escape(node.rest)})\b", start, end, last=True) or start, "capture")
         elif isinstance(node, ast.Attribute) and "attr" in wanted and isinstance(node.value, (ast.Name, ast.Attribute)):
-            add("attr", row, name=node.attr, text=ast.unparse(node.value), kind="read" if isinstance(node.ctx, ast.Load) else "write", role=role, scopes=list(seen), name_line=row["end_line"], name_col=row["end_col"] - len(node.attr))
+            self.add("attr", row, name=node.attr, text=source.text(node.value), kind="read" if isinstance(node.ctx, ast.Load) else "write", role=role, scopes=self.visible((dotted(node) or "").partition(".")[0], seen), name_line=row["end_line"], name_col=row["end_col"] - len(node.attr))
         elif isinstance(node, ast.Call) and "call" in wanted:
             f = node.func
-            shown = [ast.unparse(x) for x in node.args] + [f"{k.arg}={ast.unparse(k.value)}" if k.arg else f"**{ast.unparse(k.value)}" for k in node.keywords]
-            add("call", row, kind="plain" if isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name) else "", name=f.id if isinstance(f, ast.Name) else None, text=ast.unparse(f.value) if isinstance(f, ast.Attribute) else None, attr=f.attr if isinstance(f, ast.Attribute) else None, args=shown, fn_path=list(fns), scopes=list(seen), snippet=lines[node.lineno - 1].strip())
-        inner_scope = nid if isinstance(node, (*FUNCTIONS, ast.ClassDef, ast.Module, ast.Lambda)) else scope
-        if is_class:
-            classes.add(nid)
-        # what is in a class's functions and classes does not see the class's own names
-        inner_seen = (nid, *(seen[1:] if seen and seen[0] in classes else seen)) if inner_scope == nid else seen
-        inner_cog, inner_all = cog + (kind in COG), all_ + (kind in NEST)
-        children = []
-        for field, value in ast.iter_fields(node):
-            inner = "decorator" if field == "decorator_list" else "annotation" if field in ("annotation", "returns") or role == "annotation" else "base" if is_class and field == "bases" else "call" if isinstance(node, ast.Call) and field == "func" else ""
-            # decorators, defaults, annotations and bases are read outside of what they belong to
-            own = (inner_scope, inner_seen) if field == "body" or inner_scope != nid else (scope, seen)
-            children += [(x, nid, *own, (*fns, nid) if is_function else fns, inner_cog, inner_all, inner) for x in (value if isinstance(value, list) else [value]) if isinstance(x, ast.AST) and not isinstance(x, PLAIN)]
-        stack.extend(reversed(children))
-    return out
-
-
-class _Blank(ast.NodeTransformer):
-    def visit_Name(self, node):
-        return ast.Name("_", node.ctx)
-
-    def visit_arg(self, node):
-        return ast.arg("_")
-
-
-def extract_facts(files: DataFrame, tags: tuple[str, ...] = TAGS) -> DataFrame:
-    """The facts of files (repo, path, content) of the tags asked for, in Arrow batches of bounded size. Store them before using them twice."""
+            shown = [source.text(x) for x in node.args] + [f"{k.arg}={source.text(k.value)}" if k.arg else f"**{source.text(k.value)}" for k in node.keywords]
+            self.add("call", row, kind="plain" if isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name) else "", name=f.id if isinstance(f, ast.Name) else None, text=source.text(f.value) if isinstance(f, ast.Attribute) else None, attr=f.attr if isinstance(f, ast.Attribute) else None, args=shown, fn_path=list(fns), scopes=list(seen), snippet=source.lines[node.lineno - 1].strip())
+
+
+def extract_facts(files: DataFrame, tags: tuple[str, ...] = TAGS, share: int = 1 << 20) -> DataFrame:
+    """The facts of files (repo, path, content) of the tags asked for, in Arrow batches of bounded size. Store them before using them twice.
+
+    Parsing is the dear part, so files are dealt by path to tasks of about `share` characters each, and to all cores at least.
+    """
     if unknown := set(tags) - set(TAGS):
         raise ValueError(f"unknown tags {sorted(unknown)}")
+    size = files.select(F.sum(F.length("content"))).first()[0] or 0
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, size // share)
 
     def run(batches):
         rows: list[dict] = []
@@ -162,7 +329,7 @@ def extract_facts(files: DataFrame, tags: tuple[str, ...] = TAGS) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
 
-    return files.select("repo", "path", "content").mapInArrow(run, FIELDS)
+    return files.select("repo", "path", "content").repartition(tasks, "repo", "path").mapInArrow(run, FIELDS)
 
 
 def of(facts: DataFrame, tag: str) -> DataFrame:
