@@ -233,9 +233,10 @@ class _Reader:
         if tag in self.wanted:
             self.out.append({**row, "tag": tag, **more})
 
-    def write(self, row: dict, name: str, scope: int, seen: tuple[int, ...], at: tuple[int, int] | None, role: str) -> None:
-        place = {"line": at[0], "col": at[1]} if at else {}
-        self.add("use", row, name=name, kind="write", role=role, scope=self.home(name, scope), scopes=list(seen), name_line=at and at[0], name_col=at and at[1], **place)
+    def write(self, row: dict, name: str, scope: int, seen: tuple[int, ...], at: tuple[int, int], role: str, name_at: tuple[int, int] | None = None) -> None:
+        """at: where the binding is; name_at: where its name is, if that is elsewhere."""
+        where = name_at or at
+        self.add("use", {**row, "line": at[0], "col": at[1]}, name=name, kind="write", role=role, scope=self.home(name, scope), scopes=list(seen), name_line=where[0], name_col=where[1])
 
     def tell(self, nid, node, parent, scope, seen, fns, cog, all_, role) -> None:
         source, wanted, kind = self.source, self.wanted, type(node).__name__
@@ -295,7 +296,7 @@ class _Reader:
             self.write(row, node.id, scope, seen, start, role)
         elif isinstance(node, ast.ExceptHandler) and node.name:
             at = source.find(rf"\bas\s+({re.escape(node.name)})\b", source.end(node.type), source.start(node.body[0])) if node.type else None
-            self.write(row, node.name, scope, seen, at or start, "handler")
+            self.write(row, node.name, scope, seen, start, "handler", at)
         elif isinstance(node, (ast.MatchAs, ast.MatchStar)) and node.name:
             self.write(row, node.name, scope, seen, (end[0], end[1] - len(node.name)), "capture")
         elif isinstance(node, ast.MatchMapping) and node.rest:
