@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
+import re
 import sys
 import types
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +21,11 @@ from codestrata.llm.common import checkpoint, ship, small_batches
 DOCS = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, segments binary, links binary, pairs binary, df binary"
 ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), *[(k, pa.int64()) for k in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()), *[(k, pa.binary()) for k in ("segments", "links", "pairs", "df")]])
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-#: Segments that a task remembers; beyond that it begins anew.
-REMEMBERED = 400_000
+#: Fixed value: how byte-level tokenizers part words.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+OPEN = re.compile(r"\s ")
+#: Segments that a task remembers; beyond that those not met since the last time it was full go.
+REMEMBERED = 250_000
 
 
 def groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
@@ -31,40 +37,53 @@ def groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
     """
     if not a or not b:
         return [(0, len(a), 0, len(b))] if a or b else []
-    out, stack = [], [(0, len(a), 0, len(b))]
+    out, stack, last = [], [(0, len(a), 0, len(b))], a[-1]
     while stack:
         a0, a1, b0, b1 = stack.pop()
-        cut = None
+        top = a1 - 1
         if a1 - a0 > 1 and b1 - b0 > 1:
-            last = a[a1 - 1]
-            middle = (a0 + a1 - 1) // 2
-            for step in range(a1 - a0):
-                # a's ends by their distance from the middle one
-                k = middle + (step + 1) // 2 * (1 if step % 2 else -1)
-                if a0 <= k < a1 - 1 and a[k] < last:
-                    j = bisect_left(b, a[k], b0, b1)
-                    if j < b1 and b[j] == a[k]:
-                        cut = bisect_right(a, a[k], a0, a1), bisect_right(b, a[k], b0, b1)
-                        break
-        if cut is None:
-            out.append((a0, a1, b0, b1))
+            # a's ends by their distance from the middle one, on both sides in turn
+            low = (a0 + top) // 2
+            high = low + 1
+            while low >= a0 or high < top:
+                for k in (low, high):
+                    if a0 <= k < top:
+                        end = a[k]
+                        j = bisect_left(b, end, b0, b1)
+                        if j < b1 and b[j] == end and end < last:
+                            break
+                else:
+                    low, high = low - 1, high + 1
+                    continue
+                i, j = bisect_right(a, end, k, a1), bisect_right(b, end, j, b1)
+                stack += [(i, a1, j, b1), (a0, i, b0, j)]
+                break
+            else:
+                out.append((a0, a1, b0, b1))
         else:
-            stack += [(cut[0], a1, cut[1], b1), (a0, cut[0], b0, cut[1])]
+            out.append((a0, a1, b0, b1))
     return out
 
 
 def links(a: list[int], b: list[int], runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """Places (i, j) of tokens whose byte ranges overlap, run by run with two hands; empty tokens overlap with nothing."""
+    """Places (i, j) of tokens whose byte ranges overlap, run by run: all pairs of a run with one token on a side, else with two
+    hands. Tokens must not be empty."""
     out = []
     for a0, a1, b0, b1 in runs:
-        i, j = a0, b0
-        while i < a1 and j < b1:
-            if max(a[i - 1] if i else 0, b[j - 1] if j else 0) < min(a[i], b[j]):
+        if a1 - a0 == 1:
+            out += [(a0, j) for j in range(b0, b1)]
+        elif b1 - b0 == 1:
+            out += [(i, b0) for i in range(a0, a1)]
+        else:
+            i, j = a0, b0
+            while i < a1 and j < b1:
                 out.append((i, j))
-            if a[i] <= b[j]:
-                i += 1
-            else:
-                j += 1
+                if a[i] < b[j]:
+                    i += 1
+                elif a[i] > b[j]:
+                    j += 1
+                else:
+                    i, j = i + 1, j + 1
     return out
 
 
@@ -85,31 +104,53 @@ class _Tokenizers:
         n = self.a.get_vocab_size(with_added_tokens=False)
         self.a_bytes = [bytes(letter[c] for c in self.a.id_to_token(i)) if set(self.a.id_to_token(i)) <= letter.keys() else self.a.id_to_token(i).encode() for i in range(n)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.IsByte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
+        self.a_text, self.b_text = [str(i) for i in range(n)], [str(i) for i in range(len(self.b_bytes))]
+        self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.quick = self._ranked(first)
         # where no piece has a blank behind another sign, what follows a blank is encoded by itself
         self.apart = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
         self.blank = self.b.piece_to_id("▁")
 
+    def _ranked(self, file: str):
+        """The first tokenizer as ranks, which encodes short runs several times faster; None unless it is the same: single bytes,
+        then one id a merge in their order, with the usual rule of byte-level tokenizers for parting words."""
+        import json
+
+        import tiktoken
+
+        with open(file, encoding="utf-8") as f:
+            told = json.load(f)
+        model, parts = told["model"], told.get("pre_tokenizer") or {}
+        merged = ["".join(m if isinstance(m, list) else m.split(" ", 1)) for m in model["merges"]]
+        usual = parts.get("type") == "ByteLevel" and parts.get("use_regex") and not parts.get("add_prefix_space") and not told.get("normalizer") and not any(model.get(k) for k in ("dropout", "unk_token", "ignore_merges", "fuse_unk"))
+        if not usual or [model["vocab"].get(m) for m in merged] != list(range(256, 256 + len(merged))):
+            return None
+        return tiktoken.Encoding("first", pat_str=PARTS, mergeable_ranks={b: i for i, b in enumerate(self.a_bytes[: 256 + len(merged)])}, special_tokens={})
+
     def ids(self, runs: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both for runs that begin with a blank; the second adds that blank itself."""
-        a = [e.ids for e in self.a.encode_batch_fast(runs, add_special_tokens=False)]
+        a = list(map(self.quick.encode_ordinary, runs)) if self.quick else [e.ids for e in self.a.encode_batch_fast(runs, add_special_tokens=False)]
         b = self.b.encode([r[1:] for r in runs], num_threads=1)
         return [(x, y or [self.blank]) for x, y in zip(a, b)]
 
     def align(self, run: str, a: list[int], b: list[int]) -> tuple | None:
         """n_a, n_b, n_groups, text of the groups, linked id pairs (a << 32 | b); None if the bytes of either side are not the run's."""
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if not b"".join(a_bytes) == b"".join(b_bytes) == run.encode():
+        whole = run.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return None
-        at_a, at_b = np.cumsum([*map(len, a_bytes)]).tolist(), np.cumsum([*map(len, b_bytes)]).tolist()
+        if len(a) == 1 or len(b) == 1:
+            return len(a), len(b), 1, f"{','.join(map(self.a_text.__getitem__, a))}|{','.join(map(self.b_text.__getitem__, b))}", [i << 32 | j for i in a for j in b]
+        at_a, at_b = list(accumulate(map(self.a_size.__getitem__, a))), list(accumulate(map(self.b_size.__getitem__, b)))
         found = groups(at_a, at_b)
-        told = ";".join(",".join(map(str, a[i:j])) + "|" + ",".join(map(str, b[k:m])) for i, j, k, m in found)
+        x, y = list(map(self.a_text.__getitem__, a)), list(map(self.b_text.__getitem__, b))
+        told = ";".join([f"{','.join(x[i:j])}|{','.join(y[k:m])}" for i, j, k, m in found])
         return len(a), len(b), len(found), told, [a[i] << 32 | b[j] for i, j in links(at_a, at_b, found)]
 
 
 def _segments(text: str) -> list[str]:
     """blank + text in runs that begin with a blank behind a sign that is no white space: both tokenizers part there."""
     parts = text.split(" ")
-    if not any(not p or p[-1].isspace() for p in parts[:-1]):
+    if text[:1] != " " and not OPEN.search(text):
         return parts
     out, open_ = [], False
     for p in parts:
@@ -121,6 +162,14 @@ def _segments(text: str) -> list[str]:
     return out
 
 
+class _Numbers(dict):
+    """Numbers for segments, in order of their first use."""
+
+    def __missing__(self, segment: str) -> int:
+        self[segment] = len(self)
+        return self[segment]
+
+
 def align_documents(docs: DataFrame, first: str, second: str, block: int = 8_000_000) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of docs.
 
@@ -144,12 +193,21 @@ def align_documents(docs: DataFrame, first: str, second: str, block: int = 8_000
             kept.update(path=(first, second), both=_Tokenizers(first, second))
         both: _Tokenizers = kept["both"]
         known: dict[str, tuple | None] = {}
+        before: dict[str, tuple | None] = {}
         part, made = pyspark.TaskContext.get().partitionId(), 0
 
         def learn(texts):
+            """What the texts' segments say; those met again are kept when others go."""
+            nonlocal known, before
+            met = {s for own in texts for s in own}
             if len(known) > REMEMBERED:
-                known.clear()
-            new = list({s for own in texts for s in own}.difference(known))
+                known, before = {}, known
+            new = []
+            for s in met.difference(known):
+                if s in before:
+                    known[s] = before[s]
+                else:
+                    new.append(s)
             for k in range(0, len(new), 4000):
                 runs = [" " + s for s in new[k : k + 4000]]
                 for s, r, ids in zip(new[k : k + 4000], runs, both.ids(runs)):
@@ -160,14 +218,18 @@ def align_documents(docs: DataFrame, first: str, second: str, block: int = 8_000
             texts = [_segments(t) if t and both.apart else [t] if t else [] for _, t in rows]
             learn(texts)
             whole: dict[str, tuple] = {}
-            for i, own in enumerate(texts):
-                if None in map(known.__getitem__, own):
+            number = _Numbers()
+            lists = [np.fromiter(map(number.__getitem__, own), np.int32, len(own)) for own in texts]
+            odd = {s for s in number if known[s] is None}
+            for i, own in enumerate(texts if odd else ()):
+                if not odd.isdisjoint(own):
                     text = rows[i][1]
                     found = both.align(" " + text, *both.ids([" " + text])[0])
                     texts[i] = [text] if found else []
                     whole |= {text: found} if found else {}
-            number: dict[str, int] = {}
-            lists = [np.fromiter((number.setdefault(s, len(number)) for s in own), np.int32, len(own)) for own in texts]
+            if odd:
+                number = _Numbers()
+                lists = [np.fromiter(map(number.__getitem__, own), np.int32, len(own)) for own in texts]
             facts = [whole.get(s) or known[s] for s in number]
             size = np.array([f[:3] + (len(f[4]),) for f in facts], np.int64).reshape(-1, 4)
             every = np.array([p for f in facts for p in f[4]], np.int64)
@@ -194,6 +256,8 @@ def align_documents(docs: DataFrame, first: str, second: str, block: int = 8_000
             return pa.RecordBatch.from_pydict(out, schema=ARROW)
 
         rows, letters = [], 0
+        gc.freeze()  # the tokenizers and what else stays is not looked through again and again
+        gc.disable()  # nothing below refers to itself
         for batch in batches:
             for row in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 rows.append(row)
@@ -203,6 +267,7 @@ def align_documents(docs: DataFrame, first: str, second: str, block: int = 8_000
                     rows, letters = [], 0
         if rows:
             yield emit(rows)
+        gc.enable()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = checkpoint(texts.mapInArrow(run, DOCS))
