@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions.scalars import is_identifier
+from codestrata.functions.scalars import is_identifier, is_test_file, is_test_ref
 from codestrata.operators import graph, windows
 from codestrata.operators.filters import check_limit
 from codestrata.sources.facts import of
@@ -304,16 +304,45 @@ def all_names(facts: DataFrame, all_scopes: bool = True, references: bool = Fals
     return defs.unionByName(of(facts, "use").select(*FILE, "name", "line", "col", F.lit(False).alias("is_definition"))) if references else defs
 
 
+def _led(facts: DataFrame) -> DataFrame:
+    """The place that each read or imported name leads to: repo, path, name_line, name_col, def_path, def_line, def_col."""
+    known = names(facts)
+    rows = _resolved(facts, known).filter("def_path is not null").select(*FILE, F.col("line").alias("name_line"), F.col("col").alias("name_col"), "def_path", "def_line", "def_col")
+    named = known.imports.filter("orig <> '' and role <> 'star'").join(known.tops, ["repo", "end_path", "end_name"])
+    named = named.select(*FILE, F.col("line").alias("name_line"), F.col("col").alias("name_col"), F.col("far.path").alias("def_path"), F.col("far.line").alias("def_line"), F.col("far.col").alias("def_col"))
+    return rows.unionByName(named).dropDuplicates([*FILE, "name_line", "name_col"])
+
+
+def _classes(facts: DataFrame) -> DataFrame:
+    """Classes by the place of their name: repo, def_path, def_line, def_col, cls."""
+    return of(facts, "def").filter("kind = 'class'").select("repo", F.col("path").alias("def_path"), F.col("name_line").alias("def_line"), F.col("name_col").alias("def_col"), F.col("name").alias("cls"))
+
+
+AT = ["repo", "def_path", "def_line", "def_col"]
+
+
 def class_edges(facts: DataFrame) -> DataFrame:
-    """repo, src, dst: class to base, for bases that the corpus defines."""
-    classes = of(facts, "def").filter("kind = 'class'").select("repo", F.col("name").alias("dst")).distinct()
-    return of(facts, "base").select("repo", F.col("name").alias("src"), F.element_at(F.split("attr", r"\."), -1).alias("dst")).join(classes, ["repo", "dst"]).select("repo", "src", "dst").distinct()
+    """Class to base: repo, src, src_path, src_line, dst, dst_path, dst_line. A base is the class of the corpus that its name
+    leads to, by scopes, imports and re-exports, so classes of one name in other modules or repos are others.
+    Facts needed: def, param, use, import, attr, export, base."""
+    bases = of(facts, "base").select(*FILE, F.col("name").alias("src"), F.col("line").alias("src_line"), "name_line", "name_col")
+    met = bases.join(_led(facts), [*FILE, "name_line", "name_col"]).join(_classes(facts), AT)
+    return met.select("repo", "src", F.col("path").alias("src_path"), "src_line", F.col("cls").alias("dst"), F.col("def_path").alias("dst_path"), F.col("def_line").alias("dst_line")).distinct()
+
+
+def class_links(edges: DataFrame) -> DataFrame:
+    """class_edges as src, dst for graph operators: each end a struct of repo, path, line and name."""
+    end = lambda x: F.struct("repo", F.col(f"{x}_path").alias("path"), F.col(f"{x}_line").alias("line"), F.col(x).alias("name")).alias(x)
+    return edges.select(end("src"), end("dst")).distinct()
 
 
 def find_implementations(facts: DataFrame, closure: DataFrame, method: str) -> DataFrame:
-    """Subtypes (src of closure) that define method themselves."""
-    own = sub_definitions(facts).filter(F.col("name") == method).select("repo", F.col("owner").alias("src")).distinct()
-    return closure.join(own, ["repo", "src"]).select("repo", F.col("dst").alias("base"), F.col("src").alias("cls")).distinct()
+    """Subtypes that define method themselves: repo, base, base_path, cls, cls_path. closure: src, dst of graph.reach over class_links."""
+    defs = of(facts, "def")
+    outer = defs.filter("kind = 'class'").select(*FILE, F.col("nid").alias("scope"), "line", F.col("name").alias("owner"))
+    own = defs.filter((F.col("name") == method) & (F.col("kind") == "function")).select(*FILE, "scope").join(outer, [*FILE, "scope"])
+    own = own.select(F.struct("repo", "path", "line", F.col("owner").alias("name")).alias("src")).distinct()
+    return closure.join(own, "src").select("src.repo", F.col("dst.name").alias("base"), F.col("dst.path").alias("base_path"), F.col("src.name").alias("cls"), F.col("src.path").alias("cls_path")).distinct()
 
 
 def type_definition(facts: DataFrame) -> DataFrame:
@@ -332,42 +361,55 @@ TYPE_KINDS = ("annotation", "subclass", "instantiation", "other")
 
 
 def type_users(facts: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """References to each class of the corpus by place: repo, name, path, line, col, kind (annotation, subclass, instantiation,
-    other, in that precedence; imports are other), of the kinds asked for."""
+    """References to each class of the corpus by place: repo, name, def_path, path, line, col, kind (annotation, subclass,
+    instantiation, other, in that precedence; imports are other), of the kinds asked for. A reference is a name that leads to
+    the class by scopes, imports and re-exports. Facts needed: def, param, use, import, attr, export."""
     if kinds is not None and (unknown := set(kinds) - set(TYPE_KINDS)):
         raise ValueError(f"unknown kinds {sorted(unknown)}")
-    classes = of(facts, "def").filter("kind = 'class'").select("repo", "name").distinct()
     kind = F.when(F.col("role") == "annotation", "annotation").when(F.col("role") == "base", "subclass").when(F.col("role") == "call", "instantiation").otherwise("other")
-    uses = of(facts, "use").select("repo", "name", "path", "line", "col", kind.alias("kind"))
-    imports = of(facts, "import").filter("kind = 'from'").select("repo", "name", "path", F.col("name_line").alias("line"), F.col("name_col").alias("col"), F.lit("other").alias("kind"))
-    rows = uses.unionByName(imports).join(classes, ["repo", "name"], "left_semi")
+    said = facts.filter("tag in ('use', 'attr') and kind = 'read'").select(*FILE, "name_line", "name_col", kind.alias("kind"))
+    met = _led(facts).join(_classes(facts), AT).join(said, [*FILE, "name_line", "name_col"], "left")
+    rows = met.select("repo", F.col("cls").alias("name"), "def_path", "path", F.col("name_line").alias("line"), F.col("name_col").alias("col"), F.coalesce("kind", F.lit("other")).alias("kind"))
     return rows.filter(F.col("kind").isin(*kinds)) if kinds is not None else rows
 
 
 def type_user_counts(facts: DataFrame) -> DataFrame:
-    """References to each class by kind, 0 where none."""
-    classes = of(facts, "def").filter("kind = 'class'").select("repo", "name").distinct()
-    n = type_users(facts).groupBy("repo", "name").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in TYPE_KINDS])
-    return classes.join(n, ["repo", "name"], "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in TYPE_KINDS})
+    """References to each class (repo, name, def_path) by kind, 0 where none."""
+    classes = _classes(facts).select("repo", F.col("cls").alias("name"), "def_path").distinct()
+    n = type_users(facts).groupBy("repo", "name", "def_path").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in TYPE_KINDS])
+    return classes.join(n, ["repo", "name", "def_path"], "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in TYPE_KINDS})
 
 
 def constructor_sites(facts: DataFrame) -> DataFrame:
-    classes = of(facts, "def").filter("kind = 'class'").select("repo", F.col("name").alias("cls")).distinct()
-    calls = of(facts, "call").withColumn("cls", F.coalesce("name", "attr"))
-    return calls.join(classes, ["repo", "cls"], "left_semi").select(*FILE, "cls", "line", "col", "args").dropDuplicates([*FILE, "cls", "line", "col"])
+    """Calls of classes of the corpus: repo, path, cls, def_path, line, col, args. The called name leads to the class.
+    Facts needed: def, param, use, import, attr, export, call."""
+    calls = of(facts, "call").select(*FILE, "line", "col", "args", "name_line", "name_col")
+    met = calls.join(_led(facts), [*FILE, "name_line", "name_col"]).join(_classes(facts), AT)
+    return met.select(*FILE, "cls", "def_path", "line", "col", "args").dropDuplicates([*FILE, "cls", "line", "col"])
 
 
 def call_edges(facts: DataFrame) -> DataFrame:
     """repo, src, dst: each function and the functions that it calls, as path:name, by the definitions that names lead to.
-    Facts needed: def, param, use, import, attr, call."""
+    Facts needed: def, param, use, import, attr, export, call."""
     fns = of(facts, "def").filter("kind = 'function'").select(*FILE, F.col("nid").alias("fn"), F.concat_ws(":", "path", "name").alias("src"), "name_line", "name_col")
-    calls = of(facts, "call").filter("size(fn_path) > 0 and coalesce(name, attr) is not null")
-    calls = calls.select(*FILE, F.element_at("fn_path", -1).alias("fn"), F.coalesce("name", "attr").alias("name"), "line", "col", "end_line", "end_col")
-    # the name called is the read that the call's range holds
-    led = goto_definition(facts).select("repo", "path", "name", F.col("line").alias("at"), F.col("col").alias("at_col"), "def_path", "def_line", "def_col")
-    met = calls.join(led, [*FILE, "name"]).filter("line <= at and at <= end_line and (at > line or at_col >= col) and (at < end_line or at_col < end_col)")
+    calls = of(facts, "call").filter("size(fn_path) > 0").select(*FILE, F.element_at("fn_path", -1).alias("fn"), "name_line", "name_col")
+    met = calls.join(_led(facts), [*FILE, "name_line", "name_col"])
     callee = fns.select("repo", F.col("path").alias("def_path"), F.col("name_line").alias("def_line"), F.col("name_col").alias("def_col"), F.col("src").alias("dst"))
-    return met.join(callee, ["repo", "def_path", "def_line", "def_col"]).join(fns.select(*FILE, "fn", "src"), [*FILE, "fn"]).select("repo", "src", "dst").distinct()
+    return met.join(callee, AT).join(fns.select(*FILE, "fn", "src"), [*FILE, "fn"]).select("repo", "src", "dst").distinct()
+
+
+def symbol_refs(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Definitions and references of a corpus, as dead_code and test_coverage take them.
+
+    defs: sym (repo, path, name), name, decorated, in_test, for every name defined at the top of a file; refs: sym, ref_file,
+    external (0/1), in_test, for every other name of the corpus that leads there, imports too. Facts needed as for class_edges.
+    """
+    tops = of(facts, "def").filter("is_top").withColumn("sym", F.struct("repo", "path", "name")).groupBy("sym").agg(F.max("decorated").alias("decorated"))
+    defs = tops.select("sym", "sym.name", F.coalesce("decorated", F.lit(False)).alias("decorated"), is_test_file(F.col("sym.path")).alias("in_test"))
+    places = of(facts, "def").filter("is_top").select("repo", F.col("path").alias("def_path"), F.col("name_line").alias("def_line"), F.col("name_col").alias("def_col"), F.struct("repo", "path", "name").alias("sym"))
+    met = _led(facts).join(places, AT)
+    refs = met.select("sym", F.col("path").alias("ref_file"), (F.col("path") != F.col("def_path")).cast("int").alias("external"), is_test_ref(F.col("path")).alias("in_test"))
+    return defs, refs
 
 
 #: Rule, severity and message of calls by name, of calls of a module's functions, and of subprocess calls with shell=True.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -118,33 +119,25 @@ def jumps(links: DataFrame, rounds: Rounds | None = None) -> tuple[DataFrame, li
     the longest way, or of the number of links where there are rings.
     """
     rounds = rounds or Rounds(links.sparkSession)
-    tag, steps = uuid4().hex[:8], []
+    kind, tag, span = dict(links.dtypes)["node"], uuid4().hex[:8], 1
     goes_on = links.select(F.col("node").alias("to")).distinct()
     first = links.join(goes_on.withColumn("on", F.lit(True)), "to", "left").select("node", "to", F.coalesce("on", F.lit(False)).alias("on"), F.col("node").alias("least"))
-    now, done, span = rounds.put(f"{tag}-now", first), [], 1
-    n = now.count()
-    while True:
-        done.append(rounds.put(f"{tag}-done-{len(done)}", now.filter("not on").select("node", F.col("to").alias("end"))))
-        now = rounds.put(f"{tag}-on-{len(steps)}", now.filter("on"))
-        if span > n or now.isEmpty():
-            break
-        steps.append(now.select("node", "to"))
-        # what a way's next stop has reached by now: still going on, or done in this round or before
-        ended = done[0]
-        for more in done[1:]:
-            ended = ended.unionByName(more)
-        after = now.select(F.col("node").alias("to"), F.col("to").alias("far"), F.lit(True).alias("more"), F.col("least").alias("least2"))
-        after = after.unionByName(ended.select(F.col("node").alias("to"), F.col("end").alias("far"), F.lit(False).alias("more"), F.lit(None).cast(dict(links.dtypes)["node"]).alias("least2")))
-        now = rounds.put(f"{tag}-now", now.join(after, "to").select("node", F.col("far").alias("to"), F.col("more").alias("on"), F.least("least", "least2").alias("least")))
+    # a table a round: where the ways that still went on have come by then
+    tables = [rounds.put(f"{tag}-0", first)]
+    n = tables[0].count()
+    while span <= n and not (now := tables[-1].filter("on")).isEmpty():
+        after = now.select(F.col("node").alias("to"), F.col("to").alias("far"), F.col("on").alias("more"), F.col("least").alias("least2"))
+        for t in tables:
+            after = after.unionByName(t.filter("not on").select(F.col("node").alias("to"), F.col("to").alias("far"), F.col("on").alias("more"), F.lit(None).cast(kind).alias("least2")))
+        further = now.select("node", "to", "least").join(after, "to").select("node", F.col("far").alias("to"), F.col("more").alias("on"), F.least("least", "least2").alias("least"))
+        tables.append(rounds.put(f"{tag}-{len(tables)}", further))
         span *= 2
-    ends = done[0]
-    for more in done[1:]:
-        ends = ends.unionByName(more)
+    ends = reduce(DataFrame.unionByName, [t.filter("not on").select("node", F.col("to").alias("end")) for t in tables])
     # after so many steps a way without an end is on its ring, and every node of a ring is where one of them has come
-    on_ring = now.select(F.col("to").alias("end")).distinct()
-    ring = now.select(F.col("node").alias("end"), F.col("least").alias("ring")).join(on_ring, "end", "left_semi")
+    now = tables[-1].filter("on")
+    ring = now.select(F.col("node").alias("end"), F.col("least").alias("ring")).join(now.select(F.col("to").alias("end")).distinct(), "end", "left_semi")
     endless = now.select("node", F.col("to").alias("end")).join(ring, "end").select("node", "end", "ring")
-    return ends.withColumn("ring", F.lit(None).cast(dict(links.dtypes)["node"])).unionByName(endless), steps
+    return ends.withColumn("ring", F.lit(None).cast(kind)).unionByName(endless), [t.filter("on").select("node", "to") for t in tables[:-1]]
 
 
 def sccs(edges: DataFrame) -> DataFrame:

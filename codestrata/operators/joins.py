@@ -94,7 +94,7 @@ def search_symbols(defs: DataFrame, queries: list[str]) -> DataFrame:
     return rows.filter("match = 'exact'").unionByName(rows.filter("match = 'part'").join(exact, "q", "left_anti").select(*rows.columns)).distinct()
 
 
-def with_zero_kinds(rows: DataFrame, kinds: list[str], kind: str = "kind") -> DataFrame:
-    """Counts for every kind, 0 where none."""
-    dim = rows.sparkSession.createDataFrame([(k,) for k in kinds], f"{kind} string")
+def with_zero_kinds(rows: DataFrame, kinds: DataFrame, kind: str = "kind") -> DataFrame:
+    """Counts for every kind, 0 where none. kinds: a column of that name."""
+    dim = kinds.select(kind).distinct()
     return dim.join(rows.groupBy(kind).agg(F.count("*").alias("n")), kind, "left").select(kind, F.coalesce("n", F.lit(0)).alias("n"))

@@ -208,7 +208,7 @@ def j4_nest_outline_outermost(spark, d):
 @query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'never', 0")
 def j12_zero_filled_kinds(spark, d):
     ev = V.table(spark, d, "events").select(F.col("event_type").alias("kind"))
-    return joins.with_zero_kinds(ev, [*sorted(r["kind"] for r in ev.distinct().limit(100).collect()), "never"])
+    return joins.with_zero_kinds(ev, ev.distinct().union(spark.range(1).select(F.lit("never"))))
 
 
 @query("SELECT o_orderkey AS file FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -308,6 +308,11 @@ def g3_sccs(spark, d):
     return graph.sccs(_edges(spark, d))
 
 
+@query("SELECT p_partkey AS node, p_partkey - p_partkey % 500 AS component FROM part")
+def g3_long_rings(spark, d):
+    return graph.sccs(V.view(spark, d, V.RINGS))
+
+
 @query(f"""WITH RECURSIVE {E_}, p AS (SELECT [src, dst] AS c FROM e WHERE dst > src UNION ALL SELECT list_append(c, e.dst) FROM p JOIN e ON c[-1] = e.src WHERE e.dst > c[1] AND NOT list_contains(c, e.dst) AND len(c) < 4)
 SELECT array_to_string(c, ',') AS cycle FROM p JOIN e ON c[-1] = e.src AND e.dst = c[1] UNION ALL SELECT CAST(src AS VARCHAR) FROM e WHERE src = dst""")
 def g3_cycles(spark, d):
@@ -587,9 +592,8 @@ def j6_names_with_references(spark, d):
 
 @query(C.replace("WITH", "WITH RECURSIVE") + ", r AS (SELECT k AS cls, b AS base FROM s WHERE k > 0 UNION SELECT cls, s.b FROM r JOIN s ON base = k WHERE k > 0) SELECT 'C_' || base AS base, 'C_' || cls AS cls FROM r")
 def j10_find_implementations(spark, d):
-    f = _class_facts(spark, d, "def", "base")
-    closure = graph.reach(code.class_edges(f).select("src", "dst")).withColumn("repo", F.lit("r0"))
-    return code.find_implementations(f, closure, "m0").select("base", "cls")
+    f = _class_facts(spark, d, *NAMES, "base")
+    return code.find_implementations(f, graph.reach(code.class_links(code.class_edges(f))), "m0").select("base", "cls")
 
 
 @query(C + f"SELECT {M2} AS path, 'v' AS name, 'C_' || k AS cls FROM s")
@@ -599,24 +603,25 @@ def j11_type_definition(spark, d):
 
 @query(C + "SELECT 'C_' || k AS name, 2 AS annotation, (SELECT count(*) FROM s c WHERE c.k >= 1 AND c.b = s.k) AS subclass, 1 AS instantiation, (SELECT count(*) FROM s c WHERE c.k >= 1 AND c.b = s.k) AS other FROM s")
 def j12_type_user_counts(spark, d):
-    return code.type_user_counts(_class_facts(spark, d, "def", "use", "import")).select("name", "annotation", "subclass", "instantiation", "other")
+    return code.type_user_counts(_class_facts(spark, d, *NAMES)).select("name", "annotation", "subclass", "instantiation", "other")
 
 
 @query(C + f"SELECT 'C_' || k AS name, {M2} AS path, h + 8 AS line, 'annotation' AS kind FROM s, range(2) UNION ALL SELECT 'C_' || b, {M2}, h + 1, 'subclass' FROM s WHERE k > 0 UNION ALL SELECT 'C_' || b, {M2}, 0, 'other' FROM s WHERE k > 0")
 def j12_type_users(spark, d):
-    return code.type_users(_class_facts(spark, d, "def", "use", "import"), ["annotation", "subclass", "other"]).select("name", "path", "line", "kind")
+    return code.type_users(_class_facts(spark, d, *NAMES), ["annotation", "subclass", "other"]).select("name", "path", "line", "kind")
 
 
 @query(C + "SELECT 'C_' || k AS cls, 'v;size=' || k AS args FROM s")
 def j13_constructor_sites(spark, d):
-    return code.constructor_sites(_class_facts(spark, d, "def", "call")).select("cls", F.array_join("args", ";").alias("args"))
+    return code.constructor_sites(_class_facts(spark, d, *NAMES, "call")).select("cls", F.array_join("args", ";").alias("args"))
 
 
 @query(C.replace("WITH", "WITH RECURSIVE") + ", r AS (SELECT k AS root, k AS node, 0 AS depth FROM s UNION ALL SELECT root, s.b, depth + 1 FROM r JOIN s ON node = k WHERE k > 0 AND depth < 3) SELECT 'C_' || root AS root, 'C_' || node AS node, depth FROM r WHERE depth > 0 AND root <> node")
 def g7_type_hierarchy(spark, d):
-    f = _class_facts(spark, d, "def", "base")
-    roots = facts.of(f, "def").filter("kind = 'class'").select(F.col("name").alias("root")).distinct()
-    return graph.type_hierarchy(code.class_edges(f).select("src", "dst"), roots).select("root", "node", "depth")
+    f = _class_facts(spark, d, *NAMES, "base")
+    links = graph.checkpoint(code.class_links(code.class_edges(f)))
+    roots = links.select(F.col("src").alias("root")).union(links.select("dst")).distinct()
+    return graph.type_hierarchy(links, roots).select("root.name", "node.name", "depth").toDF("root", "node", "depth")
 
 
 def _edited(files, found):
@@ -632,6 +637,54 @@ def e5_rename_text(spark, d):
     return _edited(files, code.rename_edits(_stored(files, *NAMES), renames))
 
 
+L = f"WITH l AS ({V.LINKED}) "
+
+
+def _linked_facts(spark, d):
+    return _stored(V.rendered_linked(spark, d), *NAMES)
+
+
+@query(L + "SELECT path, 'f_' || b AS name, CASE WHEN k = b + 7 THEN 4 ELSE 1 END AS line, 'lnk/d_' || CASE WHEN k < b + 7 THEN b ELSE b + 7 END || '.py' AS def_path, CASE WHEN k < b + 7 THEN 0 ELSE 1 END AS def_line FROM l WHERE k <> b")
+def j7_reexports(spark, d):
+    return code.goto_definition(_linked_facts(spark, d)).select("path", "name", "line", "def_path", "def_line")
+
+
+@query(L + "SELECT path, CASE WHEN b % 20 = 0 AND k < b + 7 THEN replace(content, 'f_' || b, 'g_' || b) WHEN b % 20 = 0 AND k = b + 7 THEN replace(content, 'import f_' || b, 'import g_' || b || ' as f_' || b) ELSE content END AS text, false AS rejected FROM l")
+def e5_rename_reexports(spark, d):
+    firsts = V.table(spark, d, "supplier").filter("s_suppkey % 20 = 0")
+    renames = firsts.selectExpr("'r0' AS repo", "'lnk.d_' || s_suppkey AS module", "'f_' || s_suppkey AS old", "'g_' || s_suppkey AS new")
+    return _edited(V.rendered_linked(spark, d), code.rename_edits(_linked_facts(spark, d), renames))
+
+
+@query(L + "SELECT path, CASE WHEN k <> b AND k <> b + 7 THEN replace(content, '*', 'f_' || b) ELSE content END AS text, false AS rejected FROM l")
+def e6_expand_reexported_star(spark, d):
+    return _edited(V.rendered_linked(spark, d), code.star_edits(_linked_facts(spark, d)))
+
+
+@query(L + "SELECT 'f_' || a.b AS name, count(c.k) AS files, array_to_string(list(c.path ORDER BY c.path) FILTER (c.k IS NOT NULL), ',') AS paths, count(c.k) > 0 AS covered FROM l a LEFT JOIN l c ON c.k BETWEEN a.b + 1 AND a.b + 7 WHERE a.k = a.b GROUP BY a.b")
+def a7_code_coverage(spark, d):
+    """Files other than its own that come to use each function, through all that hands it on."""
+    defs, refs = code.symbol_refs(_linked_facts(spark, d))
+    found = aggs.test_coverage(graph.checkpoint(defs), refs.filter("external = 1"))
+    return found.select("sym.name", F.col("test_files").cast("long").alias("files"), F.array_join("files", ",").alias("paths"), "covered")
+
+
+@query(K + f"SELECT {M} AS path, 'f_' || k AS name, 'no references' AS reason, 'medium' AS confidence FROM p WHERE k NOT IN (SELECT j FROM p WHERE k > 0) AND NOT (k > 0 AND (k - 1) % 5 = 0)")
+def j16_code_dead(spark, d):
+    defs, refs = code.symbol_refs(_facts(spark, d, *NAMES))
+    return joins.dead_code(defs, refs).select("sym.path", "name", "reason", "confidence")
+
+
+@query(C.replace("WITH", "WITH RECURSIVE") + ", r AS (SELECT k AS cls, b AS base FROM s WHERE k > 0 UNION SELECT cls, s.b FROM r JOIN s ON base = k WHERE k > 0) SELECT 'r0' AS repo, 'C_' || base AS base, 'C_' || cls AS cls FROM r UNION ALL SELECT 'r1', 'C_' || base, 'C_' || cls FROM r WHERE cls % 2 = 0")
+def j10_two_repos(spark, d):
+    """Classes of one name in two repos; in the second only even ones have the method."""
+    files = V.rendered_classes(spark, d)
+    odd = F.regexp_extract("path", "([0-9]+)[.]py", 1).cast("long") % 2 == 1
+    other = files.select(F.lit("r1").alias("repo"), "path", F.when(odd, F.replace("content", F.lit("def m0"), F.lit("def n0"))).otherwise(F.col("content")).alias("content"))
+    f = _stored(files.union(other), *NAMES, "base")
+    return code.find_implementations(f, graph.reach(code.class_links(code.class_edges(f))), "m0").select("repo", "base", "cls")
+
+
 @query(rf"SELECT path, CASE WHEN k = 1 THEN replace(replace(replace(t, 'limit: int', 'bound: int'), 'limit=limit', 'limit=bound'), 'assert limit', 'assert bound') ELSE t END AS text, false AS rejected FROM (SELECT k, path, regexp_replace(content, '\bload_1\b', 'fetch', 'g') AS t FROM ({V.SCOPES}))")
 def e5_rename_in_scopes(spark, d):
     files = V.rendered_scopes(spark, d)

@@ -91,3 +91,18 @@ CLASSES = """SELECT k, 'pkg2/c_' || k || '.py' AS path,
 
 def rendered_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(view(spark, sf_dir, CLASSES))
+
+
+#: Modules in families of ten: the first defines a function, each next one gets it from the one before, by name or by star, and reads it; the
+#: eighth gets it in two ways.
+LINKED = """SELECT k, b, 'lnk/d_' || k || '.py' AS path, CASE WHEN k = b THEN 'def f_' || b || '():' || chr(10) || '    return ' || k || chr(10)
+ WHEN k = b + 7 THEN 'try:' || chr(10) || '    import fast as f_' || b || chr(10) || 'except ImportError:' || chr(10) || '    from lnk.d_' || (k - 1) || ' import f_' || b || chr(10) || 'print(f_' || b || '())' || chr(10)
+ ELSE 'from lnk.d_' || (k - 1) || ' import ' || CASE WHEN k % 3 = 0 THEN '*' ELSE 'f_' || b END || chr(10) || 'f_' || b || '()' || chr(10) END AS content
+ FROM (SELECT s_suppkey AS k, s_suppkey - s_suppkey % 10 AS b FROM supplier) y"""
+#: Rings of 500 parts each (the last of as many as are left), and a part without a ring for each.
+RINGS = """SELECT p_partkey AS src, CASE WHEN p_partkey % 500 = 499 OR p_partkey + 1 = (SELECT count(*) FROM part) THEN p_partkey - p_partkey % 500 ELSE p_partkey + 1 END AS dst FROM part
+ UNION ALL SELECT p_partkey AS src, p_partkey + 1000000 AS dst FROM part WHERE p_partkey % 500 = 7"""
+
+
+def rendered_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(view(spark, sf_dir, LINKED))

@@ -238,6 +238,17 @@ class _Reader:
         where = name_at or at
         self.add("use", {**row, "line": at[0], "col": at[1]}, name=name, kind="write", role=role, scope=self.home(name, scope), scopes=list(seen), name_line=where[0], name_col=where[1])
 
+    def name_at(self, node) -> dict:
+        """The place of the name that an expression ends with: of f, and of the f of m.f."""
+        if isinstance(node, ast.Name):
+            line, col = self.source.start(node)
+        elif isinstance(node, ast.Attribute):
+            line, col = self.source.end(node)
+            col -= len(node.attr)
+        else:
+            return {}
+        return {"name_line": line, "name_col": col}
+
     def tell(self, nid, node, parent, scope, seen, fns, cog, all_, role) -> None:
         source, wanted, kind = self.source, self.wanted, type(node).__name__
         row = {**self.base, "nid": nid, "scope": scope, "is_top": parent == 0, "line": 0, "col": 0, "end_line": len(source.lines) - 1, "end_col": 0}
@@ -261,7 +272,8 @@ class _Reader:
             if is_function and "body" in wanted:
                 self.add("body", row, name=node.name, text=shape(node.body))
             for b in getattr(node, "bases", []):
-                self.add("base", row, name=node.name, attr=source.text(b), scopes=list(seen))
+                named = b.value if isinstance(b, ast.Subscript) else b  # Base[T] is a Base
+                self.add("base", row, name=node.name, attr=source.text(b), **self.name_at(named))
         for p in getattr(node, "type_params", None) or ():
             at = source.start(p)
             stars = len(re.match(r"\**\s*", source.lines[at[0]][at[1] :])[0])
@@ -306,7 +318,7 @@ class _Reader:
         elif isinstance(node, ast.Call) and "call" in wanted:
             f = node.func
             shown = [source.text(x) for x in node.args] + [f"{k.arg}={source.text(k.value)}" if k.arg else f"**{source.text(k.value)}" for k in node.keywords]
-            self.add("call", row, kind="plain" if isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name) else "", name=f.id if isinstance(f, ast.Name) else None, text=source.text(f.value) if isinstance(f, ast.Attribute) else None, attr=f.attr if isinstance(f, ast.Attribute) else None, args=shown, fn_path=list(fns), scopes=list(seen), snippet=source.lines[node.lineno - 1].strip())
+            self.add("call", row, **self.name_at(f), kind="plain" if isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name) else "", name=f.id if isinstance(f, ast.Name) else None, text=source.text(f.value) if isinstance(f, ast.Attribute) else None, attr=f.attr if isinstance(f, ast.Attribute) else None, args=shown, fn_path=list(fns), scopes=list(seen), snippet=source.lines[node.lineno - 1].strip())
 
 
 def extract_facts(files: DataFrame, tags: tuple[str, ...] = TAGS, share: int = 1 << 20) -> DataFrame:
