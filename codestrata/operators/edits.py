@@ -179,6 +179,33 @@ def committed(changes: DataFrame, batches: DataFrame) -> DataFrame:
     return changes.join(batches, "batch", "left_semi")
 
 
+def change_stacks(log: DataFrame, project: str = "project", block: int = 10_000) -> DataFrame:
+    """What each project's log of changes comes to: the log's rows that are changes and still count, with level (their place
+    from the bottom of the stack of changes) and state, done or redoable.
+
+    log: project, seq (from 0 on, unique in a project), op (do, undo, redo) and what else a change has. An undo takes the top
+    change off, a redo puts the last one taken off back, and a new change ends what could be redone. The log holds what was
+    carried out, so no undo of nothing and no redo without an undo are in it.
+
+    A row's depth is the number of changes on the stack after it: a running sum, taken over blocks of `block` numbers and
+    then inside them. A change is pushed at its depth and replaces what was there, so of the changes of one depth the last
+    counts; those up to the log's last depth are done. Those above can be redone if no change below is younger.
+    """
+    step = F.when(F.col("op") == "undo", -1).when(F.col("op").isin("do", "redo"), 1).otherwise(F.raise_error(F.concat(F.lit("unknown op "), "op")).cast("int"))
+    rows = log.withColumns({"_step": step, "_block": F.floor(F.col("seq") / block)})
+    sums = rows.groupBy(project, "_block").agg(F.sum("_step").alias("_sum"))
+    before = Window.partitionBy(project).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).select(project, "_block", "_base")
+    inside = Window.partitionBy(project, "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_in", F.sum("_step").over(inside)).join(sums, [project, "_block"]).withColumn("level", F.col("_in") + F.col("_base"))
+    last = rows.groupBy(project).agg(F.max_by("level", "seq").alias("_depth"))
+    tops = rows.filter("op = 'do'").groupBy(project, "level").agg(F.max_by(F.struct(*log.columns), "seq").alias("_row"))
+    lower = Window.partitionBy(project).orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.join(last, project).withColumn("_younger", F.max("_row.seq").over(lower))
+    tops = tops.filter((F.col("level") <= F.col("_depth")) | (F.col("_row.seq") > F.coalesce("_younger", F.lit(-1))))
+    return tops.select("_row.*", "level", F.when(F.col("level") <= F.col("_depth"), "done").otherwise("redoable").alias("state"))
+
+
 def check_name(name: str) -> str:
     if not name.isidentifier() or keyword.iskeyword(name):
         raise ValueError(f"{name!r} is not a usable name")

@@ -405,6 +405,17 @@ def e9_change_log(spark, d):
     return edits.as_of(edits.committed(log, log.select("batch").distinct().filter("batch % 2 = 0")), "path", 20)
 
 
+STACKS = "SELECT user_id AS project, i AS seq, CASE i % 7 WHEN 2 THEN 'undo' WHEN 3 THEN 'redo' WHEN 4 THEN 'undo' WHEN 6 THEN 'undo' ELSE 'do' END AS op, event_id AS change FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) x"
+
+
+@query(f"""WITH RECURSIVE l AS ({STACKS}), w AS (SELECT project, CAST(-1 AS BIGINT) AS seq, CAST([] AS BIGINT[]) AS done, CAST([] AS BIGINT[]) AS back FROM (SELECT DISTINCT project FROM l) p UNION ALL
+SELECT w.project, l.seq, CASE op WHEN 'do' THEN list_append(done, change) WHEN 'undo' THEN done[:-2] ELSE list_append(done, back[-1]) END, CASE op WHEN 'do' THEN [] WHEN 'undo' THEN list_append(back, done[-1]) ELSE back[:-2] END FROM w JOIN l ON l.project = w.project AND l.seq = w.seq + 1),
+e AS (SELECT project, max_by(done, seq) AS done, max_by(back, seq) AS back FROM w GROUP BY project)
+SELECT project, unnest(done) AS change, generate_subscripts(done, 1) AS level, 'done' AS state FROM e UNION ALL SELECT project, unnest(back), len(done) + len(back) + 1 - generate_subscripts(back, 1), 'redoable' FROM e""")
+def e9_undo_redo(spark, d):
+    return edits.change_stacks(V.view(spark, d, STACKS)).select("project", "change", "level", "state")
+
+
 # --- streams -------------------------------------------------------------------------------------------------------
 @query("""WITH m AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS path, event_id AS version, event_type, event_id % 4 AS k FROM events WHERE event_id % 5 <> 0)
 SELECT path, max(version) AS version, CASE WHEN max_by(k, version) = 0 THEN '' ELSE max_by(event_type, version) END AS messages FROM m GROUP BY path""")
@@ -729,6 +740,21 @@ def x2_stream_facts(spark, d):
     return spark.read.parquet(f"{folder}/out/facts").select("path", "name")
 
 
+@query("SELECT 'u' || CAST(user_id AS VARCHAR) AS path, count(*) FILTER (event_id % 5 <> 0 OR coalesce(last, 0) % 5 <> 0) AS versions, max(event_id) AS last, max_by(event_id % 3, event_id) AS name FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS last FROM events WHERE event_id % 7 <> 0) x GROUP BY user_id HAVING max_by(event_id % 5, event_id) <> 0")
+def x2_file_versions(spark, d):
+    """Versions of one file a user that change, bring back or delete it; a deletion of what is not there changes nothing."""
+    folder = f"{graph.shared_folder(spark)}/stream-{uuid4().hex}"
+    n = F.col("event_id")
+    text = F.when(n % 5 != 0, F.concat(F.lit("v_"), (n % 3).cast("string"), F.lit(" = 1\n# "), n.cast("string")))
+    log = V.table(spark, d, "events").filter("event_id % 7 <> 0").select(F.lit("r0").alias("repo"), F.concat(F.lit("u"), "user_id").alias("path"), n.alias("version"), text.alias("content"))
+    log.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(log.schema).parquet(f"{folder}/in")
+    live.stream_versions(stream, f"{folder}/out", f"{folder}/checkpoint", lambda df: facts.extract_facts(df, ("def",))).awaitTermination()
+    versions = spark.read.parquet(f"{folder}/out/versions").groupBy("path").agg(F.count("*").alias("versions"))
+    now = live.current_facts(spark, f"{folder}/out").select("path", F.col("version").alias("last"), F.substring_index("name", "_", -1).cast("long").alias("name"))
+    return now.join(versions, "path").select("path", "versions", "last", "name")
+
+
 CODES = "CAST(event_id % 30 AS INT)"
 
 
