@@ -8,8 +8,7 @@ import os
 import re
 import sys
 import types
-from bisect import bisect_left, bisect_right
-from itertools import accumulate
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -31,60 +30,45 @@ REMEMBERED = 250_000
 def groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
     """Runs (a_from, a_to, b_from, b_to) of tokens between neighbouring common ends, to-ends exclusive.
 
-    a, b: the ends of each side's tokens, rising (equal for empty tokens, which belong to the run that ends there), with the
-    same last end. An interval is cut at the common end nearest to its middle, found by bisection from each of a's ends
-    outwards, and both halves go on by themselves; an interval without a common end inside is a leaf group.
+    a, b: the ends of each side's tokens, strictly rising, with the same last end. An interval is cut at the common end
+    nearest to its middle: a's ends are tried from the middle one outwards, on both sides in turn, each by bisection in b.
+    Both halves go on by themselves; an interval without a common end inside is a leaf group.
     """
     if not a or not b:
-        return [(0, len(a), 0, len(b))] if a or b else []
-    out, stack, last = [], [(0, len(a), 0, len(b))], a[-1]
+        return []
+    out, stack = [], [(0, len(a), 0, len(b))]
     while stack:
         a0, a1, b0, b1 = stack.pop()
-        top = a1 - 1
-        if a1 - a0 > 1 and b1 - b0 > 1:
-            # a's ends by their distance from the middle one, on both sides in turn
-            low = (a0 + top) // 2
-            high = low + 1
-            while low >= a0 or high < top:
-                for k in (low, high):
-                    if a0 <= k < top:
-                        end = a[k]
-                        j = bisect_left(b, end, b0, b1)
-                        if j < b1 and b[j] == end and end < last:
-                            break
-                else:
-                    low, high = low - 1, high + 1
-                    continue
-                i, j = bisect_right(a, end, k, a1), bisect_right(b, end, j, b1)
-                stack += [(i, a1, j, b1), (a0, i, b0, j)]
-                break
-            else:
-                out.append((a0, a1, b0, b1))
-        else:
+        top, cut = a1 - 1, -1
+        low = (a0 + top) // 2
+        high = low + 1
+        while low >= a0 or high < top:
+            if a0 <= low < top:
+                j = bisect_left(b, a[low], b0, b1)
+                if b[j] == a[low]:
+                    cut = low + 1
+                    break
+            if high < top:
+                j = bisect_left(b, a[high], b0, b1)
+                if b[j] == a[high]:
+                    cut = high + 1
+                    break
+            low -= 1
+            high += 1
+        if cut < 0:
             out.append((a0, a1, b0, b1))
-    return out
-
-
-def links(a: list[int], b: list[int], runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """Places (i, j) of tokens whose byte ranges overlap, run by run: all pairs of a run with one token on a side, else with two
-    hands. Tokens must not be empty."""
-    out = []
-    for a0, a1, b0, b1 in runs:
-        if a1 - a0 == 1:
-            out += [(a0, j) for j in range(b0, b1)]
-        elif b1 - b0 == 1:
-            out += [(i, b0) for i in range(a0, a1)]
+            continue
+        j += 1
+        # one token on a side can't be cut
+        if cut - a0 == 1 or j - b0 == 1:
+            out.append((a0, cut, b0, j))
         else:
-            i, j = a0, b0
-            while i < a1 and j < b1:
-                out.append((i, j))
-                if a[i] < b[j]:
-                    i += 1
-                elif a[i] > b[j]:
-                    j += 1
-                else:
-                    i, j = i + 1, j + 1
-    return out
+            stack.append((a0, cut, b0, j))
+        if a1 - cut == 1 or b1 - j == 1:
+            out.append((cut, a1, j, b1))
+        else:
+            stack.append((cut, a1, j, b1))
+    return sorted(out)
 
 
 class _Tokenizers:
@@ -133,18 +117,32 @@ class _Tokenizers:
         b = self.b.encode([r[1:] for r in runs], num_threads=1)
         return [(x, y or [self.blank]) for x, y in zip(a, b)]
 
-    def align(self, run: str, a: list[int], b: list[int]) -> tuple | None:
-        """n_a, n_b, n_groups, text of the groups, linked id pairs (a << 32 | b); None if the bytes of either side are not the run's."""
-        whole = run.encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
-            return None
-        if len(a) == 1 or len(b) == 1:
-            return len(a), len(b), 1, f"{','.join(map(self.a_text.__getitem__, a))}|{','.join(map(self.b_text.__getitem__, b))}", [i << 32 | j for i in a for j in b]
-        at_a, at_b = list(accumulate(map(self.a_size.__getitem__, a))), list(accumulate(map(self.b_size.__getitem__, b)))
-        found = groups(at_a, at_b)
+    def align(self, runs: list[str], ids: list[tuple[list[int], list[int]]]) -> list[tuple | None]:
+        """For each run n_a, n_b, n_groups, text of the groups, and linked id pairs (a << 32 | b) as bytes; None if the bytes of
+        either side are not the run's. Runs are aligned end to end, since both sides end where a run does."""
+        texts = [r.encode() for r in runs]
+        a, b = [i for x, _ in ids for i in x], [i for _, y in ids for i in y]
+        size_a, size_b = np.array([len(x) for x, _ in ids]), np.array([len(y) for _, y in ids])
+        at_a, at_b = np.cumsum([0, *map(self.a_size.__getitem__, a)]), np.cumsum([0, *map(self.b_size.__getitem__, b)])
+        to, to_a, to_b = np.cumsum([len(t) for t in texts]), np.cumsum(size_a), np.cumsum(size_b)
+        whole = b"".join(texts)
+        same = b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b))
+        if not same or not (at_a[to_a] == to).all() or not (at_b[to_b] == to).all():
+            if len(runs) == 1:
+                return [None]
+            half = len(runs) // 2
+            return self.align(runs[:half], ids[:half]) + self.align(runs[half:], ids[half:])
+        at_a, at_b = at_a[1:], at_b[1:]
+        found = groups(at_a.tolist(), at_b.tolist())
         x, y = list(map(self.a_text.__getitem__, a)), list(map(self.b_text.__getitem__, b))
-        told = ";".join([f"{','.join(x[i:j])}|{','.join(y[k:m])}" for i, j, k, m in found])
-        return len(a), len(b), len(found), told, [a[i] << 32 | b[j] for i, j in links(at_a, at_b, found)]
+        told = [f"{x[i]}|{y[k]}" if j - i == 1 == m - k else f"{','.join(x[i:j])}|{','.join(y[k:m])}" for i, j, k, m in found]
+        upto = (np.searchsorted([g[1] for g in found], to_a) + 1).tolist()
+        # between two neighbouring ends of either side lies a part of one token of each
+        ends = np.union1d(at_a, at_b)
+        pairs = np.array(a, np.int64)[np.searchsorted(at_a, ends)] << 32 | np.array(b, np.int64)[np.searchsorted(at_b, ends)]
+        links, raw = (8 * np.searchsorted(ends, to, side="right")).tolist(), pairs.tobytes()
+        rows = zip(size_a.tolist(), size_b.tolist(), [0, *upto], upto, [0, *links], links)
+        return [(n_a, n_b, g1 - g0, ";".join(told[g0:g1]), raw[p0:p1]) for n_a, n_b, g0, g1, p0, p1 in rows]
 
 
 def _segments(text: str) -> list[str]:
@@ -210,8 +208,7 @@ def align_documents(docs: DataFrame, first: str, second: str, block: int = 8_000
                     new.append(s)
             for k in range(0, len(new), 4000):
                 runs = [" " + s for s in new[k : k + 4000]]
-                for s, r, ids in zip(new[k : k + 4000], runs, both.ids(runs)):
-                    known[s] = both.align(r, *ids)
+                known.update(zip(new[k : k + 4000], both.align(runs, both.ids(runs))))
 
         def emit(rows):
             nonlocal made
@@ -224,15 +221,16 @@ def align_documents(docs: DataFrame, first: str, second: str, block: int = 8_000
             for i, own in enumerate(texts if odd else ()):
                 if not odd.isdisjoint(own):
                     text = rows[i][1]
-                    found = both.align(" " + text, *both.ids([" " + text])[0])
+                    found = both.align([" " + text], both.ids([" " + text]))[0]
                     texts[i] = [text] if found else []
                     whole |= {text: found} if found else {}
             if odd:
                 number = _Numbers()
                 lists = [np.fromiter(map(number.__getitem__, own), np.int32, len(own)) for own in texts]
             facts = [whole.get(s) or known[s] for s in number]
-            size = np.array([f[:3] + (len(f[4]),) for f in facts], np.int64).reshape(-1, 4)
-            every = np.array([p for f in facts for p in f[4]], np.int64)
+            texts_of = [f[3] for f in facts]
+            size = np.array([f[:3] + (len(f[4]) // 8,) for f in facts], np.int64).reshape(-1, 4)
+            every = np.frombuffer(b"".join([f[4] for f in facts]), np.int64)
             pairs, place = np.unique(every, return_inverse=True)
             ends = np.concatenate([[0], np.cumsum(size[:, 3])])
             df, last = np.zeros(len(pairs), np.int64), np.full(len(pairs), -1)
@@ -240,11 +238,12 @@ def align_documents(docs: DataFrame, first: str, second: str, block: int = 8_000
             for i, ((doc, _), mine, own) in enumerate(zip(rows, lists, texts)):
                 used = np.unique(mine)
                 if len(used):
-                    at = np.concatenate([place[ends[u] : ends[u + 1]] for u in used.tolist()])
+                    # the pairs of all its segments, one segment after the other
+                    at = place[np.repeat(ends[used + 1] - np.cumsum(size[used, 3]), size[used, 3]) + np.arange(size[used, 3].sum())]
                     fresh = at[last[at] != i]
                     last[fresh] = i
                     df[np.unique(fresh)] += 1
-                told = hashlib.sha256(";".join([facts[k][3] for k in mine.tolist()]).encode()).hexdigest() if own else ""
+                told = hashlib.sha256(";".join(map(texts_of.__getitem__, mine.tolist())).encode()).hexdigest() if own else ""
                 row = (made << 24 | part, doc, *size[mine].sum(axis=0).tolist(), told, mine.tobytes(), None, None, None)
                 for k, v in zip(out, row):
                     out[k].append(v)
