@@ -51,6 +51,7 @@ SENTENCES = {
     "zlib-origin": ("the origin of this software must not be misrepresented you must not claim that you wrote the original software",),
     "boost-grant": ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",),
     "boost-short": ("distributed under the boost software license version 1 0",),
+    "psf-grant": ("psf hereby grants licensee a nonexclusive royalty free world wide license to reproduce analyze test perform and or display publicly prepare derivative works distribute and otherwise use python alone or in any derivative version",),
     "wtfpl": ("you just do what the fuck you want to",),
 }
 #: Notices of the GNU family are made by a rule: a licence's name, its SPDX stem and its versions.
@@ -93,6 +94,7 @@ RULES = [
     ("Zlib", ("zlib-grant", "zlib-origin")),
     ("BSL-1.0", ("boost-grant",)),
     ("BSL-1.0", ("boost-short",)),
+    ("PSF-2.0", ("psf-grant",)),
     ("WTFPL", ("wtfpl",)),
 ]
 
@@ -121,7 +123,8 @@ for _name in TAGGED:
 BREAK = r"(?:\r\n|\r|\n)[ \t]*+(?:[#*/;%>!-]++[ \t]*+)?+(?:\(?[0-9]{1,2}[.)][ \t]++)?+"
 #: Sentences end at blank lines and at . ! ? before white space or the end.
 ENDS = r"\n\n+|[.!?]+(?=\s|$)"
-HINT = r"(?i)licen[sc]e|permission|redistribut|copyright|free software|any later version|public domain|\bcc0\b|what the fuck"
+#: Parts of words, of which every sentence of the table has one; other texts are not searched.
+HINT = r"(?i)licen|permi|redistribut|copyright|software|version|mozilla|domain|cc0|fuck"
 _NAMES = tuple(SENTENCES)
 _WORDINGS = {text: name for name, texts in SENTENCES.items() for text in texts}
 
@@ -150,7 +153,7 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     table, place = F.array(*map(F.lit, _WORDINGS)), F.array(*[F.lit(_NAMES.index(n) + 1) for n in _WORDINGS.values()])
     ids = F.transform(F.regexp_extract_all(normalised(text), F.lit(FOUND), F.lit(1)), lambda s: F.element_at(place, F.array_position(table, s).cast("int")))
-    rows = docs.select("doc_id", F.when(F.regexp_like(text, F.lit(HINT)), ids).otherwise(F.array().cast("array<int>")).alias("ids"))
+    rows = docs.select("doc_id", F.when(F.regexp_like(F.lower(text), F.lit(HINT)), ids).otherwise(F.array().cast("array<int>")).alias("ids"))
     # identifiers as text, |3||4|, so that a rule is a substring; a matched rule becomes a # that no later one crosses
     written = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("|"), i.cast("string"), F.lit("|"))), "")
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f"|{_NAMES.index(s) + 1}|" for s in rule)).alias("mark")) for name, rule in RULES])

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from codestrata.llm import alignment, phrases, sharding
+from codestrata.llm import alignment, licenses, phrases, sharding
 from codestrata.llm.queries import tokenizer_path
 
 BASE = "doc_id long, text string, lang string, source string, n_chars long"
@@ -211,3 +211,17 @@ def test_changed_weights_move_rows_of_their_subtree_only(spark):
     assert all(a < 3 for a, _ in moves) and all(a == 0 for a, b in moves if b < 3)
     with pytest.raises(ValueError):
         sharding.shard_of(F.col("id"), [sharding.Shard("r", "k", 0, 0.0)])
+
+
+# --- licences ------------------------------------------------------------------------------------------------------
+def test_every_sentence_is_found_by_itself(spark):
+    wordings = [(i, name, w) for i, (w, name) in enumerate(sorted(licenses._WORDINGS.items()))]
+    rows = [(i, "Foreword here.\n\n# " + w.replace(" ", "\n# ", 3).capitalize() + ".\n") for i, _, w in wordings]
+    got = {r["doc_id"]: r["sentence_ids"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(w, got[i]) for i, name, w in wordings if name not in got[i]] == []
+
+
+def test_sentences_need_no_other_word_of_licences(spark):
+    text = "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."
+    rows = licenses.scan(spark.createDataFrame([(1, text), (2, "nothing of it"), (3, None)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["sentence_ids"] for r in rows} == {1: ["mit-as-is"], 2: [], 3: []}
