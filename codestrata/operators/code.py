@@ -78,6 +78,16 @@ def dependency_graph(facts: DataFrame) -> DataFrame:
     return wide.select("repo", F.col("module").alias("src"), F.when(F.col("_d"), F.col("deep")).otherwise(F.col("target")).alias("dst"), (F.coalesce("_d", F.lit(False)) | F.coalesce("_t", F.lit(False))).alias("resolved"))
 
 
+def dependency_files(facts: DataFrame) -> DataFrame:
+    """repo, src, dst: files that import each other, each module by its home (module_homes), so that a module that is there
+    in two roots is read from the first one. Facts needed: file, import."""
+    imports, homes = absolutize(of(facts, "import")), module_homes(facts).withColumnRenamed("home", "dst")
+    wide = imports.withColumn("deep", F.when(F.col("kind") == "from", F.concat_ws(".", "target", "name")))
+    wide = wide.join(homes.select("repo", F.col("module").alias("deep"), F.col("dst").alias("sub")), ["repo", "deep"], "left")
+    wide = wide.select("repo", "path", "sub", F.col("target").alias("module")).join(homes, ["repo", "module"], "left")
+    return wide.select("repo", F.col("path").alias("src"), F.coalesce("sub", "dst").alias("dst")).filter("dst is not null").distinct()
+
+
 def vertices(facts: DataFrame) -> DataFrame:
     """The modules of the corpus: repo, v."""
     return of(facts, "file").select("repo", F.col("module").alias("v")).distinct()

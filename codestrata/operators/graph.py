@@ -70,25 +70,51 @@ def assign_layers(vertices: DataFrame, layers: list[list[str]]) -> DataFrame:
     return vertices.select("v", F.get(hit, F.lit(0)).alias("layer")).filter("layer is not null")
 
 
+#: Numbers of 64 bits that a node carries: a search has groups of at most 64 * WORDS roots, half of that as a rule.
+WORDS = 16
+
+
 def traverse(edges: DataFrame, roots: DataFrame, direction: str = "callees", depth: int = 1, max_items: int = 200) -> DataFrame:
     """Nodes within `depth` steps of each root: root, node, depth (first reached), root excluded, at most max_items a root by (depth, node).
 
     truncated is set once a root has reached max_items. direction: callers, callees or both.
+
+    All roots are searched at once: each node carries a bit for each root of a group that has reached it, in WORDS numbers, so
+    a level is one join and one aggregate with a row a node and group, however many of a group's roots meet there.
     """
     if direction not in ("callers", "callees", "both") or depth < 1:
         raise ValueError("direction must be callers, callees or both, and depth at least 1")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    links = {"callees": edges.select("src", "dst"), "callers": back, "both": edges.select("src", "dst").union(back)}[direction].distinct()
-    seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
-    frontier = seen
+    rounds = Rounds(edges.sparkSession)
+    links = rounds.put("links", {"callees": edges.select("src", "dst"), "callers": back, "both": edges.select("src", "dst").union(back)}[direction].distinct())
+    own = roots.select("root").distinct()
+    groups = max(1, own.count() // (32 * WORDS))
+    dealt = own.withColumn("g", F.pmod(F.xxhash64("root"), F.lit(groups)))
+    dealt = dealt.withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("root")) - 1)
+    dealt = rounds.put("roots", dealt.select("root", F.struct("g", F.floor(F.col("i") / (64 * WORDS)).alias("part")).alias("g"), (F.col("i") % (64 * WORDS)).alias("i")))
+    bits = [f"b{w}" for w in range(WORDS)]
+    mark = lambda w: F.when(F.floor(F.col("i") / 64) == w, F.expr("shiftleft(1L, cast(i % 64 as int))")).otherwise(F.lit(0).cast("long"))
+    # a node's bits: the roots of a group that have reached it
+    seen = rounds.put("seen", dealt.select("g", F.col("root").alias("node"), *[mark(w).alias(x) for w, x in enumerate(bits)]))
+    frontier, levels = seen, []
     for d in range(1, depth + 1):
-        step = frontier.select("root", F.col("node").alias("src")).join(links, "src").select("root", F.col("dst").alias("node")).distinct()
-        frontier = checkpoint(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        step = frontier.select("g", F.col("node").alias("src"), *bits).join(links, "src").groupBy("g", F.col("dst").alias("node")).agg(*[F.bit_or(x).alias(x) for x in bits])
+        was = seen.select("g", "node", *[F.col(x).alias(f"_{x}") for x in bits])
+        fresh = step.join(was, ["g", "node"], "left").select("g", "node", *[F.col(x).bitwiseAND(F.bitwise_not(F.coalesce(f"_{x}", F.lit(0).cast("long")))).alias(x) for x in bits])
+        frontier = rounds.put(f"level-{d}", fresh.filter(reduce(lambda a, b: a | b, [F.col(x) != 0 for x in bits])))
         if frontier.isEmpty():
             break
-        seen = checkpoint(seen.union(frontier))
+        levels.append(frontier.withColumn("depth", F.lit(d)))
+        if d < depth:
+            seen = rounds.put("seen", seen.unionByName(frontier).groupBy("g", "node").agg(*[F.bit_or(x).alias(x) for x in bits]))
+    if not levels:
+        return roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(False).alias("truncated")).limit(0)
+    found = reduce(DataFrame.unionByName, levels).select("g", "node", "depth", F.posexplode(F.array(*bits)).alias("word", "mask")).filter("mask <> 0")
+    found = found.select("g", "node", "depth", "word", F.explode(F.expr("filter(sequence(0, 63), k -> (shiftright(mask, k) & 1L) = 1L)")).alias("bit"))
+    found = found.select("g", "node", "depth", (F.col("word") * 64 + F.col("bit")).alias("i"))
+    found = found.join(dealt, ["g", "i"]).select("root", "node", "depth")
     own = Window.partitionBy("root")
-    ranked = seen.filter("depth > 0").withColumn("_n", F.row_number().over(own.orderBy("depth", "node")))
+    ranked = found.withColumn("_n", F.row_number().over(own.orderBy("depth", "node")))
     return ranked.withColumn("truncated", F.count("*").over(own) >= max_items).filter(F.col("_n") <= max_items).drop("_n")
 
 

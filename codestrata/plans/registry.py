@@ -519,6 +519,19 @@ def g1_g2_dependency_graph(spark, d):
     return code.dependency_graph(_facts(spark, d, "file", "import")).select("src", "dst", "resolved")
 
 
+AT_ROOT = "(SELECT k, CASE WHEN k % 10 = 5 THEN 'src/' ELSE '' END AS root FROM p UNION ALL SELECT k, 'src/' FROM p WHERE k % 10 = 0)"
+
+
+@query(K + f", f AS {AT_ROOT}, e AS (SELECT k, j FROM p WHERE k > 0 UNION SELECT k, k + 1 FROM p WHERE k % 5 = 0 AND k + 1 < n) SELECT root || 'pkg/m_' || e.k || '.py' AS src, CASE WHEN j % 10 = 5 THEN 'src/' ELSE '' END || 'pkg/m_' || j || '.py' AS dst FROM e JOIN f ON f.k = e.k")
+def g1_roots_in_order(spark, d):
+    """Every tenth module lies in src alone, and another tenth in src too."""
+    files = V.rendered(spark, d)
+    k = F.regexp_extract("path", "([0-9]+)[.]py", 1).cast("long") % 10
+    inner = F.concat(F.lit("src/"), "path")
+    files = files.withColumn("path", F.when(k == 5, inner).otherwise(F.col("path"))).union(files.filter(k == 0).withColumn("path", inner))
+    return code.dependency_files(_stored(files, "file", "import")).select("src", "dst")
+
+
 @query("SELECT 'pkg.m_' || p_partkey AS v FROM part")
 def g2_vertices(spark, d):
     return code.vertices(facts.extract_facts(V.rendered(spark, d), ("file",))).select("v")

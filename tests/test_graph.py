@@ -53,7 +53,6 @@ def test_components_of_random_graphs(spark):
         edges += [(base + rng.randrange(n), base + rng.randrange(n)) for _ in range(m)]
         base += n
     assert found(spark, edges) == components(edges)
-    assert found(spark, [(str(a), str(b)) for a, b in edges], "string") == components([(str(a), str(b)) for a, b in edges])
     assert found(spark, []) == {} and found(spark, [(3, 3), (3, 4)]) == {3: 3}
 
 
@@ -92,3 +91,26 @@ def test_ways_end_or_run_into_rings(spark):
     assert all(got[i] == (1000, None) for i in range(1000))
     assert all(got[i][1] == 2000 for i in (*range(2000, 2007), 3000, 3001)) and got[4000] == got[4001] == (4000, 4000)
     assert graph.jumps(spark.createDataFrame([], "node long, to long"))[0].count() == 0
+
+
+@pytest.mark.parametrize(("direction", "depth", "most"), [("callees", 3, 200), ("both", 2, 7), ("callers", 50, 200)])
+def test_searches_from_many_roots(spark, direction, depth, most):
+    rng = random.Random(depth)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(330)] + [(400 + i, 401 + i) for i in range(20)]
+    roots = [*range(0, 300, 2), 400, 420, 999]
+    near = {}
+    for a, b in edges:
+        for x, y in [(a, b)] * (direction != "callers") + [(b, a)] * (direction != "callees"):
+            near.setdefault(x, set()).add(y)
+    want = set()
+    for root in roots:
+        at, depth_of = {root}, {root: 0}
+        for d in range(1, depth + 1):
+            at = {y for x in at for y in near.get(x, ())} - depth_of.keys()
+            depth_of |= dict.fromkeys(at, d)
+        reached = sorted((d, x) for x, d in depth_of.items() if d)
+        want |= {(root, x, d, len(reached) >= most) for d, x in reached[:most]}
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    rows = graph.traverse(frame, spark.createDataFrame([(r,) for r in roots * 2], "root long"), direction, depth, most).collect()
+    assert {(r["root"], r["node"], r["depth"], r["truncated"]) for r in rows} == want and len(rows) == len(want)
+    assert graph.traverse(frame.limit(0), frame.select(frame["src"].alias("root"))).count() == 0
