@@ -94,6 +94,33 @@ def search_symbols(defs: DataFrame, queries: list[str]) -> DataFrame:
     return rows.filter("match = 'exact'").unionByName(rows.filter("match = 'part'").join(exact, "q", "left_anti").select(*rows.columns)).distinct()
 
 
+def gram_index(defs: DataFrame, longest: int = 3) -> DataFrame:
+    """name, gram: the distinct names of defs by their distinct runs of 1 to `longest` characters in lower case. Store it to keep it
+    between searches."""
+    names = defs.select("name").filter("name is not null").distinct().withColumn("l", F.lower("name"))
+    runs = F.expr(f"array_distinct(flatten(transform(sequence(1, {longest}), n -> if(length(l) < n, array(), transform(sequence(1, length(l) - n + 1), i -> substring(l, i, n))))))")
+    return names.select("name", F.explode(runs).alias("gram"))
+
+
+def search_many(defs: DataFrame, queries: DataFrame, index: DataFrame | None = None, longest: int = 3) -> DataFrame:
+    """search_symbols for a table of queries (q): each one's exact matches by name, else the names that contain it in any case.
+
+    A query's names are sought among those that have its rarest run of characters (gram_index), and then compared; a query
+    with a run that no name has finds nothing, and so do null and empty ones. A query never meets all definitions.
+    """
+    index = gram_index(defs, longest) if index is None else index
+    asked = queries.select("q").filter("length(q) > 0").distinct()
+    exact = asked.join(defs, asked["q"] == defs["name"]).select(*defs.columns, "q", F.lit("exact").alias("match"))
+    rest = asked.join(defs.select(F.col("name").alias("q")).distinct(), "q", "left_anti").withColumn("l", F.lower("q"))
+    runs = F.expr(f"array_distinct(transform(sequence(1, greatest(length(l) - {longest - 1}, 1)), i -> substring(l, i, least({longest}, length(l)))))")
+    runs = rest.select("q", "l", F.explode(runs).alias("gram"))
+    n = index.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = runs.join(n, "gram", "left").groupBy("q", "l").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("lost")).filter("lost = 0")
+    met = rarest.join(index, "gram").filter(F.contains(F.lower("name"), F.col("l"))).select("q", "name")
+    part = met.join(defs, "name").select(*defs.columns, "q", F.lit("part").alias("match"))
+    return exact.unionByName(part).distinct()
+
+
 def with_zero_kinds(rows: DataFrame, kinds: DataFrame, kind: str = "kind") -> DataFrame:
     """Counts for every kind, 0 where none. kinds: a column of that name."""
     dim = kinds.select(kind).distinct()

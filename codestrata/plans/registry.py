@@ -240,6 +240,16 @@ def j18_search_symbols(spark, d):
     return joins.search_symbols(part.select(F.col("p_partkey").alias("sym"), F.col("p_name").alias("name")), ([first["p_name"]] if first else []) + ["9"])
 
 
+MANY = "SELECT CAST(s_suppkey AS STRING) AS q FROM supplier UNION SELECT p_name AS q FROM part WHERE p_partkey % 50 = 0 UNION SELECT upper(substring(p_name, 2, 4)) AS q FROM part WHERE p_partkey % 3 = 0 UNION SELECT p_name || 'x' AS q FROM part WHERE p_partkey % 7 = 0"
+
+
+@query(f"""WITH q AS ({MANY}), e AS (SELECT q, p_partkey AS sym, p_name AS name, 'exact' AS "match" FROM part JOIN q ON p_name = q)
+SELECT * FROM e UNION ALL SELECT q, p_partkey, p_name, 'part' FROM part JOIN q ON contains(lower(p_name), lower(q)) WHERE q NOT IN (SELECT q FROM e)""")
+def j18_search_many(spark, d):
+    part = V.table(spark, d, "part").select(F.col("p_partkey").alias("sym"), F.col("p_name").alias("name"))
+    return joins.search_many(part, V.view(spark, d, MANY), graph.checkpoint(joins.gram_index(part)))
+
+
 # --- aggregations --------------------------------------------------------------------------------------------------
 @query(FIND + """, g AS (SELECT path, lower(trim(severity)) AS s FROM f) SELECT path, count(*) FILTER (s = 'error') AS error, count(*) FILTER (s = 'warning') AS warning,
 count(*) FILTER (s NOT IN ('error','warning','hint')) AS information, count(*) FILTER (s = 'hint') AS hint, count(*) AS total FROM g GROUP BY path""")
