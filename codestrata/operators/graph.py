@@ -279,14 +279,33 @@ def _spread(labels: DataFrame, edges: DataFrame, src: str, dst: str, rounds: Rou
 
 
 def cycles(edges: DataFrame, max_len: int = 4) -> DataFrame:
-    """Elementary cycles of at most max_len nodes as arrays that start at their least node."""
-    links = edges.select("src", "dst").distinct()
-    out = links.filter("src = dst").select(F.array("src").alias("cycle"))
+    """Elementary cycles of at most max_len nodes as arrays that start at their least node.
+
+    Nodes that nothing leads to, or that lead nowhere, leave first, three times over (edges within components, by sccs, may be
+    given instead). A cycle of n nodes is a way of n / 2 steps, rounded up, from its
+    least node to a middle one and a way back: both are tables, grown step by step once, and meet by both ends. So ways grow
+    with the degree to the power of half the length.
+    """
+    rounds = Rounds(edges.sparkSession)
+    links = rounds.put("links", edges.select("src", "dst").distinct())
+    own = links.filter("src = dst").select(F.array("src").alias("cycle"))
     steps = links.filter("src <> dst")
-    paths = steps.filter("dst > src").select(F.array("src", "dst").alias("cycle"))
+    for _ in range(3):
+        through = steps.select("src").distinct().join(steps.select(F.col("dst").alias("src")), "src", "left_semi")
+        steps = rounds.put("steps", steps.join(through, "src", "left_semi").join(through.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"))
+    out = [own]
+    # ways of k steps from a start to an end over nodes greater than the start; there: with edges, back: against them
+    ways = {("there", 1): steps.filter("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("dst").alias("way"))}
+    ways["back", 1] = steps.filter("src > dst").select(F.col("dst").alias("start"), F.col("src").alias("end"), F.array("src").alias("way"))
+    turned = {"there": steps, "back": steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))}
     for n in range(2, max_len + 1):
-        met = paths.join(steps, F.element_at("cycle", -1) == F.col("src"))
-        out = out.union(met.filter(F.col("dst") == F.col("cycle")[0]).select("cycle"))
-        if n < max_len:
-            paths = met.filter((F.col("dst") > F.col("cycle")[0]) & ~F.array_contains("cycle", F.col("dst"))).select(F.concat("cycle", F.array("dst")).alias("cycle"))
-    return out
+        there, back = (n + 1) // 2, n // 2
+        for side, k in (("there", there), ("back", back)):
+            if (side, k) not in ways:
+                longer = ways[side, k - 1].join(turned[side], F.col("end") == F.col("src")).filter("dst > start and not array_contains(way, dst)")
+                ways[side, k] = rounds.put(f"{side}-{k}", longer.select("start", F.col("dst").alias("end"), F.concat("way", F.array("dst")).alias("way")))
+        met = ways["there", there].join(ways["back", back].withColumnRenamed("way", "home"), ["start", "end"])
+        rest = F.slice("home", 1, back - 1) if back > 1 else F.slice("home", 1, 0)
+        met = met.filter(~F.arrays_overlap("way", rest)) if back > 1 else met
+        out.append(met.select(F.concat(F.array("start"), "way", F.reverse(rest)).alias("cycle")))
+    return reduce(DataFrame.unionByName, out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.scalars import dead_confidence
@@ -14,35 +14,61 @@ def add_context(locs: DataFrame, lines: DataFrame) -> DataFrame:
     return locs.join(text, ["path", "start_line"], "left")
 
 
-def enclosing(points: DataFrame, intervals: DataFrame, bucket: int = 64) -> DataFrame:
+#: Levels of blocks: lines up to 2^40.
+LEVELS = 40
+
+
+def aligned_blocks(start: Column, end: Column) -> Column:
+    """The fewest blocks (k, b) that make up the lines from start to end: block b of level k has the 2^k lines from b * 2^k on.
+
+    At each level at most the first and the last block stick out of the pairs that the next level is made of, so an interval
+    of n lines has at most 2 log2(n) blocks.
+    """
+    at = lambda k: (F.call_function("shiftright", start.cast("long") + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k), F.call_function("shiftright", end.cast("long") + 1, k))
+
+    def level(k):
+        lo, hi = at(k)
+        block = lambda odd, b: F.when((lo < hi) & (odd % 2 == 1), F.struct(k.alias("k"), b.alias("b")))
+        return F.array(block(lo, lo), block(hi, hi - 1))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), level)), lambda x: x.isNotNull())
+
+
+def enclosing(points: DataFrame, intervals: DataFrame) -> DataFrame:
     """All (point, interval) pairs with start_line <= line <= end_line in a path.
 
-    Intervals are dealt to the blocks of `bucket` lines that they touch, and points meet them there by equality.
+    Intervals become aligned blocks, and a point meets them by equality in the one block of each level that it lies in, each
+    pair once, whatever the lengths. The driver sees the levels that occur, LEVELS at most. Lines are 0 or more.
     points: path, pid, line. intervals: path, nid, start_line, end_line.
     """
-    cut = intervals.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_line") / bucket), F.floor(F.col("end_line") / bucket))))
-    met = points.withColumn("_b", F.floor(F.col("line") / bucket)).join(cut, ["path", "_b"])
-    return met.filter("start_line <= line and line <= end_line").drop("_b")
+    cut = intervals.withColumn("_x", F.explode(aligned_blocks(F.col("start_line"), F.col("end_line"))))
+    cut = cut.select(*intervals.columns, F.col("_x.k").alias("_k"), F.col("_x.b").alias("_b"))
+    levels = sorted(r["_k"] for r in cut.select("_k").distinct().collect())
+    if not levels:
+        return points.join(intervals, "path").limit(0)
+    lies = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright(F.col("line").cast("long"), k).alias("b")) for k in levels]))
+    dealt = points.withColumn("_x", lies).select(*points.columns, F.col("_x.k").alias("_k"), F.col("_x.b").alias("_b"))
+    return dealt.join(cut, ["path", "_k", "_b"]).drop("_k", "_b")
 
 
-def enclosing_scope(points: DataFrame, intervals: DataFrame, bucket: int = 64) -> DataFrame:
+def enclosing_scope(points: DataFrame, intervals: DataFrame) -> DataFrame:
     """The innermost interval over each point; equal spans keep the least nid; null without one."""
-    best = enclosing(points, intervals, bucket).groupBy("path", "pid").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "nid")).alias("b"))
+    best = enclosing(points, intervals).groupBy("path", "pid").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "nid")).alias("b"))
     return points.select("path", "pid").join(best, ["path", "pid"], "left").select("path", "pid", F.col("b.nid").alias("nid"))
 
 
-def selection_ranges(points: DataFrame, intervals: DataFrame, bucket: int = 64) -> DataFrame:
+def selection_ranges(points: DataFrame, intervals: DataFrame) -> DataFrame:
     """All intervals over each point from the inner to the outer, as nids."""
     own = F.sort_array(F.collect_list(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "nid")))
-    return enclosing(points, intervals, bucket).groupBy("path", "pid").agg(F.transform(own, lambda x: x["nid"]).alias("nids"))
+    return enclosing(points, intervals).groupBy("path", "pid").agg(F.transform(own, lambda x: x["nid"]).alias("nids"))
 
 
-def nest_outline(defs: DataFrame, mode: str = "direct", bucket: int = 64) -> DataFrame:
+def nest_outline(defs: DataFrame, mode: str = "direct") -> DataFrame:
     """nid and parent_id: the smallest ("direct") or the largest ("outermost") other interval around each one."""
     if mode not in ("direct", "outermost"):
         raise ValueError("mode must be direct or outermost")
     inner = defs.select("path", F.col("nid").alias("pid"), F.col("start_line").alias("line"), F.col("end_line").alias("last"), F.col("start_line").alias("own_start"))
-    met = enclosing(inner, defs, bucket).filter("last <= end_line and pid <> nid and (end_line - start_line > last - own_start or nid < pid)")
+    met = enclosing(inner, defs).filter("last <= end_line and pid <> nid and (end_line - start_line > last - own_start or nid < pid)")
     span = F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "nid")
     best = (F.min if mode == "direct" else F.max)(span)
     return inner.select("path", F.col("pid").alias("nid")).join(met.groupBy("path", F.col("pid").alias("nid")).agg(best.alias("b")), ["path", "nid"], "left").select("path", "nid", F.col("b.nid").alias("parent_id"))

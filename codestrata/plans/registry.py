@@ -329,6 +329,12 @@ def g3_cycles(spark, d):
     return graph.cycles(_edges(spark, d), 4).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"))
 
 
+@query(f"""WITH RECURSIVE {E_}, p AS (SELECT [src, dst] AS c FROM e WHERE dst > src UNION ALL SELECT list_append(c, e.dst) FROM p JOIN e ON c[-1] = e.src WHERE e.dst > c[1] AND NOT list_contains(c, e.dst) AND len(c) < 7)
+SELECT array_to_string(c, ',') AS cycle FROM p JOIN e ON c[-1] = e.src AND e.dst = c[1] UNION ALL SELECT CAST(src AS VARCHAR) FROM e WHERE src = dst""")
+def g3_cycles_of_seven(spark, d):
+    return graph.cycles(_edges(spark, d), 7).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"))
+
+
 @query(f"""WITH {E_}, a AS (SELECT dst AS v, count(DISTINCT src) AS ca FROM e WHERE src <> dst GROUP BY dst), b AS (SELECT src AS v, count(DISTINCT dst) AS ce FROM e WHERE src <> dst GROUP BY src),
 n AS (SELECT c_custkey AS v, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce FROM customer LEFT JOIN a ON c_custkey = a.v LEFT JOIN b ON c_custkey = b.v) SELECT v, ca, ce, {HALF('ce', 'ca + ce', 3)} AS instability FROM n""")
 def g4_coupling(spark, d):

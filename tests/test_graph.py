@@ -114,3 +114,23 @@ def test_searches_from_many_roots(spark, direction, depth, most):
     rows = graph.traverse(frame, spark.createDataFrame([(r,) for r in roots * 2], "root long"), direction, depth, most).collect()
     assert {(r["root"], r["node"], r["depth"], r["truncated"]) for r in rows} == want and len(rows) == len(want)
     assert graph.traverse(frame.limit(0), frame.select(frame["src"].alias("root"))).count() == 0
+
+
+def test_cycles_by_halves(spark):
+    rng = random.Random(9)
+    edges = {(rng.randrange(9), rng.randrange(9)) for _ in range(26)} | {(20, 21), (21, 22), (22, 20), (30, 30), (22, 0)}
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    want, stack = set(), [(a,) for a in out]
+    while stack:
+        way = stack.pop()
+        for b in out.get(way[-1], ()):
+            if b == way[0]:
+                want.add(way)
+            elif b > way[0] and b not in way and len(way) < 7:
+                stack.append((*way, b))
+    frame = spark.createDataFrame(sorted(edges), "src int, dst int")
+    for n in (3, 7):
+        got = [tuple(r["cycle"]) for r in graph.cycles(frame, n).collect()]
+        assert set(got) == {w for w in want if len(w) <= n} and len(got) == len(set(got))

@@ -1,4 +1,4 @@
-"""Searches for many names at once."""
+"""Searches for many names at once, and points in intervals of any length."""
 
 import random
 
@@ -28,3 +28,16 @@ def test_ten_thousand_queries_do_not_meet_every_definition(spark):
     found = joins.search_many(defs, queries)
     assert found.select("q").distinct().count() == queries.distinct().count()
     assert found.filter("not contains(lower(name), q)").count() == 0
+
+
+def test_points_meet_intervals_of_any_length_once(spark):
+    rng = random.Random(8)
+    spans = [("p", i, a, a + rng.choice([0, 1, 2, 7, 63, 64, 500, 10**6])) for i, a in enumerate(rng.randrange(3000) for _ in range(150))] + [("q", 900, 5, 5), ("p", 901, 9, 3)]
+    points = [("p", i, rng.randrange(4000)) for i in range(200)] + [("q", 300, 5), ("q", 301, 6), ("r", 302, 5)]
+    intervals = spark.createDataFrame(spans, "path string, nid int, start_line int, end_line int")
+    got = [(r["pid"], r["nid"]) for r in joins.enclosing(spark.createDataFrame(points, "path string, pid int, line int"), intervals).collect()]
+    want = {(i, n) for p, i, x in points for q, n, a, b in spans if p == q and a <= x <= b}
+    assert set(got) == want and len(got) == len(want)
+    assert joins.enclosing(spark.createDataFrame(points, "path string, pid int, line int"), intervals.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, 10_000_000), (0, 9_999_999), (12_345, 10_012_344), (7, 7)], "s long, e long").select("s", "e", joins.aligned_blocks(F.col("s"), F.col("e")).alias("x")).collect()
+    assert all(len(r["x"]) <= 48 and sum(1 << b["k"] for b in r["x"]) == r["e"] - r["s"] + 1 for r in long)
