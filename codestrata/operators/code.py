@@ -22,15 +22,38 @@ FILE = ["repo", "path"]
 PLAIN = {"assert": "Assert", "global": "Global", "raise": "Raise", "yield": "Yield", "except": "ExceptHandler"}
 
 
-def structural_search(facts: DataFrame, pattern: str | Column) -> DataFrame:
-    """Nodes or calls that match a shorthand (in any case of letters) or a predicate on nodes, in order of place.
+class Shape(NamedTuple):
+    """Nodes of a pattern that lie so to others: `where` has pairs of an axis and a pattern or Shape, all of which must hold."""
+
+    pattern: str | Column
+    where: tuple = ()
+
+
+#: Where the other node is: around a node, right around it, within it, right within it. With "not " before, no such node is there.
+AXES = ("inside", "child of", "has", "parent of")
+
+
+def structural_search(facts: DataFrame, pattern: str | Column | Shape) -> DataFrame:
+    """Nodes or calls that match a shorthand (in any case of letters), a predicate on nodes or a Shape, in order of place.
 
     call:f finds calls by a plain name, attr_call:x.f calls of any object's f, except:E handlers of the plain name E,
-    decorator:d plain decorators; star_import, except, assert, global, raise and yield stand alone.
+    decorator:d plain decorators; star_import, except, assert, global, raise and yield stand alone. Shapes nest:
+    Shape("call:open", (("inside", Shape("except", (("inside", F.col("kind") == "ClassDef"),))),)) finds calls of open within
+    handlers within classes.
     """
     where = [*FILE, "line", "col"]
+    return _matched(facts, pattern).select(*where).orderBy(*where)
+
+
+def _matched(facts: DataFrame, pattern: str | Column | Shape) -> DataFrame:
+    if isinstance(pattern, Shape):
+        found = _matched(facts, pattern.pattern)
+        for axis, other in pattern.where:
+            found = _lying(found, axis, _matched(facts, other))
+        return found
+    place = [*FILE, "line", "col", "nid", "parent", "last"]
     if isinstance(pattern, Column):
-        return of(facts, "node").filter(pattern).select(*where).orderBy(*where)
+        return of(facts, "node").filter(pattern).select(*place)
     head, _, arg = pattern.strip().partition(":")
     head = head.lower()
     named = bool(re.fullmatch(r"\w+\.\w+" if head == "attr_call" else r"\w+", arg))
@@ -48,7 +71,31 @@ def structural_search(facts: DataFrame, pattern: str | Column) -> DataFrame:
         found = of(facts, "node").filter(F.col("kind") == PLAIN[head])
     else:
         raise ValueError(f"unknown pattern {pattern!r}")
-    return found.select(*where).orderBy(*where)
+    return found.select(*place)
+
+
+def _lying(found: DataFrame, axis: str, other: DataFrame) -> DataFrame:
+    """The found nodes that have one of the other nodes on an axis, or none of them.
+
+    Nodes are either apart or one within the other. So a node is within one of the others just if some node before it ends
+    at it or later, and has one within it just if the next one comes before its own end: a running maximum or minimum over a
+    file's nodes in order, without a pair of nodes ever being made.
+    """
+    plain = axis.removeprefix("not ")
+    if plain not in AXES:
+        raise ValueError(f"unknown axis {axis!r}")
+    if plain in ("child of", "parent of"):
+        mine, theirs = ("parent", "nid") if plain == "child of" else ("nid", "parent")
+        keys = other.select(*FILE, F.col(theirs).alias(mine)).distinct()
+        return found.join(keys, [*FILE, mine], "left_semi" if plain == axis else "left_anti")
+    both = found.withColumn("_other", F.lit(False)).unionByName(other.select(*found.columns).withColumn("_other", F.lit(True)))
+    before = Window.partitionBy(*FILE).orderBy("nid" if plain == "inside" else F.desc("nid")).rangeBetween(Window.unboundedPreceding, -1)
+    if plain == "inside":
+        met = F.max(F.when(F.col("_other"), F.col("last"))).over(before) >= F.col("nid")
+    else:
+        met = F.min(F.when(F.col("_other"), F.col("nid"))).over(before) <= F.col("last")
+    met = F.coalesce(met, F.lit(False))
+    return both.withColumn("_met", met).filter(~F.col("_other") & (F.col("_met") == F.lit(plain == axis))).select(*found.columns)
 
 
 def public_names(facts: DataFrame) -> DataFrame:
@@ -346,13 +393,14 @@ def class_links(edges: DataFrame) -> DataFrame:
     return edges.select(end("src"), end("dst")).distinct()
 
 
-def find_implementations(facts: DataFrame, closure: DataFrame, method: str) -> DataFrame:
-    """Subtypes that define method themselves: repo, base, base_path, cls, cls_path. closure: src, dst of graph.reach over class_links."""
+def find_implementations(facts: DataFrame, index: graph.ReachIndex, method: str) -> DataFrame:
+    """Subtypes that define method themselves: repo, base, base_path, cls, cls_path. index: graph.reach_index of class_links."""
     defs = of(facts, "def")
     outer = defs.filter("kind = 'class'").select(*FILE, F.col("nid").alias("scope"), "line", F.col("name").alias("owner"))
     own = defs.filter((F.col("name") == method) & (F.col("kind") == "function")).select(*FILE, "scope").join(outer, [*FILE, "scope"])
-    own = own.select(F.struct("repo", "path", "line", F.col("owner").alias("name")).alias("src")).distinct()
-    return closure.join(own, "src").select("src.repo", F.col("dst.name").alias("base"), F.col("dst.path").alias("base_path"), F.col("src.name").alias("cls"), F.col("src.path").alias("cls_path")).distinct()
+    own = own.select(F.struct("repo", "path", "line", F.col("owner").alias("name")).alias("node")).distinct()
+    pairs = graph.reached(index, own, index.labels.select("node"))
+    return pairs.select("src.repo", F.col("dst.name").alias("base"), F.col("dst.path").alias("base_path"), F.col("src.name").alias("cls"), F.col("src.path").alias("cls_path")).distinct()
 
 
 def type_definition(facts: DataFrame) -> DataFrame:

@@ -6,12 +6,14 @@ import os
 import re
 import tempfile
 from functools import reduce
+from typing import NamedTuple
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.scalars import half_up
+from codestrata.operators.joins import enclosing
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -123,17 +125,80 @@ def type_hierarchy(bases: DataFrame, roots: DataFrame, direction: str = "superty
     return traverse(bases, roots, {"supertypes": "callees", "subtypes": "callers", "both": "both"}[direction], depth, max_items)
 
 
-def reach(edges: DataFrame) -> DataFrame:
-    """src, dst for every path of one or more edges, by doubling. For graphs whose closure is wanted, such as class trees."""
-    have = checkpoint(edges.select("src", "dst").distinct())
-    n = have.count()
-    while True:
-        more = have.join(have.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
-        have = checkpoint(have.union(more).distinct())
-        m = have.count()
-        if m == n:
-            return have
-        n = m
+class ReachIndex(NamedTuple):
+    """labels: node, tree (its root), lo, hi; a node is at or below another of its tree just if its hi lies from the other's lo
+    to the other's hi. others: src, dst, the edges that are not in the forest."""
+
+    labels: DataFrame
+    others: DataFrame
+
+
+#: Siblings that are put in order in one task, about.
+SIBLINGS = 1 << 17
+
+
+def reach_index(edges: DataFrame) -> ReachIndex:
+    """An index of what reaches what along edges (src, dst): a row a node and a row for each edge outside a spanning forest.
+
+    Each node hangs below the least of its dst; a ring is opened at its least node. A walk around each tree, down and up every
+    edge, is a chain of single links, and the places along it, counted from its end by doubled steps, are the labels. Rounds
+    grow with the logarithm of a tree's size, each with a row for two steps of the walk. Siblings are put in order by runs of
+    hashes, so a node with very many children is no single task.
+    """
+    rounds = Rounds(edges.sparkSession)
+    links = rounds.put("links", edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
+    nodes = rounds.put("nodes", links.select(F.col("src").alias("node")).union(links.select("dst")).distinct())
+    above = rounds.put("above", links.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("to")))
+    opened = jumps(above, rounds)[0].filter("ring is not null").select(F.col("ring").alias("node")).distinct()
+    tree = rounds.put("tree", above.join(opened, "node", "left_anti"))
+    others = rounds.put("others", links.join(tree.select(F.col("node").alias("src"), F.col("to").alias("dst")), ["src", "dst"], "left_anti"))
+    runs = max(1, tree.count() // SIBLINGS)
+    dealt = tree.withColumn("run", F.pmod(F.xxhash64("node"), F.lit(runs)))
+    heads = dealt.groupBy("to", "run").agg(F.min("node").alias("head"))
+    follow = heads.select("to", "run", F.lead("head").over(Window.partitionBy("to").orderBy("run")).alias("follow"))
+    beside = dealt.withColumn("next", F.lead("node").over(Window.partitionBy("to", "run").orderBy("node"))).join(follow, ["to", "run"])
+    first = heads.groupBy(F.col("to").alias("node")).agg(F.min_by("head", "run").alias("first"))
+    place = lambda node, up: F.struct(node.alias("node"), up.alias("up"))
+    down = nodes.join(first, "node", "left").select(place(F.col("node"), F.lit(False)).alias("at"), place(F.coalesce("first", "node"), F.col("first").isNull()).alias("to"))
+    later = F.coalesce("next", "follow")
+    up = beside.select(place(F.col("node"), F.lit(True)).alias("at"), place(F.coalesce(later, F.col("to")), later.isNull()).alias("to"))
+    walk = rounds.put("walk", down.unionByName(up).withColumn("d", F.lit(1).cast("long")).withColumn("on", F.lit(True)))
+    while not walk.filter("on").isEmpty():
+        far = walk.select(F.col("at").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"), F.col("on").alias("on2"))
+        going = walk.filter("on").join(far, "to", "left")
+        going = going.select("at", F.coalesce("to2", "to").alias("to"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"), F.coalesce("on2", F.lit(False)).alias("on"))
+        walk = rounds.put("walk", walk.filter("not on").unionByName(going))
+    near, wide = F.when(F.col("at.up"), F.col("d")), F.when(~F.col("at.up"), F.col("d"))
+    labels = walk.groupBy(F.col("at.node").alias("node")).agg(F.min("to.node").alias("tree"), F.coalesce(F.max(near), F.lit(0)).alias("lo"), F.max(wide).alias("hi"))
+    return ReachIndex(rounds.put("labels", labels), others)
+
+
+def reached(index: ReachIndex, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """src, dst for every path of one or more edges from a source to a target, both tables of node.
+
+    What reaches a target is what is below it in its tree, and what is at or below the src of another edge whose dst already
+    reaches the target or is the target. Such edges are found round by round, a row for a target and an edge's src.
+    """
+    rounds = Rounds(index.labels.sparkSession)
+    spot = index.labels.select("node", F.col("tree").alias("path"), F.col("hi").alias("line"))
+    span = index.labels.select(F.col("node").alias("via"), F.col("tree").alias("path"), F.col("lo").alias("start_line"), F.col("hi").alias("end_line"))
+    own = rounds.put("own", targets.select(F.col("node").alias("dst")).distinct().join(span, F.col("dst") == F.col("via")))
+    points = rounds.put("points", sources.select("node").distinct().join(spot, "node").withColumnRenamed("node", "src"))
+    doors = rounds.put("doors", index.others.join(spot, F.col("dst") == F.col("node")).select(F.col("src").alias("door"), "path", "line"))
+    frontier, ways = own, []
+    seen = own.select("dst", "via").limit(0)
+    while not doors.isEmpty() and not frontier.isEmpty():
+        met = enclosing(doors, frontier).select("dst", F.col("door").alias("via")).distinct().join(seen, ["dst", "via"], "left_anti").join(span, "via")
+        mine = own.select("dst", F.col("path").alias("_tree"), F.col("start_line").alias("_lo"), F.col("end_line").alias("_hi"))
+        # what is below the target anyway opens nothing
+        below = (F.col("path") == F.col("_tree")) & (F.col("start_line") >= F.col("_lo")) & (F.col("end_line") <= F.col("_hi")) & (F.col("via") != F.col("dst"))
+        frontier = rounds.put(f"ways-{len(ways)}", met.join(mine, "dst").filter(~below).select("dst", "via", "path", "start_line", "end_line"))
+        ways.append(frontier)
+        seen = rounds.put("seen", seen.unionByName(frontier.select("dst", "via")))
+    inside = enclosing(points, own).filter("src <> dst").select("src", "dst")
+    if ways:
+        inside = inside.unionByName(enclosing(points, reduce(DataFrame.unionByName, ways)).select("src", "dst")).distinct()
+    return inside
 
 
 def jumps(links: DataFrame, rounds: Rounds | None = None) -> tuple[DataFrame, list[DataFrame]]:

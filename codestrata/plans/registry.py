@@ -530,6 +530,31 @@ def f10_structural_search(spark, d):
     return reduce(lambda a, b: a.unionByName(b), found)
 
 
+@query(K + f"""SELECT 'if in if' AS pattern, {M} AS path, start + i AS line FROM p, range(2, 4) t(i) WHERE i <= d UNION ALL SELECT 'outer if', {M}, start + 1 FROM p WHERE d >= 2 UNION ALL SELECT 'lone if', {M}, start + 1 FROM p WHERE d = 1
+UNION ALL SELECT 'eval beside if', {M}, back - 1 FROM q WHERE k % 6 = 0 AND d > 0 UNION ALL SELECT 'import without eval', {M}, 0 FROM p WHERE k % 6 <> 0
+UNION ALL SELECT pattern, {MS}, line FROM (SELECT s_suppkey AS k FROM supplier) x JOIN (VALUES ('raise in OSError', 12, 2, 1), ('call in try', 10, 1, 0), ('method', 18, 1, 0), ('plain function', 7, 1, 0), ('class that asserts', 15, 1, 0)) t(pattern, line, m, r) ON k % m = r
+UNION ALL SELECT 'loads in class that asserts', {MS}, 20 FROM (SELECT s_suppkey AS k FROM supplier) x WHERE k % 6 IN (0, 5)""")
+def f10_structural_conditions(spark, d):
+    f = _stored(V.rendered(spark, d).union(V.rendered_scopes(spark, d)), "node", "call")
+    kind, shape = lambda x: F.col("kind") == x, code.Shape
+    branch, asserting = kind("If"), shape(kind("ClassDef"), (("has", "assert"),))
+    module = lambda axis: shape(kind("Module"), ((axis, "call:eval"), ("not has", kind("AsyncFunctionDef"))))
+    patterns = {
+        "if in if": shape(branch, (("inside", branch),)),
+        "outer if": shape(branch, (("not inside", branch), ("has", branch))),
+        "lone if": shape(branch, (("not inside", branch), ("not parent of", branch))),
+        "eval beside if": shape("call:eval", (("inside", shape(kind("FunctionDef"), (("has", branch),))),)),
+        "import without eval": shape(kind("Import") & (F.col("line") == 0), (("child of", module("not has")),)),
+        "raise in OSError": shape("raise", (("child of", "except:OSError"),)),
+        "call in try": shape("call:inner", (("inside", kind("Try")), ("not inside", kind("ClassDef")))),
+        "method": shape(kind("FunctionDef"), (("child of", kind("ClassDef")),)),
+        "plain function": shape(kind("FunctionDef"), (("not child of", kind("ClassDef")), ("inside", kind("AsyncFunctionDef")))),
+        "class that asserts": asserting,
+        "loads in class that asserts": shape("attr_call:any.loads", (("inside", asserting),)),
+    }
+    return reduce(lambda a, b: a.unionByName(b), [code.structural_search(f, p).select(F.lit(name).alias("pattern"), "path", "line") for name, p in patterns.items()])
+
+
 @query(K + "SELECT 'pkg.m_' || k AS src, 'os' AS dst, false AS resolved FROM p UNION ALL SELECT 'pkg.m_' || k, 'json', false FROM p WHERE k % 4 = 0 UNION ALL SELECT 'pkg.m_' || k, 'pkg.m_' || j, true FROM p WHERE k > 0 UNION ALL SELECT 'pkg.m_' || k, 'pkg.m_' || (k + 1), true FROM p WHERE k % 5 = 0 AND k + 1 < n")
 def g1_g2_dependency_graph(spark, d):
     return code.dependency_graph(_facts(spark, d, "file", "import")).select("src", "dst", "resolved")
@@ -633,7 +658,7 @@ def j6_names_with_references(spark, d):
 @query(C.replace("WITH", "WITH RECURSIVE") + ", r AS (SELECT k AS cls, b AS base FROM s WHERE k > 0 UNION SELECT cls, s.b FROM r JOIN s ON base = k WHERE k > 0) SELECT 'C_' || base AS base, 'C_' || cls AS cls FROM r")
 def j10_find_implementations(spark, d):
     f = _class_facts(spark, d, *NAMES, "base")
-    return code.find_implementations(f, graph.reach(code.class_links(code.class_edges(f))), "m0").select("base", "cls")
+    return code.find_implementations(f, graph.reach_index(code.class_links(code.class_edges(f))), "m0").select("base", "cls")
 
 
 @query(C + f"SELECT {M2} AS path, 'v' AS name, 'C_' || k AS cls FROM s")
@@ -664,6 +689,14 @@ def g7_type_hierarchy(spark, d):
     return graph.type_hierarchy(links, roots).select("root.name", "node.name", "depth").toDF("root", "node", "depth")
 
 
+@query(f"WITH RECURSIVE e AS ({V.BASES}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r")
+def g7_reachability(spark, d):
+    """All supertypes of all classes by the index, rings and second bases included."""
+    index = graph.reach_index(V.view(spark, d, V.BASES))
+    nodes = index.labels.select("node")
+    return graph.reached(index, nodes, nodes)
+
+
 def _edited(files, found):
     """path and text of files after edits."""
     numbered = found.withColumn("seq", F.lit(0))
@@ -722,7 +755,7 @@ def j10_two_repos(spark, d):
     odd = F.regexp_extract("path", "([0-9]+)[.]py", 1).cast("long") % 2 == 1
     other = files.select(F.lit("r1").alias("repo"), "path", F.when(odd, F.replace("content", F.lit("def m0"), F.lit("def n0"))).otherwise(F.col("content")).alias("content"))
     f = _stored(files.union(other), *NAMES, "base")
-    return code.find_implementations(f, graph.reach(code.class_links(code.class_edges(f))), "m0").select("repo", "base", "cls")
+    return code.find_implementations(f, graph.reach_index(code.class_links(code.class_edges(f))), "m0").select("repo", "base", "cls")
 
 
 @query(rf"SELECT path, CASE WHEN k = 1 THEN replace(replace(replace(t, 'limit: int', 'bound: int'), 'limit=limit', 'limit=bound'), 'assert limit', 'assert bound') ELSE t END AS text, false AS rejected FROM (SELECT k, path, regexp_replace(content, '\bload_1\b', 'fetch', 'g') AS t FROM ({V.SCOPES}))")

@@ -104,5 +104,10 @@ RINGS = """SELECT p_partkey AS src, CASE WHEN p_partkey % 500 = 499 OR p_partkey
  UNION ALL SELECT p_partkey AS src, p_partkey + 1000000 AS dst FROM part WHERE p_partkey % 500 = 7"""
 
 
+#: A class hierarchy in the form of a graph: a part's base is its half, every seventh has its third as well, and some neighbours are each other's base.
+BASES = """SELECT p_partkey AS src, CAST(floor(p_partkey / 2) AS BIGINT) AS dst FROM part WHERE p_partkey > 0 UNION SELECT p_partkey AS src, CAST(floor(p_partkey / 3) AS BIGINT) AS dst FROM part WHERE p_partkey > 0 AND p_partkey % 7 = 0
+ UNION SELECT p_partkey - 1 AS src, p_partkey AS dst FROM part WHERE p_partkey % 10 = 9 UNION SELECT p_partkey AS src, p_partkey - 1 AS dst FROM part WHERE p_partkey % 10 = 9"""
+
+
 def rendered_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(view(spark, sf_dir, LINKED))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 FIELDS = (
     "tag string, repo string, path string, nid int, scope int, kind string, name string, module string, asname string, level int, line int, col int, end_line int, end_col int,"
     " fn_path array<int>, nest_cog int, nest_all int, bool_n int, n_params int, is_top boolean, decorated boolean, annotated boolean, role string, attr string, args array<string>, text string,"
-    " scopes array<int>, name_line int, name_col int, mod_col int, mod_end int, returns string, snippet string"
+    " scopes array<int>, name_line int, name_col int, mod_col int, mod_end int, returns string, snippet string, parent int, last int"
 )
 TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
 SCHEMA = pa.schema([(name, TYPES[kind]) for name, kind in (f.split() for f in FIELDS.split(","))])
@@ -48,6 +48,7 @@ def file_facts(repo: str, path: str, content: str, tags: tuple[str, ...] = TAGS)
     declared global is seen at the top only. scope: the one that a definition, parameter, import or written name is bound in
     (for names declared global or nonlocal, and for := within comprehensions, not the one around it). Modules, functions,
     classes, lambdas and comprehensions are scopes by their nid, and so are type parameters (by -2 - nid of what has them).
+    Nodes are numbered from the top as they are met, so what is within a node has the numbers after its own up to `last`.
     """
     base = {"repo": repo, "path": path, "module": module_name(path)}
     try:
@@ -147,6 +148,9 @@ class _Reader:
 
     def rows(self) -> list[dict]:
         visits = list(self.walk())
+        self.last = list(range(len(visits)))
+        for nid, _, parent, *_ in reversed(visits[1:]):
+            self.last[parent] = max(self.last[parent], self.last[nid])
         for visit in visits:
             self.tell(*visit)
         return self.out
@@ -251,7 +255,7 @@ class _Reader:
 
     def tell(self, nid, node, parent, scope, seen, fns, cog, all_, role) -> None:
         source, wanted, kind = self.source, self.wanted, type(node).__name__
-        row = {**self.base, "nid": nid, "scope": scope, "is_top": parent == 0, "line": 0, "col": 0, "end_line": len(source.lines) - 1, "end_col": 0}
+        row = {**self.base, "nid": nid, "parent": parent, "last": self.last[nid], "scope": scope, "is_top": parent == 0, "line": 0, "col": 0, "end_line": len(source.lines) - 1, "end_col": 0}
         if hasattr(node, "lineno"):
             (row["line"], row["col"]), (row["end_line"], row["end_col"]) = source.start(node), source.end(node)
         start, end = (row["line"], row["col"]), (row["end_line"], row["end_col"])

@@ -134,3 +134,49 @@ def test_cycles_by_halves(spark):
     for n in (3, 7):
         got = [tuple(r["cycle"]) for r in graph.cycles(frame, n).collect()]
         assert set(got) == {w for w in want if len(w) <= n} and len(got) == len(set(got))
+
+
+def closure(edges):
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    pairs = set()
+    for a in out:
+        stack, seen = list(out[a]), set()
+        while stack:
+            b = stack.pop()
+            if b not in seen:
+                seen.add(b)
+                stack += out.get(b, ())
+        pairs |= {(a, b) for b in seen}
+    return pairs
+
+
+def test_reachability_of_random_graphs(spark, monkeypatch):
+    """Trees, second ways up, rings, loops, repeated and null ends; siblings in several runs."""
+    monkeypatch.setattr(graph, "SIBLINGS", 16)
+    rng = random.Random(9)
+    edges, base = [(7000, 7000), (7001, 7001), (7001, 7002), (7002, 7001)], 0
+    for n, m in ((2, 2), (6, 6), (15, 14), (30, 34), (50, 50), (40, 70)):
+        edges += [(base + rng.randrange(n), base + rng.randrange(n)) for _ in range(m)]
+        base += n
+    edges += [(500 + k, 500 + rng.randrange(k)) for k in range(1, 80)] + [(600 + k, 600) for k in range(1, 90)] + [(601, 650), (600, 505)]
+    given = [*edges, *edges[:9], (None, 3), (4, None)]
+    index = graph.reach_index(spark.createDataFrame(given, "src long, dst long"))
+    nodes = index.labels.select("node")
+    want = closure(edges)
+    assert sorted(map(tuple, graph.reached(index, nodes, nodes).collect())) == sorted(want)
+    some, others = nodes.filter("node % 3 = 0"), nodes.filter("node % 5 < 2")
+    assert sorted(map(tuple, graph.reached(index, some, others).collect())) == sorted((a, b) for a, b in want if a % 3 == 0 and b % 5 < 2)
+    # a row a node, and a row for each edge that the forest leaves out
+    ends = {x for e in edges for x in e}
+    assert index.labels.count() == len(ends) and index.labels.count() + index.others.count() <= len(ends) + len(set(edges))
+
+
+def test_reachability_of_nothing_and_of_a_long_chain(spark):
+    index = graph.reach_index(spark.createDataFrame([], "src string, dst string"))
+    assert graph.reached(index, index.labels.select("node"), index.labels.select("node")).collect() == []
+    chain = graph.reach_index(spark.range(1, 1001).selectExpr("id AS src", "id - 1 AS dst"))
+    top = spark.createDataFrame([(0,), (990,)], "node long")
+    got = Counter(r["dst"] for r in graph.reached(chain, chain.labels.select("node"), top).collect())
+    assert got == {0: 1000, 990: 10} and chain.others.isEmpty()

@@ -1,10 +1,13 @@
-"""Searches for many names at once, and points in intervals of any length."""
+"""Searches for many names at once, points in intervals of any length, and nodes by the nodes around and within them."""
 
+import ast
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from codestrata.operators import joins
+from codestrata.operators import code, graph, joins
+from codestrata.sources import facts
 
 
 def test_many_queries_are_those_of_a_loop(spark):
@@ -41,3 +44,77 @@ def test_points_meet_intervals_of_any_length_once(spark):
     assert joins.enclosing(spark.createDataFrame(points, "path string, pid int, line int"), intervals.limit(0)).count() == 0
     long = spark.createDataFrame([(1, 10_000_000), (0, 9_999_999), (12_345, 10_012_344), (7, 7)], "s long, e long").select("s", "e", joins.aligned_blocks(F.col("s"), F.col("e")).alias("x")).collect()
     assert all(len(r["x"]) <= 48 and sum(1 << b["k"] for b in r["x"]) == r["e"] - r["s"] + 1 for r in long)
+
+
+def sources(rng):
+    """A random module of nested classes, functions, conditions and calls."""
+    lines = []
+
+    def block(depth, indent):
+        for _ in range(rng.randrange(1, 4)):
+            head = rng.choice(["class A:", "def g():", "if x:", "for y in z:", "try:", None, None, None]) if depth < 5 else None
+            if head is None:
+                lines.append(" " * indent + rng.choice(["f(1)", "f(g(f(2)))", "x = [g(y) for y in f(3)]", "assert f(x)", "pass"]))
+                continue
+            lines.append(" " * indent + head)
+            block(depth + 1, indent + 1)
+            if head == "try:":
+                lines.append(" " * indent + "except E:")
+                block(depth + 1, indent + 1)
+
+    block(0, 0)
+    return "\n".join(lines) + "\n"
+
+
+def test_shapes_against_loops_over_parents(spark):
+    rng = random.Random(4)
+    files = [("r", f"m{k}.py", sources(rng)) for k in range(40)] + [("r", "empty.py", ""), ("r", "bad.py", "def ("), ("r2", "m0.py", "f(1)\n")]
+    found = graph.checkpoint(facts.extract_facts(spark.createDataFrame(files, "repo string, path string, content string"), ("node", "call")))
+    kinds = ("ClassDef", "FunctionDef", "If", "Try", "Call", "ExceptHandler", "Assert", "For")
+    trees = {}
+    for repo, path, text in files:
+        if path != "bad.py":
+            tree = ast.parse(text)
+            trees[repo, path] = tree, {c: p for p in ast.walk(tree) for c in ast.iter_child_nodes(p)}
+
+    def loop(shape):
+        """Matching nodes of every file."""
+        kind, conditions = shape
+        out = {n for tree, _ in trees.values() for n in ast.walk(tree) if type(n).__name__ == kind}
+        for axis, other in conditions:
+            hits = loop(other)
+
+            def near(n, up):
+                around = []
+                while n in up:
+                    n = up[n]
+                    around.append(n)
+                return around
+
+            ups = {n: near(n, up) for tree, up in trees.values() for n in ast.walk(tree)}
+            plain = axis.removeprefix("not ")
+            if plain in ("inside", "child of"):
+                met = {n for n in out if hits & set(ups[n][: None if plain == "inside" else 1])}
+            else:
+                met = {a for h in hits for a in ups[h][: None if plain == "has" else 1]}
+            out = out & met if plain == axis else out - met
+        return out
+
+    def shaped(shape):
+        kind, conditions = shape
+        return code.Shape(F.col("kind") == kind, tuple((axis, shaped(other)) for axis, other in conditions))
+
+    def random_shape(depth):
+        axes = [("not " if rng.random() < 0.4 else "") + rng.choice(code.AXES) for _ in range(rng.randrange(1, 3) if depth < 2 else 0)]
+        return rng.choice(kinds), tuple((a, random_shape(depth + 1)) for a in axes)
+
+    filled = 0
+    for shape in [("Call", (("inside", ("ExceptHandler", (("inside", ("ClassDef", ())),))),)), *(random_shape(0) for _ in range(8))]:
+        hits = loop(shape)
+        want = sorted((repo, path, n.lineno - 1, n.col_offset) for (repo, path), (tree, _) in trees.items() for n in ast.walk(tree) if n in hits)
+        assert sorted(map(tuple, code.structural_search(found, shaped(shape)).collect())) == want, shape
+        filled += bool(want)
+    assert filled >= 4
+    for axis in ("near", "not"):
+        with pytest.raises(ValueError):
+            code.structural_search(found, code.Shape("assert", ((axis, "assert"),)))
