@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Candidate strings for entropy: whole runs of 20 or more that have a letter and a digit.
-RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+#: Candidate strings for entropy: whole runs of 20 or more that have a letter.
+RUN = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 WINDOW = 20
-#: Least entropy in bits of a window, by character class.
-LEAST = {"hex": 3.0, "mixed": 3.7}
-#: Values that are known not to be secrets.
-ALLOW = r"(?i)example|sample|placeholder|changeme|dummy|xxxx|0123456789|abcdefgh"
+#: Character classes of whole candidates, the first that fits, and the least entropy in bits of a window: hexadecimal digits of one case;
+#: letters and signs without a digit, which long names and paths are too; base 64; and with _ or - what slugs are made of as well.
+CLASSES = (("hex", "^([0-9a-f]+|[0-9A-F]+)$", 3.0), ("letters", "^[^0-9]+$", 4.0), ("base64", "^[A-Za-z0-9+/]+=*$", 3.7), ("slug", "", 3.9))
+#: Values that are known not to be secrets, as wholes: made of filling words and rows of letters or digits, or marked as examples at their end.
+ALLOW = r"(?i)^(?:[+/_=x-]|example|sample|placeholder|changeme|dummy|insert|replace|your|my|test|api|access|key|token|secret|password|here|0123456789|1234567890|abcdefghijklmnopqrstuvwxyz|abcdef)++$|(?-i:EXAMPLE(?:KEY)?$)"
 KINDS = ("assign", "access", "hex", "entropy")
 NONE = "cast(array() as array<struct<start:int,end:int,kind:int,value:string>>)"
 
@@ -56,20 +57,24 @@ def _found(pattern: str, kind: int, group: int = 0, least: int = 0, slab: int =
 
 
 def _dense(span: Column) -> Column:
-    """The part of a candidate that windows of enough entropy cover, or null.
+    """The parts of a candidate that windows of enough entropy cover, each from its first window's start to its last one's end.
 
     One pass keeps the count of each character in the window and the sum of c * log2(c), in millionths, which the
     character that comes and the one that goes change by a table's difference; its time grows with the candidate's length.
     """
     table = F.array(*[F.lit(round(c * math.log2(c) * 1e6) if c else 0).cast("long") for c in range(WINDOW + 2)])
-    most = {k: round((math.log2(WINDOW) - v) * WINDOW * 1e6) for k, v in LEAST.items()}
-    limit = F.when(F.regexp_like(span["value"], F.lit("^([0-9a-f]+|[0-9A-F]+)$")), F.lit(most["hex"])).otherwise(F.lit(most["mixed"]))
-    begin = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0).cast("long").alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    limit = F.coalesce(*[F.when(F.regexp_like(span["value"], F.lit(pattern)), F.lit(round((math.log2(WINDOW) - least) * WINDOW * 1e6))) for _, pattern, least in CLASSES])
+    none = F.lit(None).cast("int")
+    begin = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0).cast("long").alias("s"), none.alias("first"), none.alias("last"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("out"))
 
     def changed(n, k, by):
         """n with by added to its element k."""
         return F.concat(F.slice(n, F.lit(1), k), F.array(F.get(n, k) + by), F.slice(n, k + 2, F.lit(len(ALPHABET))))
 
+    def closed(acc):
+        """The parts, the open one included."""
+        return F.when(acc["first"].isNotNull(), F.concat(acc["out"], F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))).otherwise(acc["out"])
+
     def step(limit):
         def one(acc, x):
             i, come, go = x["i"], x["come"], x["go"]
@@ -81,15 +86,22 @@ def _dense(span: Column) -> Column:
             n = changed(acc["n"], come, 1)
             n = F.when(full, changed(n, go, -1)).otherwise(n)
             s = F.when(full, s + F.get(table, old - 1) - F.get(table, old)).otherwise(s)
-            hit = (i >= WINDOW - 1) & (s <= limit)
-            return F.struct(n.alias("n"), s.alias("s"), F.coalesce(acc["first"], F.when(hit, i - WINDOW + 1)).alias("first"), F.when(hit, i + 1).otherwise(acc["last"]).alias("last"))
+            hit, start = (i >= WINDOW - 1) & (s <= limit), i - WINDOW + 1
+            # a window that does not touch the part before it opens one of its own
+            opens = hit & (acc["first"].isNull() | (start > acc["last"]))
+            first, last = F.when(opens, start).otherwise(acc["first"]), F.when(hit, i + 1).otherwise(acc["last"])
+            return F.struct(n.alias("n"), s.alias("s"), first.alias("first"), last.alias("last"), F.when(opens, closed(acc)).otherwise(acc["out"]).alias("out"))
 
         return one
 
+    def part(p):
+        value = F.substring(span["value"], p["first"] + 1, p["last"] - p["first"])
+        return F.struct((span["start"] + p["first"]).cast("int").alias("start"), (span["start"] + p["last"]).cast("int").alias("end"), span["kind"].alias("kind"), value.alias("value"))
+
     def window(x):
         codes = x["codes"]
         steps = F.transform(codes, lambda c, i: F.struct(i.alias("i"), c.alias("come"), F.coalesce(F.get(codes, i - WINDOW), F.lit(0)).alias("go")))
-        return F.aggregate(steps, begin, step(x["limit"]), lambda acc: F.when(acc["first"].isNotNull(), F.struct((span["start"] + acc["first"]).cast("int").alias("start"), (span["start"] + acc["last"]).cast("int").alias("end"), span["kind"].alias("kind"), span["value"].alias("value"))))
+        return F.transform(F.aggregate(steps, begin, step(x["limit"]), closed), part)
 
     codes = F.transform(F.regexp_extract_all(span["value"], F.lit("(.)"), F.lit(1)), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     return _bound(F.struct(codes.alias("codes"), limit.alias("limit")), window)
@@ -98,15 +110,15 @@ def _dense(span: Column) -> Column:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """docs' doc_id and secrets: an array of (start, end, kind, value) by start, then kind (an index of KINDS).
 
-    Kinds 0 to 2 are the base patterns' leftmost matches that do not overlap; kind 3 is the part of a long run with a
-    letter and a digit that windows of 20 characters with enough entropy for its class cover, unless ALLOW has it.
+    Kinds 0 to 2 are the base patterns' leftmost matches that do not overlap; kind 3 are the parts of a long run with a
+    letter that windows of 20 characters with enough entropy for its class cover, unless the whole run is one of ALLOW.
     Offsets are code points, end exclusive. Null or empty text has none; rows are independent, so repeated ids give
     repeated rows; other columns are ignored. One projection: no shuffle, no Python.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.concat(_found(ASSIGN, 0, 2, 6), _found(ACCESS, 1), _found(HEX, 2)).alias("base"), _found(RUN, 3).alias("runs"))
     runs = F.filter("runs", lambda s: ~F.regexp_like(s["value"], F.lit(ALLOW)))
-    dense = F.when(F.size("runs") > 0, F.filter(F.transform(runs, _dense), lambda s: s.isNotNull())).otherwise(F.expr(NONE))
+    dense = F.when(F.size("runs") > 0, F.flatten(F.transform(runs, _dense))).otherwise(F.expr(NONE))
     return rows.select("doc_id", _ordered(F.col("base")).alias("base"), _ordered(F.concat("base", dense)).alias("secrets"))
 
 
