@@ -404,14 +404,12 @@ def find_implementations(facts: DataFrame, index: graph.ReachIndex, method: str)
 
 
 def type_definition(facts: DataFrame) -> DataFrame:
-    """The class that the annotation of each parameter and annotated variable names; of classes of one name in a repo the one
-    in the same file, else the first by path."""
-    classes = of(facts, "def").filter("kind = 'class'").select("repo", F.col("name").alias("attr"), F.col("path").alias("def_path")).distinct()
-    noted = of(facts, "param").filter("attr is not null").select(*FILE, "name", "attr", "name_line", "name_col")
-    noted = noted.unionByName(of(facts, "def").filter("kind = 'variable' and returns is not null").select(*FILE, "name", F.col("returns").alias("attr"), "name_line", "name_col"))
-    met = noted.join(classes, ["repo", "attr"])
-    best = met.groupBy(*noted.columns).agg(F.min(F.struct((F.col("path") != F.col("def_path")).alias("far"), "def_path")).alias("d"))
-    return best.select(*FILE, "name", F.col("name_line").alias("line"), F.col("attr").alias("cls"), "d.def_path")
+    """The classes that the annotation of each parameter and annotated variable names, alone or within others (m.C, list[C],
+    C | None, "C"): repo, path, name, line, col, cls, def_path, def_line. A class is the one that the name leads to, by scopes,
+    imports and re-exports. Facts needed: def, param, use, import, attr, export, typed."""
+    noted = of(facts, "typed").select(*FILE, "name", "line", "col", "name_line", "name_col")
+    met = noted.join(_led(facts), [*FILE, "name_line", "name_col"]).join(_classes(facts), AT)
+    return met.select(*FILE, "name", "line", "col", "cls", "def_path", "def_line").distinct()
 
 
 #: Kinds of references to a class.

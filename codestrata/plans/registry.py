@@ -663,7 +663,12 @@ def j10_find_implementations(spark, d):
 
 @query(C + f"SELECT {M2} AS path, 'v' AS name, 'C_' || k AS cls FROM s")
 def j11_type_definition(spark, d):
-    return code.type_definition(_class_facts(spark, d, "def", "param")).select("path", "name", "cls")
+    return code.type_definition(_class_facts(spark, d, *NAMES, "typed")).select("path", "name", "cls")
+
+
+@query(f"SELECT path, name, CASE WHEN own THEN 'T_' || k ELSE 'T_' || x END AS cls, 'pkg3/t_' || CASE WHEN own THEN k ELSE x END || '.py' AS def_path FROM ({V.TYPED}), (VALUES ('a', false), ('b', false), ('c', true), ('d', false), ('g', true), ('own', true)) t(name, own)")
+def j11_named_types(spark, d):
+    return code.type_definition(_stored(V.rendered_typed(spark, d), *NAMES, "typed")).select("path", "name", "cls", "def_path")
 
 
 @query(C + "SELECT 'C_' || k AS name, 2 AS annotation, (SELECT count(*) FROM s c WHERE c.k >= 1 AND c.b = s.k) AS subclass, 1 AS instantiation, (SELECT count(*) FROM s c WHERE c.k >= 1 AND c.b = s.k) AS other FROM s")
@@ -729,6 +734,14 @@ def e5_rename_reexports(spark, d):
     return _edited(V.rendered_linked(spark, d), code.rename_edits(_linked_facts(spark, d), renames))
 
 
+@query(rf"""SELECT path, replace(regexp_replace(content, '\bT_1\b', 'Kind', 'g'), 'Literal["Kind"]', 'Literal["T_1"]') AS text, false AS rejected FROM ({V.TYPED})""")
+def e5_rename_in_strings(spark, d):
+    """A class's new name in annotations, those in strings included, but not in literals."""
+    files = V.rendered_typed(spark, d)
+    renames = spark.createDataFrame([("r0", "pkg3.t_1", "T_1", "Kind")], "repo string, module string, old string, new string")
+    return _edited(files, code.rename_edits(_stored(files, *NAMES), renames))
+
+
 @query(L + "SELECT path, CASE WHEN k <> b AND k <> b + 7 THEN replace(content, '*', 'f_' || b) ELSE content END AS text, false AS rejected FROM l")
 def e6_expand_reexported_star(spark, d):
     return _edited(V.rendered_linked(spark, d), code.star_edits(_linked_facts(spark, d)))

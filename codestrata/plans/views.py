@@ -111,3 +111,13 @@ BASES = """SELECT p_partkey AS src, CAST(floor(p_partkey / 2) AS BIGINT) AS dst
 
 def rendered_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(view(spark, sf_dir, LINKED))
+
+
+#: Modules whose parameters name classes of their own and of the next module in many ways.
+TYPED = """SELECT k, x, 'pkg3/t_' || k || '.py' AS path, 'import pkg3.t_' || x || ' as far' || chr(10) || 'from pkg3.t_' || x || ' import T_' || x || chr(10) || 'class T_' || k || ':' || chr(10) || '    pass' || chr(10)
+ || 'def use(a: far.T_' || x || ', b: list[T_' || x || '], c: "T_' || k || '", d: ''dict[str, far.T_' || x || ']'', e: Literal["T_' || k || '"], g: T_' || k || ' | None = None):' || chr(10)
+ || '    own: "list[T_' || k || ']" = [g]' || chr(10) || '    return own' || chr(10) AS content FROM (SELECT s_suppkey AS k, (s_suppkey + 1) % (SELECT count(*) FROM supplier) AS x FROM supplier) y"""
+
+
+def rendered_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(view(spark, sf_dir, TYPED))

@@ -18,7 +18,7 @@ FIELDS = (
 )
 TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
 SCHEMA = pa.schema([(name, TYPES[kind]) for name, kind in (f.split() for f in FIELDS.split(","))])
-TAGS = ("file", "node", "def", "param", "base", "export", "import", "use", "attr", "call", "body", "failure")
+TAGS = ("file", "node", "def", "param", "base", "export", "import", "use", "attr", "call", "body", "typed", "failure")
 #: Node kinds that add to cognitive complexity by their depth, and those that nest.
 COG = ("If", "While", "For", "AsyncFor", "ExceptHandler")
 NEST = (*COG, "With", "AsyncWith", "Try")
@@ -145,6 +145,7 @@ class _Reader:
         self.nonlocal_: dict[int, set[str]] = {}
         self.binds: dict[int, set[str]] = {}
         self.outside: dict[int, tuple] = {}
+        self.values: set[int] = set()
 
     def rows(self) -> list[dict]:
         visits = list(self.walk())
@@ -166,6 +167,8 @@ class _Reader:
             kind = type(node).__name__
             is_function, is_class = isinstance(node, FUNCTIONS), isinstance(node, ast.ClassDef)
             self.note(node, scope)
+            if isinstance(node, ast.Subscript):
+                self.values.update(id(x) for x in self.said(node))
             # what is in a class's functions, classes and comprehensions does not see the class's own names
             around = seen[1:] if seen and seen[0] in self.classes else seen
             typed = getattr(node, "type_params", None)
@@ -242,6 +245,41 @@ class _Reader:
         where = name_at or at
         self.add("use", {**row, "line": at[0], "col": at[1]}, name=name, kind="write", role=role, scope=self.home(name, scope), scopes=list(seen), name_line=where[0], name_col=where[1])
 
+    @staticmethod
+    def said(node: ast.Subscript) -> list:
+        """The parts of a subscript that are values even in an annotation: all of Literal's, and Annotated's but for the first."""
+        head = (dotted(node.value) or "").rpartition(".")[2]
+        parts = node.slice.elts if isinstance(node.slice, ast.Tuple) else [node.slice]
+        return parts if head == "Literal" else parts[1:] if head == "Annotated" else []
+
+    def quoted(self, node) -> tuple[ast.AST, _Source, tuple[int, int]] | None:
+        """The expression in a string of an annotation, its own source and where that begins; only plain strings of one line."""
+        if not isinstance(node.value, str) or "\n" in node.value or self.source.text(node)[1:-1] != node.value:
+            return None
+        try:
+            at = self.source.start(node)
+            return ast.parse(node.value, mode="eval").body, _Source(node.value), (at[0], at[1] + 1)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return None
+
+    def types(self, node) -> list[tuple[ast.AST, int, int]]:
+        """The names in an annotation, and where they are (of m.C, where C is); names in strings included, values left out."""
+        out, stack = [], [(node, self.source, (0, 0))]
+        while stack:
+            x, source, at = stack.pop()
+            if isinstance(x, ast.Name) or dotted(x):
+                line, col = source.start(x) if isinstance(x, ast.Name) else source.end(x)
+                col -= 0 if isinstance(x, ast.Name) else len(x.attr)
+                out.append((x, at[0] + line, at[1] + col))
+            elif isinstance(x, ast.Constant):
+                inner = self.quoted(x) if source is self.source else None
+                stack += [inner] if inner else []
+            else:
+                left_out = self.said(x) if isinstance(x, ast.Subscript) else ()
+                inside = [x.value, *(x.slice.elts if isinstance(x.slice, ast.Tuple) else [x.slice])] if isinstance(x, ast.Subscript) else list(ast.iter_child_nodes(x))
+                stack += [(y, source, at) for y in reversed(inside) if y not in left_out]
+        return out
+
     def name_at(self, node) -> dict:
         """The place of the name that an expression ends with: of f, and of the f of m.f."""
         if isinstance(node, ast.Name):
@@ -253,6 +291,12 @@ class _Reader:
             return {}
         return {"name_line": line, "name_col": col}
 
+    def typed(self, row: dict, name: str, annotation, at: tuple[int, int]) -> None:
+        """A row for each name in the annotation of what is at a place: line and col are that place, name_line and name_col the name's."""
+        if annotation is not None and "typed" in self.wanted:
+            for x, line, col in self.types(annotation):
+                self.add("typed", {**row, "line": at[0], "col": at[1]}, name=name, attr=dotted(x), text=self.source.text(annotation), name_line=line, name_col=col)
+
     def tell(self, nid, node, parent, scope, seen, fns, cog, all_, role) -> None:
         source, wanted, kind = self.source, self.wanted, type(node).__name__
         row = {**self.base, "nid": nid, "parent": parent, "last": self.last[nid], "scope": scope, "is_top": parent == 0, "line": 0, "col": 0, "end_line": len(source.lines) - 1, "end_col": 0}
@@ -288,11 +332,13 @@ class _Reader:
             for p in params:
                 at = source.start(p)
                 self.add("param", {**row, "scope": nid}, name=p.arg, annotated=p.annotation is not None, attr=source.text(p.annotation) if p.annotation else None, role="" if p in counted else "uncounted", name_line=at[0], name_col=at[1])
+                self.typed(row, p.arg, p.annotation, at)
         elif isinstance(node, (ast.Assign, ast.AnnAssign)):
             first = next((t for t in (node.targets if isinstance(node, ast.Assign) else [node.target]) if isinstance(t, ast.Name)), None)
             if first is not None:
                 at = source.start(first)
                 self.add("def", row, scope=self.home(first.id, scope), kind="variable", name=first.id, decorated=False, annotated=isinstance(node, ast.AnnAssign), returns=source.text(node.annotation) if isinstance(node, ast.AnnAssign) else None, name_line=at[0], name_col=at[1])
+                self.typed(row, first.id, getattr(node, "annotation", None), at)
                 if first.id == "__all__" and parent == 0 and isinstance(node.value, (ast.List, ast.Tuple)):
                     self.add("export", row, name=None)  # says that there is a list, though it may be empty
                     for x in node.value.elts:
@@ -308,6 +354,16 @@ class _Reader:
                 self.add("import", row, scope=self.home(bound, scope), text=(node.module or "") if is_from else x.name, name=x.name if is_from else None, asname=bound, level=(node.level or 0) if is_from else 0, kind="from" if is_from else "import", role="" if x.asname is None else "renamed", name_line=at[0], name_col=at[1], mod_col=named.start(1) if named else None, mod_end=named.end(1) if named else None)
         elif isinstance(node, ast.Name) and isinstance(node.ctx, ast.Load):
             self.add("use", row, name=node.id, kind="read", role=role, scopes=self.visible(node.id, seen), name_line=row["line"], name_col=row["col"])
+        elif isinstance(node, ast.Constant) and role == "annotation" and isinstance(node.value, str) and id(node) not in self.values and self.wanted & {"use", "attr"}:
+            # names in strings are read where the annotation is
+            for x, line, col in self.types(node):
+                first = x
+                while isinstance(first, ast.Attribute):
+                    first = first.value
+                here = {**row, "line": line, "col": col if x is first else col + len(x.attr) - len(dotted(x))}
+                self.add("use", here, name=first.id, kind="read", role=role, scopes=self.visible(first.id, seen), name_line=line, name_col=here["col"])
+                if x is not first:
+                    self.add("attr", here, name=x.attr, text=dotted(x.value), kind="read", role=role, scopes=self.visible(first.id, seen), name_line=line, name_col=col)
         elif isinstance(node, ast.Name):
             self.write(row, node.id, scope, seen, start, role)
         elif isinstance(node, ast.ExceptHandler) and node.name:

@@ -5,7 +5,7 @@ import ast
 import pytest
 from pyspark.sql import functions as F
 
-from codestrata.operators import code, edits
+from codestrata.operators import code, edits, graph
 from codestrata.sources import facts
 
 TAGS = ("def", "param", "use", "import", "attr", "export")
@@ -167,3 +167,24 @@ def test_shapes_of_bodies_ignore_names_only():
     told = lambda text: facts.shape(ast.parse(text).body)
     assert told("a = b + c(d)") == told("x = y + z(w)") and told("lambda a: a") == told("lambda b: c")
     assert len({told(t) for t in ("a = 1", "a = 2", "a = '1'", "a += 1", "a.b = 1", "a.c = 1", "del a", "a", "def f(): pass", "def g(): pass", "[a, b]", "[a], b")}) == 12
+
+
+def test_names_in_annotations(spark):
+    """Types inside others, in strings and behind modules; values, prose and strings that are no plain literals are none."""
+    m = "class C:\n    class D: pass\nclass E(C): pass\n"
+    n = (
+        "import m\nfrom m import C as K, E\nfrom typing import Annotated, Literal\n"
+        "def f(ä: 'm.C', b: Annotated[K, 'E'], c: Literal['E', 'no name'], *d: \"dict[K, list[E]]\", e: 'not a type', g: '' = '', **h: (K | None)) -> 'E':\n"
+        "    z: 'K'; y: K = 'E'; x: r'E'; self.w: E; v: \"list['E']\"\n"
+    )
+    files = spark.createDataFrame([("r", "m.py", m), ("r", "n.py", n)], "repo string, path string, content string")
+    found = graph.checkpoint(facts.extract_facts(files))
+    got = sorted((r["name"], r["cls"], r["def_line"]) for r in code.type_definition(found).filter("path = 'n.py'").collect())
+    assert got == [("b", "C", 0), ("d", "C", 0), ("d", "E", 2), ("h", "C", 0), ("y", "C", 0), ("z", "C", 0), ("ä", "C", 0)]
+    lines = n.split("\n")
+    for r in facts.of(found, "use").filter("path = 'n.py' and kind = 'read' and role = 'annotation'").collect():
+        assert lines[r["name_line"]][r["name_col"] :].startswith(r["name"])
+    assert {r["name"] for r in code.unresolved_names(found).collect()} == {"self"}
+    renames = spark.createDataFrame([("r", "m", "C", "Cc")], "repo string, module string, old string, new string")
+    edited = {r["path"]: r["content"] for r in edits.apply_edits(files, code.rename_edits(found, renames).withColumn("seq", F.lit(0)), "path", "content").collect()}
+    assert edited == {"m.py": m.replace("class C", "class Cc").replace("(C)", "(Cc)"), "n.py": n.replace("m.C", "m.Cc").replace("import C ", "import Cc ")}
