@@ -50,12 +50,13 @@ def coverage_summary(items: DataFrame, flag: str, empty: float = 100.0) -> DataF
 
 
 def duplicates(items: DataFrame, norm: str, item: str, min_lines: int = 3, lines: str | None = None) -> DataFrame:
-    """Groups of two or more items with the same normalised text: h, n, first and each of their items, a row an occurrence."""
+    """Groups of two or more items with the same normalised text: h, n, first and each of their items, a row an occurrence.
+    Texts count as the same by two hashes and their length; null texts are no group's."""
     if lines:
         items = items.filter(F.col(lines) >= min_lines)
-    rows = items.select(F.md5(norm).alias("h"), F.col(item).alias("item"))
-    groups = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("item").alias("first")).filter("n >= 2")
-    return rows.join(groups, "h").select("h", "n", "first", "item")
+    rows = items.filter(F.col(norm).isNotNull()).select(F.md5(norm).alias("h"), F.xxhash64(norm).alias("_h"), F.length(norm).alias("_n"), F.col(item).alias("item"))
+    groups = rows.groupBy("h", "_h", "_n").agg(F.count("*").alias("n"), F.min("item").alias("first")).filter("n >= 2")
+    return rows.join(groups, ["h", "_h", "_n"]).select("h", "n", "first", "item")
 
 
 def rule_scan(lines: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -65,10 +66,21 @@ def rule_scan(lines: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return rows.select(*[c for c in lines.columns if c != "text"], "_r.rule_id", "_r.severity", F.trim("text").alias("snippet"))
 
 
-def test_coverage(defs: DataFrame, refs: DataFrame) -> DataFrame:
-    """Each definition (sym) with the distinct test files (ref_file) that refer to it: their number, their sorted list and whether there are any."""
-    n = refs.groupBy("sym").agg(F.sort_array(F.collect_set("ref_file")).alias("files"))
-    return defs.select("sym").join(n, "sym", "left").select("sym", F.coalesce(F.size("files"), F.lit(0)).alias("test_files"), "files", F.col("files").isNotNull().alias("covered"))
+def test_coverage(defs: DataFrame, refs: DataFrame, listed: bool = True) -> DataFrame:
+    """Each definition (sym) with the distinct test files (ref_file) that refer to it: their number, their sorted list and whether there are any.
+
+    A list is one value of a row; without it (listed=False) counts are made in two steps, whatever the number of files, and
+    covering_files has the files as rows.
+    """
+    counted = F.count_distinct("ref_file")
+    n = refs.groupBy("sym").agg(counted.alias("n"), *([F.sort_array(F.collect_set("ref_file")).alias("files")] if listed else []))
+    met = defs.select("sym").join(n, "sym", "left")
+    return met.select("sym", F.coalesce("n", F.lit(0)).cast("int").alias("test_files"), *(["files"] if listed else []), F.col("n").isNotNull().alias("covered"))
+
+
+def covering_files(defs: DataFrame, refs: DataFrame) -> DataFrame:
+    """sym, ref_file: the distinct test files that refer to each definition, a row each."""
+    return refs.filter("ref_file is not null").select("sym", "ref_file").distinct().join(defs.select("sym"), "sym", "left_semi")
 
 
 def missing_annotations(facts: DataFrame) -> DataFrame:

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def merge_prioritized(primary: DataFrame, secondary: DataFrame, key: list[str], query: str) -> DataFrame:
-    """primary and the secondary rows with a new key; source says of each query whether secondary rows were added."""
-    new = secondary.join(primary.select(*key).distinct(), key, "left_anti").dropDuplicates(key)
+    """primary and the secondary rows with a new key, of equal keys the row with the least other columns; source says of each
+    query whether secondary rows were added. Queries are told by a summary that is joined back, so a hot query is no single task.
+    Null queries are one query; keys with nulls are new."""
+    new = secondary.join(primary.select(*key).distinct(), key, "left_anti")
+    rest = [c for c in secondary.columns if c not in key]
+    new = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, "_r.*") if rest else new.select(*key).distinct()
     both = primary.withColumn("_p", F.lit(1)).unionByName(new.withColumn("_p", F.lit(0)))
-    own = Window.partitionBy(query)
-    label = F.when(F.max("_p").over(own) == 0, "secondary").when(F.min("_p").over(own) == 0, "combined").otherwise("primary")
-    return both.withColumn("source", label).drop("_p")
+    told = both.groupBy(F.col(query).alias("_q")).agg(F.max("_p").alias("_max"), F.min("_p").alias("_min"))
+    label = F.when(F.col("_max") == 0, "secondary").when(F.col("_min") == 0, "combined").otherwise("primary")
+    return both.join(told, F.col(query).eqNullSafe(F.col("_q"))).select(*primary.columns, label.alias("source"))
 
 
 def fallback_union(primary: DataFrame, secondary: DataFrame, query: str) -> DataFrame:

@@ -287,7 +287,12 @@ def a7_test_coverage(spark, d):
 
 @query(f"WITH r AS ({V.REFS}) SELECT count(*) AS total, count(*) FILTER (p_partkey IN (SELECT sym FROM r)) AS covered, {HALF('100 * count(*) FILTER (p_partkey IN (SELECT sym FROM r))', 'count(*)', 1)} AS pct FROM part")
 def a7_coverage_percentage(spark, d):
-    return aggs.coverage_summary(aggs.test_coverage(V.table(spark, d, "part").select(F.col("p_partkey").alias("sym")), V.view(spark, d, V.REFS)), "covered")
+    return aggs.coverage_summary(aggs.test_coverage(V.table(spark, d, "part").select(F.col("p_partkey").alias("sym")), V.view(spark, d, V.REFS), listed=False), "covered")
+
+
+@query(f"WITH r AS ({V.REFS}) SELECT DISTINCT sym, ref_file FROM r WHERE sym IN (SELECT p_partkey FROM part)")
+def a7_covering_files(spark, d):
+    return aggs.covering_files(V.table(spark, d, "part").select(F.col("p_partkey").alias("sym")), V.view(spark, d, V.REFS))
 
 
 CONFORM = """WITH c AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey < 3), m AS (SELECT k, 'm0' AS method, 'x' AS params FROM c UNION ALL SELECT k, 'm1', CASE WHEN k % 3 = 0 THEN 'x, y' ELSE 'x' END FROM c UNION ALL SELECT k, 'p_' || (k % 5), '' FROM c),

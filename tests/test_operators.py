@@ -337,3 +337,21 @@ def test_deep_trees_are_divided(spark, tmp_path, monkeypatch):
     reader = corpus._TreeReader({"path": str(tmp_path)})
     parts = reader.partitions()
     assert len(parts) >= 5 and sorted(p for part in parts for _, p, _ in reader.read(part)) == sorted(n for n in names if ".tox" not in n)
+
+
+def test_merge_keeps_the_least_row_of_a_key_and_null_queries(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "q string, k int, note string")
+    one, two = rows(("a", 1, "p"), (None, 1, "p")), rows(("a", 1, "s"), ("a", 2, "z"), ("a", 2, "y"), (None, 3, "s"), ("b", 1, None), ("b", 1, "s"))
+    got = {tuple(r) for r in merge.merge_prioritized(one, two, ["q", "k"], "q").collect()}
+    assert got == {("a", 1, "p", "combined"), ("a", 2, "y", "combined"), (None, 1, "p", "combined"), (None, 3, "s", "combined"), ("b", 1, None, "secondary")}
+    keys = merge.merge_prioritized(one.drop("note"), two.drop("note").limit(0), ["q", "k"], "q")
+    assert {tuple(r) for r in keys.collect()} == {("a", 1, "primary"), (None, 1, "primary")}
+
+
+def test_coverage_with_and_without_lists(spark):
+    defs, refs = spark.createDataFrame([(1,), (2,), (3,)], "sym int"), spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (3, None), (9, "a"), (None, "a")], "sym int, ref_file string")
+    assert sorted(map(tuple, aggs.test_coverage(defs, refs).collect())) == [(1, 2, ["a", "b"], True), (2, 0, None, False), (3, 0, [], True)]
+    assert sorted(map(tuple, aggs.test_coverage(defs, refs, listed=False).collect())) == [(1, 2, True), (2, 0, False), (3, 0, True)]
+    assert sorted(map(tuple, aggs.covering_files(defs, refs).collect())) == [(1, "a"), (1, "b")]
+    texts = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, None), (5, None)], "i int, t string")
+    assert sorted(map(tuple, aggs.duplicates(texts, "t", "i").select("n", "first", "item").collect())) == [(2, 1, 1), (2, 1, 2)]
