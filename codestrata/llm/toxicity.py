@@ -30,7 +30,10 @@ def plain(word: str) -> str:
 
 
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
-    """Densities and rates of one whole text; zeros for an empty one."""
+    """Densities and rates of one whole text; zeros for an empty one.
+
+    Two features count words as such: distinct lexicon words, level from 50 on, and all marked words, level from 200 on.
+    """
     if not text:
         return [0.0] * FEATURES
     words, chars = tokens(text), len(text)
@@ -56,7 +59,10 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
 
 
 def learn_lexicon(counts: pd.DataFrame, positives: int, negatives: int, least: int = 3, most: int = 20_000) -> dict[str, float]:
-    """Words whose share of toxic texts is well above that of others: smoothed log odds, at least `least` toxic texts and two standard errors over 1."""
+    """Words whose share of toxic texts is well above that of others: smoothed log odds, at least `least` toxic texts and a standard error above 1.2.
+
+    At most `most` words, the surest first (the sample bounds how many there can be); a word's weight is level from log odds of 6 on.
+    """
     p, q = counts["pos"].to_numpy(float), counts["neg"].to_numpy(float)
     odds = np.log((p + 0.1) / (positives - p + 1)) - np.log((q + 0.1) / (negatives - q + 1))
     error = np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
@@ -125,7 +131,7 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, folds: int = 4) -> dict:
     """Learn the lexicon, the trees and the calibration from at most `sample` labelled documents (a bounded sample: the least hashes of ids).
 
-    Lexicon features of a fitted row come from the other folds' lexicon, so that a row's own words don't vouch for it.
+    Lexicon words have 3 to 40 letters. Lexicon features of a fitted row come from the other folds' lexicon, so that a row's own words don't vouch for it.
     Labels that repeat an id count once, as their greatest; null labels and ids are left out. Without both labels
     present every score is the sample's share of toxic rows (0 without any).
     """

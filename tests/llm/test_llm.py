@@ -310,6 +310,20 @@ def test_secrets_by_class_and_allow_list(spark):
     assert [len(found[i]) for i in range(len(rows))] == [1, 1, 1, 1, 2, 1, 0, 0, 0, 0, 0, 0, 0]
 
 
+def test_toxicity_of_documents_held_out(spark):
+    """The registered query from end to end: rows that were not learnt from, against their labels."""
+    folder = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = queries.op3_toxicity(spark, folder).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect())
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    judged = [(labels[r["doc_id"]], r["predicted"], r["score"]) for r in rows if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    toxic, clean = [x for x in judged if x[0]], [x for x in judged if not x[0]]
+    assert len(toxic) > 50 and sum(p for _, p, _ in toxic) >= 0.85 * len(toxic) and sum(p for _, p, _ in clean) <= 0.01 * len(clean)
+    # scores are chances: both groups' means add up to about the share of toxic ones
+    assert abs(np.mean([s for _, _, s in judged]) - len(toxic) / len(judged)) < 0.03
+
+
 def test_toxicity_learns_and_takes_odd_rows(spark):
     rows = [(i, ("you are such a l0ser and an idi0t " if i % 3 == 0 else "the quiet garden was full of light ") * (1 + i % 4) + f"note{i}") for i in range(400)]
     docs = odd(spark, rows)
