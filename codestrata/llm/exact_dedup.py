@@ -33,12 +33,13 @@ def _found(docs: DataFrame, salts: int, more: dict | None = None) -> DataFrame:
     more = more or {}
     rows = docs.select(*[c.alias(k) for k, c in more.items()], F.col("doc_id").cast("long").alias("doc_id"), F.length(text).alias("chars"), F.translate(text, BLANK, "").alias("norm"))
     rows = rows.withColumns({"digest": F.sha2("norm", 256), "second": F.xxhash64("norm"), "size": F.length("norm")})
-    # one fixed-width number orders a group's rows: more code points first, then the smaller id
-    rank = F.expr(f"cast(chars * cast({STEP} as decimal(21,0)) + (cast({MAX_ID} as decimal(20,0)) - coalesce(doc_id, {MAX_ID})) as decimal(38,0))")
+    # one fixed-width number orders a group's rows: more code points first, then the smaller id, a null id (0) last
+    rank = F.expr(f"cast(chars * cast({STEP} as decimal(21,0)) + coalesce(cast({MAX_ID} as decimal(20,0)) - doc_id + 1, 0) as decimal(38,0))")
     key = ["digest", "second", "size", "norm"]
     salted = rows.select(*key, F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), rank.alias("best")).groupBy(*key, "salt").agg(F.max("best").alias("best"), F.count("*").alias("n"))
     groups = salted.groupBy(*key).agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
-    keep = F.expr(f"nullif(cast(cast({MAX_ID} as decimal(20,0)) - best % cast({STEP} as decimal(21,0)) as bigint), {MAX_ID})")
+    left = f"best % cast({STEP} as decimal(21,0))"
+    keep = F.expr(f"case when {left} > 0 then cast(cast({MAX_ID} as decimal(20,0)) - {left} + 1 as bigint) end")
     groups = groups.select("digest", "second", "size", keep.alias("keep_id"), "group_size")
     return rows.select("doc_id", "digest", "second", "size", *more).join(groups, ["digest", "second", "size"])
 

@@ -310,6 +310,13 @@ def test_secrets_by_class_and_allow_list(spark):
     assert [len(found[i]) for i in range(len(rows))] == [1, 1, 1, 1, 2, 1, 0, 0, 0, 0, 0, 0, 0]
 
 
+def test_exact_dedup_of_the_greatest_and_least_ids(spark):
+    top, low = (1 << 63) - 1, -(1 << 63)
+    docs = spark.createDataFrame([(top, "a b"), (None, "ab"), (None, "lone"), (None, "x y"), (top, "x y"), (top - 1, "xy"), (low, "q"), (top, "q"), (0, "q ")], "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(docs).collect())
+    assert got == collections.Counter([(top, top, 2, True), (None, top, 2, False), (None, None, 1, True), (None, top, 3, False), (top, top, 3, True), (top - 1, top, 3, False), (low, 0, 3, False), (top, 0, 3, False), (0, 0, 3, True)])
+
+
 def test_toxicity_of_documents_held_out(spark):
     """The registered query from end to end: rows that were not learnt from, against their labels."""
     folder = "/root/testdata/sf0.1"
