@@ -304,6 +304,8 @@ GIVEN = ("__file__", "__path__", "__class__", "__module__", "__qualname__", "__a
 def unresolved_names(facts: DataFrame) -> DataFrame:
     """Names read that no scope around them binds and that are no builtins; none in files with a star of a module outside the
     corpus, which may bring any name."""
+    # what a string in an annotation says may be defined nowhere
+    facts = facts.filter("not (tag = 'use' and coalesce(text, '') = 'quoted')")
     known = names(facts)
     far = absolutize(of(facts, "import").filter("name = '*'")).join(known.homes.withColumnRenamed("module", "target"), ["repo", "target"], "left_anti")
     rows = _resolved(facts, known).filter(F.col("def_path").isNull() & ~F.col("name").isin(*dir(builtins), *GIVEN))

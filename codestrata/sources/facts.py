@@ -361,7 +361,7 @@ class _Reader:
                 while isinstance(first, ast.Attribute):
                     first = first.value
                 here = {**row, "line": line, "col": col if x is first else col + len(x.attr) - len(dotted(x))}
-                self.add("use", here, name=first.id, kind="read", role=role, scopes=self.visible(first.id, seen), name_line=line, name_col=here["col"])
+                self.add("use", here, name=first.id, kind="read", role=role, text="quoted", scopes=self.visible(first.id, seen), name_line=line, name_col=here["col"])
                 if x is not first:
                     self.add("attr", here, name=x.attr, text=dotted(x.value), kind="read", role=role, scopes=self.visible(first.id, seen), name_line=line, name_col=col)
         elif isinstance(node, ast.Name):
