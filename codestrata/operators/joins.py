@@ -31,7 +31,9 @@ def aligned_blocks(start: Column, end: Column) -> Column:
         block = lambda odd, b: F.when((lo < hi) & (odd % 2 == 1), F.struct(k.alias("k"), b.alias("b")))
         return F.array(block(lo, lo), block(hi, hi - 1))
 
-    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), level)), lambda x: x.isNotNull())
+    # no block is longer than the interval; a level more makes up for rounded logarithms
+    top = F.least(F.floor(F.log2(F.greatest(end.cast("long") - start.cast("long") + 1, F.lit(1)))).cast("int") + 1, F.lit(LEVELS - 1))
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), top), level)), lambda x: x.isNotNull())
 
 
 def enclosing(points: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -39,6 +41,7 @@ def enclosing(points: DataFrame, intervals: DataFrame) -> DataFrame:
 
     Intervals become aligned blocks, and a point meets them by equality in the one block of each level that it lies in, each
     pair once, whatever the lengths. The driver sees the levels that occur, LEVELS at most. Lines are 0 or more.
+    Blocks are more and wider than the files they come from suggest, so neither side is ever broadcast.
     points: path, pid, line. intervals: path, nid, start_line, end_line.
     """
     cut = intervals.withColumn("_x", F.explode(aligned_blocks(F.col("start_line"), F.col("end_line"))))
@@ -48,7 +51,7 @@ def enclosing(points: DataFrame, intervals: DataFrame) -> DataFrame:
         return points.join(intervals, "path").limit(0)
     lies = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright(F.col("line").cast("long"), k).alias("b")) for k in levels]))
     dealt = points.withColumn("_x", lies).select(*points.columns, F.col("_x.k").alias("_k"), F.col("_x.b").alias("_b"))
-    return dealt.join(cut, ["path", "_k", "_b"]).drop("_k", "_b")
+    return dealt.hint("merge").join(cut.hint("merge"), ["path", "_k", "_b"]).drop("_k", "_b")
 
 
 def enclosing_scope(points: DataFrame, intervals: DataFrame) -> DataFrame:

@@ -118,3 +118,12 @@ def test_shapes_against_loops_over_parents(spark):
     for axis in ("near", "not"):
         with pytest.raises(ValueError):
             code.structural_search(found, code.Shape("assert", ((axis, "assert"),)))
+
+
+def test_blocks_of_small_tables_are_not_broadcast(spark):
+    """Files of a few MB may hold millions of intervals, each of many blocks."""
+    points = spark.createDataFrame([("a", 1, 5), ("a", 2, 1 << 39)], "path string, pid long, line long")
+    spans = spark.createDataFrame([("a", 7, 5, 5), ("a", 8, 0, 1 << 39), ("a", 9, 6, 4)], "path string, nid long, start_line long, end_line long")
+    met = joins.enclosing(points, spans)
+    assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["pid"], r["nid"]) for r in met.collect()) == [(1, 7), (1, 8), (2, 8)]
