@@ -22,8 +22,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
+    """Files say little of how large their rows are in memory, so a join with such a table is never a broadcast, unless it asks for one."""
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
 
 
 class Rounds:

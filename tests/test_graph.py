@@ -180,3 +180,13 @@ def test_reachability_of_nothing_and_of_a_long_chain(spark):
     top = spark.createDataFrame([(0,), (990,)], "node long")
     got = Counter(r["dst"] for r in graph.reached(chain, chain.labels.select("node"), top).collect())
     assert got == {0: 1000, 990: 10} and chain.others.isEmpty()
+
+
+def test_rounds_are_not_broadcast(spark):
+    """A table of a round is small as files and large in memory, so a join with it must not send it to the driver."""
+    rounds = graph.Rounds(spark)
+    a = rounds.put("a", spark.range(1000).selectExpr("id AS src", "id % 7 AS dst"))
+    b = graph.checkpoint(spark.range(7).selectExpr("id AS dst", "id AS far"))
+    both = a.join(b.groupBy("dst").count(), "dst", "left").unionByName(a.join(b.filter("far > 3"), "dst", "left_semi").selectExpr("dst", "src", "0L AS count"))
+    assert "BroadcastHashJoin" not in both._jdf.queryExecution().executedPlan().toString()
+    assert both.count() == 1000 + sum(i % 7 > 3 for i in range(1000))
