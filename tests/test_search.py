@@ -122,8 +122,22 @@ def test_shapes_against_loops_over_parents(spark):
 
 def test_blocks_of_small_tables_are_not_broadcast(spark):
     """Files of a few MB may hold millions of intervals, each of many blocks."""
-    points = spark.createDataFrame([("a", 1, 5), ("a", 2, 1 << 39)], "path string, pid long, line long")
-    spans = spark.createDataFrame([("a", 7, 5, 5), ("a", 8, 0, 1 << 39), ("a", 9, 6, 4)], "path string, nid long, start_line long, end_line long")
+    points = spark.sql(f"SELECT 'a' AS path, id AS pid, IF(id = 1, 5, {1 << 39}) AS line FROM range(1, 3)")
+    spans = spark.sql(f"SELECT 'a' AS path, id AS nid, CASE id WHEN 7 THEN 5 WHEN 8 THEN 0 ELSE 6 END AS start_line, CASE id WHEN 7 THEN 5 WHEN 8 THEN {1 << 39} ELSE 4 END AS end_line FROM range(7, 10)")
     met = joins.enclosing(points, spans)
     assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["pid"], r["nid"]) for r in met.collect()) == [(1, 7), (1, 8), (2, 8)]
+
+
+def test_only_nodes_that_facts_come_from_are_told(monkeypatch):
+    told = []
+    tell = facts._Reader.tell
+    monkeypatch.setattr(facts._Reader, "tell", lambda self, nid, node, *rest: (told.append(type(node).__name__), tell(self, nid, node, *rest))[1])
+    text = "import os\ndef f(a: 'os.X', b=1):\n    if a:\n        return os.getpid() + g(a, 'x', b)\n"
+    rows = {tags: facts.file_facts("r", "m.py", text, tags) for tags in (("def",), ("def", "use"), facts.TAGS)}
+    assert rows["def",] == [r for r in rows[facts.TAGS] if r["tag"] == "def"]
+    assert rows["def", "use"] == [r for r in rows[facts.TAGS] if r["tag"] in ("def", "use")]
+    again = told.index("Module", 1)
+    assert told[:again] == ["Module", "FunctionDef"]
+    # the constant that tells something is the one in an annotation
+    assert told[again : told.index("Module", again + 1)].count("Constant") == 1
