@@ -311,9 +311,10 @@ def score(docs: DataFrame, learn: Column, vocabulary: int | None = None, common:
             last = int(ids.max(initial=-1)) + 1
             n, to_model = np.zeros(last + 1, np.int64), np.full(last + 1, OTHER, np.int32)
             n[last], to_model[last] = texts, END
-            if row["at"] is not None:
-                at = np.asarray(row["at"])
-                n[at], to_model[at] = np.asarray(row["n"]), np.asarray(row["m"])
+            for k in ("", "top_"):  # rare words, and those that all tasks know
+                if row[f"{k}at"] is not None:
+                    at = np.asarray(row[f"{k}at"])
+                    n[at], to_model[at] = np.asarray(row[f"{k}n"]), np.asarray(row[f"{k}m"])
             log_n = np.log10(n + 0.5)
             share = np.where(to_model == OTHER, log_n - log_rest, 0.0)
             base, known = log_n - log_all, (n > 0).astype(np.int64)
@@ -326,13 +327,23 @@ def score(docs: DataFrame, learn: Column, vocabulary: int | None = None, common:
                 out = {"doc_id": doc_ids[a:b], "n_tokens": size[a:b].astype(np.int64) + 1, "n_known": n_known, "train_tokens": np.full(b - a, total), "base_score": base_score, "score": lm}
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), (*[pa.int64()] * 4, *[pa.float64()] * 2))], names=list(out))
 
-    # broadcast: the model's words and the common ones
-    told = F.broadcast(spark.createDataFrame([(w, n, index.get(w, OTHER)) for w, n in top], "word binary, n long, m int"))
+    # all tasks know the model's words and the common ones, and a block's dictionary is looked up as a whole
+    told = spark.sparkContext.broadcast({w: (n, index.get(w, OTHER)) for w, n in top})
+
+    def look_up(batches):
+        told_ = told.value
+        for batch in batches:
+            for block, words in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist()):
+                met = [(i, *told_[w]) for i, w in enumerate(words) if w in told_]
+                at, n, m = map(list, zip(*met)) if met else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([at], pa.list_(pa.int32())), pa.array([n], pa.list_(pa.int64())), pa.array([m], pa.list_(pa.int32()))], names=["block", "top_at", "top_n", "top_m"])
+
+    common_words = held.select("block", "words").mapInArrow(look_up, "block long, top_at array<int>, top_n array<long>, top_m array<int>")
+    known_words = F.broadcast(spark.createDataFrame([(w,) for w, _ in top], "word binary"))
     # a counted word outside of them is in fewer than sqrt(tokens) / 32 (or tokens / common) dictionaries with a count; others in one a block at most
-    rare = said.join(told, "word", "left_anti").withColumn("n", F.sum("times").over(Window.partitionBy("word"))).filter("n > 0").withColumn("m", F.lit(OTHER))
-    both = rare.select("block", "i", "n", "m").union(said.join(told, "word").select("block", "i", "n", "m"))
-    words = both.groupBy("block").agg(F.collect_list(F.struct("i", "n", "m")).alias("x")).select("block", F.col("x.i").alias("at"), F.col("x.n").alias("n"), F.col("x.m").alias("m"))
-    both = held.select("block", "doc_id", "size", "ids").join(words, "block", "left")
+    rare = said.join(known_words, "word", "left_anti").withColumn("n", F.sum("times").over(Window.partitionBy("word"))).filter("n > 0").withColumn("m", F.lit(OTHER))
+    words = rare.groupBy("block").agg(F.collect_list(F.struct("i", "n", "m")).alias("x")).select("block", F.col("x.i").alias("at"), F.col("x.n").alias("n"), F.col("x.m").alias("m"))
+    both = held.select("block", "doc_id", "size", "ids").join(words, "block", "left").join(common_words, "block", "left")
     return both.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
