@@ -34,7 +34,9 @@ def remainder(column: str, mod: int) -> Column:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from the files, so a lost executor costs no more than its tasks.
 
-    Only a local session may come without spark.checkpoint.dir: there driver and executors are one process.
+    What was shuffled to make df goes once the files are there; else it stays until the driver happens to collect its
+    garbage, and jobs of many rounds pile it up. Only a local session may come without spark.checkpoint.dir: there driver
+    and executors are one process.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -43,7 +45,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "codestrata-checkpoints"))
-    return df.checkpoint()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        # the setting counts for DataFrames that are made under it
+        return df.select("*").checkpoint()
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
