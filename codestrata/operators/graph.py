@@ -174,32 +174,50 @@ def reach_index(edges: DataFrame) -> ReachIndex:
     return ReachIndex(rounds.put("labels", labels), others)
 
 
+#: Labels of one part: intervals that start in it are compared in one task, as a power of 2.
+PART = 18
+
+
+def _outermost(spans: DataFrame, rounds: Rounds) -> DataFrame:
+    """Of each dst's intervals (dst, via, path, start_line, end_line, loop, new) those that lie in no other; equal ones are one,
+    new if all of them are, and loop if one of them is.
+
+    Intervals are apart or one within the other, so one lies in another just if one that starts before it ends after it. Those
+    that start in one part of a tree are compared by a running maximum, and with earlier parts by their maximum.
+    """
+    at = ["dst", "path", "part"]
+    dealt = spans.withColumn("part", F.shiftright("start_line", PART)).groupBy(*at, "via", "start_line", "end_line").agg(F.max("loop").alias("loop"), F.min("new").alias("new"))
+    before = Window.partitionBy(*at).orderBy("start_line").rowsBetween(Window.unboundedPreceding, -1)
+    own = rounds.put("own-parts", dealt.withColumn("_far", F.max("end_line").over(before)).filter("_far is null or _far < end_line").drop("_far"))
+    parts = own.groupBy(*at).agg(F.max("end_line").alias("far"))
+    earlier = parts.select(*at, F.max("far").over(Window.partitionBy("dst", "path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("far")).filter("far is not null")
+    return own.join(earlier, at, "left").filter("far is null or far < end_line").select("dst", "via", "path", "start_line", "end_line", "loop", "new")
+
+
 def reached(index: ReachIndex, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """src, dst for every path of one or more edges from a source to a target, both tables of node.
 
     What reaches a target is what is below it in its tree, and what is at or below the src of another edge whose dst already
-    reaches the target or is the target. Such edges are found round by round, a row for a target and an edge's src.
+    reaches the target or is the target. Such edges are found round by round, a row for a target and an edge's src; those
+    below others of the same target are left out, since they add nothing. So a target's intervals are apart in the end, and
+    each pair is made once.
     """
     rounds = Rounds(index.labels.sparkSession)
     spot = index.labels.select("node", F.col("tree").alias("path"), F.col("hi").alias("line"))
     span = index.labels.select(F.col("node").alias("via"), F.col("tree").alias("path"), F.col("lo").alias("start_line"), F.col("hi").alias("end_line"))
-    own = rounds.put("own", targets.select(F.col("node").alias("dst")).distinct().join(span, F.col("dst") == F.col("via")))
     points = rounds.put("points", sources.select("node").distinct().join(spot, "node").withColumnRenamed("node", "src"))
-    doors = rounds.put("doors", index.others.join(spot, F.col("dst") == F.col("node")).select(F.col("src").alias("door"), "path", "line"))
-    frontier, ways = own, []
-    seen = own.select("dst", "via").limit(0)
+    far = span.select(F.col("via").alias("src"), F.col("path").alias("_path"), F.col("start_line").alias("_lo"), F.col("end_line").alias("_hi"))
+    doors = rounds.put("doors", index.others.join(spot, F.col("dst") == F.col("node")).join(far, "src").select(F.col("src").alias("door"), "path", "line", "_path", "_lo", "_hi"))
+    own = targets.select(F.col("node").alias("dst")).distinct().join(span, F.col("dst") == F.col("via"))
+    frontier = seen = rounds.put("seen", own.withColumns({"loop": F.lit(False), "new": F.lit(True)}))
     while not doors.isEmpty() and not frontier.isEmpty():
-        met = enclosing(doors, frontier).select("dst", F.col("door").alias("via")).distinct().join(seen, ["dst", "via"], "left_anti").join(span, "via")
-        mine = own.select("dst", F.col("path").alias("_tree"), F.col("start_line").alias("_lo"), F.col("end_line").alias("_hi"))
-        # what is below the target anyway opens nothing
-        below = (F.col("path") == F.col("_tree")) & (F.col("start_line") >= F.col("_lo")) & (F.col("end_line") <= F.col("_hi")) & (F.col("via") != F.col("dst"))
-        frontier = rounds.put(f"ways-{len(ways)}", met.join(mine, "dst").filter(~below).select("dst", "via", "path", "start_line", "end_line"))
-        ways.append(frontier)
-        seen = rounds.put("seen", seen.unionByName(frontier.select("dst", "via")))
-    inside = enclosing(points, own).filter("src <> dst").select("src", "dst")
-    if ways:
-        inside = inside.unionByName(enclosing(points, reduce(DataFrame.unionByName, ways)).select("src", "dst")).distinct()
-    return inside
+        met = enclosing(doors, frontier.select("dst", "path", "start_line", "end_line"))
+        # an edge from the target itself, whose dst reaches it, makes a ring
+        met = met.select("dst", F.col("door").alias("via"), F.col("_path").alias("path"), F.col("_lo").alias("start_line"), F.col("_hi").alias("end_line"), (F.col("door") == F.col("dst")).alias("loop"), F.lit(True).alias("new"))
+        seen = rounds.put("seen", _outermost(seen.withColumn("new", F.lit(False)).unionByName(met), rounds))
+        frontier = seen.filter("new")
+    # in an interval of another node, which reaches the target, lies the target itself only if it is on a ring
+    return enclosing(points, seen).filter("src <> dst or via <> dst or loop").select("src", "dst")
 
 
 def jumps(links: DataFrame, rounds: Rounds | None = None) -> tuple[DataFrame, list[DataFrame]]:

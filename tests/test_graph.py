@@ -182,6 +182,14 @@ def test_reachability_of_nothing_and_of_a_long_chain(spark):
     assert got == {0: 1000, 990: 10} and chain.others.isEmpty()
 
 
+def test_intervals_within_others_of_a_target_leave(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PART", 3)
+    rows = [(0, 0, 0, 0, 40, False, False), (0, 1, 0, 2, 30, False, True), (0, 2, 0, 17, 18, False, True), (0, 3, 0, 41, 42, False, True), (0, 3, 0, 41, 42, True, False), (0, 4, 1, 5, 6, False, True), (9, 2, 0, 17, 18, False, True), (9, 5, 0, 16, 20, False, True)]
+    spans = spark.createDataFrame(rows, "dst long, via long, path long, start_line long, end_line long, loop boolean, new boolean")
+    got = graph._outermost(spans, graph.Rounds(spark)).select("dst", "via", "loop", "new").collect()
+    assert sorted(map(tuple, got)) == [(0, 0, False, False), (0, 3, True, False), (0, 4, False, True), (9, 5, False, True)]
+
+
 def test_rounds_are_not_broadcast(spark):
     """A table of a round is small as files and large in memory, so a join with it must not send it to the driver."""
     rounds = graph.Rounds(spark)
