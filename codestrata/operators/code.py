@@ -157,12 +157,14 @@ def bindings(facts: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     own = [*FILE, "module", "scope", "name"]
     place = lambda kind: F.struct(F.col("name_line").alias("line"), F.col("name_col").alias("col"), F.lit(kind).alias("kind"))
-    defs = of(facts, "def").filter("kind <> 'variable'").select(*own, place("def").alias("place"), none.alias("target"), none.alias("orig"))
-    params = of(facts, "param").select(*own, place("param").alias("place"), none.alias("target"), none.alias("orig"))
-    writes = of(facts, "use").filter("kind = 'write'").select(*own, F.struct("line", "col", F.lit("write").alias("kind")).alias("place"), none.alias("target"), none.alias("orig"))
-    imports = absolutize(of(facts, "import")).filter("coalesce(name, '') <> '*'").select(*FILE, "module", "scope", F.col("asname").alias("name"), place("import").alias("place"), "target", F.coalesce("name", F.lit("")).alias("orig"))
+    facts = facts.filter("places > 0")
+    defs = of(facts, "def").select(*own, place("def").alias("place"), none.alias("target"), none.alias("orig"), "places")
+    params = of(facts, "param").select(*own, place("param").alias("place"), none.alias("target"), none.alias("orig"), "places")
+    writes = of(facts, "use").select(*own, F.struct("line", "col", F.lit("write").alias("kind")).alias("place"), none.alias("target"), none.alias("orig"), "places")
+    imports = absolutize(of(facts, "import")).select(*FILE, "module", "scope", F.col("asname").alias("name"), place("import").alias("place"), "target", F.coalesce("name", F.lit("")).alias("orig"), "places")
     every = defs.unionByName(params).unionByName(writes).unionByName(imports)
-    best = every.groupBy(*own).agg(F.min_by(F.struct("place", "target", "orig"), "place").alias("b"), F.count_distinct("place").alias("n"))
+    # a file has one such row a name and scope; only a file that is there twice has more
+    best = every.repartition(*own).groupBy(*own).agg(F.min(F.struct("place", "target", "orig")).alias("b"), F.max("places").cast("long").alias("n"))
     return best.select(*own, "b.place", "b.target", "b.orig", "n")
 
 
@@ -175,9 +177,10 @@ def module_homes(facts: DataFrame) -> DataFrame:
 
 
 class Names(NamedTuple):
-    """Names of a corpus: bindings (with a row of kind star for each name that a star brings, which the file does not bind itself);
+    """Names of a corpus: bindings (with a row of kind star for each name that a star brings, which the file does not bind itself),
+    each with the place in another file that it leads to (far: path, line, col, kind) or the module's file that it means (of);
     homes; imports: every name imported by from or import, with the place it leads to at once (to_path, to_name; to_name is
-    empty for a module) and in the end (end_path, end_name); tops: where names at the top of files are (def: line, col, kind)."""
+    empty for a module) and in the end (end_path, end_name; far); tops: where names at the top of files are (far)."""
 
     bound: DataFrame
     homes: DataFrame
@@ -218,9 +221,15 @@ def names(facts: DataFrame) -> Names:
     ends = ends.select("node.repo", F.col("node.path").alias("to_path"), F.col("node.name").alias("to_name"), F.when(F.col("ring").isNull(), F.col("end")).alias("end"), F.lit(True).alias("on"))
     met = met.join(ends, ["repo", "to_path", "to_name"], "left")
     end = [F.when(F.col("on"), F.col(f"end.{k}")).otherwise(F.col(f"to_{k}")).alias(f"end_{k}") for k in ("path", "name")]
-    imports = graph.checkpoint(met.select(*FILE, "scope", "name", "orig", "role", "target", "line", "col", "to_path", "to_name", *end))
+    met = met.select(*FILE, "scope", "name", "orig", "role", "target", "line", "col", "to_path", "to_name", *end)
     tops = bound.filter("scope = 0 and place.kind <> 'star'").select("repo", F.col("path").alias("end_path"), F.col("name").alias("end_name"), F.struct(F.col("path"), "place.line", "place.col", "place.kind").alias("far"))
-    return Names(bound, homes, imports, tops)
+    imports = graph.checkpoint(met.join(tops, ["repo", "end_path", "end_name"], "left"))
+    # what a binding leads to is told once, with the binding, so that a read meets it there
+    leads = imports.groupBy(*FILE, "scope", "name", "line", "col").agg(F.min("far").alias("far"), F.min(F.when(F.col("end_name") == "", F.col("end_path"))).alias("of"))
+    away = F.col("place.kind").isin("import", "star")
+    told = bound.filter(away).withColumns({"line": F.col("place.line"), "col": F.col("place.col")}).join(leads, [*FILE, "scope", "name", "line", "col"], "left")
+    here = bound.filter(~away).withColumns({c: F.lit(None).cast(leads.schema[c].dataType) for c in ("far", "of")})
+    return Names(graph.checkpoint(told.select(*bound.columns, "far", "of").unionByName(here)), homes, imports, tops)
 
 
 def _star_names(facts: DataFrame, top: DataFrame, homes: DataFrame) -> DataFrame | None:
@@ -253,28 +262,24 @@ def _passed(facts: DataFrame, given: DataFrame) -> DataFrame:
 
 
 USE = [*FILE, "name", "line", "col"]
+#: Columns of facts that names are resolved by; call_edges also needs those of CALLED.
+NAMED = ("tag", "repo", "path", "module", "scope", "kind", "name", "asname", "level", "line", "col", "role", "text", "name_line", "name_col", "near", "places")
+CALLED = (*NAMED, "nid", "fn_path")
 
 
 def _resolved(facts: DataFrame, known: Names) -> DataFrame:
     """resolve_names' rows with the binding through which each is read: via_path, via_scope, via_name."""
-    bound = known.bound.select(*FILE, "name", "scope", "place", "target", "orig")
-    uses = of(facts, "use").filter("kind = 'read'").select(*USE, "scopes")
-    near = uses.select(*USE, F.posexplode("scopes").alias("depth", "scope")).join(bound, [*FILE, "name", "scope"])
-    best = near.groupBy(*USE).agg(F.min_by(F.struct("place", "scope"), "depth").alias("b"))
-    found = uses.select(*USE).join(best, USE, "left").select(*USE, "b.place", "b.scope")
-    led = known.imports.join(known.tops, ["repo", "end_path", "end_name"], "left").select(*FILE, "name", "scope", "line", "col", "far", "end_path", "end_name")
-    at = led.groupBy(*FILE, "name", "scope", F.struct("line", "col").alias("at")).agg(F.first("far").alias("far"))
-    local = found.withColumn("at", F.when(F.col("place.kind").isin("import", "star"), F.struct("place.line", "place.col"))).join(at, [*FILE, "name", "scope", "at"], "left")
+    bound = known.bound.select(*FILE, "name", "scope", "place", "target", "orig", "far", "of")
+    uses = of(facts, "use").filter("kind = 'read'").select(*USE, F.col("near").alias("scope"))
+    local = uses.join(bound.select(*FILE, "name", "scope", "place", "far"), [*FILE, "name", "scope"], "left")
     to = {"def_path": F.when(F.col("place").isNotNull(), F.coalesce("far.path", "path")), "def_line": F.coalesce("far.line", "place.line"), "def_col": F.coalesce("far.col", "place.col"), "kind": F.when(F.col("far.kind").isNotNull() & (F.col("far.kind") != "import"), "def").when(F.col("place.kind") == "star", "import").otherwise(F.col("place.kind"))}
-    local = local.select(*USE, *[c.alias(k) for k, c in to.items()], F.col("path").alias("via_path"), F.col("scope").alias("via_scope"), F.col("name").alias("via_name"))
-    reads = of(facts, "attr").select(*FILE, "name", F.col("name_line").alias("line"), F.col("name_col").alias("col"), "text", F.split("text", r"\.")[0].alias("head"), "scopes")
-    met = reads.select(*USE, "text", "head", F.posexplode("scopes").alias("depth", "scope")).join(bound.withColumnRenamed("name", "head"), [*FILE, "head", "scope"])
-    met = met.groupBy(*USE, "text", "head").agg(F.min_by(F.struct("place", "scope", "target", "orig"), "depth").alias("b")).filter("b.place.kind in ('import', 'star')")
-    modules = led.filter("end_name = ''").select(*FILE, F.col("name").alias("head"), "scope", F.struct("line", "col").alias("at"), F.col("end_path").alias("of")).dropDuplicates([*FILE, "head", "scope", "at"])
-    modules = modules.join(known.homes.select("repo", F.col("home").alias("of"), "module"), ["repo", "of"])
-    met = met.select("*", "b.scope", F.struct("b.place.line", "b.place.col").alias("at")).join(modules, [*FILE, "head", "scope", "at"], "left")
+    local = local.select(*USE, *[c.alias(k) for k, c in to.items()], F.col("path").alias("via_path"), F.when(F.col("place").isNotNull(), F.col("scope")).alias("via_scope"), F.col("name").alias("via_name"))
+    reads = of(facts, "attr").select(*FILE, "name", F.col("name_line").alias("line"), F.col("name_col").alias("col"), "text", F.split("text", r"\.")[0].alias("head"), F.col("near").alias("scope"))
+    heads = bound.filter("place.kind in ('import', 'star')").select(*FILE, F.col("name").alias("head"), "scope", "target", "orig", "of")
+    modules = known.homes.select("repo", F.col("home").alias("of"), "module")
+    met = reads.join(heads, [*FILE, "head", "scope"]).join(modules, ["repo", "of"], "left")
     # import p.m binds p and is read as p.m.f; import p.m as x and from p import m are read as x.f and m.f
-    plain = (F.col("b.orig") == "") & (F.split("b.target", r"\.")[0] == F.col("head"))
+    plain = (F.col("orig") == "") & (F.split("target", r"\.")[0] == F.col("head"))
     module = F.when(plain, F.col("text")).otherwise(F.concat("module", F.expr("substring(text, length(head) + 1)")))
     owners = known.homes.select("repo", F.col("module").alias("owner"), F.col("home").alias("via_path"))
     met = met.select(*USE, module.alias("owner")).join(owners, ["repo", "owner"])
@@ -326,7 +331,7 @@ def find_references(facts: DataFrame, include_declaration: bool = False, limit:
     known = names(facts)
     at = ["repo", "def_path", "def_line", "def_col"]
     rows = _resolved(facts, known).filter("def_path is not null and kind <> 'import'").select(*at, "path", "name", "line", "col")
-    named = known.imports.filter("orig <> '' and role <> 'star'").join(known.tops.filter("far.kind <> 'import'"), ["repo", "end_path", "end_name"])
+    named = known.imports.filter("orig <> '' and role <> 'star' and far.kind <> 'import'")
     named = named.select("repo", F.col("far.path").alias("def_path"), F.col("far.line").alias("def_line"), F.col("far.col").alias("def_col"), "path", F.col("orig").alias("name"), "line", "col")
     rows = rows.unionByName(named)
     if include_declaration:
@@ -363,13 +368,13 @@ def all_names(facts: DataFrame, all_scopes: bool = True, references: bool = Fals
     return defs.unionByName(of(facts, "use").select(*FILE, "name", "line", "col", F.lit(False).alias("is_definition"))) if references else defs
 
 
-def _led(facts: DataFrame) -> DataFrame:
-    """The place that each read or imported name leads to: repo, path, name_line, name_col, def_path, def_line, def_col."""
+def _led(facts: DataFrame, imported: bool = True) -> DataFrame:
+    """The place that each read (or imported) name leads to: repo, path, name_line, name_col, def_path, def_line, def_col."""
     known = names(facts)
     rows = _resolved(facts, known).filter("def_path is not null").select(*FILE, F.col("line").alias("name_line"), F.col("col").alias("name_col"), "def_path", "def_line", "def_col")
-    named = known.imports.filter("orig <> '' and role <> 'star'").join(known.tops, ["repo", "end_path", "end_name"])
+    named = known.imports.filter("orig <> '' and role <> 'star' and far is not null")
     named = named.select(*FILE, F.col("line").alias("name_line"), F.col("col").alias("name_col"), F.col("far.path").alias("def_path"), F.col("far.line").alias("def_line"), F.col("far.col").alias("def_col"))
-    return rows.unionByName(named).dropDuplicates([*FILE, "name_line", "name_col"])
+    return (rows.unionByName(named) if imported else rows).dropDuplicates([*FILE, "name_line", "name_col"])
 
 
 def _classes(facts: DataFrame) -> DataFrame:
@@ -442,7 +447,7 @@ def constructor_sites(facts: DataFrame) -> DataFrame:
     """Calls of classes of the corpus: repo, path, cls, def_path, line, col, args. The called name leads to the class.
     Facts needed: def, param, use, import, attr, export, call."""
     calls = of(facts, "call").select(*FILE, "line", "col", "args", "name_line", "name_col")
-    met = calls.join(_led(facts), [*FILE, "name_line", "name_col"]).join(_classes(facts), AT)
+    met = calls.join(_led(facts, imported=False), [*FILE, "name_line", "name_col"]).join(_classes(facts), AT)
     return met.select(*FILE, "cls", "def_path", "line", "col", "args").dropDuplicates([*FILE, "cls", "line", "col"])
 
 
@@ -451,7 +456,7 @@ def call_edges(facts: DataFrame) -> DataFrame:
     Facts needed: def, param, use, import, attr, export, call."""
     fns = of(facts, "def").filter("kind = 'function'").select(*FILE, F.col("nid").alias("fn"), F.concat_ws(":", "path", "name").alias("src"), "name_line", "name_col")
     calls = of(facts, "call").filter("size(fn_path) > 0").select(*FILE, F.element_at("fn_path", -1).alias("fn"), "name_line", "name_col")
-    met = calls.join(_led(facts), [*FILE, "name_line", "name_col"])
+    met = calls.join(_led(facts, imported=False), [*FILE, "name_line", "name_col"])
     callee = fns.select("repo", F.col("path").alias("def_path"), F.col("name_line").alias("def_line"), F.col("name_col").alias("def_col"), F.col("src").alias("dst"))
     return met.join(callee, AT).join(fns.select(*FILE, "fn", "src"), [*FILE, "fn"]).select("repo", "src", "dst").distinct()
 

@@ -448,13 +448,13 @@ def x1_latest_findings(spark, d):
 
 
 # --- code facts over modules rendered from part and supplier --------------------------------------------------------
-def _stored(files, *tags):
-    """Facts of these tags, from one parse of each file."""
-    return graph.checkpoint(facts.extract_facts(files, tags))
+def _stored(files, *tags, columns=None):
+    """Facts of these tags (and columns, if not all), from one parse of each file."""
+    return graph.checkpoint(facts.extract_facts(files, tags, columns=columns))
 
 
-def _facts(spark, d, *tags):
-    return _stored(V.rendered(spark, d), *tags)
+def _facts(spark, d, *tags, columns=None):
+    return _stored(V.rendered(spark, d), *tags, columns=columns)
 
 
 def _class_facts(spark, d, *tags):
@@ -595,7 +595,7 @@ def g5_declared_layers(spark, d):
 
 @query(K.replace("WITH", "WITH RECURSIVE", 1) + ", w AS (SELECT k AS root, k AS node, 0 AS depth FROM p UNION ALL SELECT root, node // 3, depth + 1 FROM w WHERE depth < 3) SELECT 'pkg/m_' || root || '.py:f_' || root AS root, 'pkg/m_' || node || '.py:f_' || node AS node, min(depth) AS depth FROM w WHERE node <> root GROUP BY w.root, w.node")
 def g6_call_hierarchy(spark, d):
-    f = _facts(spark, d, *NAMES, "call")
+    f = _facts(spark, d, *NAMES, "call", columns=code.CALLED)
     edges = graph.checkpoint(code.call_edges(f).select("src", "dst"))
     return graph.traverse(edges, edges.select(F.col("src").alias("root")).distinct(), "callees", 3).select("root", "node", "depth")
 
@@ -614,7 +614,7 @@ def j15_unresolved_names(spark, d):
 @query(K + f"""SELECT {M} AS path, 'a' AS name, start + i AS line, {M} AS def_path, start AS def_line, 'param' AS kind FROM q, range(1, 4) t(i) WHERE i <= d UNION ALL SELECT {M}, unnest(['a', 'b']), back, {M}, start, 'param' FROM q
 UNION ALL SELECT {M}, 'os', back, {M}, 0, 'import' FROM q UNION ALL SELECT 'pkg/m_' || q.k || '.py', 'f_' || q.j, q.back, 'pkg/m_' || q.j || '.py', f.start, 'def' FROM q JOIN p f ON f.k = q.j""")
 def j7_goto_definition(spark, d):
-    return code.goto_definition(_facts(spark, d, *NAMES)).select("path", "name", "line", "def_path", "def_line", "kind")
+    return code.goto_definition(_facts(spark, d, *NAMES, columns=code.NAMED)).select("path", "name", "line", "def_path", "def_line", "kind")
 
 
 @query(C + f"""SELECT {MS} AS path, name, line, {MS} AS def_path, def_line FROM s, (VALUES ('limit', 6, 4), ('path', 8, 7), ('limit', 8, 6), ('inner', 10, 7), ('path', 10, 6), ('app', 10, 0), ('near', 10, 1), ('near', 14, 1), ('limit', 19, 4), ('self', 20, 18)) t(name, line, def_line)
@@ -630,13 +630,13 @@ t AS (SELECT *, count(*) OVER (PARTITION BY f) AS total, row_number() OVER (PART
 
 @query(K + REFERENCES + f"SELECT 'pkg/m_' || f || '.py' AS def_path, 'f_' || f AS name, {M} AS path, line, total, total > 3 AS truncated FROM t WHERE i <= 3")
 def j8_find_references(spark, d):
-    found = code.find_references(_facts(spark, d, *NAMES), include_declaration=True, limit=3)
+    found = code.find_references(_facts(spark, d, *NAMES, columns=code.NAMED), include_declaration=True, limit=3)
     return found.filter("startswith(name, 'f_')").select("def_path", "name", "path", "line", "total", "truncated")
 
 
 @query(K + REFERENCES + ", u AS (SELECT * FROM t JOIN p ON p.k = t.f WHERE NOT (t.k = t.f AND line = start)) SELECT 'pkg/m_' || f || '.py' AS def_path, 'f_' || f AS name, count(*) AS uses, count(DISTINCT u.k) AS files FROM u GROUP BY f")
 def j8_reference_counts(spark, d):
-    return code.reference_counts(_facts(spark, d, *NAMES)).filter("startswith(name, 'f_')").select("def_path", "name", "uses", "files")
+    return code.reference_counts(_facts(spark, d, *NAMES, columns=code.NAMED)).filter("startswith(name, 'f_')").select("def_path", "name", "uses", "files")
 
 
 @query(C + f"SELECT {M2} AS path, h + 9 AS line, 'write' AS kind FROM s UNION ALL SELECT {M2}, h + 10 + (k % 10 = 0)::INT, 'read' FROM s")
@@ -802,7 +802,7 @@ def w1_folding_ranges(spark, d):
 
 @query("SELECT repo, CAST(sum(p_size % 4 + 4) AS BIGINT) AS n FROM part, (SELECT unnest(['r0', 'r1']) AS repo) GROUP BY repo")
 def u4_several_repos(spark, d):
-    f = _stored(V.rendered(spark, d, ("r0", "r1")), *NAMES)
+    f = _stored(V.rendered(spark, d, ("r0", "r1")), *NAMES, columns=code.NAMED)
     return code.goto_definition(f).groupBy("repo").agg(F.count("*").alias("n"))
 
 

@@ -188,3 +188,25 @@ def test_names_in_annotations(spark):
     renames = spark.createDataFrame([("r", "m", "C", "Cc")], "repo string, module string, old string, new string")
     edited = {r["path"]: r["content"] for r in edits.apply_edits(files, code.rename_edits(found, renames).withColumn("seq", F.lit(0)), "path", "content").collect()}
     assert edited == {"m.py": m.replace("class C", "class Cc").replace("(C)", "(Cc)"), "n.py": n.replace("m.C", "m.Cc").replace("import C ", "import Cc ")}
+
+
+def test_copies_in_many_repos_and_narrow_facts(spark):
+    """A file of one content in many repos is parsed once, and gives every repo its facts; reads know the scope that binds them."""
+    text = "import os\nlimit = 1\nlimit = 2\ndef f(a):\n    def g():\n        return a + limit + len(os.sep)\n    return g\n"
+    repos = [f"r{k:02}" for k in range(2 * facts.TOGETHER + 1)]
+    rows = [(r, "m.py", text) for r in repos] + [("s", "m.py", "x = y\n"), (None, "m.py", text), ("bad", "m.py", "def (")]
+    files = spark.createDataFrame(rows, "repo string, path string, content string")
+    columns = ("repo", "tag", "kind", "name", "near", "places")
+    out = facts.extract_facts(files, ("def", "param", "use", "import", "failure"), columns=columns)
+    assert tuple(out.columns) == tuple(c for c in (f.split()[0] for f in facts.FIELDS.split(",")) if c in columns)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["repo"], []).append((r["tag"], r["kind"], r["name"], r["near"], r["places"]))
+    one = sorted(got["r00"], key=str)
+    assert all(sorted(got[r], key=str) == one for r in [*repos, None]) and len(got) == len(repos) + 3
+    reads = {name: near for tag, kind, name, near, _ in one if tag == "use" and kind == "read"}
+    assert reads["limit"] == reads["len"] == reads["os"] == 0 and reads["a"] > 0 and reads["g"] == reads["a"]
+    assert [k for tag, kind, n, _, k in one if kind == "write" and k] == [2]
+    assert got["s"] and [t[0] for t in got["bad"]] == ["failure"]
+    with pytest.raises(ValueError):
+        facts.extract_facts(files, ("def",), columns=("nothing",))
