@@ -45,6 +45,17 @@ def structural_search(facts: DataFrame, pattern: str | Column | Shape) -> DataFr
     return _matched(facts, pattern).select(*where).orderBy(*where)
 
 
+def structural_searches(facts: DataFrame, patterns: dict[str, str | Column | Shape]) -> DataFrame:
+    """structural_search for several patterns by name: pattern (the name), repo, path, line, col, in no order, so nothing is sorted."""
+    if not patterns:
+        raise ValueError("no patterns")
+    return reduce(DataFrame.unionByName, [_matched(facts, p).select(F.lit(name).alias("pattern"), *FILE, "line", "col") for name, p in patterns.items()])
+
+
+#: Columns of facts that structural_search reads.
+SEARCHED = ("tag", "repo", "path", "line", "col", "nid", "parent", "last", "kind", "name", "attr", "role")
+
+
 def _matched(facts: DataFrame, pattern: str | Column | Shape) -> DataFrame:
     if isinstance(pattern, Shape):
         found = _matched(facts, pattern.pattern)

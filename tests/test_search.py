@@ -141,3 +141,15 @@ def test_only_nodes_that_facts_come_from_are_told(monkeypatch):
     assert told[:again] == ["Module", "FunctionDef"]
     # the constant that tells something is the one in an annotation
     assert told[again : told.index("Module", again + 1)].count("Constant") == 1
+
+
+def test_many_patterns_are_those_of_one_each_and_sort_nothing(spark):
+    files = [("r", f"m{k}.py", sources(random.Random(k))) for k in range(10)]
+    found = graph.checkpoint(facts.extract_facts(spark.createDataFrame(files, "repo string, path string, content string"), ("node", "call"), columns=code.SEARCHED))
+    patterns = {"calls": "call:f", "asserts in loops": code.Shape("assert", (("inside", F.col("kind") == "For"),)), "lone": code.Shape(F.col("kind") == "If", (("not has", "call:g"),))}
+    got = code.structural_searches(found, patterns)
+    assert "rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    want = [(name, *r) for name, p in patterns.items() for r in code.structural_search(found, p).collect()]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+    with pytest.raises(ValueError):
+        code.structural_searches(found, {})
