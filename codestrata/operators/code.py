@@ -46,10 +46,13 @@ def structural_search(facts: DataFrame, pattern: str | Column | Shape) -> DataFr
 
 
 def structural_searches(facts: DataFrame, patterns: dict[str, str | Column | Shape]) -> DataFrame:
-    """structural_search for several patterns by name: pattern (the name), repo, path, line, col, in no order, so nothing is sorted."""
+    """structural_search for several patterns by name: pattern (the name), repo, path, line, col, in no order, so nothing is sorted.
+
+    The facts are read once: what some part of a pattern matches by itself is stored, and nothing else is looked at again."""
     if not patterns:
         raise ValueError("no patterns")
-    return reduce(DataFrame.unionByName, [_matched(facts, p).select(F.lit(name).alias("pattern"), *FILE, "line", "col") for name, p in patterns.items()])
+    kept = graph.checkpoint(facts.filter(reduce(lambda a, b: a | b, [x for p in patterns.values() for x in _parts(p)])))
+    return reduce(DataFrame.unionByName, [_matched(kept, p).select(F.lit(name).alias("pattern"), *FILE, "line", "col") for name, p in patterns.items()])
 
 
 #: Columns of facts that structural_search reads.
@@ -62,27 +65,37 @@ def _matched(facts: DataFrame, pattern: str | Column | Shape) -> DataFrame:
         for axis, other in pattern.where:
             found = _lying(found, axis, _matched(facts, other))
         return found
-    place = [*FILE, "line", "col", "nid", "parent", "last"]
+    return facts.filter(_said(pattern)).select(*FILE, "line", "col", "nid", "parent", "last")
+
+
+def _parts(pattern: str | Column | Shape) -> list[Column]:
+    """The conditions on single facts that a pattern is made of."""
+    if isinstance(pattern, Shape):
+        return [x for part in (pattern.pattern, *(other for _, other in pattern.where)) for x in _parts(part)]
+    return [_said(pattern)]
+
+
+def _said(pattern: str | Column) -> Column:
+    """The condition on a single fact that a shorthand or a predicate on nodes stands for."""
+    node, call = F.col("tag") == "node", F.col("tag") == "call"
     if isinstance(pattern, Column):
-        return of(facts, "node").filter(pattern).select(*place)
+        return node & pattern
     head, _, arg = pattern.strip().partition(":")
     head = head.lower()
     named = bool(re.fullmatch(r"\w+\.\w+" if head == "attr_call" else r"\w+", arg))
     if head == "call" and named:
-        found = of(facts, "call").filter(F.col("name") == arg)
-    elif head == "attr_call" and named:
-        found = of(facts, "call").filter(F.col("attr") == arg.partition(".")[2])
-    elif head == "except" and named:
-        found = of(facts, "node").filter((F.col("kind") == "ExceptHandler") & (F.col("attr") == arg))
-    elif head == "decorator" and named:
-        found = of(facts, "node").filter((F.col("kind") == "Name") & (F.col("name") == arg) & (F.col("role") == "decorator"))
-    elif head == "star_import" and not arg:
-        found = of(facts, "import").filter("name = '*'")
-    elif head in PLAIN and not arg:
-        found = of(facts, "node").filter(F.col("kind") == PLAIN[head])
-    else:
-        raise ValueError(f"unknown pattern {pattern!r}")
-    return found.select(*place)
+        return call & (F.col("name") == arg)
+    if head == "attr_call" and named:
+        return call & (F.col("attr") == arg.partition(".")[2])
+    if head == "except" and named:
+        return node & (F.col("kind") == "ExceptHandler") & (F.col("attr") == arg)
+    if head == "decorator" and named:
+        return node & (F.col("kind") == "Name") & (F.col("name") == arg) & (F.col("role") == "decorator")
+    if head == "star_import" and not arg:
+        return (F.col("tag") == "import") & (F.col("name") == "*")
+    if head in PLAIN and not arg:
+        return node & (F.col("kind") == PLAIN[head])
+    raise ValueError(f"unknown pattern {pattern!r}")
 
 
 def _lying(found: DataFrame, axis: str, other: DataFrame) -> DataFrame:

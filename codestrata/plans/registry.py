@@ -528,7 +528,7 @@ def a8_public_api(spark, d):
 @query(C + f"""SELECT 'star_import' AS pattern, {M2} AS path, (k > 0)::INT AS line FROM s WHERE k % 10 = 0 UNION ALL SELECT 'call:inner', {MS}, 10 FROM s UNION ALL SELECT 'attr_call:any.loads', {MS}, 20 FROM s WHERE k % 6 IN (0, 5) UNION ALL SELECT 'except:OSError', {MS}, 11 FROM s WHERE k % 2 = 1
 UNION ALL SELECT 'Except', {MS}, 11 FROM s UNION ALL SELECT 'assert', {MS}, 19 FROM s UNION ALL SELECT 'RAISE', {MS}, 12 FROM s""")
 def f10_structural_search(spark, d):
-    f = _stored(V.rendered_classes(spark, d).union(V.rendered_scopes(spark, d)), "node", "call", "import", columns=code.SEARCHED)
+    f = facts.extract_facts(V.rendered_classes(spark, d).union(V.rendered_scopes(spark, d)), ("node", "call", "import"), columns=code.SEARCHED)
     patterns = ("star_import", "call:inner", "attr_call:any.loads", "except:OSError", "Except", "assert", "RAISE", "yield", "global", "decorator:mark")
     return code.structural_searches(f, {p: p for p in patterns}).select("pattern", "path", "line")
 
@@ -538,7 +538,7 @@ UNION ALL SELECT 'eval beside if', {M}, back - 1 FROM q WHERE k % 6 = 0 AND d >
 UNION ALL SELECT pattern, {MS}, line FROM (SELECT s_suppkey AS k FROM supplier) x JOIN (VALUES ('raise in OSError', 12, 2, 1), ('call in try', 10, 1, 0), ('method', 18, 1, 0), ('plain function', 7, 1, 0), ('class that asserts', 15, 1, 0)) t(pattern, line, m, r) ON k % m = r
 UNION ALL SELECT 'loads in class that asserts', {MS}, 20 FROM (SELECT s_suppkey AS k FROM supplier) x WHERE k % 6 IN (0, 5)""")
 def f10_structural_conditions(spark, d):
-    f = _stored(V.rendered(spark, d).union(V.rendered_scopes(spark, d)), "node", "call", columns=code.SEARCHED)
+    f = facts.extract_facts(V.rendered(spark, d).union(V.rendered_scopes(spark, d)), ("node", "call"), columns=code.SEARCHED)
     kind, shape = lambda x: F.col("kind") == x, code.Shape
     branch, asserting = kind("If"), shape(kind("ClassDef"), (("has", "assert"),))
     module = lambda axis: shape(kind("Module"), ((axis, "call:eval"), ("not has", kind("AsyncFunctionDef"))))
