@@ -178,17 +178,13 @@ def bindings(facts: DataFrame) -> DataFrame:
     Definitions, parameters, assignments (also by for, with, except, match, := and type parameters) and imports bind; kinds:
     def, param, write, import.
     """
-    none = F.lit(None).cast("string")
     own = [*FILE, "module", "scope", "name"]
-    place = lambda kind: F.struct(F.col("name_line").alias("line"), F.col("name_col").alias("col"), F.lit(kind).alias("kind"))
-    facts = facts.filter("places > 0")
-    defs = of(facts, "def").select(*own, place("def").alias("place"), none.alias("target"), none.alias("orig"), "places")
-    params = of(facts, "param").select(*own, place("param").alias("place"), none.alias("target"), none.alias("orig"), "places")
-    writes = of(facts, "use").select(*own, F.struct("line", "col", F.lit("write").alias("kind")).alias("place"), none.alias("target"), none.alias("orig"), "places")
-    imports = absolutize(of(facts, "import")).select(*FILE, "module", "scope", F.col("asname").alias("name"), place("import").alias("place"), "target", F.coalesce("name", F.lit("")).alias("orig"), "places")
-    every = defs.unionByName(params).unionByName(writes).unionByName(imports)
+    use, imported = F.col("tag") == "use", F.col("tag") == "import"
+    place = F.struct(F.when(use, F.col("line")).otherwise(F.col("name_line")).alias("line"), F.when(use, F.col("col")).otherwise(F.col("name_col")).alias("col"), F.when(use, "write").otherwise(F.col("tag")).alias("kind"))
+    name, orig = F.when(imported, F.col("asname")).otherwise(F.col("name")), F.when(imported, F.coalesce("name", F.lit("")))
+    firsts = absolutize(facts.filter("places > 0")).select(*FILE, "module", "scope", name.alias("name"), place.alias("place"), F.when(imported, F.col("target")).alias("target"), orig.alias("orig"), "places")
     # a file has one such row a name and scope; only a file that is there twice has more
-    best = every.repartition(*own).groupBy(*own).agg(F.min(F.struct("place", "target", "orig")).alias("b"), F.max("places").cast("long").alias("n"))
+    best = firsts.repartition(*own).groupBy(*own).agg(F.min(F.struct("place", "target", "orig")).alias("b"), F.max("places").cast("long").alias("n"))
     return best.select(*own, "b.place", "b.target", "b.orig", "n")
 
 
@@ -231,9 +227,11 @@ def names(facts: DataFrame) -> Names:
     # import a.b binds a, import a.b as x binds x to a.b
     first = F.when((F.col("orig") == "") & (F.col("role") == ""), F.split("target", r"\.")[0]).otherwise(F.col("target"))
     met = imports.withColumn("m", first).join(homes.select("repo", F.col("module").alias("m"), F.col("home").alias("to_path")), ["repo", "m"], "left")
-    met = met.withColumn("to_name", F.col("orig")).join(top.withColumn("there", F.lit(True)), ["repo", "to_path", "to_name"], "left")
-    deep = homes.select("repo", F.col("module").alias("deep"), F.col("home").alias("sub"))
-    met = met.withColumn("deep", F.when(F.col("orig") != "", F.concat_ws(".", "target", "orig"))).join(deep, ["repo", "deep"], "left")
+    # what can meet nothing (real is false) goes by its path, so that it does not gather under one key
+    met = met.withColumns({"to_name": F.col("orig"), "real": F.col("to_path").isNotNull() & (F.col("orig") != "")}).withColumn("at", F.when(F.col("real"), F.col("to_path")).otherwise(F.col("path")))
+    met = met.join(top.select("repo", F.lit(True).alias("real"), F.col("to_path").alias("at"), "to_name", F.lit(True).alias("there")), ["repo", "real", "at", "to_name"], "left")
+    deep = homes.select("repo", F.lit(True).alias("real"), F.col("module").alias("deep"), F.col("home").alias("sub"))
+    met = met.withColumn("real", F.col("orig") != "").withColumn("deep", F.when(F.col("real"), F.concat_ws(".", "target", "orig")).otherwise(F.col("path"))).join(deep, ["repo", "real", "deep"], "left")
     # from p import m: a name of p, or else the module p.m; a package that imports m from itself means the module
     name_of = F.col("there") & ~(F.col("sub").isNotNull() & (F.col("to_path") == F.col("path")))
     to = F.when(F.col("orig") == "", F.struct("to_path", F.lit("").alias("to_name"))).when(name_of, F.struct("to_path", "to_name")).otherwise(F.struct(F.col("sub").alias("to_path"), F.lit("").alias("to_name")))
@@ -243,11 +241,13 @@ def names(facts: DataFrame) -> Names:
     links = met.filter("to_path is not null").join(firsts, [*FILE, "scope", "name", "line", "col"], "left_semi").select(node("path", "name").alias("node"), node("to_path", "to_name").alias("to")).dropDuplicates(["node"])
     ends = graph.jumps(links)[0]
     ends = ends.select("node.repo", F.col("node.path").alias("to_path"), F.col("node.name").alias("to_name"), F.when(F.col("ring").isNull(), F.col("end")).alias("end"), F.lit(True).alias("on"))
-    met = met.join(ends, ["repo", "to_path", "to_name"], "left")
+    lost = met.filter("to_path is null")  # most are of modules outside the corpus
+    met = met.filter("to_path is not null").join(ends, ["repo", "to_path", "to_name"], "left")
     end = [F.when(F.col("on"), F.col(f"end.{k}")).otherwise(F.col(f"to_{k}")).alias(f"end_{k}") for k in ("path", "name")]
     met = met.select(*FILE, "scope", "name", "orig", "role", "target", "line", "col", "to_path", "to_name", *end)
     tops = bound.filter("scope = 0 and place.kind <> 'star'").select("repo", F.col("path").alias("end_path"), F.col("name").alias("end_name"), F.struct(F.col("path"), "place.line", "place.col", "place.kind").alias("far"))
-    imports = graph.checkpoint(met.join(tops, ["repo", "end_path", "end_name"], "left"))
+    met = met.join(tops, ["repo", "end_path", "end_name"], "left")
+    imports = graph.checkpoint(met.unionByName(lost.withColumns({c: F.lit(None).cast(met.schema[c].dataType) for c in ("end_path", "end_name", "far")})))
     # what a binding leads to is told once, with the binding, so that a read meets it there
     leads = imports.groupBy(*FILE, "scope", "name", "line", "col").agg(F.min("far").alias("far"), F.min(F.when(F.col("end_name") == "", F.col("end_path"))).alias("of"))
     away = F.col("place.kind").isin("import", "star")
@@ -286,9 +286,25 @@ def _passed(facts: DataFrame, given: DataFrame) -> DataFrame:
 
 
 USE = [*FILE, "name", "line", "col"]
-#: Columns of facts that names are resolved by; call_edges also needs those of CALLED.
+#: Columns of facts that names are resolved by; call_edges needs the facts of CALLING, by the columns of CALLED.
 NAMED = ("tag", "repo", "path", "module", "scope", "kind", "name", "asname", "level", "line", "col", "role", "text", "name_line", "name_col", "near", "places")
-CALLED = (*NAMED, "nid", "fn_path")
+CALLING = ("file", "def", "param", "write", "import", "export", "called")
+CALLED = (*NAMED, "caller")
+
+
+def _members(met: DataFrame, known: Names, own: list[str]) -> DataFrame:
+    """Of attributes read (own, repo, name, head, text), each with the import that binds its head (target, orig, of), those that are names at
+    the top of a module: own, via_path (that module's file) and far."""
+    # import p.m binds p and is read as p.m.f; import p.m as x and from p import m are read as x.f and m.f
+    plain = (F.col("orig") == "") & (F.split("target", r"\.")[0] == F.col("head"))
+    kept = list(dict.fromkeys(["repo", "name", *own]))
+    modules = known.homes.select("repo", F.col("home").alias("of"), "module")
+    renamed = met.filter(~plain).join(modules, ["repo", "of"]).select(*kept, F.concat("module", F.expr("substring(text, length(head) + 1)")).alias("owner"))
+    owners = known.homes.select("repo", F.col("module").alias("owner"), F.col("home").alias("via_path"))
+    met = met.filter(plain).select(*kept, F.col("text").alias("owner")).unionByName(renamed).join(owners, ["repo", "owner"])
+    onward = known.imports.filter("scope = 0").groupBy("repo", F.col("path").alias("via_path"), "name").agg(F.min_by(F.struct("end_path", "end_name"), F.struct("line", "col")).alias("e"))
+    met = met.join(onward, ["repo", "via_path", "name"], "left").select(*kept, "via_path", F.coalesce("e.end_path", "via_path").alias("end_path"), F.coalesce("e.end_name", "name").alias("end_name"))
+    return met.join(known.tops, ["repo", "end_path", "end_name"]).select(*own, "via_path", "far")
 
 
 def _resolved(facts: DataFrame, known: Names) -> DataFrame:
@@ -300,16 +316,7 @@ def _resolved(facts: DataFrame, known: Names) -> DataFrame:
     local = local.select(*USE, *[c.alias(k) for k, c in to.items()], F.col("path").alias("via_path"), F.when(F.col("place").isNotNull(), F.col("scope")).alias("via_scope"), F.col("name").alias("via_name"))
     reads = of(facts, "attr").select(*FILE, "name", F.col("name_line").alias("line"), F.col("name_col").alias("col"), "text", F.split("text", r"\.")[0].alias("head"), F.col("near").alias("scope"))
     heads = bound.filter("place.kind in ('import', 'star')").select(*FILE, F.col("name").alias("head"), "scope", "target", "orig", "of")
-    modules = known.homes.select("repo", F.col("home").alias("of"), "module")
-    met = reads.join(heads, [*FILE, "head", "scope"]).join(modules, ["repo", "of"], "left")
-    # import p.m binds p and is read as p.m.f; import p.m as x and from p import m are read as x.f and m.f
-    plain = (F.col("orig") == "") & (F.split("target", r"\.")[0] == F.col("head"))
-    module = F.when(plain, F.col("text")).otherwise(F.concat("module", F.expr("substring(text, length(head) + 1)")))
-    owners = known.homes.select("repo", F.col("module").alias("owner"), F.col("home").alias("via_path"))
-    met = met.select(*USE, module.alias("owner")).join(owners, ["repo", "owner"])
-    onward = known.imports.filter("scope = 0").groupBy("repo", F.col("path").alias("via_path"), "name").agg(F.min_by(F.struct("end_path", "end_name"), F.struct("line", "col")).alias("e"))
-    met = met.join(onward, ["repo", "via_path", "name"], "left").select(*USE, "via_path", F.coalesce("e.end_path", "via_path").alias("end_path"), F.coalesce("e.end_name", "name").alias("end_name"))
-    members = met.join(known.tops, ["repo", "end_path", "end_name"])
+    members = _members(reads.join(heads, [*FILE, "head", "scope"]), known, USE)
     kind = F.when(F.col("far.kind") == "import", "import").otherwise("def")
     members = members.select(*USE, F.col("far.path").alias("def_path"), F.col("far.line").alias("def_line"), F.col("far.col").alias("def_col"), kind.alias("kind"), "via_path", F.lit(0).alias("via_scope"), F.col("name").alias("via_name"))
     return local.unionByName(members)
@@ -477,12 +484,16 @@ def constructor_sites(facts: DataFrame) -> DataFrame:
 
 def call_edges(facts: DataFrame) -> DataFrame:
     """repo, src, dst: each function and the functions that it calls, as path:name, by the definitions that names lead to.
-    Facts needed: def, param, use, import, attr, export, call."""
-    fns = of(facts, "def").filter("kind = 'function'").select(*FILE, F.col("nid").alias("fn"), F.concat_ws(":", "path", "name").alias("src"), "name_line", "name_col")
-    calls = of(facts, "call").filter("size(fn_path) > 0").select(*FILE, F.element_at("fn_path", -1).alias("fn"), "name_line", "name_col")
-    met = calls.join(_led(facts, imported=False), [*FILE, "name_line", "name_col"])
-    callee = fns.select("repo", F.col("path").alias("def_path"), F.col("name_line").alias("def_line"), F.col("name_col").alias("def_col"), F.col("src").alias("dst"))
-    return met.join(callee, AT).join(fns.select(*FILE, "fn", "src"), [*FILE, "fn"]).select("repo", "src", "dst").distinct()
+    Facts needed: those of CALLING, of which extract_facts may leave out all but the outer ones."""
+    known, calls = names(facts), of(facts, "called").withColumn("src", F.concat_ws(":", "path", "caller"))
+    own = calls.filter("kind = 'function'").select("repo", "src", F.concat_ws(":", "path", "name").alias("dst"))
+    brought = known.bound.filter("place.kind in ('import', 'star')").select(*FILE, F.col("name").alias("head"), F.col("scope").alias("near"), "target", "orig", "of", "far")
+    away = calls.filter("kind in ('import', 'star')").withColumn("head", F.split(F.coalesce("text", "name"), r"\.")[0]).select(*FILE, "src", "name", "text", "head", "near")
+    met = graph.checkpoint(away.join(brought, [*FILE, "head", "near"]).filter("text is not null or far is not null"))
+    far = met.filter("text is null").select("repo", "src", "far").unionByName(_members(met.filter("text is not null"), known, ["repo", "src"]).drop("via_path"))
+    callee = of(facts, "def").filter("kind = 'function'").select("repo", F.col("path").alias("def_path"), F.col("name_line").alias("def_line"), F.col("name_col").alias("def_col"), F.concat_ws(":", "path", "name").alias("dst"))
+    far = far.filter("far.kind = 'def'").select("repo", "src", F.col("far.path").alias("def_path"), F.col("far.line").alias("def_line"), F.col("far.col").alias("def_col"))
+    return far.join(callee, AT).select("repo", "src", "dst").unionByName(own).distinct()
 
 
 def symbol_refs(facts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -447,13 +447,13 @@ def x1_latest_findings(spark, d):
 
 
 # --- code facts over modules rendered from part and supplier --------------------------------------------------------
-def _stored(files, *tags, columns=None):
+def _stored(files, *tags, columns=None, outer=False):
     """Facts of these tags (and columns, if not all), from one parse of each file."""
-    return graph.checkpoint(facts.extract_facts(files, tags, columns=columns))
+    return graph.checkpoint(facts.extract_facts(files, tags, columns=columns, outer=outer))
 
 
-def _facts(spark, d, *tags, columns=None):
-    return _stored(V.rendered(spark, d), *tags, columns=columns)
+def _facts(spark, d, *tags, columns=None, outer=False):
+    return _stored(V.rendered(spark, d), *tags, columns=columns, outer=outer)
 
 
 def _class_facts(spark, d, *tags):
@@ -593,7 +593,7 @@ def g5_declared_layers(spark, d):
 
 @query(K.replace("WITH", "WITH RECURSIVE", 1) + ", w AS (SELECT k AS root, k AS node, 0 AS depth FROM p UNION ALL SELECT root, node // 3, depth + 1 FROM w WHERE depth < 3) SELECT 'pkg/m_' || root || '.py:f_' || root AS root, 'pkg/m_' || node || '.py:f_' || node AS node, min(depth) AS depth FROM w WHERE node <> root GROUP BY w.root, w.node")
 def g6_call_hierarchy(spark, d):
-    f = _facts(spark, d, *NAMES, "call", columns=code.CALLED)
+    f = _facts(spark, d, *code.CALLING, columns=code.CALLED, outer=True)
     edges = graph.checkpoint(code.call_edges(f).select("src", "dst"))
     return graph.traverse(edges, edges.select(F.col("src").alias("root")).distinct(), "callees", 3).select("root", "node", "depth")
 

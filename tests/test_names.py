@@ -210,3 +210,24 @@ def test_copies_in_many_repos_and_narrow_facts(spark):
     assert got["s"] and [t[0] for t in got["bad"]] == ["failure"]
     with pytest.raises(ValueError):
         facts.extract_facts(files, ("def",), columns=("nothing",))
+
+
+def test_calls_lead_to_functions_of_other_files(spark):
+    """A call graph reads only what links files, and each call by name, module, star or scope leads where its name does."""
+    text = {
+        "p/m.py": "def f():\n    return f()\ndef g(f):\n    f()\n    h()\ndef h():\n    def inner(): f()\n    inner()\n",
+        "p/all.py": "from p.m import *\nfrom p.m import f as ff\n",
+        "app.py": "import p.m, os\nimport p.m as pm\nfrom p.all import *\ndef main():\n    p.m.f(); pm.g(1); ff(); h(); os.getpid(); eval('1'); main.x()\n    def g(): pass\n    g()\nf()\n",
+        "own.py": "from p.m import f\nf = 1\ndef a():\n    b()\ndef b(): f()\n",
+        "kept.py": "from p.m import f\ndef k():\n    global f\n    f()\n    def inner(h=f()):\n        f = h\n        f()\n",
+        "empty.py": "",
+    }
+    files = spark.createDataFrame([("r", path, content) for path, content in text.items()], "repo string, path string, content string")
+    found = {outer: graph.checkpoint(facts.extract_facts(files, code.CALLING, columns=code.CALLED, outer=outer)) for outer in (True, False)}
+    got = {outer: sorted(tuple(r) for r in code.call_edges(f).select("src", "dst").collect()) for outer, f in found.items()}
+    m = {("f", "f"), ("g", "h"), ("h", "inner"), ("inner", "f")}
+    want = {*((f"p/m.py:{a}", f"p/m.py:{b}") for a, b in m), *(("app.py:main", f"p/m.py:{b}") for b in "fgh"), ("app.py:main", "app.py:g"), ("own.py:a", "own.py:b"), ("own.py:b", "p/m.py:f"), ("kept.py:k", "p/m.py:f"), ("kept.py:inner", "p/m.py:f")}
+    assert got == {True: sorted(want), False: sorted(want)}
+    given = {(r["path"], r["tag"], r["name"]) for r in found[True].collect()}
+    assert not any(tag in ("param", "use", "attr") and path != "own.py" for path, tag, _ in given)
+    assert ("empty.py", "file", None) in given and ("app.py", "called", "x") not in given
